@@ -165,3 +165,39 @@ def spells(df: DataFrame, state: str, keys=("code",)) -> DataFrame:
         .withColumn("spell_length", F.count("*").over(ws))
         .drop("_new")
     )
+
+
+def ewma_with_gaps(df: DataFrame, x: str, available: str, alpha: float, out: str,
+                   keys=("code", "seg")) -> DataFrame:
+    """Smoothing that skips unavailable rows and is zero on them.
+
+    After ``g`` skipped rows the old state has decayed ``g + 1`` times against a
+    new weight of ``alpha``; both are renormalised.  The recurrence has data
+    dependent coefficients, so each segment's history (at most one row per
+    calendar date) is walked inside an Arrow batch.
+    """
+    import numpy as np
+
+    decay = 1.0 - alpha
+
+    def walk(pdf):
+        pdf = pdf.sort_values("date", kind="stable")
+        ok, values = pdf["_ok"].to_numpy(), pdf["_x"].to_numpy()
+        result, state, gap = np.zeros(len(pdf)), None, 0
+        for i in np.flatnonzero(ok):
+            if state is None:
+                state = values[i]
+            else:
+                old = decay ** (i - gap)
+                state = (old * state + alpha * values[i]) / (old + alpha)
+            gap = i
+            result[i] = state
+        return pdf.assign(**{out: result}).drop(columns=["_ok", "_x"])
+
+    slim = df.select(*keys, "date", F.col(available).alias("_ok"), F.col(x).alias("_x"))
+    fields = [f for f in slim.schema.fields if f.name not in ("_ok", "_x")]
+    from pyspark.sql.types import DoubleType, StructField, StructType
+
+    schema = StructType([*fields, StructField(out, DoubleType())])
+    smoothed = slim.groupBy(*keys).applyInPandas(walk, schema)
+    return df.join(smoothed, [*keys, "date"])

@@ -89,7 +89,7 @@ class CrossSection:
 
     def average_rank(self, df: DataFrame, x: str, out: str, by=DATE, count: str | None = None) -> DataFrame:
         """Average rank of the non-missing values, ties sharing their mean rank."""
-        n = count or "_n"
+        n = count or "__n"
         by = list(by)
         if not self.scale.wide:
             w = Window.partitionBy(*by).orderBy(F.col(x).asc_nulls_last())
@@ -141,49 +141,49 @@ class CrossSection:
 
     def pct_rank(self, df, x: str, out: str, by=DATE, missing=None):
         """Average rank over the number of non-missing values."""
-        d = self.average_rank(df, x, "_r", by, "_n").withColumn(out, F.col("_r") / F.col("_n"))
+        d = self.average_rank(df, x, "__r", by, "__n").withColumn(out, F.col("__r") / F.col("__n"))
         if missing is not None:
             d = d.withColumn(out, F.coalesce(out, F.lit(float(missing))))
-        return d.drop("_r", "_n")
+        return d.drop("__r", "__n")
 
     def centered_rank(self, df, x: str, out: str, by=DATE, missing: float | None = 0.0):
         """Percentile rank around its own mean, scaled to (-1, 1).
 
         The mean of the average ranks 1..n is (n+1)/2, so no second pass is needed.
         """
-        d = self.average_rank(df, x, "_r", by, "_n")
-        d = d.withColumn(out, (2 * F.col("_r") - F.col("_n") - 1) / F.col("_n"))
+        d = self.average_rank(df, x, "__r", by, "__n")
+        d = d.withColumn(out, (2 * F.col("__r") - F.col("__n") - 1) / F.col("__n"))
         if missing is not None:
             d = d.withColumn(out, F.coalesce(out, F.lit(float(missing))))
-        return d.drop("_r", "_n")
+        return d.drop("__r", "__n")
 
     def active_percentile(self, df, x: str, active: Column, out: str, missing: float = 0.0):
         """``0.5 + 0.5 * percentile`` among active rows, ``missing`` elsewhere."""
-        d = df.withColumn("_a", F.when(active, F.col(x)))
-        d = self.pct_rank(d, "_a", "_p")
-        return d.withColumn(out, F.coalesce(0.5 + 0.5 * F.col("_p"), F.lit(missing))).drop("_a", "_p")
+        d = df.withColumn("__a", F.when(active, F.col(x)))
+        d = self.pct_rank(d, "__a", "__p")
+        return d.withColumn(out, F.coalesce(0.5 + 0.5 * F.col("__p"), F.lit(missing))).drop("__a", "__p")
 
     # -- standardisation ----------------------------------------------------
     def zscore(self, df, x: str, out: str, by=DATE, bound: float = 3.0):
-        d = self.attach(df, by, _m=F.avg(x), _s=F.stddev_samp(x))
-        z = (F.col(x) - F.col("_m")) / F.when(F.col("_s") > 0, F.col("_s"))
-        return d.withColumn("_z", z).withColumn(out, clip("_z", -bound, bound)).drop("_m", "_s", "_z")
+        d = self.attach(df, by, __m=F.avg(x), __s=F.stddev_samp(x))
+        z = (F.col(x) - F.col("__m")) / F.when(F.col("__s") > 0, F.col("__s"))
+        return d.withColumn("__z", z).withColumn(out, clip("__z", -bound, bound)).drop("__m", "__s", "__z")
 
     def fill_median(self, df, x: str, out: str, by=DATE, default: float = 0.0):
-        d = self.median(df, x, "_med", by)
-        return d.withColumn(out, F.coalesce(x, "_med", F.lit(default))).drop("_med")
+        d = self.median(df, x, "__med", by)
+        return d.withColumn(out, F.coalesce(x, "__med", F.lit(default))).drop("__med")
 
     def demean(self, df, x: str, out: str, by):
-        d = self.attach(df, by, _m=F.avg(x))
-        return d.withColumn(out, F.col(x) - F.col("_m")).drop("_m")
+        d = self.attach(df, by, __m=F.avg(x))
+        return d.withColumn(out, F.col(x) - F.col("__m")).drop("__m")
 
     # -- portfolio groups ---------------------------------------------------
     def quintile(self, df, score: str, q: str = "q", weight: str = "w", tie=("code",)):
         """Official five groups and weights; dates with fewer than five rows have none."""
-        d = df.withColumn("_s", F.coalesce(F.col(score), F.lit(0.0)))
-        d = self.first_rank(d, "_s", "_r", tie=tie)
-        d = self.attach(d, _n=F.count(F.lit(1)))
-        return groups_from_rank(d, "_r", "_n", q, weight).drop("_s", "_r", "_n")
+        d = df.withColumn("__s", F.coalesce(F.col(score), F.lit(0.0)))
+        d = self.first_rank(d, "__s", "__r", tie=tie)
+        d = self.attach(d, __n=F.count(F.lit(1)))
+        return groups_from_rank(d, "__r", "__n", q, weight).drop("__s", "__r", "__n")
 
 
 def groups_from_rank(df, rank: str, n: str, q: str = "q", weight: str = "w") -> DataFrame:

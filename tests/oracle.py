@@ -89,7 +89,7 @@ def main(prefixes):
             else:
                 res = f"OK rows-only {len(fn(spark, folder).collect())}"
         except Exception as e:  # noqa: BLE001 - report and continue
-            res = f"ERROR {type(e).__name__} {str(e)[:700]}"
+            res = f"ERROR {type(e).__name__} {str(e).splitlines()[0][:300]}"
         if not res.startswith("OK") or "EMPTY" in res or "all-null" in res or "types" in res:
             fails.append(name)
         print(f"{name:45s} {time.time() - t:6.2f}s {res}", flush=True)
