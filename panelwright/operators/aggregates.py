@@ -124,3 +124,16 @@ def densify(dates: DataFrame, groups: DataFrame, facts: DataFrame, keys, zero) -
 
 def unpivot(df: DataFrame, ids, columns, name="metric", value="value") -> DataFrame:
     return df.unpivot(list(ids), list(columns), name, value)
+
+
+def worst_days(daily: DataFrame, x: str, fraction: float, few: int, by) -> DataFrame:
+    """Mean of the worst share of days, of the ``few`` worst days, and the worst day.
+
+    ``daily`` has one row per date, so ranking inside a group is bounded.
+    """
+    by = list(by)
+    w = Window.partitionBy(*by)
+    d = daily.withColumn("_r", F.row_number().over(w.orderBy(x, "date"))).withColumn("_n", F.count("*").over(w))
+    return d.groupBy(*by).agg(
+        F.avg(F.when(F.col("_r") <= F.ceil(fraction * F.col("_n")), F.col(x))).alias("tail_mean"),
+        F.avg(F.when(F.col("_r") <= few, F.col(x))).alias("few_mean"), F.min(x).alias("worst"))

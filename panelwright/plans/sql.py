@@ -127,3 +127,38 @@ QUINTILE = """CASE WHEN count(*) OVER (PARTITION BY date) >= 5 THEN CAST(least(4
 def quintile(score: str) -> str:
     """The published floating-point form of the five groups."""
     return QUINTILE.format(s=score)
+
+
+SCORED_CTES = ATTR_CTES + f""",
+sc1 AS (SELECT *, CASE WHEN count(resid) OVER f >= 4 THEN sum(resid) OVER f END AS mom_sum FROM pa
+        WINDOW f AS (PARTITION BY code, seg ORDER BY date ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)),
+sc2 AS (SELECT *, coalesce({centered('mom_sum')}, 0) AS mom FROM sc1),
+sc3 AS (SELECT date AS d3, code AS c3, y FROM {ewma('mom', 0.25, 'sc2')}),
+sc4 AS (SELECT sc2.*, {r('y', 10)} AS score FROM sc2 JOIN sc3 ON d3 = date AND c3 = code),
+sc5 AS (SELECT *, {quintile('score')} AS q, count(*) OVER (PARTITION BY date) AS n_day FROM sc4),
+sc6 AS (SELECT *, (q - 2) / n_day / 1.2::DOUBLE AS w FROM sc5),
+sc AS (SELECT *, coalesce(abs(w - lag(w) OVER (PARTITION BY code ORDER BY date)), abs(w)) AS dw FROM sc6)
+"""
+
+
+def on_scored(body: str, *more: str) -> str:
+    return on_panel(body, SCORED_CTES, *more)
+
+
+# Daily account of the scored panel, by definition.
+ACCOUNT_CTES = f"""
+ic0 AS (SELECT date, {avg_rank('score')} AS rx, {avg_rank('target')} AS ry FROM sc WHERE target IS NOT NULL AND score IS NOT NULL),
+ic AS (SELECT date, corr(rx, ry) AS rankic FROM ic0 GROUP BY date),
+acc AS (
+  SELECT date, coalesce(sum(w * target), 0) AS gross, coalesce(sum(w * target - 0.001::DOUBLE * dw), 0) AS net,
+         coalesce(sum(dw), 0) AS turnover, 0.001::DOUBLE * coalesce(sum(dw), 0) AS cost_all,
+         coalesce(sum(CASE WHEN w > 0 THEN w * target END), 0) AS long, coalesce(sum(CASE WHEN w < 0 THEN w * target END), 0) AS short,
+         avg(CASE WHEN target IS NOT NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS label_coverage,
+         {', '.join(f'avg(CASE WHEN q = {k} THEN target END) AS q{k + 1}' for k in range(5))}
+  FROM sc GROUP BY date),
+daily AS (SELECT acc.*, ic.rankic, gross - net AS cost, gross - cost_all AS net_all_cost FROM acc LEFT JOIN ic USING (date))
+"""
+
+
+def on_account(body: str, *more: str) -> str:
+    return on_scored(body, ACCOUNT_CTES, *more)

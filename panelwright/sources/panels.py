@@ -196,3 +196,32 @@ def macro_series(spark: SparkSession, folder: str) -> DataFrame:
     return o.groupBy(month.alias("month")).agg(F.avg("o_totalprice").alias("macro")).select(
         "month", (F.add_months("month", 1).cast("timestamp") - F.expr("interval 1 second")).alias("available"),
         "macro")
+
+
+# -- scored panel ------------------------------------------------------------
+MOMENTUM_WEEKS = 4
+ALPHA = 0.25
+# Scores are rounded before ranking so that mathematically equal scores tie
+# whatever order their sums were taken in.
+SCORE_DIGITS = 10
+
+
+def stable(x):
+    return F.round(x, SCORE_DIGITS) + F.lit(0.0)
+
+
+def build_scored(spark: SparkSession, folder: str) -> DataFrame:
+    """Smoothed residual momentum, its official quintile, weight and weight change."""
+    from panelwright.operators.account import weight_change
+
+    xs = cross_section(spark, folder)
+    d = with_attributes(panel(spark, folder), spark, folder)
+    d = d.withColumn("mom_sum", ts.roll_sum("resid", MOMENTUM_WEEKS, skip=1))
+    d = xs.centered_rank(d, "mom_sum", "mom")
+    d = ts.ewma(d, "mom", ALPHA, "smooth").withColumn("score", stable(F.col("smooth"))).drop("smooth")
+    d = xs.quintile(d, "score")
+    return d.withColumn("dw", weight_change("w"))
+
+
+def scored(spark: SparkSession, folder: str) -> DataFrame:
+    return stage(spark, folder, "scored", lambda: build_scored(spark, folder))
