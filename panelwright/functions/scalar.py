@@ -25,8 +25,8 @@ def positive(x) -> Column:
 
 
 def ratio(a, b) -> Column:
-    """Division whose non-finite results are NULL."""
-    return col(a) / F.when(col(b) != 0, col(b))
+    """Division; a zero denominator gives NULL instead of an error."""
+    return F.try_divide(col(a), col(b))
 
 
 def clip(x, lo=None, hi=None) -> Column:

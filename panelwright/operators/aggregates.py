@@ -26,6 +26,14 @@ def weighted_mean(x, w) -> Column:
     return F.sum(col(x) * col(w)) / F.sum(both)
 
 
+def correlation(x, y) -> Column:
+    """Pearson correlation; NULL when either side is constant (``corr`` would fail)."""
+    x, y = col(x), col(y)
+    both = x.isNotNull() & y.isNotNull()
+    a, b = F.when(both, x), F.when(both, y)
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def moments(x) -> list[Column]:
     """Count, unbiased skewness and unbiased non-excess kurtosis of a column."""
     x = col(x)
@@ -62,7 +70,7 @@ def lagged_month_sum(m: DataFrame, x: str, out: str, months: int = 11, lag: int
 def drawdowns(daily: DataFrame, net: str, keys=()) -> DataFrame:
     """Additive and compound drawdown of a dated series (one row per date)."""
     w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("date").rowsBetween(UNBOUNDED, 0)
-    d = daily.withColumn("_a", F.sum(net).over(w)).withColumn("_w", F.exp(F.sum(F.log1p(net)).over(w)))
+    d = daily.withColumn("_a", F.sum(net).over(w)).withColumn("_w", F.product(1 + F.col(net)).over(w))
     return (
         d.withColumn("dd_additive", F.col("_a") - F.greatest(F.lit(0.0), F.max("_a").over(w)))
         .withColumn("dd_compound", F.col("_w") / F.greatest(F.lit(1.0), F.max("_w").over(w)) - 1)

@@ -21,8 +21,7 @@ def rank_ic(df: DataFrame, score: str, target: str, xs: CrossSection, by=("date"
     by = list(by)
     d = df.select(*by, F.col(score).alias("_x"), F.col(target).alias("_y")).where("_x is not null and _y is not null")
     d = xs.average_rank(xs.average_rank(d, "_x", "_rx", by), "_y", "_ry", by)
-    c = F.corr("_rx", "_ry")
-    return d.groupBy(*by).agg(F.when(~F.isnan(c), c).alias(out))
+    return d.groupBy(*by).agg(agg.correlation("_rx", "_ry").alias(out))
 
 
 def hac_t(daily: DataFrame, x: str, lag: int = 5, by=()) -> DataFrame:
@@ -109,7 +108,7 @@ def bootstrap_paired(daily: DataFrame, base: str, other: str, reps: int = 1000,
     draws = plan.select("rep", ((F.col("start") + F.col("off")) % F.col("n")).alias("i")).join(series, "i")
     root = F.sqrt(F.lit(float(periods)))
     per = draws.groupBy("rep").agg(
-        (root * (F.avg("b") / F.stddev_samp("b") - F.avg("a") / F.stddev_samp("a"))).alias("d_sharpe"),
+        (root * (F.try_divide(F.avg("b"), F.stddev_samp("b")) - F.try_divide(F.avg("a"), F.stddev_samp("a")))).alias("d_sharpe"),
         (periods * (F.avg("b") - F.avg("a"))).alias("d_annual"))
     qs = {"low": 0.025, "high": 0.975}
     return per.agg(*[F.percentile(c, F.lit(q)).alias(f"{c}_{k}") for c in ("d_sharpe", "d_annual") for k, q in qs.items()],

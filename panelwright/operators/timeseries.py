@@ -88,7 +88,7 @@ def rolling_beta(y, x, window: int) -> Column:
     both = all_present(y, x)
     yy, xx = F.when(both, col(y)), F.when(both, col(x))
     return F.when(
-        F.count(xx).over(f) >= window, F.covar_samp(yy, xx).over(f) / F.var_samp(xx).over(f)
+        F.count(xx).over(f) >= window, F.try_divide(F.covar_samp(yy, xx).over(f), F.var_samp(xx).over(f))
     )
 
 

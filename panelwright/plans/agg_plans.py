@@ -92,7 +92,7 @@ def _(spark, sf):
 
 @query("a_10_correlation", on_panel(f"SELECT {D}, {r('corr(volume, turnover)')} AS c FROM pan GROUP BY date"))
 def _(spark, sf):
-    return _by_date(panel(spark, sf).groupBy("date").agg(F.corr("volume", "turnover").alias("c")), c="c")
+    return _by_date(panel(spark, sf).groupBy("date").agg(agg.correlation("volume", "turnover").alias("c")), c="c")
 
 
 @query("a_11_spearman", on_panel(f"""

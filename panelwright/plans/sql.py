@@ -110,6 +110,12 @@ def centered(x: str, by: str = "date") -> str:
     return f"(2 * (({avg_rank(x, by)}) / {n} - ({n} + 1) / (2.0::DOUBLE * {n})))"
 
 
+def scorr(a: str, b: str, rows: str = "") -> str:
+    """Correlation that is missing when one side is constant."""
+    c = f"corr({a}, {b}){rows}"
+    return f"CASE WHEN NOT isnan({c}) THEN {c} END"
+
+
 def ewma(x: str, alpha: float, source: str, out: str = "y", extra: str = "") -> str:
     """Smoothing by explicit geometric weights from the first row of the segment."""
     keep = f", {extra}" if extra else ""
@@ -148,7 +154,7 @@ def on_scored(body: str, *more: str) -> str:
 # Daily account of the scored panel, by definition.
 ACCOUNT_CTES = f"""
 ic0 AS (SELECT date, {avg_rank('score')} AS rx, {avg_rank('target')} AS ry FROM sc WHERE target IS NOT NULL AND score IS NOT NULL),
-ic AS (SELECT date, corr(rx, ry) AS rankic FROM ic0 GROUP BY date),
+ic AS (SELECT date, {scorr('rx', 'ry')} AS rankic FROM ic0 GROUP BY date),
 acc AS (
   SELECT date, coalesce(sum(w * target), 0) AS gross, coalesce(sum(w * target - 0.001::DOUBLE * dw), 0) AS net,
          coalesce(sum(dw), 0) AS turnover, 0.001::DOUBLE * coalesce(sum(dw), 0) AS cost_all,

@@ -185,7 +185,7 @@ def _(spark, sf):
 @query("w_23_drawdowns", on_panel(f"""
 SELECT {day()} AS date, {r('add_curve - greatest(0, max(add_curve) OVER o)')} AS additive,
        {r('w / greatest(1, max(w) OVER o) - 1')} AS compound
-FROM (SELECT date, sum(mkt) OVER (ORDER BY date) AS add_curve, exp(sum(ln(1 + mkt)) OVER (ORDER BY date)) AS w
+FROM (SELECT date, sum(mkt) OVER (ORDER BY date) AS add_curve, product(1 + mkt) OVER (ORDER BY date) AS w
       FROM mk WHERE mkt IS NOT NULL) WINDOW o AS (ORDER BY date ROWS UNBOUNDED PRECEDING)"""))
 def _(spark, sf):
     d = panel(spark, sf).where("mkt is not null").groupBy("date").agg(F.max("mkt").alias("net"))

@@ -42,6 +42,10 @@ class Scale:
         """True when one date may be too large for one task."""
         return self.codes > self.rows_per_task
 
+    def pooled(self) -> "Scale":
+        """Scale of groups that pool many dates: at most one row per date and code."""
+        return Scale(1, self.dates * self.codes, self.rows_per_task)
+
     def per_date(self, df: DataFrame, fanout: int = 1) -> DataFrame:
         """Hint a table holding at most ``fanout`` rows per date for broadcast."""
         return F.broadcast(df) if self.dates * fanout <= BROADCAST_ROWS else df

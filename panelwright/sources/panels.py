@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.functions.scalar import category_code
+from panelwright.functions.scalar import category_code, ratio
 from panelwright.operators import keys, timeseries as ts
 from panelwright.operators.asof import at_offset
 from panelwright.operators.xsection import CrossSection
@@ -54,7 +54,7 @@ def quotes(lineitem: DataFrame) -> DataFrame:
     li = lineitem.select(
         F.to_date(F.date_trunc("week", "l_shipdate")).alias("date"),
         F.col("l_suppkey").cast("string").alias("code"),
-        (F.col("l_extendedprice") / F.col("l_quantity")).alias("px"),
+        ratio("l_extendedprice", "l_quantity").alias("px"),
         F.col("l_quantity").alias("qty"), F.col("l_extendedprice").alias("val"),
         (F.col("l_linenumber") <= 3).alias("am"),
         F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey").alias("seq"),
@@ -79,7 +79,7 @@ def quotes(lineitem: DataFrame) -> DataFrame:
 
 def with_returns(df: DataFrame) -> DataFrame:
     """Open-to-open return inside a listing segment."""
-    return df.withColumn("ret", F.col("open") / ts.shift("open") - 1)
+    return df.withColumn("ret", ratio("open", ts.shift("open")) - 1)
 
 
 def with_market(df: DataFrame, xs: CrossSection) -> DataFrame:

@@ -78,6 +78,7 @@ def main(prefixes):
 
     folder = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
     spark, con = session(8), connect(folder)
+    spark.sparkContext.setLogLevel("OFF")
     sqls, fails = oracle_sql(), []
     for name, fn in queries().items():
         if prefixes and not any(name.startswith(p) for p in prefixes):
