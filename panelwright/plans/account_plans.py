@@ -163,19 +163,21 @@ def _(spark, sf):
 _MB = ["gross_sharpe", "net_sharpe", "net_all_cost_sharpe", "rankic", "rankic_hit", "annual_gross", "annual_net", "annual_cost",
        "annual_long", "annual_short", "turnover", "max_drawdown_additive", "max_drawdown_compound", "label_coverage"]
 _DD = """dd AS (SELECT *, a - greatest(0, max(a) OVER (ORDER BY date)) AS da, v / greatest(1, max(v) OVER (ORDER BY date)) - 1 AS dc FROM
- (SELECT *, sum(net) OVER (ORDER BY date) AS a, product(1 + net) OVER (ORDER BY date) AS v FROM daily))"""
+ (SELECT *, sum(net * 0.01::DOUBLE) OVER (ORDER BY date) AS a, product(1 + net * 0.01::DOUBLE) OVER (ORDER BY date) AS v FROM daily))"""
 
 
 @query("e_03_metric_bundle", on_account(f"""
 SELECT count(*) AS days, {r(_sharpe('gross'), 6)} AS gross_sharpe, {r(_sharpe('net'), 6)} AS net_sharpe, {r(_sharpe('net_all_cost'), 6)} AS net_all_cost_sharpe,
  {r('avg(rankic)', 6)} AS rankic, {r('avg(CASE WHEN rankic > 0 THEN 1.0::DOUBLE WHEN rankic <= 0 THEN 0 END)', 6)} AS rankic_hit,
- {', '.join(f"{r(f'avg({c}) * 252', 6)} AS annual_{c}" for c in ('gross', 'net', 'cost', 'long', 'short'))}, {r('avg(turnover)', 6)} AS turnover,
+ {', '.join(f"{r(f'avg({c}) * 0.01::DOUBLE * 252', 6)} AS annual_{c}" for c in ('gross', 'net', 'cost', 'long', 'short'))}, {r('avg(turnover)', 6)} AS turnover,
  {r('min(da)', 6)} AS max_drawdown_additive, {r('min(dc)', 6)} AS max_drawdown_compound, {r('avg(label_coverage)', 6)} AS label_coverage,
  {r("(SELECT corr(k, rk) FROM (SELECT k, rank() OVER (ORDER BY v) AS rk FROM (SELECT unnest([1,2,3,4,5]) AS k, unnest([avg(q1), avg(q2), avg(q3), avg(q4), avg(q5)]) AS v FROM daily)))", 6)} AS q_monotonicity,
  {r(f"(SELECT t FROM {_hac_sql('daily', 'rankic')})", 6)} AS rankic_t_hac5
 FROM dd""", _DD))
 def _(spark, sf):
-    m = E.metric_bundle(_daily(spark, sf))
+    # One hundredth of the capital at risk, so that the compound curve stays positive.
+    pl = ("gross", "net", "cost", "net_all_cost", "long", "short")
+    m = E.metric_bundle(_daily(spark, sf).withColumns({c: F.col(c) * 0.01 for c in pl}))
     return m.select("days", *_cols(m, [*_MB, "q_monotonicity", "rankic_t_hac5"], 6))
 
 
