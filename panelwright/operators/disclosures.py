@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from panelwright.functions.scalar import accounting_basis, col
 from panelwright.operators import asof as A
+from panelwright.scale import durable
 
 # Accepted length in days of each reporting period.
 PERIOD_DAYS = {"1Q": (80, 100), "2Q": (170, 195), "3Q": (260, 285), "FY": (350, 380)}
@@ -121,3 +122,89 @@ def with_previous(states: DataFrame, versions: DataFrame, keys=("code", "seg"))
 def onto_panel(panel: DataFrame, states: DataFrame, cols: list[str]) -> DataFrame:
     """Strict as-of of daily states onto panel rows of the same segment."""
     return A.asof(panel, states, ["code", "seg"], "date", "day", cols, strict=True)
+
+
+def report_state(panel: DataFrame, reports: DataFrame, value: Column, name: str, expiry: int = 450,
+                 previous: bool = True, extra=()) -> DataFrame:
+    """Current value, change on the comparable report and state date on every panel row."""
+    # The version table is read several times below, so it is written once.
+    seen = assign_segments(reports, panel)
+    versions = durable(metric_versions(seen, value, extra=extra))
+    days = seen.select("code", "seg", "disclosed").distinct()
+    states = current_states(versions, days, extra=extra)
+    if previous:
+        states = durable(states)
+        states = with_previous(states, versions)
+    cols = ["value", "state_date", "period", "basis", *extra] + (["yoy"] if previous else [])
+    d = onto_panel(panel, states.select("code", "seg", "day", *cols), cols)
+    live = lambda c: A.unexpired(c, "date", "state_date", expiry)
+    out = {name: live("value"), f"{name}_date": F.col("state_date"),
+           f"{name}_period": F.coalesce("period", F.lit("missing")), f"{name}_basis": F.coalesce("basis", F.lit("missing")),
+           **{f"{name}_{c}": live(c) for c in extra}}
+    if previous:
+        out[f"{name}_yoy"] = live("yoy")
+    return d.withColumns(out).drop("value", "state_date", "period", "basis", "yoy", "day", *extra)
+
+
+def metric_states(panel: DataFrame, reports: DataFrame, metrics: dict[str, Column], expiry: int = 450) -> DataFrame:
+    """States of several metrics in one pass keyed by metric; one row per panel key and metric."""
+    keys = ["code", "seg", "metric"]
+    seen = assign_segments(reports, panel)
+    packed = F.array(*[F.struct(F.lit(k).alias("metric"), v.alias("metric_value")) for k, v in metrics.items()])
+    rows = seen.withColumn("_m", F.explode(packed)).select("*", "_m.metric", "_m.metric_value").drop("_m")
+    versions = durable(metric_versions(rows, F.col("metric_value"), keys))
+    current = durable(current_states(versions, rows.select(*keys, "disclosed").distinct(), keys))
+    states = with_previous(current, versions, keys)
+    names = F.explode(F.array(*[F.lit(k) for k in metrics]))
+    left = panel.select("date", "code", "seg").withColumn("metric", names)
+    d = A.asof(left, states, keys, "date", "day", ["value", "yoy", "state_date", "period"], strict=True)
+    live = lambda c: A.unexpired(c, "date", "state_date", expiry)
+    return d.select("date", "code", "metric", live("value").alias("value"), live("yoy").alias("yoy"),
+                    "state_date", F.coalesce("period", F.lit("missing")).alias("period"))
+
+
+def turn_negative_events(panel: DataFrame, reports: DataFrame, value: Column) -> DataFrame:
+    """Date since which the current report has been a first turn below zero.
+
+    Judged on the state at the end of each disclosure day, the first moment a
+    panel row can see it.  A usable, comparable update sets the event (dated by
+    the first bad day of that report) or clears it; any other leaves it as is.
+    """
+    seen = assign_segments(reports, panel)
+    versions = durable(metric_versions(seen, value))
+    days = seen.select("code", "seg", "disclosed").distinct()
+    s = with_previous(durable(current_states(versions, days)), versions)
+    bad = (F.col("value") < 0) & (F.col("previous") >= 0)
+    judged = F.col("updated") & F.col("previous").isNotNull()
+    by_report = Window.partitionBy("code", "seg", *REPORT).orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    s = s.withColumn("_first", F.min(F.when(judged & bad, F.col("day"))).over(by_report))
+    change = F.when(judged, F.struct(F.when(bad, F.col("_first")).alias("since")))
+    past = Window.partitionBy("code", "seg").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    s = s.withColumn("event_date", F.last(change, ignorenulls=True).over(past)["since"])
+    return onto_panel(panel, s.select("code", "seg", "day", "event_date"), ["event_date"]).drop("day")
+
+
+def calendar_age(df: DataFrame, day: str, out: str, dates: DataFrame, days: DataFrame) -> DataFrame:
+    """Positions since the first calendar date on which ``day`` was visible.
+
+    ``dates`` holds the calendar (date, ord) and ``days`` every day that may
+    occur; both have one row per day.
+    """
+    cal = dates.select(F.col("date").cast("timestamp").alias("stamp"), F.col("ord").alias("_o"))
+    first = A.asof_unkeyed(days, cal, day, "stamp", ["_o"]).select(day, (F.coalesce("_o", F.lit(-1)) + 1).alias("_first"))
+    return df.join(first, day, "left").withColumn(out, F.col("ord") - F.col("_first")).drop("_first")
+
+
+def decay_steps(age) -> Column:
+    """Full, half and quarter strength for the first three score of positions."""
+    a = col(age)
+    return F.when(a.between(0, 20), 1.0).when((a > 20) & (a <= 40), 0.5).when((a > 40) & (a <= 60), 0.25).otherwise(0.0)
+
+
+def disclosed_shares(panel: DataFrame, fins: DataFrame, expiry: int = 450) -> DataFrame:
+    """Latest strictly prior issued-share count of a valid statement."""
+    ok = accounting_basis("document").isNotNull() & F.col("period").isin(*PERIOD_DAYS) & (F.col("shares") > 0)
+    seen = assign_segments(fins.where(ok), panel)
+    daily = A.last_per_day(seen, ["code", "seg"], "disclosed", "number", ["shares"])
+    d = A.asof(panel, daily, ["code", "seg"], "date", "disclosed", ["shares"], strict=True)
+    return d.withColumn("shares", A.unexpired("shares", "date", "disclosed", expiry)).withColumnRenamed("disclosed", "shares_date")

@@ -50,8 +50,10 @@ def key(t):
 
 
 def compare(spark, con, name, fn, sql, folder):
+    t = time.time()
     df = fn(spark, folder)
     got, gc = rows_of(df.columns, [tuple(r) for r in df.collect()])
+    t = f" spark={time.time() - t:.2f}s"
     cur = con.execute(sql)
     want, wc = rows_of([d[0] for d in cur.description], cur.fetchall())
     if gc != wc:
@@ -69,7 +71,7 @@ def compare(spark, con, name, fn, sql, folder):
     empty = "" if got else " EMPTY"
     allnull = [c for i, c in enumerate(gc) if got and all(r[i] is None for r in got)]
     return ("OK" + empty + (f" types {types}" if types else "") + (f" all-null {allnull}" if allnull else "")
-            + f" rows={len(got)}")
+            + f" rows={len(got)}" + t)
 
 
 def main(prefixes):
