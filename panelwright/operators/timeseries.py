@@ -93,17 +93,20 @@ def rolling_beta(y, x, window: int) -> Column:
 
 
 def ewma(df: DataFrame, x: str, alpha: float, out: str, keys=("code", "seg"),
-         block: int = 64) -> DataFrame:
+         block: int = 64, exact_tail: bool = False) -> DataFrame:
     """Exponential smoothing ``y0 = x0, y = a*x + (1-a)*y_prev`` without Python.
 
     The history is cut into blocks.  Inside a block the smooth is a running sum
     of rescaled inputs; the state entering a block is a short geometric sum of
-    earlier block ends, taken until the weights fall below 1e-30.
+    earlier block ends, taken until the weights fall below 1e-30.  With
+    ``exact_tail`` they are taken until a double underflows, so that a decayed
+    state is exactly zero only where the row-by-row recurrence is.
     """
     if alpha == 1.0:
         return df.withColumn(out, F.col(x))
     r = 1.0 - alpha
-    terms = max(1, math.ceil(30 * math.log(10) / (-block * math.log(r))))
+    depth = 324 if exact_tail else 30
+    terms = max(1, math.ceil(depth * math.log(10) / (-block * math.log(r))))
     w = history(keys)
     d = df.withColumn("_i", F.row_number().over(w) - 1)
     d = d.withColumn("_b", F.floor(F.col("_i") / block)).withColumn("_o", F.col("_i") % block)

@@ -81,8 +81,8 @@ macro AS (
 
 
 def r(expr: str, digits: int = 8) -> str:
-    """Rounded double without negative zero."""
-    return f"(round(CAST({expr} AS DOUBLE), {digits}) + 0.0::DOUBLE)"
+    """Rounded double without negative zero; exact halves are nudged upwards first."""
+    return f"(round(CAST({expr} AS DOUBLE) + 1.37e-{digits + 3}::DOUBLE, {digits}) + 0.0::DOUBLE)"
 
 
 def day(expr: str = "date") -> str:
@@ -121,7 +121,7 @@ def ewma(x: str, alpha: float, source: str, out: str = "y", extra: str = "") ->
     keep = f", {extra}" if extra else ""
     return f"""(SELECT code, seg, date{keep}, {x} AS x_in, pow({1 - alpha}::DOUBLE, i) * sum(z / pow({1 - alpha}::DOUBLE, i))
         OVER (PARTITION BY code, seg ORDER BY date) AS {out}
-      FROM (SELECT *, CASE WHEN i = 0 THEN {x} ELSE {alpha}::DOUBLE * {x} END AS z
+      FROM (SELECT *, CASE WHEN i = 0 THEN {x} ELSE {alpha}::DOUBLE * ({x}) END AS z
             FROM (SELECT *, row_number() OVER (PARTITION BY code, seg ORDER BY date) - 1 AS i FROM {source})))"""
 
 
@@ -168,3 +168,26 @@ daily AS (SELECT acc.*, ic.rankic, gross - net AS cost, gross - cost_all AS net_
 
 def on_account(body: str, *more: str) -> str:
     return on_scored(body, ACCOUNT_CTES, *more)
+
+
+_EW = "PARTITION BY code, seg ORDER BY date"
+EVENT_CTES = SCORED_CTES + f""",
+e1 AS (SELECT *, product(factor) OVER ({_EW} ROWS UNBOUNDED PRECEDING) AS cf FROM sc),
+e2 AS (SELECT *, high / cf AS sh, low / cf AS sl, close / cf AS scl, volume * cf AS sv FROM e1),
+e3 AS (SELECT *, CASE WHEN count(sh) OVER f >= 8 THEN max(sh) OVER f END AS ph, CASE WHEN count(sl) OVER f >= 8 THEN min(sl) OVER f END AS pl FROM e2
+       WINDOW f AS ({_EW} ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING)),
+e4 AS (SELECT *, CASE WHEN scl / ph - 1 > 0 THEN scl / ph - 1 END AS hx, CASE WHEN pl / scl - 1 > 0 THEN pl / scl - 1 END AS lx FROM e3),
+e5 AS (SELECT *, coalesce(0.5 + 0.5 * {pct_rank('hx')}, 0) AS hp, coalesce(0.5 + 0.5 * {pct_rank('lx')}, 0) AS lp,
+       hx IS NOT NULL AS he, lx IS NOT NULL AS le FROM e4),
+e6 AS (SELECT *, {r('hp - lp', 10)} AS raw FROM e5),
+e7 AS (SELECT *, greatest(raw, 0) AS hr, least(raw, 0) AS lr FROM e6),
+e8 AS (SELECT date AS d8, code AS c8, y AS hs FROM {ewma('hr', 0.25, 'e7')}),
+e9 AS (SELECT date AS d9, code AS c9, y AS ls FROM {ewma('lr', 0.5, 'e7')}),
+e10 AS (SELECT e7.*, hs, ls, ord - max(CASE WHEN hr > 0 THEN ord END) OVER k AS hage, ord - max(CASE WHEN lr < 0 THEN ord END) OVER k AS lage
+        FROM e7 JOIN e8 ON d8 = date AND c8 = code JOIN e9 ON d9 = date AND c9 = code WINDOW k AS ({_EW})),
+en AS (SELECT *, {r('hs + ls', 10)} AS dsc, {r('CASE WHEN ls < 0 THEN ls WHEN ls = 0 AND hs > 0 THEN hs ELSE hs + ls END', 10)} AS sn FROM e10)
+"""
+
+
+def on_events(body: str, *more: str) -> str:
+    return on_panel(body, EVENT_CTES, *more)

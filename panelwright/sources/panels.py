@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.functions.scalar import category_code, ratio
+from panelwright.functions.scalar import category_code, ratio, rounded
 from panelwright.operators import keys, timeseries as ts
 from panelwright.operators.asof import at_offset
 from panelwright.operators.xsection import CrossSection
@@ -207,7 +207,7 @@ SCORE_DIGITS = 10
 
 
 def stable(x):
-    return F.round(x, SCORE_DIGITS) + F.lit(0.0)
+    return rounded(x, SCORE_DIGITS)
 
 
 def build_scored(spark: SparkSession, folder: str) -> DataFrame:
@@ -225,3 +225,26 @@ def build_scored(spark: SparkSession, folder: str) -> DataFrame:
 
 def scored(spark: SparkSession, folder: str) -> DataFrame:
     return stage(spark, folder, "scored", lambda: build_scored(spark, folder))
+
+
+# -- breakout events ---------------------------------------------------------
+EVENT_WEEKS = 8
+
+
+def build_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Breakout event stream of the scored panel and its smoothed side states."""
+    from panelwright.operators import features as X
+    from panelwright.operators import signals as G
+
+    xs = cross_section(spark, folder)
+    d = X.breakout(X.split_safe(scored(spark, folder)), EVENT_WEEKS)
+    d = G.breakout_base(d, xs, "mom").withColumn("raw", stable(F.col("B00")))
+    d = G.side_states(d, "raw").withColumns({
+        "high_event": F.col("high_raw") > 0, "low_event": F.col("low_raw") < 0})
+    d = d.withColumns({"D": stable(F.col("high_state") + F.col("low_state")), "SN1": stable(G.side_separation())})
+    d = ts.event_ages(d, "high_event").withColumnsRenamed({"age_calendar": "high_age", "age_rows": "high_rows"})
+    return ts.event_ages(d, "low_event").withColumnsRenamed({"age_calendar": "low_age", "age_rows": "low_rows"})
+
+
+def events(spark: SparkSession, folder: str) -> DataFrame:
+    return stage(spark, folder, "events", lambda: build_events(spark, folder))
