@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelwright.functions.scalar import rounded
 from panelwright.operators import timeseries as ts
 
 ALPHAS = {"high": 0.25, "low": 0.5}
@@ -32,7 +33,7 @@ def source_fractions(df: DataFrame, score: str, q: str, digits: int = 10) -> Dat
 
     Components are rounded first, so that cancelled remainders count as zero.
     """
-    size = {c: F.abs(F.round(c, digits)) for c in AGES}
+    size = {c: F.abs(rounded(c, digits)) for c in AGES}
     d = df.withColumn("_total", sum(size.values(), F.lit(0.0)))
     zero, tail = F.col(score) == 0, F.col(q).isin(0, 4)
     held = ~zero & (F.col("_total") > 0)

@@ -175,7 +175,7 @@ def label_families(df: DataFrame, m: str, rank: str, calibration: str, raw: str)
     """Raw label, centered rank, residual of the calibration, agreement with momentum."""
     agree = (F.col(m) * F.col(rank) > 0).cast("double")
     return {"raw": F.col(raw), "rank": F.col(rank), "residual": F.col(rank) - F.col(calibration),
-            "agreement": F.when(F.abs(m) > 0.1, agree)}
+            "agreement": F.when(F.round(F.abs(m), 12) > 0.1, agree)}
 
 
 def elastic_net(df: DataFrame, vector: str, label: str, strength: float, ratio: float = 0.5, relative: bool = True,

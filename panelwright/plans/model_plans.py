@@ -80,7 +80,7 @@ PRED = ["month_skew", "month_std", "month_sum", "mom"]
 def _skew_months(spark, sf):
     from pyspark.sql import Window
 
-    m = agg.lagged_month_sum(agg.monthly(panel(spark, sf), "resid", 4), "month_sum", "mom")
+    m = agg.lagged_month_sum(agg.monthly(panel(spark, sf), "resid", 3), "month_sum", "mom")
     w = Window.partitionBy("code", "seg").orderBy("month")
     m = m.withColumns({f"lag_{c}": F.lag(c).over(w) for c in PRED})
     return m.withColumn("forecast_month", F.add_months("month", 1))
@@ -181,7 +181,7 @@ def _(spark, sf):
 
 
 @query("m_06_label_families", on_scored(f"""
-SELECT {KS}, {r('target')} AS raw, {r('y')} AS rank, {r('y - 0.5 * mom')} AS residual, CASE WHEN abs(mom) > 0.1 AND y IS NOT NULL THEN CASE WHEN mom * y > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END END AS agreement
+SELECT {KS}, {r('target')} AS raw, {r('y')} AS rank, {r('y - 0.5 * mom')} AS residual, CASE WHEN round(abs(mom), 12) > 0.1 AND y IS NOT NULL THEN CASE WHEN mom * y > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END END AS agreement
 FROM (SELECT *, {centered('target')} AS y FROM sc)"""))
 def _(spark, sf):
     d = cross_section(spark, sf).centered_rank(scored(spark, sf), "target", "y", missing=None).withColumn("cal", 0.5 * F.col("mom"))
