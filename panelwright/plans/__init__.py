@@ -4,5 +4,5 @@ from importlib import import_module
 
 from panelwright.plans.registry import ORACLE, QUERIES
 
-for _name in ("io_plans", "prep_plans", "window_plans", "xs_plans", "join_plans", "agg_plans", "account_plans", "feature_plans", "signal_plans", "model_plans", "diag_plans"):
+for _name in ("io_plans", "prep_plans", "window_plans", "xs_plans", "join_plans", "agg_plans", "account_plans", "feature_plans", "signal_plans", "model_plans", "diag_plans", "audit_plans"):
     import_module(f"panelwright.plans.{_name}")

@@ -248,3 +248,11 @@ def build_events(spark: SparkSession, folder: str) -> DataFrame:
 
 def events(spark: SparkSession, folder: str) -> DataFrame:
     return stage(spark, folder, "events", lambda: build_events(spark, folder))
+
+
+def score_quotes(q: DataFrame, xs: CrossSection) -> DataFrame:
+    """Momentum score straight from quote rows (date, code, ord, seg, open)."""
+    d = with_residual(with_market(with_returns(q), xs))
+    d = d.withColumn("mom_sum", ts.roll_sum("resid", MOMENTUM_WEEKS, skip=1))
+    d = xs.centered_rank(d, "mom_sum", "mom")
+    return ts.ewma(d, "mom", ALPHA, "score").select("date", "code", "ord", "resid", "mom_sum", "mom", "score")
