@@ -54,24 +54,25 @@ def quotes(lineitem: DataFrame) -> DataFrame:
     li = lineitem.select(
         F.to_date(F.date_trunc("week", "l_shipdate")).alias("date"),
         F.col("l_suppkey").cast("string").alias("code"),
-        ratio("l_extendedprice", "l_quantity").alias("px"),
         F.col("l_quantity").alias("qty"), F.col("l_extendedprice").alias("val"),
         (F.col("l_linenumber") <= 3).alias("am"),
-        F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey").alias("seq"),
+        F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey",
+                 ratio("l_extendedprice", "l_quantity").alias("px")).alias("trade"),
     )
-    am, pm = F.col("am"), ~F.col("am")
-
-    def at(fn, cond=None):
-        order = F.col("seq") if cond is None else F.when(cond, F.col("seq"))
-        return fn("px", order)
-
+    am, pm, px = F.col("am"), ~F.col("am"), F.col("trade.px")
+    first = {half: F.min(F.when(cond, F.col("trade"))) for half, cond in (("am", am), ("pm", pm))}
+    last = {half: F.max(F.when(cond, F.col("trade"))) for half, cond in (("am", am), ("pm", pm))}
     q = li.groupBy("date", "code").agg(
-        at(F.min_by).alias("open"), F.max("px").alias("high"), F.min("px").alias("low"),
-        at(F.max_by).alias("close"), F.sum("qty").alias("volume"), F.sum("val").alias("turnover"),
-        at(F.min_by, am).alias("am_open"), at(F.max_by, am).alias("am_close"),
-        F.sum(F.when(am, F.col("qty"))).alias("am_volume"),
-        at(F.min_by, pm).alias("pm_open"), at(F.max_by, pm).alias("pm_close"),
-        F.sum(F.when(pm, F.col("qty"))).alias("pm_volume"),
+        F.max(px).alias("high"), F.min(px).alias("low"), F.sum("qty").alias("volume"), F.sum("val").alias("turnover"),
+        *[F.sum(F.when(c, F.col("qty"))).alias(f"{h}_volume") for h, c in (("am", am), ("pm", pm))],
+        *[first[h].alias(f"_{h}_first") for h in first], *[last[h].alias(f"_{h}_last") for h in last],
+    )
+    # The date's first and last trade are the earlier and the later of the two halves'.
+    q = q.select(
+        "date", "code", F.least("_am_first", "_pm_first")["px"].alias("open"), "high", "low",
+        F.greatest("_am_last", "_pm_last")["px"].alias("close"), "volume", "turnover",
+        *[F.col(f"_{h}_{part}.px").alias(f"{h}_{name}") for h in first for part, name in (("first", "open"), ("last", "close"))],
+        "am_volume", "pm_volume",
     )
     split = (F.col("date") == F.lit(SPLIT_DATE).cast("date")) & (F.col("code").cast("long") % 2 == 0)
     return q.withColumn("factor", F.when(split, F.lit(SPLIT_FACTOR)).otherwise(F.lit(1.0)))
