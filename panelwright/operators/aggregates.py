@@ -120,14 +120,15 @@ def concentration(df: DataFrame, by, group: str, x: str) -> DataFrame:
     )
 
 
-def densify(dates: DataFrame, groups: DataFrame, facts: DataFrame, keys, zero) -> DataFrame:
-    """Every (date, group) cell, absent measures as zero.
+def densify(dates: DataFrame, labels: DataFrame, facts: DataFrame, label: str, zero) -> DataFrame:
+    """Every (date, label) cell, absent measures as zero.
 
-    ``dates`` and ``groups`` are reduced sides (calendar dates, sector labels);
-    their product is the size of the report itself.
+    The label set is folded into one array and exploded on the date rows, so the
+    grid is as large as the report and no pair join runs.
     """
-    grid = dates.crossJoin(F.broadcast(groups))
-    return grid.join(facts, list(keys), "left").fillna(0, subset=list(zero))
+    everything = labels.agg(F.array_sort(F.collect_set(label)).alias("_labels"))  # one row
+    grid = dates.crossJoin(F.broadcast(everything)).select("date", F.explode("_labels").alias(label))
+    return grid.join(facts, ["date", label], "left").fillna(0, subset=list(zero))
 
 
 def unpivot(df: DataFrame, ids, columns, name="metric", value="value") -> DataFrame:

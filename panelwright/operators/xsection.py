@@ -122,7 +122,8 @@ class CrossSection:
                 hit = (F.col("_upto") >= pos) & (F.col("_upto") - F.col("_ties") < pos)
                 picks.append(F.max(F.when(hit, F.col(x))).alias(f"_{name}_{side}"))
             picks.append(F.max(at - F.floor(at)).alias(f"_{name}_f"))
-        g = d.groupBy(*by).agg(*picks)
+        groups = df.select(*by).distinct()  # groups without any value keep a missing quantile
+        g = _key_match(groups, d.groupBy(*by).agg(*picks), by)
         return g.select(*by, *[
             (F.col(f"_{k}_lo") + F.col(f"_{k}_f") * (F.col(f"_{k}_hi") - F.col(f"_{k}_lo"))).alias(k)
             for k in qs])

@@ -122,8 +122,7 @@ def _(spark, sf):
     facts = d.where("ret > 1").groupBy("date", "sector33").agg(F.count("*").alias("n"), F.sum("volume").alias("v"))
     from panelwright.sources.panels import attributes
 
-    g = agg.densify(d.select("date").distinct(), attributes(spark, sf).select("sector33").distinct(), facts,
-                    ["date", "sector33"], ["n", "v"])
+    g = agg.densify(d.select("date").distinct(), attributes(spark, sf), facts, "sector33", ["n", "v"])
     return g.select(day_text().alias("date"), "sector33", "n", rounded("v", 4).alias("v"))
 
 

@@ -1,6 +1,9 @@
 """Run registered queries beside their SQL and report differences.
 
     python tests/oracle.py [prefix ...]      (SF_DIR selects the tables)
+
+WIDE=1 pretends that no cross-section fits one task, so that the split plans
+of every cross-sectional operator are compared too.
 """
 
 from __future__ import annotations
@@ -78,6 +81,13 @@ def main(prefixes):
     from __spark_entry__ import oracle_sql, queries
     from panelwright.scale import session
 
+    if os.environ.get("WIDE"):
+        from dataclasses import replace
+
+        from panelwright.scale import Scale
+
+        measure = Scale.measure
+        Scale.measure = classmethod(lambda cls, df, *a, **k: replace(measure(df, *a, **k), rows_per_task=1))
     folder = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
     spark, con = session(8), connect(folder)
     spark.sparkContext.setLogLevel("OFF")
