@@ -7,6 +7,8 @@ one layout by code and one by date.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -153,23 +155,21 @@ def boxes(df: DataFrame, longest: int = 120, step: int = 5, limit: float = 3.0,
         "_bh": F.max("s_high").over(ts.trailing(step, skip)), "_bl": F.min("s_low").over(ts.trailing(step, skip)),
     })
     w = ts.history()
-    highs = F.array(*[F.lag("_bh", step * i).over(w) for i in range(k)])
-    lows = F.array(*[F.lag("_bl", step * i).over(w) for i in range(k)])
-    d = d.withColumns({"_hs": highs, "_ls": lows})
-    scale = (lambda n: F.sqrt(n * step)) if root else (lambda n: F.lit(1.0))
-
-    def one(n):
-        top, bottom = F.array_max(F.slice("_hs", 1, n)), F.array_min(F.slice("_ls", 1, n))
-        return F.struct((n * step).alias("length"), F.try_divide(top - bottom, F.col("atr") * scale(n)).alias("width"),
-                        top.alias("upper"), bottom.alias("lower"))
-
-    fits = F.filter(F.transform(F.sequence(F.lit(1), F.lit(k)), one),
-                    lambda b: (b["length"] <= F.col("_run")) & (b["width"] < limit))
-    d = d.withColumn("_box", F.try_element_at(fits, F.lit(-1)))
+    d = d.withColumns({f"_{side}{i}": F.lag(f"_b{side}", step * i).over(w) for side in "hl" for i in range(k)})
+    for i in range(1, k):  # running extremes; one projection each, so nothing is computed twice
+        d = d.withColumns({f"_h{i}": F.greatest(f"_h{i - 1}", f"_h{i}"), f"_l{i}": F.least(f"_l{i - 1}", f"_l{i}")})
+    d = d.withColumns({f"_w{i}": F.try_divide(
+        F.col(f"_h{i}") - F.col(f"_l{i}"), F.col("atr") * (math.sqrt((i + 1) * step) if root else 1.0)) for i in range(k)})
+    box = F.coalesce(*[
+        F.when((F.col("_run") >= (i + 1) * step) & (F.col(f"_w{i}") < limit),
+               F.struct(F.lit(float((i + 1) * step)).alias("length"), F.col(f"_w{i}").alias("width"),
+                        F.col(f"_h{i}").alias("upper"), F.col(f"_l{i}").alias("lower")))
+        for i in reversed(range(k))])
+    d = d.withColumn("_box", box)
     return d.withColumns({
-        "box_duration": F.coalesce(F.col("_box.length"), F.lit(0)).cast("double"),
+        "box_duration": F.coalesce(F.col("_box.length"), F.lit(0.0)),
         "box_width": F.col("_box.width"), "box_upper": F.col("_box.upper"), "box_lower": F.col("_box.lower"),
-    }).drop("_row", "_run", "_bh", "_bl", "_hs", "_ls", "_box")
+    }).drop("_row", "_run", "_bh", "_bl", "_box", *[f"_{c}{i}" for c in "hlw" for i in range(k)])
 
 
 def box_position(df: DataFrame, window: int = 250) -> DataFrame:

@@ -61,7 +61,17 @@ def roll_min(x, window, min_periods=None, skip=0, **kw):
 
 
 def roll_median(x, window, min_periods=None, skip=0, **kw):
-    return rolling(lambda v: F.percentile(v, F.lit(0.5)), x, window, min_periods, skip, **kw)
+    """Exact rolling median from the sorted values of the frame.
+
+    Sorting a short primitive array is several times faster than the general
+    percentile aggregate, which keeps a hash map of counts per frame.
+    """
+    f = trailing(window, skip, **kw)
+    need = window if min_periods is None else min_periods
+    values = F.sort_array(F.collect_list(col(x)).over(f))
+    n = F.size(values)
+    low, high = F.get(values, F.floor((n - 1) / 2).cast("int")), F.get(values, F.floor(n / 2).cast("int"))
+    return F.when(n >= need, low + (high - low) / 2)
 
 
 def cumulative(fn, x, keys=("code", "seg")) -> Column:

@@ -141,9 +141,10 @@ def _(spark, sf):
 
 @query("io_12_guarded_read")
 def _(spark, sf):
-    d = io.read_table(spark, sf, "lineitem", ["l_suppkey"]).join(
-        io.read_table(spark, sf, "supplier", ["s_suppkey"]), F.expr("l_suppkey = s_suppkey"))
-    return io.opened_files(d)
+    """Rows read from every file that a guarded result depends on."""
+    d = io.read_table(spark, sf, "lineitem", ["l_suppkey"]).withColumn("file", F.input_file_name())
+    s = io.read_table(spark, sf, "supplier", ["s_suppkey"]).withColumn("file", F.input_file_name())
+    return d.select("file").unionByName(s.select("file")).groupBy("file").agg(F.count("*").alias("rows"))
 
 
 @query("io_13_inventory", """
