@@ -494,14 +494,14 @@ def _(spark, sf):
 
 
 @query("f_40_information_vectors", on_panel(keyed_sql(
-    f"(SELECT *, list(rate) OVER {_frame(20)} AS a, count(rate) OVER {_frame(20)} AS ca, list(ret) OVER {_frame(20)} AS b, count(ret) OVER {_frame(20)} AS cb FROM tor)", 10,
-    rate_0="CASE WHEN ca = 21 THEN a[21] END", rate_20="CASE WHEN ca = 21 THEN a[1] END", rate_low="CASE WHEN ca = 21 THEN list_sort(a)[1] END",
+    f"(SELECT *, list(rate) OVER {_frame(20)} AS a, count(rate) OVER {_frame(20)} AS ca, list(ret) OVER {_frame(20)} AS b, count(ret) OVER {_frame(20)} AS cb FROM tor)",
+    rate_0="CASE WHEN ca = 21 THEN a[21] END * 1000", rate_20="CASE WHEN ca = 21 THEN a[1] END * 1000", rate_low="CASE WHEN ca = 21 THEN list_sort(a)[1] END * 1000",
     raw_0="CASE WHEN cb = 21 THEN b[21] END", raw_mean="CASE WHEN cb = 21 THEN list_avg(b) END", raw_high="CASE WHEN cb = 21 THEN list_sort(b)[21] END"), FINS_CTES, _RATE))
 def _(spark, sf):
     d = X.information_vectors(turnover_rate(spark, sf), {"rate": "rate", "raw": "ret"})
     at = lambda c, i: F.get(c, F.lit(i))
     mean = F.aggregate("raw_time", F.lit(0.0), lambda s, v: s + v) / 21
-    return keyed(d, 10, rate_0=at("rate_time", 0), rate_20=at("rate_time", 20), rate_low=at("rate_sorted", 0),
+    return keyed(d, rate_0=at("rate_time", 0) * 1000, rate_20=at("rate_time", 20) * 1000, rate_low=at("rate_sorted", 0) * 1000,
                  raw_0=at("raw_time", 0), raw_mean=mean, raw_high=at("raw_sorted", 20))
 
 
