@@ -101,14 +101,17 @@ def with_target(df: DataFrame, ahead: int = 2) -> DataFrame:
 
 
 def stage(spark: SparkSession, folder: str, name: str, build) -> DataFrame:
-    """Stage table kept for the session and laid out by code.
+    """Stage table kept for the session, laid out by code and history order.
 
-    Later history windows find their partitioning in place.  Lost blocks are
+    It is filled at once, so that the planner sees its size and layout: later
+    history windows need neither a shuffle nor a sort.  Lost blocks are
     recomputed from the source files.
     """
     key = (*_session_key(spark, folder), name)
     if key not in _STAGES:
-        _STAGES[key] = build().repartition("code").sortWithinPartitions("code", "date").persist()
+        table_ = build().repartition("code").sortWithinPartitions("code", "seg", "date").persist()
+        table_.count()
+        _STAGES[key] = table_
     return _STAGES[key]
 
 
