@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from panelwright.llm import bottomk, bpe, matroska
+from pyspark.sql import functions as F
+
+from panelwright.llm import bottomk, bpe, line_dedup, matroska, packing, simhash
 from panelwright.llm.common import table
 from panelwright.llm.registry import query
 
@@ -14,11 +16,50 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query("op3_simhash")
+def op3(spark, folder):
+    return simhash.groups(table(spark, folder, "documents")).select("doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
+
+
+LINES_SQL = """
+WITH lines AS (
+  SELECT d.doc_id, u.pos, u.line,
+         translate(trim(u.line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS line_key
+  FROM documents d, LATERAL (
+    SELECT unnest(string_split(coalesce(d.text, ''), chr(10))) AS line,
+           unnest(range(len(string_split(coalesce(d.text, ''), chr(10))))) AS pos) u
+), counts AS (
+  SELECT line_key, max(doc_id) AS keeper FROM lines
+  WHERE length(line_key) >= 20 GROUP BY line_key HAVING count(DISTINCT doc_id) >= 3
+), marked AS (
+  SELECT l.doc_id, l.pos, l.line, c.keeper IS NOT NULL AND c.keeper <> l.doc_id AS dropped
+  FROM lines l LEFT JOIN counts c ON l.line_key = c.line_key
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+
+@query("op4_line_dedup", LINES_SQL)
+def op4(spark, folder):
+    docs = table(spark, folder, "documents")
+    done = line_dedup.clean(line_dedup.build(docs), docs)
+    return done.select("row.doc_id", "kept.n_lines", "kept.n_dropped", F.sha2("kept.text", 256).alias("kept_sha256"))
+
+
 @query("op6_bpe")
 def op6(spark, folder):
     return bpe.digests(table(spark, folder, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+@query("op7_packing")
+def op7(spark, folder):
+    items = packing.pieces(table(spark, folder, "documents"), tokenizer("byte_bpe_50k.json"))
+    return packing.pack(items).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 @query("op8_matroska")
 def op8(spark, folder):
     return matroska.features(matroska.encode(table(spark, folder, "documents")))
