@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelwright.llm import bottomk, bpe, line_dedup, matroska, packing, simhash
+from panelwright.llm import bottomk, bpe, line_dedup, matroska, packing, sharding, simhash
 from panelwright.llm.common import table
 from panelwright.llm.registry import query
 
@@ -49,6 +49,12 @@ def op4(spark, folder):
     return done.select("row.doc_id", "kept.n_lines", "kept.n_dropped", F.sha2("kept.text", 256).alias("kept_sha256"))
 
 
+@query("op5_sharding")
+def op5(spark, folder):
+    done = sharding.shard_documents(table(spark, folder, "documents"))
+    return done.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 @query("op6_bpe")
 def op6(spark, folder):
     return bpe.digests(table(spark, folder, "documents"), tokenizer("word_bpe_49k.json"))
