@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelwright.llm import bottomk, bpe, line_dedup, matroska, packing, sharding, simhash
+from panelwright.llm import bottomk, bpe, line_dedup, matroska, packing, sharding, simhash, style_tree
 from panelwright.llm.common import table
 from panelwright.llm.registry import query
 
@@ -16,6 +16,11 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query("op1_style_tree")
+def op1(spark, folder):
+    return style_tree.main_texts(table(spark, folder, "pages"))
+
+
 @query("op3_simhash")
 def op3(spark, folder):
     return simhash.groups(table(spark, folder, "documents")).select("doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
