@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelwright.llm import bottomk, bpe, line_dedup, matroska, packing, sharding, simhash, style_tree
+from panelwright.llm import bottomk, bpe, langid, line_dedup, matroska, packing, sharding, simhash, style_tree, toxicity
 from panelwright.llm.common import table
 from panelwright.llm.registry import query
 
@@ -21,6 +21,15 @@ def op1(spark, folder):
     return style_tree.main_texts(table(spark, folder, "pages"))
 
 
+@query("op2_toxicity")
+def op2(spark, folder):
+    docs = table(spark, folder, "documents")
+    held_out = toxicity.remainder(5) == 0
+    grammar = toxicity.fit(docs, table(spark, folder, "labels"), ~held_out)
+    return toxicity.score(docs, grammar).select("row.doc_id", "score").select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @query("op3_simhash")
 def op3(spark, folder):
     return simhash.groups(table(spark, folder, "documents")).select("doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
@@ -76,6 +85,15 @@ def op8(spark, folder):
     return matroska.features(matroska.encode(table(spark, folder, "documents")))
 
 
+@query("op9_langid")
+def op9(spark, folder):
+    docs = table(spark, folder, "documents")
+    held_out = langid.remainder(3) == 1
+    model = langid.fit(docs, ~held_out)
+    return langid.predict(docs, model).select("row.doc_id", "found.*").select(
+        "doc_id", held_out.alias("held_out"), F.col("lang").alias("lang_pred"), "score", "ambiguous")
+
+
 @query("op10_bottomk")
 def op10(spark, folder):
     return bottomk.edited_pairs(table(spark, folder, "documents"))
