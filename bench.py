@@ -50,6 +50,7 @@ def main() -> None:
         "sf": folder.rsplit("sf", 1)[-1], "lineitem_rows": rows, "panel_rows": panel_rows,
         "momentum_rows_per_sec": round(panel_rows / times["f_02_residual_momentum"]),
     }))
+    panels.release(spark)
     spark.stop()
 
 

@@ -71,9 +71,8 @@ def unexpired(value, today, stamp, days: int = 450) -> Column:
 def at_offset(df: DataFrame, cols: dict[str, str], offset: int, keys=("code",)) -> DataFrame:
     """Attach the same code's values at calendar position ``ord + offset``.
 
-    Rows may be absent, hence an equi-join on the position and never a lead.
+    Rows may be absent, so it is a frame of that very position (one row at
+    most) and never a lead; the layout by code needs no further shuffle.
     """
-    keys = list(keys)
-    other = df.select(*keys, (F.col("ord") - offset).alias("ord"),
-                      *[F.col(c).alias(new) for c, new in cols.items()])
-    return df.join(other, [*keys, "ord"], "left")
+    there = Window.partitionBy(*keys).orderBy("ord").rangeBetween(offset, offset)
+    return df.withColumns({new: F.max(c).over(there) for c, new in cols.items()})

@@ -1,81 +1,89 @@
-"""Where a held weight, its turnover and its return come from."""
+"""Where a held weight, its turnover and its return come from.
+
+A side's smooth is parted by how old the contributing events are; each row's
+position is then credited to the parts in proportion to their size.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright.functions.scalar import rounded
 from panelwright.operators import timeseries as ts
 
 ALPHAS = {"high": 0.25, "low": 0.5}
-AGES = ["high_event_day", "high_age_1_4", "high_age_5_plus", "low_event_day", "low_age_1_4", "low_age_5_plus"]
-SOURCES = [*AGES, "zero_tail", "zero_middle", "other"]
+#: Rows after which an event counts as old.
+OLD_ROWS = 5
+# Categories of credit: parts of the two smooths by age, then rows without any part.
+PARTS = [f"{age}_{side}" for side in ALPHAS for age in ("fresh", "young", "old")]
+SOURCES = [*PARTS, "flat_outer", "flat_inner", "unexplained"]
+MEASURES = ("gross", "cost", "turnover", "held", "weight")
+
 
+def parts_by_age(df: DataFrame, alphas=ALPHAS) -> DataFrame:
+    """Part each ``<side>_state`` into fresh, young and old; the three add up to it.
 
-def age_components(df: DataFrame, alphas=ALPHAS) -> DataFrame:
-    """Split each side's smooth by the age of the contributing event (adds up)."""
-    first = ts.row_in_segment() == 1
-    out, lags = {}, {}
+    What is old now is the state of ``OLD_ROWS`` rows ago, decayed since.  In
+    the first rows of a segment there is no such state: only the surplus
+    weight of the segment's first value is old there.
+    """
+    n = ts.row_in_segment()
+    out: dict[str, Column] = {}
     for side, alpha in alphas.items():
-        raw = F.col(f"{side}_raw")
-        lags[f"{side}_event_day"] = F.when(first, raw).otherwise(alpha * raw)
-        young = F.lit(0.0)
-        for age in range(1, 5):
-            young = young + alpha * (1 - alpha) ** age * F.coalesce(ts.shift(raw, age), F.lit(0.0))
-        lags[f"{side}_age_1_4"] = young
-        out[f"{side}_age_5_plus"] = F.col(f"{side}_state") - F.col(f"{side}_event_day") - F.col(f"{side}_age_1_4")
-    return df.withColumns(lags).withColumns(out)
+        raw, state, keep = F.col(f"{side}_raw"), F.col(f"{side}_state"), 1 - alpha
+        start = F.first(raw).over(ts.history().rowsBetween(ts.UNBOUNDED, 0))
+        fresh = F.when(n == 1, raw).otherwise(alpha * raw)
+        old = (F.when(n == 1, F.lit(0.0)).when(n <= OLD_ROWS, start * F.pow(F.lit(keep), n))
+               .otherwise(keep ** OLD_ROWS * ts.shift(state, OLD_ROWS)))
+        out |= {f"fresh_{side}": fresh, f"old_{side}": old, f"young_{side}": state - fresh - old}
+    return df.withColumns(out)
 
 
-def source_fractions(df: DataFrame, score: str, q: str, digits: int = 10) -> DataFrame:
-    """Shares of a held score by source; the nine shares of a row add up to one.
+def source_shares(df: DataFrame, score: str, q: str, digits: int = 10) -> DataFrame:
+    """``shares``: credit of each of ``SOURCES``, in their order; they add up to one.
 
-    Components are rounded first, so that cancelled remainders count as zero.
+    Parts are rounded first, so that cancelled remainders carry no credit.
+    Rows with a zero score are flat, outer or inner by their quintile.
     """
-    size = {c: F.abs(rounded(c, digits)) for c in AGES}
-    d = df.withColumn("_total", sum(size.values(), F.lit(0.0)))
-    zero, tail = F.col(score) == 0, F.col(q).isin(0, 4)
-    held = ~zero & (F.col("_total") > 0)
-    shares = {f"f_{c}": F.when(held, size[c] / F.col("_total")).otherwise(0.0) for c in AGES}
-    shares["f_zero_tail"] = (zero & tail).cast("double")
-    shares["f_zero_middle"] = (zero & ~tail).cast("double")
-    shares["f_other"] = (~zero & (F.col("_total") == 0)).cast("double")
-    return d.withColumns(shares).drop("_total")
-
-
-def source_turnover(df: DataFrame, w: str = "w") -> DataFrame:
-    """One row per weight change and source: turnover and gross return of each sleeve.
-
-    A change inside one side is split evenly between the old and new sources; an
-    exit belongs to the old ones, an entry to the new ones, a flip to both sides.
+    flat = F.col(score) == 0
+    sizes = F.array(*[F.abs(rounded(c, digits)) for c in PARTS])
+    whole = F.aggregate(sizes, F.lit(0.0), lambda a, b: a + b)
+    parts = F.transform(sizes, lambda s: F.when(flat | (whole == 0), 0.0).otherwise(s / whole))
+    outer = F.col(q).isin(0, 4)
+    rest = [flat & outer, flat & ~outer, ~flat & (whole == 0)]
+    return df.withColumn("shares", F.concat(parts, F.array(*[F.coalesce(c, F.lit(False)).cast("double") for c in rest])))
+
+
+def share(source: str) -> Column:
+    return F.col("shares")[SOURCES.index(source)]
+
+
+def source_daily(df: DataFrame, w: str = "w") -> DataFrame:
+    """One row per date, side and source: credited return, cost, turnover, days and weight.
+
+    A change inside one side is split evenly between the old and the new
+    shares; an exit belongs to the old ones, an entry to the new ones, a flip
+    to both sides.  Sums are taken per date and side with all sources beside
+    each other, and only the sums are unpivoted.
     """
     seg = Window.partitionBy("code", "seg").orderBy("date")
-    now, before = F.col(w), F.coalesce(F.lag(w).over(seg), F.lit(0.0))
-    d = df.withColumn("_b", before).withColumns(
-        {f"b_{s}": F.coalesce(F.lag(f"f_{s}").over(seg), F.lit(0.0)) for s in SOURCES})
-    parts = F.array(*[F.struct(F.lit(s).alias("source"), F.col(f"f_{s}").alias("new"), F.col(f"b_{s}").alias("old")) for s in SOURCES])
-    d = d.withColumn("_p", F.explode(parts)).select(
-        "date", "code", F.col(w).alias("w"), "_b", "target", "_p.source", "_p.new", "_p.old",
-        F.explode(F.array(F.lit("long"), F.lit("short"))).alias("side"))
+    d = df.select("date", F.col(w).alias("_w"), "target", "shares",
+                  F.coalesce(F.lag(w).over(seg), F.lit(0.0)).alias("_b"), F.lag("shares").over(seg).alias("_old"))
+    d = d.withColumn("side", F.explode(F.array(F.lit("long"), F.lit("short"))))
     sign = F.when(F.col("side") == "long", 1).otherwise(-1)
-    was, is_ = F.col("_b") * sign > 0, F.col("w") * sign > 0
-    turn = (
-        F.when(was & is_, F.abs(F.col("w") - F.col("_b")) * 0.5 * (F.col("old") + F.col("new")))
-        .when(was, F.abs("_b") * F.col("old")).when(is_, F.abs("w") * F.col("new")).otherwise(0.0)
-    )
-    return d.withColumns({
-        "turnover": turn,
-        "gross": F.when(is_, F.col("w") * F.col("target") * F.col("new")).otherwise(0.0),
-        "held": F.when(is_, F.col("new")).otherwise(0.0),
-        "weight": F.when(is_, F.abs("w") * F.col("new")).otherwise(0.0),
-        "cost": F.when(F.col("target").isNotNull(), 0.001 * turn),
-    }).drop("_b", "old", "new")
-
-
-def source_daily(rows: DataFrame) -> DataFrame:
-    z = lambda c: F.coalesce(F.sum(c), F.lit(0.0)).alias(c)
-    return rows.groupBy("date", "side", "source").agg(z("gross"), z("cost"), z("turnover"), z("held"), z("weight"))
+    was, now = F.col("_b") * sign > 0, F.col("_w") * sign > 0
+    sums = []
+    for i in range(len(SOURCES)):
+        new, old = F.col("shares")[i], F.coalesce(F.col("_old")[i], F.lit(0.0))
+        turn = (F.when(was & now, F.abs(F.col("_w") - F.col("_b")) * (old + new) / 2)
+                .when(was, F.abs("_b") * old).when(now, F.abs("_w") * new).otherwise(0.0))
+        each = {"gross": F.when(now, F.col("_w") * F.col("target") * new), "cost": F.when(F.col("target").isNotNull(), 0.001 * turn),
+                "turnover": turn, "held": F.when(now, new), "weight": F.when(now, F.abs("_w") * new)}
+        sums += [F.coalesce(F.sum(each[m]), F.lit(0.0)).alias(f"{m}_{i}") for m in MEASURES]
+    wide = d.groupBy("date", "side").agg(*sums)
+    return wide.select("date", "side", F.inline(F.array(*[
+        F.struct(F.lit(s).alias("source"), *[F.col(f"{m}_{i}").alias(m) for m in MEASURES]) for i, s in enumerate(SOURCES)])))
 
 
 def source_summary(daily: DataFrame, by=(), periods: int = 252) -> DataFrame:
@@ -85,7 +93,7 @@ def source_summary(daily: DataFrame, by=(), periods: int = 252) -> DataFrame:
         (F.avg("gross") * periods).alias("annual_gross"), (F.avg("cost") * periods).alias("annual_cost"),
         (F.avg(F.col("gross") - F.col("cost")) * periods).alias("annual_net"),
         F.sum("turnover").alias("_t"), F.sum("held").alias("stock_days"), F.sum("weight").alias("_w"))
-    side = Window.partitionBy(*by, "side")  # at most nine sources per side
+    side = Window.partitionBy(*by, "side")  # one row per source
     return s.withColumns({
         "turnover_share": F.try_divide(F.col("_t"), F.sum("_t").over(side)),
         "weight_share": F.try_divide(F.col("_w"), F.sum("_w").over(side)),

@@ -136,7 +136,8 @@ def action_follow_up(df: DataFrame, value: str, days: int = 180) -> DataFrame:
     d = df.withColumn("_before", F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     changed = F.col(value).isNotNull() & (F.col(value) != F.lag("_before").over(w))
     d = d.withColumn("_change", F.when(changed, F.struct("date", value)))
-    d = d.withColumn("_next", F.first("_change", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    back = Window.partitionBy("code").orderBy(F.col("date").desc())  # a running frame: one step per row
+    d = d.withColumn("_next", F.last("_change", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1)))
     near = F.datediff(F.col("_next.date"), F.col("date")) <= days
     return d.where("factor <> 1").select("date", "code", "factor", F.col("_before").alias("before"),
                                          F.when(near, F.col(f"_next.{value}")).alias("after"))

@@ -88,7 +88,7 @@ def group_spread(df: DataFrame, q: str, target: str, by=("date",), min_rows: int
                ).alias("spread"), n.alias("rows"))
 
 
-def bootstrap_paired(daily: DataFrame, base: str, other: str, reps: int = 1000, block: int = 20, seed: int = 20260908,
+def bootstrap_paired(daily: DataFrame, base: str, other: str, reps: int = 1000, block: int = 20, seed: int = 104729,
                      periods: int = 252) -> DataFrame:
     """Circular block bootstrap of the difference in Sharpe ratio and annual return.
 

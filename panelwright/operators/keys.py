@@ -34,8 +34,3 @@ def duplicate_keys(df: DataFrame, keys=("date", "code")) -> DataFrame:
     """Keys that occur more than once; empty for a valid panel."""
     return df.groupBy(*keys).agg(F.count("*").alias("rows")).where("rows > 1")
 
-
-def assert_unique(df: DataFrame, keys=("date", "code")) -> DataFrame:
-    if duplicate_keys(df, keys).limit(1).count():
-        raise ValueError(f"duplicate keys on {tuple(keys)}")
-    return df

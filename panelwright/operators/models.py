@@ -86,16 +86,26 @@ def _moments(v: np.ndarray, k: int) -> dict:
             "gram": centred / np.outer(scale, scale), "xy": (sxy - mean * smy) / scale}
 
 
-def solve_groups(products: DataFrame, k: int, penalty: float = 1.0, cumulative: bool = True, min_rows: int = 1,
-                 full_rank: bool = False, per_row: bool = False) -> list[dict]:
-    """Solve ridge (or least squares) per group on the driver; groups and features are few."""
+def gather(products: DataFrame, k: int) -> dict[str, np.ndarray]:
+    """One vector of statistics per group; groups (years) and features are few."""
     by_group: dict = {}
     for row in products.collect():
         by_group.setdefault(row.grp, np.zeros(3 + 4 * k + 3 * k * k))[row.pos] = row.value
-    models, total = [], None
+    return by_group
+
+
+def solve_groups(by_group: dict[str, np.ndarray], k: int, penalty: float = 1.0, cumulative: bool = True, min_rows: int = 1,
+                 full_rank: bool = False, per_row: bool = False, days: dict[str, int] | None = None, min_days: int = 1) -> list[dict]:
+    """Solve ridge (or least squares) per group on the driver.
+
+    ``days`` holds the training dates that each group adds; a group with fewer
+    than ``min_days`` up to it gets no model, like one with too few rows.
+    """
+    models, total, seen = [], None, 0
     for g in sorted(by_group):
         total = by_group[g] if total is None or not cumulative else total + by_group[g]
-        if total[0] < min_rows:
+        seen = (days or {}).get(g, 0) + (seen if cumulative else 0)
+        if total[0] < min_rows or days is not None and seen < min_days:
             continue
         m = _moments(total, k)
         if full_rank and np.linalg.matrix_rank(m["gram"] / m["n"], tol=1e-10, hermitian=True) < k:
@@ -117,7 +127,26 @@ def model_table(spark, models: list[dict]) -> DataFrame:
 
 def fit_ridge(df: DataFrame, features, label: str, group: str, k: int, **options) -> DataFrame:
     """Model table: one row per fold (or group) with means, scales and coefficients."""
-    return model_table(df.sparkSession, solve_groups(cross_products(df, features, label, group), k, **options))
+    if "min_days" in options:  # a date belongs to one fold, so folds add up
+        dates = df.where(F.col(label).isNotNull() & F.col(group).isNotNull()).groupBy(F.col(group).cast("string").alias("g")).agg(F.count_distinct("date").alias("n"))
+        options["days"] = {r.g: r.n for r in dates.collect()}
+    return model_table(df.sparkSession, solve_groups(gather(cross_products(df, features, label, group), k), k, **options))
+
+
+def score_grid(df: DataFrame, grid: dict[float, list[dict]], features, key: Column, out: str) -> DataFrame:
+    """Predictions of every penalty's model in one pass: an array column in the order of the grid.
+
+    Rows stand beside one small table per key with all coefficients; NULL where a key has no model.
+    """
+    keys_ = sorted({m["grp"] for ms in grid.values() for m in ms})
+    at = {(lam, m["grp"]): m for lam, ms in grid.items() for m in ms}
+    rows = [(g, [[m["intercept"], *[c / s for c, s in zip(m["coef"], m["scale"])]] if (m := at.get((lam, g))) else None for lam in grid],
+             next(at[lam, g]["mean"] for lam in grid if (lam, g) in at)) for g in keys_]
+    models = df.sparkSession.createDataFrame(rows, "grp string, fits array<array<double>>, mean array<double>")
+    d = df.withColumn("grp", key.cast("string")).join(F.broadcast(models), "grp", "left")
+    x = F.array(*[F.coalesce(F.col(n), F.get("mean", F.lit(i))) - F.get("mean", F.lit(i)) for i, n in enumerate(features)])
+    one = lambda fit: F.aggregate(F.zip_with(F.slice(fit, 2, len(features)), x, lambda c, v: c * v), F.get(fit, F.lit(0)), lambda a, b: a + b)
+    return d.withColumn(out, F.transform("fits", one)).drop("grp", "fits", "mean")
 
 
 def score_linear(df: DataFrame, models: DataFrame, features, key: Column, out: str, require: bool = False) -> DataFrame:
@@ -189,10 +218,7 @@ def elastic_net(df: DataFrame, vector: str, label: str, strength: float, ratio:
     from pyspark.ml.regression import LinearRegression
 
     k = len(df.select(vector).first()[0])
-    v = np.zeros(3 + 4 * k + 3 * k * k)
-    for row in cross_products(df.withColumn("_g", F.lit("all")), vector, label, "_g").collect():
-        v[row.pos] = row.value
-    m = _moments(v, k)
+    m = _moments(gather(cross_products(df.withColumn("_g", F.lit("all")), vector, label, "_g"), k)["all"], k)
     alpha_max = float(np.max(np.abs(m["xy"])) / m["n"] / ratio)
     model = {"grp": "all", "rows": int(m["n"]), "intercept": float(m["y_mean"]), "mean": m["mean"].tolist(),
              "scale": m["scale"].tolist(), "coef": [0.0] * k, "alpha_max": alpha_max}
@@ -208,7 +234,11 @@ def elastic_net(df: DataFrame, vector: str, label: str, strength: float, ratio:
     return model
 
 
-def boosted_trees(train: DataFrame, features, label: str, seed: int = 20260908, rounds: int = 60, min_leaf: int = 500):
+#: Stands for a missing state in trees: below every centred rank or ratio, so a split can part it.
+MISSING = -1e6
+
+
+def boosted_trees(train: DataFrame, features, label: str, seed: int = 104729, rounds: int = 60, min_leaf: int = 500):
     """Shallow boosted trees; returns a transformer adding ``prediction``."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import VectorAssembler

@@ -12,43 +12,66 @@ from panelwright.operators.xsection import CrossSection
 HIGH_ALPHA, LOW_ALPHA = 0.25, 0.5
 
 
-def smooth_all(df: DataFrame, columns, alpha: float = 0.25, exact_tail: bool = False) -> DataFrame:
+def smooth_all(df: DataFrame, columns, alpha: float = 0.25) -> DataFrame:
     """Replace several raw scores by their smooths."""
     d = df
     for c in columns:
-        d = ts.ewma(d, c, alpha, f"_y_{c}", exact_tail=exact_tail).drop(c).withColumnRenamed(f"_y_{c}", c)
+        d = ts.ewma(d, c, alpha, f"_y_{c}").drop(c).withColumnRenamed(f"_y_{c}", c)
     return d
 
 
-def blend_family(m: str, short: str, mid: str, long: str, safe: str) -> dict[str, Column]:
-    """Raw momentum / high-proximity blends by trial name."""
-    m, p1, p2, p3, ps = (F.col(c) for c in (m, short, mid, long, safe))
-    return {
-        "H0": m, "P60": p2, "P250": p3, "C1": (m + p1) / 2, "C2": (m + p2) / 2, "C3": (m + p3) / 2,
-        "C3S": (m + ps) / 2, "C4": m + p2 / 4, "C5": m * (1 + p2 / 2), "C6": m / 2 + p2 / 4 + p3 / 4,
-    }
+# Weights of momentum, the proximities over the short, middle and long
+# range, the split-safe proximity, and momentum times middle proximity.
+BLENDS = {
+    "momentum": (1, 0, 0, 0, 0, 0),
+    "middle": (0, 0, 1, 0, 0, 0),
+    "long": (0, 0, 0, 1, 0, 0),
+    "even_short": (0.5, 0.5, 0, 0, 0, 0),
+    "even_middle": (0.5, 0, 0.5, 0, 0, 0),
+    "even_long": (0.5, 0, 0, 0.5, 0, 0),
+    "even_safe": (0.5, 0, 0, 0, 0.5, 0),
+    "tilt": (1, 0, 0.25, 0, 0, 0),
+    "product": (1, 0, 0, 0, 0, 0.5),
+    "three": (0.5, 0, 0.25, 0.25, 0, 0),
+}
 
 
-def breakout_toggles(m: str, high_rank: str, low_rank: str) -> dict[str, Column]:
-    """Momentum with breakout ranks mixed into its own side only."""
-    m, h, lo = F.col(m), F.col(high_rank), F.col(low_rank)
-    up = F.when((m > 0) & F.col("high_available"), clip(0.5 * m + 0.5 * h, lo=0))
-    down = F.when((m < 0) & F.col("low_available"), clip(0.5 * m - 0.5 * lo, hi=0))
-    return {"M00": m, "H10": F.coalesce(up, m), "L01": F.coalesce(down, m), "HL11": F.coalesce(up, down, m)}
+def blends(m: str, short: str, mid: str, long: str, safe: str) -> dict[str, Column]:
+    """Weighted sums of momentum and high proximities, one per row of ``BLENDS``."""
+    inputs = [F.col(m), F.col(short), F.col(mid), F.col(long), F.col(safe), F.col(m) * F.col(mid)]
+    total = lambda ws: sum((w * x for w, x in zip(ws, inputs) if w), F.lit(0.0))
+    return {name: total(ws) for name, ws in BLENDS.items()}
 
 
 def is_event(side: str) -> Column:
     return F.coalesce(F.col(f"{side}_available") & (F.col(f"new_{side}_excess") > 0), F.lit(False))
 
 
-def breakout_base(df: DataFrame, xs: CrossSection, m: str) -> DataFrame:
-    """Breakout percentile per side with optional momentum inside events (B00, M10, M01, M11)."""
-    d = xs.active_percentile(df, "new_high_excess", is_event("high"), "high_pct")
-    d = xs.active_percentile(d, "new_low_excess", is_event("low"), "low_pct")
-    h, lo = F.col("high_pct"), -F.col("low_pct")
-    hm = F.when(is_event("high"), clip(0.5 * h + 0.5 * F.col(m), lo=0)).otherwise(h)
-    lm = F.when(is_event("low"), clip(0.5 * lo + 0.5 * F.col(m), hi=0)).otherwise(lo)
-    return d.withColumns({"B00": h + lo, "M10": hm + lo, "M01": h + lm, "M11": hm + lm})
+def one_sided(first: Column, second: Column, side: str, when: Column) -> Column:
+    """Mean of two scores cut at zero to the side's sign where ``when`` holds, else NULL."""
+    mean = (first + second) / 2
+    return F.when(when, clip(mean, lo=0) if side == "high" else clip(mean, hi=0))
+
+
+def sided_momentum(m: str, high_rank: str, low_rank: str) -> dict[str, Column]:
+    """Momentum with a side's breakout rank mixed in where momentum points to that side."""
+    x = F.col(m)
+    high = one_sided(x, F.col(high_rank), "high", (x > 0) & F.col("high_available"))
+    low = one_sided(x, -F.col(low_rank), "low", (x < 0) & F.col("low_available"))
+    return {"high": F.coalesce(high, x), "low": F.coalesce(low, x), "both": F.coalesce(high, low, x)}
+
+
+def breakout_scores(df: DataFrame, xs: CrossSection, m: str) -> DataFrame:
+    """``breakout``: high less low percentile of today's breakouts; ``breakout_<side>``
+    with momentum mixed into that side's events."""
+    d, plain, mixed = df, {}, {}
+    for side, sign in (("high", 1), ("low", -1)):
+        d = xs.active_percentile(d, f"new_{side}_excess", is_event(side), f"{side}_pct")
+        plain[side] = sign * F.col(f"{side}_pct")
+        mixed[side] = F.coalesce(one_sided(plain[side], F.col(m), side, is_event(side)), plain[side])
+    return d.withColumns({
+        "breakout": plain["high"] + plain["low"], "breakout_high": mixed["high"] + plain["low"],
+        "breakout_low": plain["high"] + mixed["low"], "breakout_both": mixed["high"] + mixed["low"]})
 
 
 def contrarian_replacement(df: DataFrame, xs: CrossSection, strength: str, base: str) -> DataFrame:
@@ -98,8 +121,8 @@ def event_blend(base: str, event_rank: str, active: Column, share: float) -> Col
 def side_states(df: DataFrame, raw: str, high_alpha: float = HIGH_ALPHA, low_alpha: float = LOW_ALPHA) -> DataFrame:
     """Smooth the positive and the negative part of a signed event stream separately."""
     d = df.withColumns({"high_raw": clip(raw, lo=0), "low_raw": clip(raw, hi=0)})
-    d = ts.ewma(d, "high_raw", high_alpha, "high_state", exact_tail=True)
-    return ts.ewma(d, "low_raw", low_alpha, "low_state", exact_tail=True)
+    d = ts.ewma(d, "high_raw", high_alpha, "high_state")
+    return ts.ewma(d, "low_raw", low_alpha, "low_state")
 
 
 def side_separation(high="high_state", low="low_state") -> Column:
@@ -112,7 +135,7 @@ def low_without_carry(df: DataFrame, alpha: float = HIGH_ALPHA) -> DataFrame:
     """Smoothed highs plus the low's event-day share only."""
     first = ts.row_in_segment() == 1
     d = df.withColumn("_day", F.when(first, F.col("low_raw")).otherwise(alpha * F.col("low_raw")))
-    d = ts.ewma(d, "high_raw", alpha, "_h", exact_tail=True)
+    d = ts.ewma(d, "high_raw", alpha, "_h")
     return d.withColumn("no_carry", F.col("_h") + F.col("_day")).drop("_h", "_day")
 
 

@@ -102,21 +102,18 @@ def rolling_beta(y, x, window: int) -> Column:
     )
 
 
-def ewma(df: DataFrame, x: str, alpha: float, out: str, keys=("code", "seg"),
-         block: int = 64, exact_tail: bool = False) -> DataFrame:
+def ewma(df: DataFrame, x: str, alpha: float, out: str, keys=("code", "seg"), block: int = 64) -> DataFrame:
     """Exponential smoothing ``y0 = x0, y = a*x + (1-a)*y_prev`` without Python.
 
     The history is cut into blocks.  Inside a block the smooth is a running sum
-    of rescaled inputs; the state entering a block is a short geometric sum of
-    earlier block ends, taken until the weights fall below 1e-30.  With
-    ``exact_tail`` they are taken until a double underflows, so that a decayed
-    state is exactly zero only where the row-by-row recurrence is.
+    of rescaled inputs.  The state that enters a block folds the ends of all
+    earlier blocks by the same recurrence, so nothing is cut off: a decayed
+    state is zero only where the row-by-row recurrence is.
     """
     if alpha == 1.0:
         return df.withColumn(out, F.col(x))
     r = 1.0 - alpha
-    depth = 324 if exact_tail else 30
-    terms = max(1, math.ceil(depth * math.log(10) / (-block * math.log(r))))
+    block = max(1, min(block, int(200 * math.log(10) / -math.log(r))))  # rescaled inputs stay in range
     w = history(keys)
     d = df.withColumn("_i", F.row_number().over(w) - 1)
     d = d.withColumn("_b", F.floor(F.col("_i") / block)).withColumn("_o", F.col("_i") % block)
@@ -124,15 +121,12 @@ def ewma(df: DataFrame, x: str, alpha: float, out: str, keys=("code", "seg"),
     wb = Window.partitionBy(*keys, "_b").orderBy("date").rowsBetween(UNBOUNDED, 0)
     scaled = F.sum(z * F.pow(F.lit(r), -F.col("_o"))).over(wb)
     d = d.withColumn("_l", F.pow(F.lit(r), F.col("_o")) * scaled)
-    end = F.when(F.col("_o") == block - 1, F.col("_l"))
-    d = d.withColumn("_e", F.last(end, ignorenulls=True).over(w.rowsBetween(UNBOUNDED, -1)))
-    carry = F.lit(0.0)
-    for k in range(terms):
-        past = F.col("_e") if k == 0 else F.lag("_e", block * k).over(w)
-        carry = carry + (r ** (block * k)) * F.coalesce(past, F.lit(0.0))
-    d = d.withColumn("_c", carry)
-    y = F.col("_l") + F.pow(F.lit(r), F.col("_o") + 1) * F.col("_c")
-    return d.withColumn(out, y).drop("_i", "_b", "_o", "_l", "_e", "_c")
+    end = F.when(F.col("_o") == block - 1, F.coalesce("_l", F.lit(0.0)))
+    # one value per earlier block: a calendar of dates has few
+    d = d.withColumn("_e", F.collect_list(end).over(w.rowsBetween(UNBOUNDED, -1)))
+    carry = F.aggregate("_e", F.lit(0.0), lambda state, e: state * (r ** block) + e)
+    y = F.col("_l") + F.pow(F.lit(r), F.col("_o") + 1) * carry
+    return d.withColumn(out, y).drop("_i", "_b", "_o", "_l", "_e")
 
 
 def inverse_ewma(score, alpha: float, floor: float = 1e-12) -> Column:
@@ -185,32 +179,27 @@ def ewma_with_gaps(df: DataFrame, x: str, available: str, alpha: float, out: str
     """Smoothing that skips unavailable rows and is zero on them.
 
     After ``g`` skipped rows the old state has decayed ``g + 1`` times against a
-    new weight of ``alpha``; both are renormalised.  The recurrence has data
-    dependent coefficients, so each segment's history (at most one row per
-    calendar date) is walked inside an Arrow batch.
+    new weight of ``alpha``; both are renormalised.  The coefficients depend on
+    the gaps, so the available rows of a segment (at most one per calendar
+    date) are folded once, each step adding its state to the list of states,
+    and every row picks its own.
     """
-    import numpy as np
-
     decay = 1.0 - alpha
-
-    def walk(pdf):
-        pdf = pdf.sort_values("date", kind="stable")
-        ok, values = pdf["_ok"].to_numpy(), pdf["_x"].to_numpy()
-        result, state, gap = np.zeros(len(pdf)), None, 0
-        for i in np.flatnonzero(ok):
-            if state is None:
-                state = values[i]
-            else:
-                old = decay ** (i - gap)
-                state = (old * state + alpha * values[i]) / (old + alpha)
-            gap = i
-            result[i] = state
-        return pdf.assign(**{out: result}).drop(columns=["_ok", "_x"])
-
-    slim = df.select(*keys, "date", F.col(available).alias("_ok"), F.col(x).alias("_x"))
-    fields = [f for f in slim.schema.fields if f.name not in ("_ok", "_x")]
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
-    schema = StructType([*fields, StructField(out, DoubleType())])
-    smoothed = slim.groupBy(*keys).applyInPandas(walk, schema)
-    return df.join(smoothed, [*keys, "date"])
+    d = df.withColumn("_i", F.row_number().over(history(keys))).withColumn("_ok", F.coalesce(F.col(available), F.lit(False)))
+    d = d.withColumn("_k", F.sum(F.col("_ok").cast("int")).over(history(keys).rowsBetween(UNBOUNDED, 0)))
+    row = F.struct(F.col("_i").alias("i"), F.col(x).cast("double").alias("x"))
+    seen = F.collect_list(F.when(F.col("_ok"), row)).over(history(keys).rowsBetween(0, Window.unboundedFollowing))
+
+    def step(states, now):
+        before = F.get(states, F.size(states) - 1)
+        old = F.pow(F.lit(decay), now["i"] - before["i"])
+        y = F.when(F.size(states) == 0, now["x"]).otherwise((old * before["y"] + alpha * now["x"]) / (old + alpha))
+        return F.concat(states, F.array(F.struct(now["i"].alias("i"), y.alias("y"))))
+
+    empty = F.array().cast("array<struct<i:int,y:double>>")
+    # the fold is done on each segment's first row and handed on, not repeated per row
+    first = F.when(F.col("_i") == 1, F.aggregate("_seen", empty, step))
+    d = d.withColumn("_seen", seen).withColumn("_s", first).drop("_seen")
+    d = d.withColumn("_s", F.first("_s").over(history(keys).rowsBetween(UNBOUNDED, 0)))
+    y = F.when(F.col("_ok"), F.get("_s", F.col("_k").cast("int") - 1)["y"]).otherwise(0.0)
+    return d.withColumn(out, y).drop("_i", "_ok", "_k", "_s")

@@ -207,7 +207,7 @@ SELECT {r('quantile_cont(ds, 0.025)', 6)} AS d_sharpe_low, {r('quantile_cont(ds,
        {r('quantile_cont(da, 0.975)', 6)} AS d_annual_high, {r('avg(CASE WHEN ds > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)')} AS positive_fraction, count(*) AS reps FROM (
  SELECT rep, sqrt(252) * (avg(gross) / stddev_samp(gross) - avg(net) / stddev_samp(net)) AS ds, 252 * (avg(gross) - avg(net)) AS da
  FROM (SELECT p.rep, (p.start + o.off) % p.n AS i FROM (
-         SELECT rep, blk, n, CAST('0x' || substr(md5('20260908|' || rep || '|' || blk), 1, 8) AS BIGINT) % n AS start
+         SELECT rep, blk, n, CAST('0x' || substr(md5('104729|' || rep || '|' || blk), 1, 8) AS BIGINT) % n AS start
          FROM (SELECT unnest(range(1000)) AS rep), (SELECT count(*) AS n FROM daily), (SELECT unnest(range((SELECT CAST(ceil(count(*) / 20.0) AS BIGINT) FROM daily))) AS blk)) p,
        (SELECT unnest(range(20)) AS off) o WHERE p.blk * 20 + o.off < p.n) d
  JOIN (SELECT row_number() OVER (ORDER BY date) - 1 AS i, gross, net FROM daily) s USING (i) GROUP BY rep)"""))

@@ -35,23 +35,23 @@ def _cols(names, digits=8):
 
 def _held(spark, sf):
     """Event panel with the side score's own quintile, weight and weight change."""
-    d = cross_section(spark, sf).quintile(events(spark, sf).drop("q", "w", "dw"), "SN1", "q", "w")
+    d = cross_section(spark, sf).quintile(events(spark, sf).drop("q", "w", "dw"), "side_score", "q", "w")
     return d.withColumn("dw", P.weight_change("w"))
 
 
 _SQ = f"""sq0 AS (SELECT * EXCLUDE (q, w, dw), {quintile('sn')} AS q FROM en), sq1 AS (SELECT *, (q - 2) / n_day / 1.2::DOUBLE AS w FROM sq0),
 sq AS (SELECT *, coalesce(abs(w - lag(w) OVER (PARTITION BY code ORDER BY date)), abs(w)) AS dw FROM sq1)"""
-_AGES = [("high_event_day", "h0"), ("high_age_1_4", "h14"), ("high_age_5_plus", "h5"), ("low_event_day", "l0"), ("low_age_1_4", "l14"), ("low_age_5_plus", "l5")]
+_AGES = [("fresh_high", "h0"), ("young_high", "h14"), ("old_high", "h5"), ("fresh_low", "l0"), ("young_low", "l14"), ("old_low", "l5")]
 _FR = AGE.replace("FROM en)", "FROM sq)") + f""",
 fr0 AS (SELECT *, {', '.join(f"abs({r(c, 10)}) AS a_{n}" for n, c in _AGES)} FROM ag), fr1 AS (SELECT *, {' + '.join(f'a_{n}' for n, _ in _AGES)} AS tot FROM fr0),
 fr AS (SELECT *, {', '.join(f"CASE WHEN sn <> 0 AND tot > 0 THEN a_{n} / tot ELSE 0 END AS f_{n}" for n, _ in _AGES)},
-  CASE WHEN sn = 0 AND q IN (0, 4) THEN 1.0::DOUBLE ELSE 0 END AS f_zero_tail, CASE WHEN sn = 0 AND q NOT IN (0, 4) THEN 1.0::DOUBLE ELSE 0 END AS f_zero_middle,
-  CASE WHEN sn <> 0 AND tot = 0 THEN 1.0::DOUBLE ELSE 0 END AS f_other FROM fr1)"""
+  CASE WHEN sn = 0 AND q IN (0, 4) THEN 1.0::DOUBLE ELSE 0 END AS f_flat_outer, CASE WHEN sn = 0 AND q NOT IN (0, 4) THEN 1.0::DOUBLE ELSE 0 END AS f_flat_inner,
+  CASE WHEN sn <> 0 AND tot = 0 THEN 1.0::DOUBLE ELSE 0 END AS f_unexplained FROM fr1)"""
 _SRC = AT.SOURCES
 
 
 def _fractions(spark, sf):
-    return AT.source_fractions(AT.age_components(_held(spark, sf)), "SN1", "q")
+    return AT.source_shares(AT.parts_by_age(_held(spark, sf)), "side_score", "q")
 
 
 def _alloc_sql(source="fr"):
@@ -76,17 +76,17 @@ def _(spark, sf):
 
 @query("d_02_event_age_components", on_events(keyed_sql("ag", **{n: c for n, c in _AGES}), AGE))
 def _(spark, sf):
-    return keyed(AT.age_components(events(spark, sf)), **{n: n for n, _ in _AGES})
+    return keyed(AT.parts_by_age(events(spark, sf)), **{n: n for n, _ in _AGES})
 
 
 @query("d_03_source_fractions", on_events(keyed_sql("fr", 7, **{f"f_{s}": f"f_{s}" for s in _SRC}), _SQ, _FR))
 def _(spark, sf):
-    return keyed(_fractions(spark, sf), 7, **{f"f_{s}": f"f_{s}" for s in _SRC})
+    return keyed(_fractions(spark, sf), 7, **{f"f_{s}": AT.share(s) for s in _SRC})
 
 
 @query("d_04_turnover_allocation", on_events(f"SELECT {D}, side, source, {r('turnover', 7)} AS turnover FROM sd", _SQ, _FR, _alloc_sql()))
 def _(spark, sf):
-    d = AT.source_daily(AT.source_turnover(_fractions(spark, sf)))
+    d = AT.source_daily(_fractions(spark, sf))
     return d.select(day_text().alias("date"), "side", "source", rounded("turnover", 7).alias("turnover"))
 
 
@@ -98,13 +98,13 @@ _SUMCOLS = ["annual_gross", "annual_cost", "annual_net"]
 
 @query("d_05_source_attribution", on_events("SELECT " + _SUM.replace("{year}", "").replace("{part}", "") + " FROM sd GROUP BY side, source", _SQ, _FR, _alloc_sql()))
 def _(spark, sf):
-    s = AT.source_summary(AT.source_daily(AT.source_turnover(_fractions(spark, sf))))
+    s = AT.source_summary(AT.source_daily(_fractions(spark, sf)))
     return s.select("side", "source", *_cols(_SUMCOLS, 5), rounded("stock_days", 4).alias("stock_days"), *_cols(["turnover_share", "weight_share"], 6))
 
 
 @query("d_05_yearly_attribution", on_events("SELECT " + _SUM.replace("{year}", f"{YEAR} AS year,").replace("{part}", "year(date),") + " FROM sd GROUP BY year(date), side, source", _SQ, _FR, _alloc_sql()))
 def _(spark, sf):
-    daily = AT.source_daily(AT.source_turnover(_fractions(spark, sf))).withColumn("year", F.year("date").cast("long"))
+    daily = AT.source_daily(_fractions(spark, sf)).withColumn("year", F.year("date").cast("long"))
     s = AT.source_summary(daily, ["year"])
     return s.select("year", "side", "source", *_cols(_SUMCOLS, 5), rounded("stock_days", 4).alias("stock_days"), *_cols(["turnover_share", "weight_share"], 6))
 
@@ -118,7 +118,7 @@ SELECT source, {r('sum(g) / (SELECT count(*) FROM cal) * 252', 5)} AS annual_gro
 def _(spark, sf):
     xs = cross_section(spark, sf)
     d = P.holding_split(_fractions(spark, sf), xs, 0.5)
-    d = agg.unpivot(d.select("date", "code", "w", "night_part", *[F.col(f"f_{s}").alias(s) for s in _SRC]), ["date", "code", "w", "night_part"], _SRC, "source", "fs")
+    d = agg.unpivot(d.select("date", "code", "w", "night_part", *[AT.share(s).alias(s) for s in _SRC]), ["date", "code", "w", "night_part"], _SRC, "source", "fs")
     short = F.least(F.col("w"), F.lit(0.0))
     return d.groupBy("source").agg(
         rounded(F.sum(short * F.col("night_part") * F.col("fs")) / scale_of(spark, sf).dates * 252, 5).alias("annual_gross"),
@@ -144,7 +144,7 @@ def _(spark, sf):
 SELECT {D}, q, sector33, count(*) AS stock_days, count(*) FILTER (WHERE sn = 0) AS zero_days, {r('sum(abs(w)) / sum(sum(abs(w))) OVER (PARTITION BY date, q)')} AS weight_share
 FROM sq WHERE q IN (0, 4) GROUP BY date, q, sector33""", _SQ))
 def _(spark, sf):
-    d = DG.tail_composition(_held(spark, sf), "sector33", "q", "w", "SN1")
+    d = DG.tail_composition(_held(spark, sf), "sector33", "q", "w", "side_score")
     return d.select(day_text().alias("date"), "q", "sector33", "stock_days", "zero_days", rounded("weight_share").alias("weight_share"))
 
 
@@ -154,7 +154,7 @@ SELECT sector33, CAST(sum(p) AS BIGINT) AS pool_days, CAST(sum(t) AS BIGINT) AS
  SELECT date, sector33, p, t, sum(p) OVER (PARTITION BY date) AS pt, sum(t) OVER (PARTITION BY date) AS tt FROM (
   SELECT date, sector33, count(*) AS p, count(*) FILTER (WHERE q = 4) AS t FROM sq WHERE sn = 0 GROUP BY 1, 2)) WHERE tt > 0) GROUP BY sector33""", _SQ))
 def _(spark, sf):
-    d = DG.zero_bias(_held(spark, sf), "sector33", "q", "w", "SN1", 4)
+    d = DG.zero_bias(_held(spark, sf), "sector33", "q", "w", "side_score", 4)
     return d.select("sector33", "pool_days", "tail_days", *_cols(["pool_share", "tail_share"]))
 
 
@@ -162,11 +162,9 @@ def _(spark, sf):
 SELECT q, primary_source, count(*) AS stock_days, {r('avg(sn)')} AS mean_score, {r('avg(w)')} AS mean_weight, {r('avg(target)', 6)} AS mean_target FROM (
  SELECT *, CASE {' '.join(f"WHEN f_{s} = greatest({', '.join('f_' + x for x in _SRC)}) THEN '{s}'" for s in _SRC)} END AS primary_source FROM fr WHERE w < 0) GROUP BY q, primary_source""", _SQ, _FR))
 def _(spark, sf):
-    from panelwright.functions.scalar import first_argmax
-
     d = _fractions(spark, sf).where("w < 0")
-    d = d.withColumn("primary_source", first_argmax(_SRC, [f"f_{s}" for s in _SRC]))
-    return d.groupBy("q", "primary_source").agg(F.count("*").alias("stock_days"), rounded(F.avg("SN1")).alias("mean_score"),
+    d = d.withColumn("primary_source", F.element_at(F.array(*map(F.lit, _SRC)), F.array_position("shares", F.array_max("shares")).cast("int")))
+    return d.groupBy("q", "primary_source").agg(F.count("*").alias("stock_days"), rounded(F.avg("side_score")).alias("mean_score"),
                                                 rounded(F.avg("w")).alias("mean_weight"), rounded(F.avg("target"), 6).alias("mean_target"))
 
 
@@ -185,7 +183,7 @@ def _(spark, sf):
     source = F.when(F.col("low_state") < 0, "low_state").when(F.col("high_state") > 0, "high_state").otherwise("fallback")
     split = F.when(F.col("date") < F.lit("1999-01-01").cast("date"), "train").otherwise("later")
     return keyed(_held(spark, sf), keep=[split.alias("split"), source.alias("source"), F.col("high_age").cast("long").alias("high_age"),
-                                         F.col("low_age").cast("long").alias("low_age"), "q", "sector17", "size_band"], score="SN1")
+                                         F.col("low_age").cast("long").alias("low_age"), "q", "sector17", "size_band"], score="side_score")
 
 
 _ORI = f"""oe AS (SELECT *, max(CASE WHEN lr < 0 THEN date END) OVER ({W}) AS ldate, max(CASE WHEN hr > 0 THEN date END) OVER ({W}) AS hdate, row_number() OVER ({W}) AS rn FROM en),
@@ -243,7 +241,7 @@ _TWOQ = f"""tq0 AS (SELECT *, {quintile('dsc')} AS qb FROM sq), tq AS (SELECT *,
 
 
 def _two(spark, sf):
-    return cross_section(spark, sf).quintile(_held(spark, sf), "D", "qb", "wb").where("q is not null")
+    return cross_section(spark, sf).quintile(_held(spark, sf), "sum_score", "qb", "wb").where("q is not null")
 
 
 @query("d_16_assignment_difference", on_events(f"""
@@ -298,8 +296,8 @@ SELECT {r('corr(raw, sn)')} AS raw_score, {r('corr(raw, w)')} AS raw_weight, {r(
 def _(spark, sf):
     d = _two(spark, sf).where("raw <> 0")
     gap = F.abs(F.col("w") - F.col("wb"))
-    return d.agg(rounded(agg.correlation("raw", "SN1")).alias("raw_score"), rounded(agg.correlation("raw", "w")).alias("raw_weight"),
-                 rounded(agg.correlation("SN1", "w")).alias("score_weight"), rounded(F.avg(gap)).alias("mean_change"), rounded(F.max(gap)).alias("max_change"))
+    return d.agg(rounded(agg.correlation("raw", "side_score")).alias("raw_score"), rounded(agg.correlation("raw", "w")).alias("raw_weight"),
+                 rounded(agg.correlation("side_score", "w")).alias("score_weight"), rounded(F.avg(gap)).alias("mean_change"), rounded(F.max(gap)).alias("max_change"))
 
 
 @query("d_22_risk_exposure", on_scored(f"""
@@ -323,7 +321,7 @@ def _(spark, sf):
     xs, base, out = cross_section(spark, sf), events(spark, sf).drop("q", "w", "dw"), None
     orders = {"code": ("code",), "reverse": (F.col("code").desc(),), "hash": (ct.keyed_order("code", seed=3), "code")}
     for name, tie in orders.items():
-        d = xs.quintile(base, "SN1", tie=tie).withColumn("dw", P.weight_change("w"))
+        d = xs.quintile(base, "side_score", tie=tie).withColumn("dw", P.weight_change("w"))
         daily = d.groupBy("date").agg(P.zero(F.sum(F.col("w") * F.col("target"))).alias("gross"), P.zero(F.sum("dw")).alias("turnover"))
         daily = daily.withColumn("tie", F.lit(name))
         out = daily if out is None else out.unionByName(daily)
@@ -388,21 +386,32 @@ def _(spark, sf):
 SELECT {D}, {r(scorr('a', 'b'))} AS rho FROM (SELECT date, row_number() OVER (PARTITION BY date ORDER BY code) AS a, {avg_rank('q', 'date')} AS b FROM sq WHERE sn = 0 AND q IS NOT NULL)
 GROUP BY date HAVING count(*) >= 3 AND {scorr('a', 'b')} IS NOT NULL""", _SQ))
 def _(spark, sf):
-    d = DG.zero_order_relation(_held(spark, sf).where("q is not null"), "SN1", "q", cross_section(spark, sf))
+    d = DG.zero_order_relation(_held(spark, sf).where("q is not null"), "side_score", "q", cross_section(spark, sf))
     return d.select(day_text().alias("date"), rounded("rho").alias("rho"))
 
 
 @query("d_29_event_trace")
 def _(spark, sf):
-    """Oriented inputs, prediction, percentile and signed score of every high event."""
-    xs = cross_section(spark, sf)
-    d = X.directional(FP.event_panel(spark, sf), "high").where("event")
+    """Inputs, prediction, percentile and signed score of every event on both sides.
+
+    A side's model of a year is fitted on labels known before the year, and is
+    oriented like its inputs; years without one have no prediction.
+    """
+    return _event_trace(FP.event_panel(spark, sf), cross_section(spark, sf), scale_of(spark, sf))
+
+
+def _event_trace(panel_, xs, scale):
     names = ["o_duration", "o_width", "o_position", "o_strength", "o_distance"]
-    d = xs.centered_rank(d, "target", "y", missing=None).withColumn("grp0", F.lit("all"))
-    models = M.fit_ridge(d, names, "y", "grp0", len(names))
-    d = M.score_linear(d, models, names, F.col("grp0"), "prediction")
-    d = xs.active_percentile(d, "prediction", F.col("event"), "signed")
-    return keyed(d, 6, **{c: c for c in [*names, "prediction", "signed"]})
+    base = M.with_fold(xs.centered_rank(panel_, "target", "y", missing=None), scale)
+    out = None
+    for side, sign in (("high", 1), ("low", -1)):
+        d = X.directional(base, side).where("event").withColumn("y", sign * F.col("y"))
+        models = M.fit_ridge(d, names, "y", "fold", len(names), min_rows=60)
+        d = M.score_linear(d, models, names, F.col("year"), "prediction")
+        d = xs.active_percentile(d, "prediction", F.col("prediction").isNotNull(), "signed").withColumn("signed", sign * F.col("signed"))
+        d = d.withColumn("side", F.lit(side))
+        out = d if out is None else out.unionByName(d)
+    return keyed(out, 6, keep=["side"], **{c: c for c in [*names, "prediction", "signed"]})
 
 
 @query("d_30_event_forward", on_events(f"""

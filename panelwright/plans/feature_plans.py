@@ -557,15 +557,14 @@ def _(spark, sf):
 SELECT p.code, {r('p.close / (e.equity / e.shares)', 8)} AS pbr, {r('p.close / (e.profit / e.shares)', 8)} AS per
 FROM (SELECT * FROM pan WHERE date = (SELECT max(date) FROM pan)) p JOIN (SELECT code, arg_max(equity, (disclosed, number)) FILTER (WHERE equity IS NOT NULL) AS equity,
   arg_max(shares, (disclosed, number)) FILTER (WHERE shares IS NOT NULL) AS shares, arg_max(profit, (disclosed, number)) AS profit FROM fins GROUP BY code) e USING (code)
-WHERE e.profit > 0 ORDER BY pbr, code LIMIT 10""", FINS_CTES))
+WHERE e.profit > 0""", FINS_CTES))
 def _(spark, sf):
     from panelwright.sources.io import latest_snapshot
 
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("disclosed", "number"))).alias(c)
     e = disclosures(spark, sf).groupBy("code").agg(last("equity"), last("shares"), last("profit")).where("profit > 0")
     d = latest_snapshot(panel(spark, sf).select("date", "code", "close")).join(e, "code")
-    d = d.select("code", rounded(ratio("close", ratio("equity", "shares"))).alias("pbr"), rounded(ratio("close", ratio("profit", "shares"))).alias("per"))
-    return d.orderBy("pbr", "code").limit(10)
+    return d.select("code", rounded(ratio("close", ratio("equity", "shares"))).alias("pbr"), rounded(ratio("close", ratio("profit", "shares"))).alias("per"))
 
 
 @query("f_47_growth_series", on_panel(f"""

@@ -126,17 +126,18 @@ def _(spark, sf):
 @query("io_11_content_manifest", """
 SELECT o_orderstatus AS part, count(*) AS rows,
   CAST(sum(CAST('0x' || substr(md5(concat_ws('|', CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR),
-      strftime(o_orderdate, '%Y-%m-%d'), o_orderpriority)), 1, 8) AS BIGINT)) AS BIGINT) AS digest, true AS matches
+      strftime(o_orderdate, '%Y-%m-%d'), o_orderpriority, CAST(CAST(round(o_totalprice * 100) AS BIGINT) AS VARCHAR))), 1, 8) AS BIGINT)) AS BIGINT) AS digest, true AS matches
 FROM orders GROUP BY 1""")
 def _(spark, sf):
     o = table(spark, sf, "orders").select(
         F.col("o_orderstatus").alias("part"), F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"),
-        day_text("o_orderdate").alias("day"), "o_orderpriority")
-    cols = ["o_orderkey", "o_custkey", "day", "o_orderpriority"]
-    actual = io.content_digest(o, cols, ["part"])
-    # The manifest is recorded from rows that passed through a random shuffle.
-    recorded = io.content_digest(o.repartition(16), cols, ["part"])
-    return io.check_manifest(actual, recorded, "part").select("part", "rows", "digest", "matches")
+        day_text("o_orderdate").alias("day"), "o_orderpriority", F.round(F.col("o_totalprice") * 100).cast("long").cast("string").alias("cents"))
+    cols = ["o_orderkey", "o_custkey", "day", "o_orderpriority", "cents"]
+    # the manifest is stored, and read again when the rows are checked against it
+    stored = io.shared_folder(spark)
+    io.write_json(io.content_digest(o.repartition(16), cols, ["part"]), stored)
+    recorded = io.read_json(spark, stored, "part string, rows long, digest long")
+    return io.check_manifest(io.content_digest(o, cols, ["part"]), recorded, "part").select("part", "rows", "digest", "matches")
 
 
 @query("io_12_guarded_read")

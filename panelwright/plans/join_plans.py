@@ -12,10 +12,6 @@ from panelwright.plans.registry import query
 from panelwright.plans.sql import ATTR_CTES, FINS_CTES, MACRO_CTES, day, on_panel, quintile, r
 from panelwright.sources.panels import (cross_section, disclosures, macro_series, panel, scale_of, with_attributes)
 
-_ASOF = """LEFT JOIN LATERAL (SELECT * FROM {src} f WHERE f.code = p.code AND f.disclosed {op} p.date
- ORDER BY f.disclosed DESC, f.number DESC LIMIT 1) f ON true"""
-
-
 def _asof_sql(op, out):
     return on_panel(f"""
 SELECT {day('p.date')} AS date, p.code, {out}

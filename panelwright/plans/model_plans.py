@@ -38,14 +38,17 @@ def _vectors(spark, sf):
 
 
 def _impact(spark, sf):
-    """Observed and expected |residual|: yearly expanding ridge on every fifth date."""
+    """Observed and expected |residual|: yearly expanding ridge on all mature complete dates.
+
+    Years with fewer than 126 training dates keep the historical mean.
+    """
     d = M.with_fold(X.impact_inputs(with_attributes(panel(spark, sf), spark, sf), 20, 5), scale_of(spark, sf), horizon=-1)
     complete = F.lit(True)
     for c in X.IMPACT_INPUTS:
         complete = complete & F.col(c).isNotNull()
-    train = sel.every_kth_date(d.where(complete & F.col("observed").isNotNull()), 5)
+    train = d.where(complete & F.col("observed").isNotNull())
     train = train.withColumn("_ly", F.log(F.greatest(F.col("observed"), F.lit(1e-6))))
-    models = M.fit_ridge(train, X.IMPACT_INPUTS, "_ly", "fold", len(X.IMPACT_INPUTS))
+    models = M.fit_ridge(train, X.IMPACT_INPUTS, "_ly", "fold", len(X.IMPACT_INPUTS), min_days=126)
     d = M.score_linear(d, models, X.IMPACT_INPUTS, F.year("date"), "_p")
     return d.withColumn("expected", F.coalesce(F.exp(clip("_p", -14, 0)), F.col("historical"))).drop("_p")
 
@@ -172,10 +175,13 @@ def _(spark, sf):
 
 @query("m_05_boosted_trees")
 def _(spark, sf):
-    d = _state_panel(spark, sf).where("y is not null")
-    complete = d.where(" and ".join(f"{c} is not null" for c in STATE))
-    model = M.boosted_trees(sel.mature_rows(complete, "2000-01-01"), STATE, "y", min_leaf=500)
-    p = model.transform(complete.where("year >= 2000"))
+    """One model a year on all labels mature by then; missing states are a value below all others."""
+    d = _state_panel(spark, sf).where("y is not null").fillna(M.MISSING, STATE)
+    p = None
+    for year in range(2000, 1 + int(d.agg(F.max("year")).first()[0] or 0)):  # one fit per year of the calendar
+        model = M.boosted_trees(sel.mature_rows(d, f"{year}-01-01"), STATE, "y", min_leaf=500)
+        one = model.transform(d.where(F.col("year") == year))
+        p = one if p is None else p.unionByName(one)
     ic = E.rank_ic(p, "prediction", "y", cross_section(spark, sf))
     return ic.select(day_text().alias("date"), rounded("rankic", 6).alias("rankic"))
 
@@ -221,14 +227,11 @@ def _(spark, sf):
 def _(spark, sf):
     """Chronological validation of several penalties from one set of cross-products."""
     d = _state_panel(spark, sf)
-    products = M.cross_products(d, STATE, "y", "fold").persist()
-    scores = None
-    for lam in (0.1, 1.0, 10.0, 1000.0):
-        models = M.model_table(spark, M.solve_groups(products, len(STATE), lam, min_rows=500))
-        p = M.score_linear(d, models, STATE, F.col("year"), "p").where("p is not null and y is not null")
-        one = p.groupBy("year").agg(F.avg((F.col("p") - F.col("y")) ** 2).alias("mse"), F.count("*").alias("n")).withColumn("penalty", F.lit(lam))
-        scores = one if scores is None else scores.unionByName(one)
-    return scores.groupBy("penalty").agg(rounded(agg.weighted_mean("mse", "n"), 8).alias("mse"), F.sum("n").alias("rows"))
+    stats = M.gather(M.cross_products(d, STATE, "y", "fold"), len(STATE))
+    grid = {lam: M.solve_groups(stats, len(STATE), lam, min_rows=500) for lam in (0.1, 1.0, 10.0, 1000.0)}
+    p = M.score_grid(d.where("y is not null"), grid, STATE, F.col("year"), "p").where("p is not null")
+    p = p.select("y", F.inline(F.arrays_zip(F.array(*map(F.lit, grid)).alias("penalty"), "p"))).where("p is not null")
+    return p.groupBy("penalty").agg(rounded(F.avg((F.col("p") - F.col("y")) ** 2), 8).alias("mse"), F.count(F.lit(1)).alias("rows"))
 
 
 _M12 = """mm AS (SELECT year(date) AS y, avg(mom_sum) AS m1, stddev_pop(mom_sum) AS s1, avg(volume) AS m2, stddev_pop(volume) AS s2 FROM sc GROUP BY 1)"""

@@ -6,7 +6,7 @@ from panelwright.functions.scalar import ratio
 from panelwright.operators import features as X
 from panelwright.operators import signals as G
 from panelwright.operators import timeseries as ts
-from panelwright.operators.attribution import age_components
+from panelwright.operators.attribution import PARTS, parts_by_age
 from panelwright.plans import feature_plans as FP
 from panelwright.plans.common import KS, keyed, keyed_sql
 from panelwright.plans.registry import query
@@ -22,7 +22,8 @@ def _(spark, sf):
     return keyed(scored(spark, sf), score="score")
 
 
-_G2 = {"P60": "p60", "C1": "(mom + p20) / 2", "C3S": "(mom + ps) / 2", "C5": "mom * (1 + p60 / 2)", "C6": "mom / 2 + p60 / 4 + p250 / 4"}
+_G2 = {"momentum": "mom", "middle": "p60", "long": "p250", "even_short": "(mom + p20) / 2", "even_middle": "(mom + p60) / 2", "even_long": "(mom + p250) / 2",
+       "even_safe": "(mom + ps) / 2", "tilt": "mom + p60 / 4", "product": "mom * (1 + p60 / 2)", "three": "mom / 2 + p60 / 4 + p250 / 4"}
 _PROX = f"""g1 AS (SELECT *, product(factor) OVER ({W} ROWS UNBOUNDED PRECEDING) AS cf FROM sc),
 g2 AS (SELECT *, high / cf AS sh, close / cf AS scl FROM g1),
 g3 AS (SELECT *, close / ({_roll('max({x})', 'high', 20)}) AS a, close / ({_roll('max({x})', 'high', 60)}) AS b, close / ({_roll('max({x})', 'high', 104, 52)}) AS c, scl / ({_roll('max({x})', 'sh', 104)}) AS s FROM g2),
@@ -37,33 +38,32 @@ def _(spark, sf):
     d = X.high_proximity(d, {"ps": (104, 104)}, "s_close", "s_high")
     for c in ("p20", "p60", "p250", "ps"):
         d = xs.centered_rank(d, c, f"{c}_r")
-    trials = G.blend_family("mom", "p20_r", "p60_r", "p250_r", "ps_r")
+    trials = G.blends("mom", "p20_r", "p60_r", "p250_r", "ps_r")
     d = d.withColumns({f"t_{k}": trials[k] for k in _G2})
     d = G.smooth_all(d, [f"t_{k}" for k in _G2])
     d = d.unpivot(["date", "code"], [f"t_{k}" for k in _G2], "trial", "score")
-    return keyed(d.withColumn("trial", F.substring("trial", 3, 10)), keep=["trial"], score="score")
+    return keyed(d.withColumn("trial", F.substring("trial", 3, 20)), keep=["trial"], score="score")
 
 
-_TOG = f"""t1 AS (SELECT *, ph IS NOT NULL AS ha, pl IS NOT NULL AS la, {CR('CASE WHEN ph IS NOT NULL THEN greatest(scl / ph - 1, 0) END')} AS hk, 0 AS z FROM en)"""
 _TOG = f"""t0 AS (SELECT *, ph IS NOT NULL AS ha, pl IS NOT NULL AS la, CASE WHEN ph IS NOT NULL THEN greatest(scl / ph - 1, 0) END AS hxx, CASE WHEN pl IS NOT NULL THEN greatest(pl / scl - 1, 0) END AS lxx FROM en),
 t1 AS (SELECT *, {CR('hxx')} AS hk, {CR('lxx')} AS lk FROM t0),
 t2 AS (SELECT *, CASE WHEN mom > 0 AND ha THEN greatest(0.5 * mom + 0.5 * hk, 0) ELSE mom END AS h10, CASE WHEN mom < 0 AND la THEN least(0.5 * mom - 0.5 * lk, 0) ELSE mom END AS l01,
   CASE WHEN mom > 0 AND ha THEN greatest(0.5 * mom + 0.5 * hk, 0) WHEN mom < 0 AND la THEN least(0.5 * mom - 0.5 * lk, 0) ELSE mom END AS hl11 FROM t1)"""
 
 
-@query("g_03_breakout_toggles", on_events(keyed_sql("t2", h10="h10", l01="l01", hl11="hl11"), _TOG))
+@query("g_03_breakout_toggles", on_events(keyed_sql("t2", high_side="h10", low_side="l01", both_sides="hl11"), _TOG))
 def _(spark, sf):
     xs, d = cross_section(spark, sf), events(spark, sf)
     d = xs.centered_rank(xs.centered_rank(d, "new_high_excess", "hk"), "new_low_excess", "lk")
-    t = G.breakout_toggles("mom", "hk", "lk")
-    return keyed(d, h10=t["H10"], l01=t["L01"], hl11=t["HL11"])
+    t = G.sided_momentum("mom", "hk", "lk")
+    return keyed(d, high_side=t["high"], low_side=t["low"], both_sides=t["both"])
 
 
-@query("g_04_breakout_base", on_events(keyed_sql("en", b00="hp - lp",
-    m10="CASE WHEN he THEN greatest(0.5 * hp + 0.5 * mom, 0) ELSE hp END - lp", m01="hp + CASE WHEN le THEN least(-0.5 * lp + 0.5 * mom, 0) ELSE -lp END",
-    m11="CASE WHEN he THEN greatest(0.5 * hp + 0.5 * mom, 0) ELSE hp END + CASE WHEN le THEN least(-0.5 * lp + 0.5 * mom, 0) ELSE -lp END")))
+@query("g_04_breakout_base", on_events(keyed_sql("en", plain="hp - lp",
+    high_side="CASE WHEN he THEN greatest(0.5 * hp + 0.5 * mom, 0) ELSE hp END - lp", low_side="hp + CASE WHEN le THEN least(-0.5 * lp + 0.5 * mom, 0) ELSE -lp END",
+    both_sides="CASE WHEN he THEN greatest(0.5 * hp + 0.5 * mom, 0) ELSE hp END + CASE WHEN le THEN least(-0.5 * lp + 0.5 * mom, 0) ELSE -lp END")))
 def _(spark, sf):
-    return keyed(events(spark, sf), b00="B00", m10="M10", m01="M01", m11="M11")
+    return keyed(events(spark, sf), plain="breakout", high_side="breakout_high", low_side="breakout_low", both_sides="breakout_both")
 
 
 _NH = f"""nh0 AS (SELECT *, CASE WHEN he THEN -mom END AS c FROM en),
@@ -74,7 +74,7 @@ nh AS (SELECT *, {pct_rank('c')} AS er FROM nh0), nh2 AS (SELECT *, CASE WHEN he
 SELECT n.d AS date, n.c AS code, {r('n.er')} AS event_rank, {r('n.comb')} AS combined, {r('y.y')} AS score FROM (SELECT {day()} AS d, code AS c, date AS dd, er, comb FROM nh2) n
 JOIN {ewma('comb', 0.25, 'nh2')} y ON y.date = n.dd AND y.code = n.c""", _NH))
 def _(spark, sf):
-    d = G.contrarian_replacement(events(spark, sf), cross_section(spark, sf), "mom", "B00")
+    d = G.contrarian_replacement(events(spark, sf), cross_section(spark, sf), "mom", "breakout")
     d = ts.ewma(d, "combined", 0.25, "y")
     return keyed(d, event_rank="event_rank", combined="combined", score="y")
 
@@ -86,7 +86,6 @@ def _(spark, sf):
     return keyed(ts.ewma(d, "ch", 0.25, "y"), score="y", absolute=F.abs("y"))
 
 
-_STITCH = f"""w1 AS (SELECT s.*, {r('(f.D + f.W + f.F) / 3', 10)} AS fd, {r(pct_rank('CASE WHEN s.mom_sum IS NOT NULL THEN -s.mom END', 's.date').replace('count(CASE', 'count(CASE'), 10)} AS x FROM sc s JOIN dwf f ON f.date = s.date AND f.code = s.code)"""
 _STITCH = f"""w0 AS (SELECT s.*, {r('(f.D + f.W + f.F) / 3', 10)} AS fd, CASE WHEN s.mom_sum IS NOT NULL THEN -s.mom END AS nm FROM sc s JOIN dwf f ON f.date = s.date AND f.code = s.code),
 w1 AS (SELECT *, {r(f"fd * coalesce({pct_rank('nm')}, 0)", 10)} AS risk2, CASE WHEN mom_sum IS NOT NULL AND {pct_rank('mom_sum')} <= 0.2 THEN 1 ELSE 0 END AS crash,
   row_number() OVER (PARTITION BY date ORDER BY score, code) AS rl, count(*) OVER (PARTITION BY date) AS n FROM w0),
@@ -127,20 +126,20 @@ def _(spark, sf):
 
 @query("g_12_event_blend", on_events(keyed_sql("nh", half="CASE WHEN he THEN 0.5 * (hp - lp) + 0.5 * (0.5 + 0.5 * er) ELSE hp - lp END", full="CASE WHEN he THEN 0.5 + 0.5 * er ELSE hp - lp END"), _NH.split(", nh2")[0]))
 def _(spark, sf):
-    d = G.contrarian_replacement(events(spark, sf), cross_section(spark, sf), "mom", "B00")
+    d = G.contrarian_replacement(events(spark, sf), cross_section(spark, sf), "mom", "breakout")
     d = d.withColumn("er", 0.5 + 0.5 * F.col("event_rank"))
-    return keyed(d, half=G.event_blend("B00", "er", G.is_event("high"), 0.5), full=G.event_blend("B00", "er", G.is_event("high"), 1.0))
+    return keyed(d, half=G.event_blend("breakout", "er", G.is_event("high"), 0.5), full=G.event_blend("breakout", "er", G.is_event("high"), 1.0))
 
 
 @query("g_13_side_separation", on_events(keyed_sql("en", high_state="hs", low_state="ls", d_score="dsc", side_score="sn")))
 def _(spark, sf):
-    return keyed(events(spark, sf), high_state="high_state", low_state="low_state", d_score="D", side_score="SN1")
+    return keyed(events(spark, sf), high_state="high_state", low_state="low_state", d_score="sum_score", side_score="side_score")
 
 
 @query("g_13_rebuild_from_base", on_events(f"SELECT {day('n.date')} AS date, n.code, {r('CASE WHEN n.ls < 0 THEN n.ls WHEN n.ls = 0 AND n.hs > 0 THEN n.hs ELSE n.hs + n.ls END')} AS score FROM en n"))
 def _(spark, sf):
     """Recover the event stream from the stored smooth, then rebuild the side score."""
-    d = ts.ewma(events(spark, sf).select("date", "code", "seg", "ord", "raw"), "raw", 0.25, "base", exact_tail=True)
+    d = ts.ewma(events(spark, sf).select("date", "code", "seg", "ord", "raw"), "raw", 0.25, "base")
     d = d.withColumn("raw2", ts.inverse_ewma("base", 0.25))
     return keyed(G.side_states(d, "raw2"), score=G.side_separation())
 
@@ -161,11 +160,10 @@ ag AS (SELECT *, hs - h0 - h14 AS h5, ls - l0 - l14 AS l5 FROM ag1)""".format(
 SELECT {KS}, row_number() OVER (PARTITION BY date ORDER BY veto, dsc, code) AS score FROM (
  SELECT *, r5 > greatest(abs(round(h0, 10)), abs(round(h14, 10)), abs(round(l0, 10)), abs(round(l14, 10)), abs(round(l5, 10))) AS veto FROM (SELECT *, abs(round(h5, 10)) AS r5 FROM ag))""", AGE))
 def _(spark, sf):
-    d = age_components(events(spark, sf))
-    names = ["high_event_day", "high_age_1_4", "high_age_5_plus", "low_event_day", "low_age_1_4", "low_age_5_plus"]
-    a = {n: F.abs(F.round(n, 10)) for n in names}
-    veto = a["high_age_5_plus"] > F.greatest(*[a[n] for n in names if n != "high_age_5_plus"])
-    d = cross_section(spark, sf).position(d.withColumn("veto", veto), ["veto", "D", "code"], "score")
+    d = parts_by_age(events(spark, sf))
+    size = lambda part: F.abs(F.round(part, 10))
+    veto = size("old_high") > F.greatest(*[size(p) for p in PARTS if p != "old_high"])
+    d = cross_section(spark, sf).position(d.withColumn("veto", veto), ["veto", "sum_score", "code"], "score")
     return keyed(d, keep=[F.col("score").cast("long").alias("score")])
 
 

@@ -20,10 +20,6 @@ def read_table(spark: SparkSession, folder: str, name: str, columns=None, allow=
     return df.select(*columns) if columns else df
 
 
-def opened_files(df: DataFrame) -> DataFrame:
-    """Record of the source files a result depends on."""
-    return df.sparkSession.createDataFrame([(p,) for p in sorted(df.inputFiles())], "file string")
-
 
 def shared_folder(spark: SparkSession) -> str:
     """New folder under the cluster's checkpoint folder, for stage files."""
@@ -110,11 +106,6 @@ def check_manifest(actual: DataFrame, manifest: DataFrame, key: str) -> DataFram
         "matches", F.col("digest").eqNullSafe(F.col("recorded")))
 
 
-def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """SHA-256 of every file under a path (one file per row)."""
-    return spark.read.format("binaryFile").load(path).select(
-        "path", "length", F.sha2("content", 256).alias("sha256"))
-
 
 def inventory(df: DataFrame, concepts: dict[str, str | None]) -> DataFrame:
     """Coverage of named concepts: the backing column and its share of present values."""

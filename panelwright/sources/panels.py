@@ -169,7 +169,7 @@ EQUITY_SHARE = {"1-URGENT": 0.60, "2-HIGH": 0.50, "3-MEDIUM": 0.40, "4-NOT SPECI
 def disclosures(spark: SparkSession, folder: str) -> DataFrame:
     """Financial reports, one per order: period of the last finished quarter."""
     o = table(spark, folder, "orders")
-    codes = table(spark, folder, "supplier").agg(F.count("*").alias("n_codes"))
+    n_codes = table(spark, folder, "supplier").agg(F.count("*").alias("n_codes")).scalar()
     quarter_start = F.trunc("o_orderdate", "quarter")
     end = F.date_sub(quarter_start, 1)
     price = F.col("o_totalprice")
@@ -178,8 +178,8 @@ def disclosures(spark: SparkSession, folder: str) -> DataFrame:
     period = F.element_at(F.array(*[F.lit(p) for p in ("1Q", "2Q", "3Q", "FY")]), F.quarter(end))
     cash = category_code("o_orderpriority", CASH_SHARE)
     equity = category_code("o_orderpriority", EQUITY_SHARE)
-    return o.crossJoin(F.broadcast(codes)).select(
-        (F.col("o_custkey") % F.col("n_codes")).cast("string").alias("code"),
+    return o.select(
+        (F.col("o_custkey") % n_codes).cast("string").alias("code"),
         F.to_date("o_orderdate").alias("disclosed"),
         F.col("o_orderkey").alias("number"),
         F.concat(period, F.when(F.col("o_orderkey") % 17 == 0, F.lit("Forecast_"))
@@ -242,10 +242,10 @@ def build_events(spark: SparkSession, folder: str) -> DataFrame:
 
     xs = cross_section(spark, folder)
     d = X.breakout(X.split_safe(scored(spark, folder)), EVENT_WEEKS)
-    d = G.breakout_base(d, xs, "mom").withColumn("raw", stable(F.col("B00")))
+    d = G.breakout_scores(d, xs, "mom").withColumn("raw", stable(F.col("breakout")))
     d = G.side_states(d, "raw").withColumns({
         "high_event": F.col("high_raw") > 0, "low_event": F.col("low_raw") < 0})
-    d = d.withColumns({"D": stable(F.col("high_state") + F.col("low_state")), "SN1": stable(G.side_separation())})
+    d = d.withColumns({"sum_score": stable(F.col("high_state") + F.col("low_state")), "side_score": stable(G.side_separation())})
     d = ts.event_ages(d, "high_event").withColumnsRenamed({"age_calendar": "high_age", "age_rows": "high_rows"})
     return ts.event_ages(d, "low_event").withColumnsRenamed({"age_calendar": "low_age", "age_rows": "low_rows"})
 

@@ -38,7 +38,7 @@ def back(df):
     return df.toPandas().sort_values(["date", "code"]).reset_index(drop=True)
 
 
-@pytest.mark.parametrize("alpha", [0.15, 0.25, 0.5, 1.0])
+@pytest.mark.parametrize("alpha", [0.01, 0.15, 0.25, 0.5, 0.9999, 1.0])
 def test_ewma_equals_recurrence_over_many_blocks(spark, alpha):
     rng = np.random.default_rng(3)
     pdf = pd.DataFrame({"date": pd.date_range("2000-01-01", periods=700).date, "code": "a", "ord": range(700), "seg": 0,
@@ -48,10 +48,10 @@ def test_ewma_equals_recurrence_over_many_blocks(spark, alpha):
     assert np.abs(got - want).max() < 1e-12
 
 
-def test_exact_tail_keeps_decayed_state_non_zero(spark):
+def test_decayed_state_is_not_cut_to_zero(spark):
     pdf = pd.DataFrame({"date": pd.date_range("2000-01-01", periods=900).date, "code": "a", "ord": range(900), "seg": 0,
                         "x": [1.0] + [0.0] * 899, "y": 0.0})
-    got = back(ts.ewma(to_spark(spark, pdf), "x", 0.5, "s", exact_tail=True))["s"].to_numpy()
+    got = back(ts.ewma(to_spark(spark, pdf), "x", 0.5, "s"))["s"].to_numpy()
     assert (got > 0).all() and np.allclose(got, pdf.x.ewm(alpha=0.5, adjust=False).mean(), rtol=1e-9, atol=0)
 
 
@@ -186,7 +186,7 @@ def test_expanding_ridge_equals_dense_solution(spark):
     y = rng.normal(size=300)
     rows = [(int(a), float(b), *[None if math.isnan(v) else float(v) for v in r]) for a, b, r in zip(g, y, x)]
     d = spark.createDataFrame(rows, "fold int, y double, a double, b double, c double").repartition(5)
-    got = {m["grp"]: m for m in models.solve_groups(models.cross_products(d, ["a", "b", "c"], "y", "fold"), 3, 1.0)}
+    got = {m["grp"]: m for m in models.solve_groups(models.gather(models.cross_products(d, ["a", "b", "c"], "y", "fold"), 3), 3, 1.0)}
     for fold in (2001, 2002, 2003):
         xx, yy = x[g <= fold], y[g <= fold]
         mean = np.nanmean(xx, 0)
