@@ -94,8 +94,7 @@ def survival(df: DataFrame, state: str, offsets) -> DataFrame:
     """Does the code hold the same state ``k`` calendar positions later?"""
     d = df
     for k in offsets:
-        d = at_offset(d, {state: f"_s{k}"}, k) if k == offsets[0] else d.join(
-            df.select("code", (F.col("ord") - k).alias("ord"), F.col(state).alias(f"_s{k}")), ["code", "ord"], "left")
+        d = at_offset(d, {state: f"_s{k}"}, k)
         d = d.withColumn(f"same{k}", F.col(f"_s{k}") == F.col(state)).drop(f"_s{k}")
     return d
 

@@ -43,9 +43,10 @@ def tie_diagnostics(df: DataFrame, score: str, q: str, by=("date",)) -> DataFram
 
 
 def dispersion(df: DataFrame, score: str, by=("date",)) -> DataFrame:
-    """Standard deviation and distinct values, from one pre-aggregated pass per value."""
+    """Standard deviation, mean size over it and distinct values, from one pre-aggregated pass per value."""
     values = df.where(F.col(score).isNotNull()).groupBy(*by, score).agg(F.count("*").alias("_n"))
-    stats = df.groupBy(*by).agg(F.stddev_samp(score).alias("std"))
+    std = F.stddev_samp(score)
+    stats = df.groupBy(*by).agg(std.alias("std"), F.try_divide(F.avg(F.abs(score)), F.nullif(std, F.lit(0.0))).alias("size_ratio"))
     uniq = values.groupBy(*by).agg(F.count("*").alias("uniq"))
     return stats.join(uniq, list(by), "left").fillna(0, ["uniq"]).withColumn("constant", F.col("uniq") <= 1)
 

@@ -165,6 +165,16 @@ def conditional_ic(df: DataFrame, states: dict[str, Column], score: str, target:
         F.avg("rankic").alias("rankic"), F.avg("signed").alias("signed_target"), F.sum("n").alias("rows"))
 
 
+def event_quintiles(df: DataFrame, score: str, target: str, xs: CrossSection, least: int = 5) -> DataFrame:
+    """Mean target per date and fifth of the score's average rank, on dates with enough rows and distinct scores."""
+    d = xs.average_rank(df, score, "_r")
+    d = xs.attach(d, _n=F.count(F.lit(1)))
+    values = df.groupBy("date", score).agg(F.lit(1).alias("_one")).groupBy("date").agg(F.count(F.lit(1)).alias("_u")).where(F.col("_u") >= least)
+    d = d.where(F.col("_n") >= least).join(values, "date", "left_semi")
+    q = F.least(F.lit(4), F.floor(5 * (F.col("_r") - 1) / (F.col("_n") - 1)))
+    return d.groupBy("date", q.alias("q5")).agg(F.count(F.lit(1)).alias("rows"), F.avg(target).alias("mean_target"))
+
+
 def lag_persistence(df: DataFrame, x: str, lags, xs: CrossSection) -> DataFrame:
     """Daily rank correlation of a factor with its own value ``k`` positions earlier."""
     out = None

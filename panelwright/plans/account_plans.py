@@ -10,8 +10,8 @@ from panelwright.operators.asof import at_offset
 from panelwright.operators.xsection import rank_bins
 from panelwright.plans.common import KS, keyed, keyed_sql
 from panelwright.plans.registry import query
-from panelwright.plans.sql import (ACCOUNT_CTES, avg_rank, day, on_account, on_scored, pct_rank, quintile, r, scorr)
-from panelwright.sources.panels import cross_section, scale_of, scored
+from panelwright.plans.sql import (ACCOUNT_CTES, avg_rank, day, on_account, on_events, on_scored, pct_rank, quintile, r, scorr)
+from panelwright.sources.panels import cross_section, events, scale_of, scored
 
 D = f"{day()} AS date"
 YEAR = "CAST(year(date) AS BIGINT)"
@@ -278,17 +278,35 @@ def _(spark, sf):
     return _dated(d, ["spread"], keep=["rows"])
 
 
+@query("e_10_event_quintiles", on_events(f"""
+SELECT {D}, q5, count(*) AS rows, {r('avg(target)')} AS mean_target FROM (
+ SELECT *, least(4, CAST(floor(5 * (({avg_rank('mom')}) - 1) / (n - 1)) AS BIGINT)) AS q5 FROM (
+  SELECT *, count(*) OVER (PARTITION BY date) AS n, (SELECT count(DISTINCT mom) FROM ev0 y WHERE y.date = x.date) AS u FROM ev0 x) WHERE n >= 5 AND u >= 5) GROUP BY date, q5""",
+    "ev0 AS (SELECT date, code, mom, target FROM en WHERE (he OR le) AND mom IS NOT NULL AND target IS NOT NULL)"))
+def _(spark, sf):
+    """Quintiles among the rows with an event only; dates with too few or too equal rows are left out."""
+    d = events(spark, sf).where("(high_event or low_event) and mom is not null and target is not null").select("date", "code", "mom", "target")
+    d = E.event_quintiles(d, "mom", "target", cross_section(spark, sf))
+    return d.select(day_text().alias("date"), F.col("q5").cast("long").alias("q5"), "rows", rounded("mean_target").alias("mean_target"))
+
+
+# Market and name states under which a score is judged.
+STATES = {
+    "busy": "volume > 60", "quiet": "volume <= 60", "rising": "mkt > 0.15", "falling": "mkt <= 0.15", "crash": "mkt < -0.1", "rebound": "mkt > 0.3",
+    "large": "size >= 4", "small": "size <= 2", "high beta": "beta > 1", "low beta": "beta < 1", "up day": "ret > 0", "down day": "ret < 0",
+    "strong": "mom > 0.2", "weak": "mom < -0.2",
+}
+
+
 @query("e_11_conditional_states", on_scored(f"""
 SELECT state, {YEAR} AS year, {r('avg(c)', 6)} AS rankic, {r('avg(s)', 6)} AS signed_target, CAST(sum(n) AS BIGINT) AS rows FROM (
   SELECT date, state, {scorr('rx', 'ry', ' FILTER (WHERE target IS NOT NULL)')} AS c, max(sg) AS s, max(n) AS n FROM (
     SELECT date, state, {avg_rank('score', 'date, state, target IS NULL')} AS rx, {avg_rank('target', 'date, state')} AS ry, target,
            avg(sign(score) * target) OVER (PARTITION BY date, state) AS sg, count(*) OVER (PARTITION BY date, state) AS n
     FROM cs) GROUP BY date, state) GROUP BY state, year(date)""",
-    """cs AS (SELECT *, 'busy' AS state FROM sc WHERE volume > 60 UNION ALL SELECT *, 'rising' FROM sc WHERE mkt > 0.15 UNION ALL SELECT *, 'falling' FROM sc WHERE mkt <= 0.15
- UNION ALL SELECT *, 'large' FROM sc WHERE size >= 4)"""))
+    "cs AS (" + " UNION ALL ".join(f"SELECT *, '{n}' AS state FROM sc WHERE {c}" for n, c in STATES.items()) + ")"))
 def _(spark, sf):
-    states = {"busy": F.col("volume") > 60, "rising": F.col("mkt") > 0.15, "falling": F.col("mkt") <= 0.15, "large": F.col("size") >= 4}
-    d = E.conditional_ic(scored(spark, sf), states, "score", "target", cross_section(spark, sf))
+    d = E.conditional_ic(scored(spark, sf), {n: F.expr(c) for n, c in STATES.items()}, "score", "target", cross_section(spark, sf))
     return d.select("state", "year", "rows", *_cols(d, ["rankic", "signed_target"], 6))
 
 
@@ -300,8 +318,7 @@ FULL JOIN (SELECT date, {scorr('a2', 'b2')} AS c2 FROM (SELECT date, {avg_rank('
  LEFT JOIN sc c ON a.code = c.code AND c.ord = a.ord + 2)"""))
 def _(spark, sf):
     xs, d = cross_section(spark, sf), scored(spark, sf).select("date", "code", "ord", "open", "close", "score")
-    e = at_offset(d, {"open": "o1"}, 1).join(
-        d.select("code", (F.col("ord") - 2).alias("ord"), F.col("open").alias("o2")), ["code", "ord"], "left")
+    e = at_offset(at_offset(d, {"open": "o1"}, 1), {"open": "o2"}, 2)
     e = e.withColumns({"near": F.col("o1") / F.col("close") - 1, "far": F.col("o2") / F.col("o1") - 1})
     ic = E.rank_ic(e, "score", "near", xs, out="c1").join(E.rank_ic(e, "score", "far", xs, out="c2"), "date", "full")
     g = ic.groupBy(F.year("date").cast("long").alias("year")).agg(F.avg("c1").alias("near_ic"), F.avg("c2").alias("far_ic"))
@@ -330,6 +347,30 @@ def _(spark, sf):
         rounded(F.avg("rankic"), 6).alias("rankic"), F.count("rankic").alias("days"))
 
 
+# First and last calendar position of each horizon, counted from the score's date.
+HORIZONS = {"day 1": (2, 2), "days 1-5": (2, 6), "days 6-20": (7, 21), "days 21-40": (22, 41)}
+
+
+def _horizon_sql(name, first, last):
+    n = last - first + 1
+    return f"""SELECT '{name}' AS horizon, p.date, p.code, p.score, CASE WHEN count(f.resid) = {n} AND min(f.resid) > -1 THEN exp(sum(CASE WHEN f.resid > -1 THEN ln(1 + f.resid) END)) - 1 END AS y
+ FROM sc p LEFT JOIN sc f ON f.code = p.code AND f.ord BETWEEN p.ord + {first} AND p.ord + {last} GROUP BY p.date, p.code, p.score"""
+
+
+@query("e_14_horizon_table", on_scored(f"""
+SELECT horizon, {r('avg(c)', 6)} AS rankic, count(c) AS days FROM (
+  SELECT horizon, date, {scorr('a', 'b')} AS c FROM (SELECT horizon, date, {avg_rank('score', 'horizon, date')} AS a, {avg_rank('y', 'horizon, date')} AS b FROM hz WHERE y IS NOT NULL) GROUP BY horizon, date) GROUP BY horizon""",
+    "hz AS (" + " UNION ALL ".join(_horizon_sql(n, a, b) for n, (a, b) in HORIZONS.items()) + ")"))
+def _(spark, sf):
+    """All horizons' labels as frames over one layout, then one unpivoted rank."""
+    d, names = scored(spark, sf), list(HORIZONS)
+    for i, (first, last) in enumerate(HORIZONS.values()):
+        d = agg.forward_compound(d, "resid", last - first + 1, f"y{i}", scale_of(spark, sf), start=first)
+    d = d.select("date", "code", "score", F.inline(F.array(*[F.struct(F.lit(n).alias("horizon"), F.col(f"y{i}").alias("y")) for i, n in enumerate(names)])))
+    ic = E.rank_ic(d, "score", "y", cross_section(spark, sf), ("horizon", "date"))
+    return ic.groupBy("horizon").agg(rounded(F.avg("rankic"), 6).alias("rankic"), F.count("rankic").alias("days"))
+
+
 @query("e_16_short_tail", on_scored(f"""
 SELECT {YEAR} AS year, {', '.join(f"{r(f'quantile_cont(target, {p / 100})', 6)} AS p{p}" for p in (50, 90, 95, 99))}, count(*) FILTER (WHERE target > 1) AS disasters
 FROM sc WHERE w < 0 AND target IS NOT NULL GROUP BY 1"""))

@@ -227,6 +227,28 @@ def _(spark, sf):
     return d.select("kind", "lag", rounded("mean_ic", 6).alias("mean_ic"), "days")
 
 
+def _quality_sql(side, rows_, entry, state):
+    lags = "1, 5, 20, 40, 60"
+    one = lambda kind, x, src: (
+        f"SELECT '{side}' AS side, '{kind}' AS kind, lag, date, {scorr('a', 'b')} AS c FROM (SELECT {rows_} AS lag, date, {avg_rank(x, f'{rows_}, date')} AS a, "
+        f"{avg_rank('target', f'{rows_}, date')} AS b FROM {src} WHERE {rows_} IN ({lags}) AND target IS NOT NULL AND {x} IS NOT NULL) GROUP BY 1, 2, 3, 4")
+    return one("entry", entry, "od") + " UNION ALL " + one("state", "z", f"(SELECT *, {r(state, 10)} AS z FROM od)")
+
+
+@query("d_14_quality_by_side", on_events(f"""
+SELECT side, kind, CAST(lag AS BIGINT) AS lag, {r('avg(c)', 6)} AS mean_ic, count(c) AS days FROM (
+ {_quality_sql('high', 'hrows', 'hentry', 'hs')} UNION ALL {_quality_sql('low', 'lrows', 'lentry', 'ls')}) GROUP BY side, kind, lag""", _ORI))
+def _(spark, sf):
+    from panelwright.sources.panels import stable
+
+    d, out = _origins(spark, sf), None
+    for side in ("high", "low"):
+        one = d.withColumn("z", stable(F.col(f"{side}_state"))).where(F.col(f"{side}_entry").isNotNull())
+        one = DG.lag_quality(one, "z", f"{side}_entry", f"{side}_rows", "target", (1, 5, 20, 40, 60), cross_section(spark, sf)).withColumn("side", F.lit(side))
+        out = one if out is None else out.unionByName(one)
+    return out.select("side", "kind", F.col("lag").cast("long").alias("lag"), rounded("mean_ic", 6).alias("mean_ic"), "days")
+
+
 @query("d_15_survival_by_age", on_events(f"""
 SELECT CASE WHEN a.lage > -1 AND a.lage <= 4 THEN '0-4' WHEN a.lage > 4 AND a.lage <= 20 THEN '5-20' WHEN a.lage > 20 AND a.lage <= 60 THEN '21-60' END AS band, count(*) AS rows,
  {r('avg(CASE WHEN b5.q = a.q THEN 1.0::DOUBLE WHEN b5.q IS NOT NULL THEN 0 END)')} AS same5, {r('avg(CASE WHEN b20.q = a.q THEN 1.0::DOUBLE WHEN b20.q IS NOT NULL THEN 0 END)')} AS same20

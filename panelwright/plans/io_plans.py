@@ -19,6 +19,14 @@ def _(spark, sf):
         "l_linenumber", F.col("l_linenumber").cast("long"))
 
 
+@query("io_01_load_split", f"""
+SELECT o_orderkey, o_custkey, {day('o_orderdate')} AS day FROM orders WHERE o_orderdate >= DATE '1996-01-01' AND o_orderdate < DATE '1998-01-01'""")
+def _(spark, sf):
+    d = io.read_table(spark, sf, "orders", ["o_orderkey", "o_custkey", "o_orderdate"])
+    d = io.load_split(d, ["o_orderkey"], "o_orderdate", "1996-01-01", "1998-01-01")
+    return d.select("o_orderkey", "o_custkey", day_text("o_orderdate").alias("day"))
+
+
 @query("io_02_filtered_scan", f"""
 SELECT CAST(l_suppkey AS VARCHAR) AS code, count(*) AS rows, {r('sum(l_quantity)', 4)} AS volume
 FROM lineitem WHERE l_shipdate >= DATE '1998-01-01' AND l_shipdate < DATE '1999-01-01' GROUP BY 1""")
@@ -109,17 +117,21 @@ def _(spark, sf):
     return d.select("year", "feature", rounded("mean").alias("mean"), rounded("scale").alias("scale"))
 
 
-@query("io_10_catalog", f"""
-SELECT 'lineitem' AS table_name, CAST(11 AS BIGINT) AS columns, count(*) AS rows, count(DISTINCT l_suppkey) AS keys,
-       {day('min(l_shipdate)')} AS first_date, {day('max(l_shipdate)')} AS last_date FROM lineitem
-UNION ALL SELECT 'orders', 6, count(*), count(DISTINCT o_custkey), {day('min(o_orderdate)')}, {day('max(o_orderdate)')} FROM orders
-UNION ALL SELECT 'events', 6, count(*), count(DISTINCT user_id), {day('min(ts)')}, {day('max(ts)')} FROM events""")
+# Key, date and number of columns of every table.
+CATALOG = {
+    "region": ("r_regionkey", None, 2), "nation": ("n_nationkey", None, 3), "customer": ("c_custkey", None, 5), "supplier": ("s_suppkey", None, 4),
+    "part": ("p_partkey", None, 6), "orders": ("o_custkey", "o_orderdate", 6), "lineitem": ("l_suppkey", "l_shipdate", 11), "events": ("user_id", "ts", 6),
+    "documents": ("doc_id", None, 5), "embeddings": ("vec_id", None, 3), "pages": ("page_id", None, 3), "benchmark": ("item_id", None, 2),
+    "labels": ("doc_id", None, 3), "conversations": ("conv_id", None, 4),
+}
+
+
+@query("io_10_catalog", " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, CAST({n} AS BIGINT) AS columns, count(*) AS rows, count(DISTINCT {k}) AS keys, "
+    f"{day(f'min({d})') if d else 'CAST(NULL AS VARCHAR)'} AS first_date, {day(f'max({d})') if d else 'CAST(NULL AS VARCHAR)'} AS last_date FROM {t}"
+    for t, (k, d, n) in CATALOG.items()))
 def _(spark, sf):
-    d = io.catalog({
-        "lineitem": (table(spark, sf, "lineitem"), "l_suppkey", "l_shipdate"),
-        "orders": (table(spark, sf, "orders"), "o_custkey", "o_orderdate"),
-        "events": (table(spark, sf, "events"), "user_id", "ts"),
-    })
+    d = io.catalog({t: (table(spark, sf, t), k, d) for t, (k, d, _n) in CATALOG.items()})
     return d.withColumn("columns", F.col("columns").cast("long"))
 
 

@@ -121,6 +121,18 @@ def _(spark, sf):
     return keyed(d, keep=[F.col(c).cast("long").alias(c) for c in ("r_desc", "r_hash")])
 
 
+@query("cs_16_permuted_ties", on_panel(f"""
+SELECT {KS}, row_number() OVER (PARTITION BY date ORDER BY volume, md5('11|' || {day()} || '|' || code), code) AS r_permuted,
+       row_number() OVER (PARTITION BY date ORDER BY volume + 1e-7::DOUBLE * (CAST('0x' || substr(md5('5|' || code), 1, 4) AS BIGINT) / 65536::DOUBLE), code) AS r_perturbed FROM pan"""))
+def _(spark, sf):
+    """Ties in a permutation of each date's own, and after a perturbation far below the values' grid."""
+    xs = cross_section(spark, sf)
+    d = xs.first_rank(panel(spark, sf), "volume", "r_permuted", tie=(ct.keyed_order(day_text(), "code", seed=11), "code"))
+    noise = F.conv(F.substring(ct.keyed_order("code", seed=5), 1, 4), 16, 10).cast("double") / 65536
+    d = xs.first_rank(d.withColumn("v", F.col("volume") + 1e-7 * noise), "v", "r_perturbed")
+    return keyed(d, keep=[F.col(c).cast("long").alias(c) for c in ("r_permuted", "r_perturbed")])
+
+
 @query("cs_17_ties", on_panel(f"""
 SELECT {day()} AS date, CAST(sum(n) AS BIGINT) AS rows, count(*) AS distinct_scores, CAST(sum(CASE WHEN n > 1 THEN n ELSE 0 END) AS BIGINT) AS duplicated,
        CAST(sum(CASE WHEN lo <> hi THEN n ELSE 0 END) AS BIGINT) AS crossing, {r('count(*) / sum(n)')} AS unique_ratio
@@ -133,10 +145,11 @@ def _(spark, sf):
 
 
 @query("cs_18_dispersion", on_panel(f"""
-SELECT {day()} AS date, {r('stddev_samp(ret)')} AS std, count(DISTINCT ret) AS uniq, count(DISTINCT ret) <= 1 AS constant FROM pan GROUP BY date"""))
+SELECT {day()} AS date, {r('stddev_samp(ret)')} AS std, count(DISTINCT ret) AS uniq, count(DISTINCT ret) <= 1 AS constant,
+       {r('avg(abs(ret)) / nullif(stddev_samp(ret), 0)')} AS size_ratio FROM pan GROUP BY date"""))
 def _(spark, sf):
     d = ct.dispersion(panel(spark, sf), "ret")
-    return d.select(day_text().alias("date"), rounded("std").alias("std"), "uniq", "constant")
+    return d.select(day_text().alias("date"), rounded("std").alias("std"), "uniq", "constant", rounded("size_ratio").alias("size_ratio"))
 
 
 @query("cs_19_weak_positive", on_panel(f"""

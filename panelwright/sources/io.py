@@ -31,6 +31,23 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root}/stage-{uuid.uuid4().hex}"
 
 
+def load_split(df: DataFrame, keys, date: str, since: str | None = None, before: str | None = None) -> DataFrame:
+    """Rows of a split in key order; reading a repeated key is an error.
+
+    Dates are pruned in the scan.  The check is part of the plan: it fails the
+    job that meets the second row of a key and runs nothing on its own.
+    """
+    keys = list(keys)
+    if since is not None:
+        df = df.where(F.col(date) >= F.lit(since).cast("timestamp"))
+    if before is not None:
+        df = df.where(F.col(date) < F.lit(before).cast("timestamp"))
+    again = F.row_number().over(Window.partitionBy(*keys).orderBy(date)) > 1
+    d = df.withColumn("_again", again)
+    d = d.where(~F.col("_again") | F.raise_error(F.lit(f"repeated key in {', '.join(keys)}")).cast("boolean"))
+    return d.drop("_again").sort(*keys)
+
+
 def write_parquet(df: DataFrame, path: str, codec: str = "zstd", partition_by=()) -> None:
     w = df.write.option("compression", codec)
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
@@ -83,10 +100,11 @@ def catalog(tables: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
     """One row per table: rows, distinct keys, first and last date."""
     out = None
     for name, (df, key, date) in tables.items():
+        when = F.col(date) if date else F.lit(None).cast("date")
         one = df.agg(
             F.count("*").alias("rows"), F.countDistinct(key).alias("keys"),
-            F.date_format(F.min(date), "yyyy-MM-dd").alias("first_date"),
-            F.date_format(F.max(date), "yyyy-MM-dd").alias("last_date"),
+            F.date_format(F.min(when), "yyyy-MM-dd").alias("first_date"),
+            F.date_format(F.max(when), "yyyy-MM-dd").alias("last_date"),
         ).withColumn("table_name", F.lit(name)).withColumn("columns", F.lit(len(df.columns)))
         out = one if out is None else out.unionByName(one)
     return out
