@@ -7,6 +7,9 @@ holds a third of all lines costs no more than its number of weeks.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+from contextvars import ContextVar
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +28,7 @@ SPLIT_DATE, SPLIT_FACTOR = "1998-01-05", 0.5
 
 _SCALES: dict = {}
 _STAGES: dict = {}
+_SPLIT: ContextVar[bool] = ContextVar("split", default=False)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -42,7 +46,17 @@ def scale_of(spark: SparkSession, folder: str) -> Scale:
         li = table(spark, folder, "lineitem").select(
             F.date_trunc("week", "l_shipdate").alias("date"), F.col("l_suppkey").alias("code"))
         _SCALES[key] = Scale.measure(li)
-    return _SCALES[key]
+    return replace(_SCALES[key], rows_per_task=1) if _SPLIT.get() else _SCALES[key]
+
+
+@contextmanager
+def split_plan():
+    """Queries built inside take no cross-section to fit one task."""
+    token = _SPLIT.set(True)
+    try:
+        yield
+    finally:
+        _SPLIT.reset(token)
 
 
 def cross_section(spark, folder) -> CrossSection:

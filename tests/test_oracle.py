@@ -13,6 +13,8 @@ SAMPLE = [
     "a_17_concentration", "w_01_segments", "w_06_rolling_median", "w_10_ewma_fast", "w_11_ewma_gaps", "w_22_spells", "w_26_forward_compound",
     "cs_02_average_rank", "cs_12_quintile", "cs_17_ties", "sl_02_mixed_order", "so_04_membership_flow", "f_15_box", "f_30_cfo_state",
     "f_32_cfo_turn_event", "g_10_score_stitching", "g_13_side_separation", "m_07_univariate_calibration", "p_03_daily_account", "p_04_leg_account",
+    "cs_02_average_rank_split", "cs_12_quintile_split", "g_02_blend_family", "g_03_breakout_toggles", "g_04_breakout_base", "w_11_ewma_gaps",
+    "j_09_calendar_offset", "d_03_source_fractions", "d_14_quality_by_side", "e_10_event_quintiles", "e_14_horizon_table", "io_01_load_split", "io_11_content_manifest",
     "e_02_hac_t", "e_06_bootstrap", "d_05_source_attribution", "d_13_recurrence", "q_02_future_mutation", "q_06_reconciliation",
 ]
 
@@ -41,6 +43,27 @@ def test_every_inventory_line_has_a_query():
     assert set(ORACLE) <= set(QUERIES)
 
 
+SPLIT = ["f_02_residual_momentum", "g_11_signed_event_score", "e_11_conditional_states", "p_03_daily_account"]
+
+
+@pytest.fixture(scope="module")
+def split_folder(spark, tmp_path_factory):
+    """The same tables under another path, so that stage tables are built by the split plan too."""
+    link = tmp_path_factory.mktemp("split") / "tables"
+    link.symlink_to(SF)
+    return str(link)
+
+
+@pytest.mark.parametrize("name", SPLIT)
+def test_split_plan_matches_sql(spark, duck, split_folder, name):
+    from panelwright.plans import ORACLE, QUERIES
+    from panelwright.sources.panels import split_plan
+
+    with split_plan():
+        res = compare(spark, duck, name, QUERIES[name], ORACLE[name], split_folder)
+    assert res.startswith("OK"), res
+
+
 def test_entry_runs(spark):
     import __spark_entry__
 
