@@ -17,6 +17,7 @@ neighbours; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from panelwright.llm.common import BATCH_ROWS, partitions, record, text_column
 
 WORDS, K = 5, 128
+#: Ranges of ids per shuffle partition: several small ones even out the partitions.
+RANGES = 8
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -118,6 +121,18 @@ _PAIRS = pa.schema([
     ("near_edited", pa.float64()), ("near_next", pa.float64()), ("n_shingles", pa.float64()), ("kept_share", pa.float64())])
 
 
+def _below(cuts: list[int]) -> F.Column:
+    """How many of the ascending cuts are less than the id: first among every ``step``-th, then in between."""
+    if not cuts:
+        return F.lit(0)
+    step = math.isqrt(len(cuts)) + 1
+    numbers = lambda xs: F.array(*[F.lit(c).cast("long") for c in xs])
+    less = lambda a: F.size(F.filter(a, lambda c: c < F.col("doc_id")))
+    chunks = [cuts[i:i + step] for i in range(0, len(cuts), step)]
+    whole = less(numbers([c[0] for c in chunks]))
+    return F.when(whole == 0, 0).otherwise((whole - 1) * step + less(F.element_at(F.array(*map(numbers, chunks)), whole)))
+
+
 def edited_pairs(docs: DataFrame, k: int = K, words: int = WORDS) -> DataFrame:
     """Each document against its edited text and the document after it.
 
@@ -128,11 +143,12 @@ def edited_pairs(docs: DataFrame, k: int = K, words: int = WORDS) -> DataFrame:
     """
     spark = docs.sparkSession
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    n = 2 * partitions(spark)
-    cuts = sorted({int(c) for c in ids.na.drop().approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n)})
+    n = partitions(spark)
+    ranges = RANGES * n
+    probe = [i / ranges for i in range(1, ranges)]
+    cuts = sorted({int(c) for c in ids.na.drop().approxQuantile("doc_id", probe, max(1e-4, 0.2 / ranges))})
     last = len(cuts) + 1
-    above = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c >= F.col("doc_id"))) if cuts else F.lit(0)
-    place = F.coalesce(F.when(F.col("doc_id").isNotNull(), above), F.lit(last)).cast("int").alias("part")
+    place = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.lit(len(cuts)) - _below(cuts)), F.lit(last)).cast("int").alias("part")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text")).select("doc_id", "text", place)
     firsts = sorted((r.part, r.first) for r in ids.select("doc_id", place).groupBy("part").agg(F.max("doc_id").alias("first")).collect())
     before = {firsts[i][0]: firsts[i - 1][0] for i in range(len(firsts))}
