@@ -118,6 +118,20 @@ def _(spark, sf):
     return a.crossJoin(c).crossJoin(s)
 
 
+@query("q_10_mutated_kinds", on_scored(f"""
+SELECT count(*) FILTER (WHERE date > DATE '{CUT}') AS after_cut, count(*) FILTER (WHERE date > DATE '{CUT}') AS changed_text,
+ count(*) FILTER (WHERE date > DATE '{CUT}') AS moved_days, count(*) AS rows FROM sc"""))
+def _(spark, sf):
+    """Text and date columns of every later row change, earlier ones stay."""
+    d = scored(spark, sf).select("date", "code", F.concat_ws("/", "sector17", "code").alias("label"), F.col("date").alias("known"))
+    later = F.col("date") > F.lit(CUT).cast("date")
+    m = Q.mutate(d, later).select("date", "code", F.col("label").alias("label2"), F.col("known").alias("known2"))
+    j = d.join(m, ["date", "code"])
+    n = lambda c: F.count(F.when(c, 1))
+    return j.agg(n(later).alias("after_cut"), n(F.col("label") != F.col("label2")).alias("changed_text"),
+                 n(F.col("known2") == F.date_add("known", 7)).alias("moved_days"), F.count(F.lit(1)).alias("rows"))
+
+
 @query("q_11_reset_audit", on_events(f"""
 SELECT gap_class, count(*) AS rows, count(*) FILTER (WHERE abs(hs - hr) <= 1e-12) AS equal_raw FROM (
  SELECT *, CASE WHEN gap IS NULL THEN 'first' WHEN gap = 1 THEN 'next' WHEN gap < 3 THEN 'inside' WHEN gap = 3 THEN 'limit' ELSE 'reset' END AS gap_class

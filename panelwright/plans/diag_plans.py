@@ -1,5 +1,6 @@
 """Diagnostics and attribution."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelwright.functions.scalar import day_text, fixed_bins, ratio, rounded
@@ -140,6 +141,24 @@ def _(spark, sf):
                     *_cols(["weight_share", "mean_ic"], 6))
 
 
+@query("d_07_spread_renewal", on_scored(f"""
+SELECT sector17, {r('avg(spread)', 6)} AS spread, count(spread) AS days, {r('sum(entered) / sum(held)::DOUBLE', 6)} AS renewal FROM (
+ SELECT sector17, date, CASE WHEN count(target) >= 5 THEN avg(target) FILTER (WHERE q = 4) - avg(target) FILTER (WHERE q = 0) END AS spread,
+  count(*) FILTER (WHERE q IN (0, 4) AND q IS DISTINCT FROM q0) AS entered, count(*) FILTER (WHERE q IN (0, 4)) AS held
+ FROM (SELECT *, lag(q) OVER (PARTITION BY code ORDER BY date) AS q0 FROM sc WHERE q IS NOT NULL) GROUP BY sector17, date) GROUP BY sector17 HAVING sum(held) > 0"""))
+def _(spark, sf):
+    """Outer-quintile return spread inside each group, and the share of outer positions that are new."""
+    before = F.lag("q").over(Window.partitionBy("code").orderBy("date"))
+    d = scored(spark, sf).where("q is not null").withColumn("_q0", before)
+    outer = F.col("q").isin(0, 4)
+    mean = lambda q: F.avg(F.when(F.col("q") == q, F.col("target")))
+    daily = d.groupBy("sector17", "date").agg(
+        F.when(F.count("target") >= 5, mean(4) - mean(0)).alias("spread"), F.count(F.when(outer, 1)).alias("held"),
+        F.count(F.when(outer & ~F.col("q").eqNullSafe(F.col("_q0")), 1)).alias("entered"))
+    g = daily.groupBy("sector17").agg(F.avg("spread").alias("spread"), F.count("spread").alias("days"), F.sum("entered").alias("e"), F.sum("held").alias("h"))
+    return g.where("h > 0").select("sector17", rounded("spread", 6).alias("spread"), "days", rounded(F.col("e") / F.col("h"), 6).alias("renewal"))
+
+
 @query("d_08_tail_composition", on_events(f"""
 SELECT {D}, q, sector33, count(*) AS stock_days, count(*) FILTER (WHERE sn = 0) AS zero_days, {r('sum(abs(w)) / sum(sum(abs(w))) OVER (PARTITION BY date, q)')} AS weight_share
 FROM sq WHERE q IN (0, 4) GROUP BY date, q, sector33""", _SQ))
@@ -313,6 +332,28 @@ def _(spark, sf):
     return d.groupingSets([[y, b], [b]], y, b).agg(F.count("*").alias("rows"), rounded(F.avg("box_width"), 6).alias("mean_width"))
 
 
+@query("d_20_box_quantiles", on_panel(f"""
+SELECT {YEAR} AS year, {', '.join(f"{r(f'quantile_cont(dur, {p / 100})', 6)} AS p{p}" for p in (10, 50, 90))}, max(CAST(dur AS BIGINT)) AS longest FROM bx WHERE dur > 0 GROUP BY 1""", FP._TR, FP._box()))
+def _(spark, sf):
+    """A duration is a number of dates, so a year's counts per value are few and combine before the shuffle."""
+    d = X.boxes(X.true_range(FP._safe(spark, sf))).where("box_duration > 0")
+    n = F.col("box_duration")
+    return d.groupBy(F.year("date").cast("long").alias("year")).agg(
+        *[rounded(F.percentile(n, F.lit(p / 100)), 6).alias(f"p{p}") for p in (10, 50, 90)], F.max(n).cast("long").alias("longest"))
+
+
+@query("d_20_box_histogram", on_panel("""
+SELECT CASE WHEN dur <= 2 THEN '1-2' WHEN dur <= 5 THEN '3-5' WHEN dur <= 10 THEN '6-10' WHEN dur <= 20 THEN '11-20' ELSE '21+' END AS band, count(*) AS rows,
+ round(count(*) / sum(count(*)) OVER ()::DOUBLE, 8) + 0.0::DOUBLE AS share FROM bx WHERE dur > 0 GROUP BY 1""", FP._TR, FP._box()))
+def _(spark, sf):
+    d = X.boxes(X.true_range(FP._safe(spark, sf))).where("box_duration > 0")
+    n = F.col("box_duration")
+    band = F.when(n <= 2, "1-2").when(n <= 5, "3-5").when(n <= 10, "6-10").when(n <= 20, "11-20").otherwise("21+")
+    d = d.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("rows"))
+    total = Window.partitionBy(F.lit(0))  # one row per band
+    return d.select("band", "rows", rounded(F.col("rows") / F.sum("rows").over(total)).alias("share"))
+
+
 @query("d_21_stage_transmission", on_events(f"""
 SELECT {r('corr(raw, sn)')} AS raw_score, {r('corr(raw, w)')} AS raw_weight, {r('corr(sn, w)')} AS score_weight, {r('avg(abs(w - wb))')} AS mean_change, {r('max(abs(w - wb))')} AS max_change FROM tq WHERE q IS NOT NULL AND raw <> 0""", _SQ, _TWOQ))
 def _(spark, sf):
@@ -332,6 +373,23 @@ def _(spark, sf):
         rounded(F.sum(F.abs("w")), 6).alias("exposure"), rounded(F.sum(F.col("w") * F.col("beta")), 6).alias("beta_load"), F.count("*").alias("rows"))
 
 
+_PERSIST = f"""ps AS (SELECT *, CASE WHEN w > 0 THEN 'long' ELSE 'short' END AS side,
+ CASE WHEN lag(sign(w)) OVER (PARTITION BY code ORDER BY date) = sign(w) THEN 'kept' ELSE 'new' END AS persistence FROM sc WHERE w IS NOT NULL)"""
+
+
+@query("d_22_risk_by_persistence", on_scored(f"""
+SELECT {YEAR} AS year, sector17, side, persistence, {r('sum(abs(w))', 6)} AS exposure, {r('sum(w * beta)', 6)} AS beta_load, {r('sum(dw)', 6)} AS turnover, count(*) AS rows
+FROM ps WHERE w <> 0 GROUP BY 1, 2, 3, 4""", _PERSIST))
+def _(spark, sf):
+    """Exposure of positions that kept their side since the last row, and of those that are new on it."""
+    before = F.lag(F.signum("w")).over(Window.partitionBy("code").orderBy("date"))
+    d = scored(spark, sf).where("w is not null").withColumn("persistence", F.when(before == F.signum("w"), "kept").otherwise("new")).where("w <> 0")
+    side = F.when(F.col("w") > 0, "long").otherwise("short")
+    return d.groupBy(F.year("date").cast("long").alias("year"), "sector17", side.alias("side"), "persistence").agg(
+        rounded(F.sum(F.abs("w")), 6).alias("exposure"), rounded(F.sum(F.col("w") * F.col("beta")), 6).alias("beta_load"),
+        rounded(F.sum("dw"), 6).alias("turnover"), F.count(F.lit(1)).alias("rows"))
+
+
 _TIES = " UNION ALL ".join(f"""SELECT '{n}' AS tie, bps, {r('avg(g - bps / 10000.0::DOUBLE * t) * 252', 5)} AS annual_net, {r('avg(t)', 6)} AS turnover FROM (
  SELECT date, coalesce(sum(w * target), 0) AS g, sum(dw) AS t FROM (SELECT *, coalesce(abs(w - lag(w) OVER (PARTITION BY code ORDER BY date)), abs(w)) AS dw FROM (
   SELECT *, (q9 - 2) / n_day / 1.2::DOUBLE AS w FROM (SELECT * EXCLUDE (w, dw), {quintile('sn').replace('coalesce(sn, 0), code', f'sn, {o}')} AS q9 FROM sq))) GROUP BY date)

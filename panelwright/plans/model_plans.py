@@ -215,6 +215,27 @@ def _(spark, sf):
     return keyed(p, 6, prediction="prediction")
 
 
+@query("m_09_floors_and_sides")
+def _(spark, sf):
+    """Yearly expanding fits per event side on complete rows, for three floors of training rows."""
+    d, out = _event_states(spark, sf), None
+    for side, sign in (("high", 1), ("low", -1)):
+        one = d.where(F.col(f"{side}_event")).withColumn("y", sign * F.col("y"))
+        stats = M.gather(M.cross_products(one, STATE, "y", "fold"), len(STATE))
+        for floor in (500, 2_000, 10_000):
+            models = M.model_table(spark, M.solve_groups(stats, len(STATE), min_rows=floor))
+            c = M.coefficient_rows(models, STATE).withColumns({"side": F.lit(side), "floor": F.lit(floor)})
+            out = c if out is None else out.unionByName(c)
+    return out.select("side", "floor", F.col("grp").alias("fold"), "feature", "rows", rounded("coef", 6).alias("coef"))
+
+
+def _event_states(spark, sf):
+    """State panel beside the event flags, complete rows only."""
+    flags = events(spark, sf).select("date", "code", "high_event", "low_event")
+    d = _state_panel(spark, sf).join(flags, ["date", "code"])
+    return d.where(" and ".join(f"{c} is not null" for c in STATE))
+
+
 @query("m_10_single_cutoff")
 def _(spark, sf):
     d = _state_panel(spark, sf).withColumn("_g", F.lit("all"))

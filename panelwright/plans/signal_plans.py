@@ -131,6 +131,17 @@ def _(spark, sf):
     return keyed(d, half=G.event_blend("breakout", "er", G.is_event("high"), 0.5), full=G.event_blend("breakout", "er", G.is_event("high"), 1.0))
 
 
+@query("g_12_two_sided_blend", on_events(keyed_sql(f"""(SELECT *, CASE WHEN he THEN 0.5 + 0.5 * coalesce({pct_rank('hq')}, 0) WHEN le THEN -(0.5 + 0.5 * coalesce({pct_rank('lq')}, 0)) ELSE hp - lp END AS er
+ FROM (SELECT *, CASE WHEN he THEN mom END AS hq, CASE WHEN le THEN -mom END AS lq FROM en))""",
+    **{f"share_{s}": f"CASE WHEN he OR le THEN {1 - s / 100} * (hp - lp) + {s / 100} * er ELSE hp - lp END" for s in (0, 50, 100)})))
+def _(spark, sf):
+    """Both sides' events blended with the signed percentile of a prediction, at three shares."""
+    d = events(spark, sf).withColumn("neg_mom", -F.col("mom"))
+    d = G.signed_event_score(d, cross_section(spark, sf), {"high": "mom", "low": "neg_mom"}, "er")
+    active = G.is_event("high") | G.is_event("low")
+    return keyed(d, **{f"share_{s}": G.event_blend("breakout", "er", active, s / 100) for s in (0, 50, 100)})
+
+
 @query("g_13_side_separation", on_events(keyed_sql("en", high_state="hs", low_state="ls", d_score="dsc", side_score="sn")))
 def _(spark, sf):
     return keyed(events(spark, sf), high_state="high_state", low_state="low_state", d_score="sum_score", side_score="side_score")
