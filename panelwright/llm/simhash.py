@@ -8,8 +8,8 @@ under one of its common variants only.
 
 Equal fingerprints are one point, so copies of a text cost one row, and a
 point can have no more than 679,120 neighbours however large the corpus is.
-Components come from label hooking with shortcuts over points, never over
-documents.
+Components come from contracting the links between points, never from pairs
+of documents.
 
 Defined results: null text counts as empty; a text of fewer words than a
 shingle is one shingle; texts without words have fingerprint zero and are
@@ -107,30 +107,29 @@ def links(points: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """``node, label`` for every node of ``edges(a, b)``: the smallest node of its component.
 
-    Each round offers a node, and the node it points to, the grandparents of
-    its neighbours, and lets it skip to its own grandparent; the work of a
-    round follows the number of edges and the rounds grow with the logarithm
-    of the longest path.
+    Each round points every node to the neighbour that comes first in a
+    shuffled order of its own, follows the pointers twice and contracts the
+    edges to what they join then.  Groups that are densely linked collapse in
+    the first round; shuffled orders keep chains of pointers short, so edges
+    shrink by a constant factor a round.
     """
-    both = settle(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    state = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")).withColumn("label", F.least("node", "label"))
-    state = settle(state, "labels")
-    for _ in range(rounds):
-        up = state.select(F.col("node").alias("label"), F.col("label").alias("grand"))
-        state2 = settle(state.join(up, "label").select("node", "label", "grand"), "grand")
-        far = state2.select(F.col("node").alias("b"), F.col("grand").alias("offer"))
-        near = both.join(far, "b").groupBy("a").agg(F.min("offer").alias("offer"))
-        offered = state2.join(near, F.col("node") == F.col("a")).select("node", "label", F.least("grand", "offer").alias("offer"))
-        best = (
-            offered.select(F.inline(F.array(F.struct(F.col("node").alias("to"), "offer"), F.struct(F.col("label").alias("to"), "offer"))))
-            .groupBy("to").agg(F.min("offer").alias("offer"))
-        )
-        after = settle(state.join(best, F.col("node") == F.col("to"), "left").select(
-            "node", F.least("label", F.coalesce("offer", "label")).alias("label"), F.col("label").alias("was")), "labels")
-        moved = after.where("label <> was").limit(1).count()
-        state = after.select("node", "label")
-        if not moved:
-            return state
+    edges = settle(edges.select("a", "b").where("a <> b").distinct(), "edges")
+    state = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("label", F.col("node"))
+    for turn in range(rounds):
+        if edges.isEmpty():
+            least = state.groupBy("label").agg(F.min("node").alias("least"))
+            return state.join(least, "label").select("node", F.col("least").alias("label"))
+        order = lambda c: F.xxhash64(c, F.lit(turn))  # noqa: B023, E731
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        first = both.groupBy("a").agg(F.min(F.struct(order("b").alias("o"), F.col("b").alias("n"))).alias("m"))
+        up = settle(first.select(F.col("a").alias("label"), F.when(F.col("m.o") < order("a"), F.col("m.n")).otherwise(F.col("a")).alias("up")), "pointers")
+        for _ in range(2):
+            over = up.select(F.col("label").alias("up"), F.col("up").alias("top"))
+            up = settle(up.join(over, "up").select("label", F.col("top").alias("up")), "pointers")
+        state = settle(state.join(up, "label", "left").select("node", F.coalesce("up", "label").alias("label")), "labels")
+        ends = up.select(F.col("label").alias("a"), F.col("up").alias("x"))
+        tails = up.select(F.col("label").alias("b"), F.col("up").alias("y"))
+        edges = settle(edges.join(ends, "a").join(tails, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
     raise RuntimeError("components did not settle")
 
 
