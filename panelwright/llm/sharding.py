@@ -155,7 +155,9 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
     base = settle(describe(docs), "documents")
     total = base.count()
     groups = base.groupBy("link").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("link")
-    members = settle(base.select("rid", "link").join(groups, "link", "left_semi"), "members")
+    groups = groups.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    salted = base.select("rid", "link", F.pmod(F.xxhash64("rid"), F.lit(SALTS)).cast("int").alias("salt"))
+    members = settle(salted.join(groups, ["link", "salt"], "left_semi").select("rid", "link"), "members")
     start = members.select("rid").distinct().withColumn("shard", F.pmod(F.xxhash64("rid"), F.lit(shards)).cast("int"))
     cap = [total // shards] * shards
     linked = propagate(members, settle(start, "state"), cap, rounds)
