@@ -4,8 +4,10 @@ Documents become token counts; longer ones than a sequence are cut, the first
 piece taking the remainder.  Whole pieces are sequences of their own.  The
 others are dealt to parts; each part runs best-fit decreasing and compares its
 bins with a lower bound from dual-feasible functions.  A part that meets the
-bound is certified and final.  Parts with a gap keep their full bins, pool the
-pieces of the others, deal them anew and pack again, until no round saves a bin.
+bound is certified: no packing of its pieces has fewer bins, and only its least
+filled bin may still be joined with others.  Parts with a gap keep their full
+bins.  All other bins' pieces are pooled, dealt anew and packed again, until
+they fit one part or a round saves no bin.
 
 Defined results: null text counts as empty and is one piece (the end mark
 alone); pieces of equal length are ordered by document and place; repeated
@@ -153,7 +155,7 @@ def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
 _PACKED = T.StructType([T.StructField(n, t) for n, t in (
     ("doc_id", T.LongType()), ("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType()),
     ("part", T.LongType()), ("bin", T.LongType()), ("offset", T.LongType()), ("round", T.IntegerType()),
-    ("part_bins", T.LongType()), ("part_bound", T.LongType()), ("bin_tokens", T.LongType()))])
+    ("part_bins", T.LongType()), ("part_bound", T.LongType()), ("bin_tokens", T.LongType()), ("least_filled", T.BooleanType()))])
 _KEYS = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
 
@@ -165,7 +167,8 @@ def _pack(rows: DataFrame, parts: int, turn: int, capacity: int) -> DataFrame:
         n = pdf["length"].to_numpy(np.int64)
         b, off = best_fit(n, capacity)
         out = pdf[_KEYS].assign(part=key[0], bin=b, offset=off, round=turn, part_bins=int(b.max()) + 1, part_bound=lower_bound(n, capacity))
-        return out.assign(bin_tokens=np.bincount(b, weights=n).astype(np.int64)[b])
+        filled = np.bincount(b, weights=n).astype(np.int64)
+        return out.assign(bin_tokens=filled[b], least_filled=b == int(filled.argmin()))
 
     part = F.pmod(F.xxhash64(F.lit(turn), "doc_id", "piece", "ids_crc32"), F.lit(parts)).alias("part")
     return rows.select(*_KEYS, part).groupBy("part").applyInPandas(one, _PACKED)
@@ -184,17 +187,18 @@ def pack(items: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS,
     for turn in range(rounds + 1):
         if not count:
             break
-        packed = settle(_pack(todo, -(-count // part_rows), turn, capacity), f"packed{turn}")
-        bins = packed.groupBy("part").agg(F.first("part_bins").alias("bins"), F.first("part_bound").alias("bound"))
-        used, bound = bins.agg(F.sum("bins"), F.sum("bound")).first()
+        parts = -(-count // part_rows)
+        packed = settle(_pack(todo, parts, turn, capacity), f"packed{turn}")
+        used = packed.groupBy("part").agg(F.first("part_bins").alias("bins")).agg(F.sum("bins")).first()[0]
         if held is not None and used >= held_bins:  # the exchange saved nothing
             done.append(held)
             break
-        if turn == rounds or used == bound or count <= part_rows:
+        if turn == rounds or parts == 1:
             done.append(packed)
             break
-        # certified parts and full bins stay; the other bins' pieces are exchanged
-        stays = (F.col("part_bins") == F.col("part_bound")) | (F.col("bin_tokens") == capacity)
+        # full bins stay, and of certified parts all but the least filled; the other bins' pieces are exchanged
+        certified = F.col("part_bins") == F.col("part_bound")
+        stays = (certified & ~F.col("least_filled")) | (F.col("bin_tokens") == capacity)
         done.append(packed.where(stays))
         held = packed.where(~stays)
         held_bins, count = held.agg(F.countDistinct("part", "bin"), F.count(F.lit(1))).first()
