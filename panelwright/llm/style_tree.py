@@ -56,7 +56,7 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd"
         "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
 _TAG = re.compile(r"""<(?:!--(?:.*?(?:-->|\Z))|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*+)[^>]*+>|[!?/][^>]*+>)""", re.S)
-_ATTR = re.compile(r"""(?i)(?:^|\s)(class|id|role|hidden|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_ATTR = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -76,7 +76,9 @@ def _signed(h: int) -> int:
 
 def _style(tag: str, attrs: str) -> tuple[str, bool, bool]:
     """Style name of a start tag, whether it is furniture by name or role, whether it declares the article."""
-    found = {a.lower(): v.strip("\"'") for a, v in _ATTR.findall(attrs)} if attrs and not attrs.isspace() else {}
+    found: dict[str, str] = {}
+    for name, value in _ATTR.findall(attrs):
+        found.setdefault(name.lower(), value.strip("\"'"))
     names = f"{found.get('class', '')} {found.get('id', '')}"
     words = [w.lower() for w in _NAME.findall(names)]
     role = found.get("role", "").lower()

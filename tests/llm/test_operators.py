@@ -57,6 +57,11 @@ def test_style_tree_cuts_templates_and_furniture(spark):
     assert style_tree.main_texts(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_words_inside_attribute_values_are_no_attributes():
+    page = '<article><p title="a hidden gem, class=ad">one <i data-x="role=search">two</i>three</p><p hidden>no</p><div CLASS=\'Side Nav-Bar\'>no</div><p>4 < 5 &lt; 6'
+    assert style_tree.extract(page) == "one twothree\n\n4 < 5 < 6"
+
+
 def test_style_tree_importance_by_hand(spark):
     # two styles on four pages, 3:1; one text on all pages, one on each alone
     rows = [("h", 7, 0, 1 if p < 3 else 2, [7], p) for p in range(4)] + [("h", 8, 1, 5, [7, 8], p) for p in range(4)] + [("h", 9, 1, 10 + p, [7, 9], p) for p in range(4)]
