@@ -17,13 +17,11 @@ an empty table gives an empty result.
 
 from __future__ import annotations
 
-import base64
 import json
 import zlib
 from bisect import bisect_left, insort
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
