@@ -12,7 +12,6 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelwright.functions.scalar import col
 from panelwright.scale import Scale
 
 

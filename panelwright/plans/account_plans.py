@@ -8,9 +8,9 @@ from panelwright.operators import aggregates as agg
 from panelwright.operators import evaluation as E
 from panelwright.operators.asof import at_offset
 from panelwright.operators.xsection import rank_bins
-from panelwright.plans.common import KS, keyed, keyed_sql
+from panelwright.plans.common import keyed, keyed_sql
 from panelwright.plans.registry import query
-from panelwright.plans.sql import (ACCOUNT_CTES, avg_rank, day, on_account, on_events, on_scored, pct_rank, quintile, r, scorr)
+from panelwright.plans.sql import avg_rank, day, on_account, on_events, on_scored, pct_rank, r, scorr
 from panelwright.sources.panels import cross_section, events, scale_of, scored
 
 D = f"{day()} AS date"

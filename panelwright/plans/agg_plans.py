@@ -6,7 +6,7 @@ from panelwright.functions.scalar import day_text, first_argmax, fixed_bins, rou
 from panelwright.operators import aggregates as agg
 from panelwright.operators.evaluation import rank_ic
 from panelwright.plans.registry import query
-from panelwright.plans.sql import ATTR_CTES, avg_rank, day, on_panel, on_scored, quintile, r
+from panelwright.plans.sql import ATTR_CTES, avg_rank, day, on_panel, on_scored, r
 from panelwright.sources.panels import cross_section, panel, scored, with_attributes
 
 D = f"{day()} AS date"

@@ -2,17 +2,15 @@
 
 from pyspark.sql import functions as F
 
-from panelwright.functions.scalar import day_text, rounded
+from panelwright.functions.scalar import rounded
 from panelwright.operators import account as P
 from panelwright.operators import audit as Q
 from panelwright.operators import models as M
 from panelwright.operators import signals as G
-from panelwright.operators import timeseries as ts
 from panelwright.plans.registry import query
-from panelwright.plans.sql import day, on_events, on_panel, on_scored, r
-from panelwright.plans.window_plans import W
+from panelwright.plans.sql import on_events, on_panel, on_scored, r
 from panelwright.sources import io
-from panelwright.sources.panels import cross_section, events, listed_quotes, panel, scale_of, score_quotes, scored, stage
+from panelwright.sources.panels import cross_section, events, listed_quotes, scale_of, score_quotes, scored, stage
 
 CUT = "1999-06-28"
 COLS = ["resid", "mom", "score"]

@@ -3,22 +3,19 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from panelwright.functions.scalar import day_text, fixed_bins, ratio, rounded
+from panelwright.functions.scalar import day_text, fixed_bins, rounded
 from panelwright.operators import account as P
 from panelwright.operators import aggregates as agg
 from panelwright.operators import attribution as AT
 from panelwright.operators import crosstools as ct
 from panelwright.operators import diagnostics as DG
-from panelwright.operators import evaluation as E
 from panelwright.operators import features as X
-from panelwright.operators import membership as MB
 from panelwright.operators import models as M
 from panelwright.operators import signals as G
 from panelwright.operators import timeseries as ts
 from panelwright.operators.asof import at_offset
 from panelwright.operators.xsection import rank_bins
 from panelwright.plans import feature_plans as FP
-from panelwright.plans.account_plans import _DN
 from panelwright.plans.common import KS, keyed, keyed_sql
 from panelwright.plans.registry import query
 from panelwright.plans.signal_plans import AGE

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from panelwright.functions.scalar import clip, day_text, positive, ratio, rounded
+from panelwright.functions.scalar import day_text, positive, ratio, rounded
 from panelwright.operators import asof as A
 from panelwright.operators import disclosures as DS
 from panelwright.operators import features as X

@@ -11,11 +11,10 @@ from panelwright.operators import select as sel
 from panelwright.operators import signals as G
 from panelwright.operators import timeseries as ts
 from panelwright.plans import feature_plans as FP
-from panelwright.plans.common import KS, keyed, keyed_sql
+from panelwright.plans.common import KS, keyed
 from panelwright.plans.registry import query
 from panelwright.plans.sql import centered, day, on_scored, r
-from panelwright.plans.window_plans import W, _frame, _roll
-from panelwright.sources.panels import (cross_section, events, panel, scale_of, scored, stable, with_attributes)
+from panelwright.sources.panels import cross_section, events, panel, scale_of, scored, with_attributes
 
 LAGS = 8
 STATE = ["mom", "liq", "vol", "size", "range_ratio"]

@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from panelwright.functions.scalar import ratio
 from panelwright.operators import features as X
 from panelwright.operators import signals as G
 from panelwright.operators import timeseries as ts
@@ -10,9 +9,9 @@ from panelwright.operators.attribution import PARTS, parts_by_age
 from panelwright.plans import feature_plans as FP
 from panelwright.plans.common import KS, keyed, keyed_sql
 from panelwright.plans.registry import query
-from panelwright.plans.sql import (EVENT_CTES, FINS_CTES, SCORED_CTES, centered, day, ewma, on_events, on_panel, on_scored, pct_rank, quintile, r)
+from panelwright.plans.sql import FINS_CTES, day, ewma, on_events, on_scored, pct_rank, r
 from panelwright.plans.window_plans import W, _roll
-from panelwright.sources.panels import cross_section, events, panel, scored, stable
+from panelwright.sources.panels import cross_section, events, scored, stable
 
 CR = FP.CR
 

@@ -9,8 +9,8 @@ from panelwright.operators import timeseries as ts
 from panelwright.operators.xsection import rank_bins
 from panelwright.plans.common import KS, keyed, keyed_sql
 from panelwright.plans.registry import query
-from panelwright.plans.sql import (ATTR_CTES, FINS_CTES, avg_rank, centered, day, on_panel, pct_rank, quintile, r)
-from panelwright.sources.panels import (cross_section, disclosures, panel, with_attributes)
+from panelwright.plans.sql import ATTR_CTES, avg_rank, centered, day, on_panel, pct_rank, quintile, r
+from panelwright.sources.panels import cross_section, panel, with_attributes
 
 N = "count(*) OVER (PARTITION BY date)"
 
