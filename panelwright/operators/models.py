@@ -247,6 +247,19 @@ def boosted_trees(train: DataFrame, features, label: str, seed: int = 104729, ro
     return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep"), gbt]).fit(train)
 
 
+def yearly_boosted_trees(df: DataFrame, features, label: str, min_rows: int = 2_000, min_leaf: int = 500) -> DataFrame:
+    """``prediction`` for every ``year`` of ``df`` with enough mature training rows; no rows where none has."""
+    from panelwright.operators.select import mature_rows
+
+    out = df.withColumn("prediction", F.lit(None).cast("double")).where("false")
+    for year in sorted(r.year for r in df.select("year").distinct().collect()):  # one fit per year of the calendar
+        train = mature_rows(df, f"{year}-01-01")
+        if train.count() >= min_rows:
+            one = boosted_trees(train, features, label, min_leaf=min_leaf).transform(df.where(F.col("year") == year))
+            out = out.unionByName(one.select(*out.columns))
+    return out
+
+
 def coefficient_stability(coefs: DataFrame, by=("feature",)) -> DataFrame:
     """Per feature: fits, non-zero fits, sign agreement and size over folds."""
     s = F.signum("coef")

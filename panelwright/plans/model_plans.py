@@ -174,13 +174,9 @@ def _(spark, sf):
 
 @query("m_05_boosted_trees")
 def _(spark, sf):
-    """One model a year on all labels mature by then; missing states are a value below all others."""
+    """One model a year on all labels mature by then, in years with 2,000 of them; missing states are a value below all others."""
     d = _state_panel(spark, sf).where("y is not null").fillna(M.MISSING, STATE)
-    p = None
-    for year in range(2000, 1 + int(d.agg(F.max("year")).first()[0] or 0)):  # one fit per year of the calendar
-        model = M.boosted_trees(sel.mature_rows(d, f"{year}-01-01"), STATE, "y", min_leaf=500)
-        one = model.transform(d.where(F.col("year") == year))
-        p = one if p is None else p.unionByName(one)
+    p = M.yearly_boosted_trees(d, STATE, "y")
     ic = E.rank_ic(p, "prediction", "y", cross_section(spark, sf))
     return ic.select(day_text().alias("date"), rounded("rankic", 6).alias("rankic"))
 

@@ -279,3 +279,13 @@ def test_guarded_read_and_manifest(spark, tmp_path):
     assert flags == {"0": True, "1": False}
     with pytest.raises(ValueError):
         io.union_history(d, d.limit(1), ["id"])
+
+
+def test_yearly_trees_fit_every_year_with_enough_rows(spark):
+    rng = np.random.default_rng(3)
+    days = [d.date() for d in pd.date_range("1995-01-02", "1997-12-31", freq="W")]
+    rows = [(d, d.year, k, float(x), float(x + 0.1 * e)) for k, d in enumerate(days) for x, e in rng.normal(size=(45, 2))]
+    df = spark.createDataFrame(rows, "date date, year int, ord long, x double, y double")
+    got = {r.year: r.n for r in models.yearly_boosted_trees(df, ["x"], "y").where("prediction is not null").groupBy("year").agg(F.count("*").alias("n")).collect()}
+    assert got == {y: sum(r[1] == y for r in rows) for y in (1996, 1997)}
+    assert models.yearly_boosted_trees(df.where("ord < 40"), ["x"], "y").count() == 0
