@@ -5,8 +5,8 @@ the root).  A node's presentation importance is the entropy of its child
 sequences over the host's pages: a template looks alike everywhere, an article
 does not.  Its content importance is one minus the mean entropy of its text
 blocks: a block that stands on every page says nothing.  A branch's importance
-is the mean over its nodes, deeper ones counting less.  Branches of low
-importance are cut from each page, besides elements whose tag, role or class
+is the mean over its nodes at any depth, deeper ones counting less.  Branches
+of low importance without any branch of more below are cut from each page, besides elements whose tag, role or class
 name declares them page furniture; what an article element declares as text
 (paragraphs, headings, quotes) is never cut by statistics.
 
@@ -37,6 +37,8 @@ LEAST_IMPORTANCE, LEAST_PAGES, DEPTH_WEIGHT = 0.3, 8, 0.9
 #: Most low branches that are sent to every executor.
 BROADCAST_PATHS = 500_000
 SALTS = 32
+#: Ancestors in one Arrow batch of node values.
+BATCH_ANCESTORS = 1 << 20
 
 # Elements and names by their meaning in pages.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -187,27 +189,40 @@ def host(url) -> F.Column:
     return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)", 1))
 
 
+def _chain(n: Node) -> list[int]:
+    """Keys from below the root to the node, however deep."""
+    keys = []
+    while n.parent is not None:
+        keys.append(n.key)
+        n = n.parent
+    return keys[::-1]
+
+
 def nodes_of(pages: DataFrame) -> DataFrame:
     """Presentation (kind 0) and content (kind 1) values of each page's nodes that no role removes."""
 
     def run(batches):
         for b in slices(batches, "html"):
-            out = []
+            out, held = [], 0
             for h, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 blocks, nodes, _ = read(text)
                 page = _signed(xxhash.xxh64_intdigest("\n".join(t for _, t in blocks)))
                 looks: dict[int, list[str]] = {}
-                chains: dict[int, list[int]] = {}
+                holders: dict[int, Node] = {}
                 for n in nodes:
                     if n.dropped:
                         continue
                     looks.setdefault(n.key, []).append(" ".join(n.children))
-                    if n.key not in chains:
-                        chains[n.key] = chains.get(n.parent.key, [])[-15:] + [n.key]
-                for key, seen in looks.items():
-                    out.append((h, key, 0, _signed(xxhash.xxh64_intdigest("|".join(seen))), chains[key], page))
-                for n, t in {(n.key, t): (n, t) for n, t in blocks if not n.dropped and n.key in chains}.values():
-                    out.append((h, n.key, 1, _signed(xxhash.xxh64_intdigest(t)), chains[n.key], page))
+                    holders.setdefault(n.key, n)
+                values = [(key, 0, "|".join(seen)) for key, seen in looks.items()]
+                values += dict.fromkeys((n.key, 1, t) for n, t in blocks if not n.dropped and n.key in holders)
+                for key, kind, value in values:
+                    chain = _chain(holders[key])
+                    out.append((h, key, kind, _signed(xxhash.xxh64_intdigest(value)), chain, page))
+                    held += len(chain)
+                    if held >= BATCH_ANCESTORS:
+                        yield record(_ROWS, list(zip(*out)))
+                        out, held = [], 0
             yield record(_ROWS, list(zip(*out)) if out else [[]] * len(_ROWS))
 
     return pages.select(host("url").alias("host"), "html").where("host <> ''").mapInArrow(
@@ -237,8 +252,14 @@ def importance(rows: DataFrame) -> DataFrame:
 
 
 def low_branches(pages: DataFrame, least: float = LEAST_IMPORTANCE, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """``host, branch`` to cut."""
-    return importance(nodes_of(pages)).where((F.col("importance") < least) & (F.col("pages") >= least_pages)).select("host", "branch")
+    """``host, branch`` to cut: of low importance, as is every branch below."""
+    rows = settle(nodes_of(pages), "nodes")
+    found = settle(importance(rows), "importance")
+    high = found.where(F.col("importance") >= least).select("host", F.col("branch").alias("path"))
+    chains = rows.where("kind = 0").groupBy("host", "path").agg(F.first("ancestors").alias("ancestors"))
+    above = chains.join(high, ["host", "path"]).select("host", F.explode("ancestors").alias("branch")).distinct()
+    low = found.where((F.col("importance") < least) & (F.col("pages") >= least_pages)).select("host", "branch")
+    return low.join(above, ["host", "branch"], "left_anti")
 
 
 _TEXTS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])

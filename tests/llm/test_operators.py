@@ -73,6 +73,14 @@ def test_style_tree_importance_by_hand(spark):
     assert got[7] == pytest.approx((4 * looks + 0.9 * 4 * (0 + 1)) / (4 + 0.9 * 8))
 
 
+def test_style_tree_keeps_an_article_below_thirty_wrappers(spark):
+    page = "<body>" + "".join(f'<div class="wrap{chr(97 + k % 26)} level{chr(97 + k // 26)}">' for k in range(30)) + '<div class="story"><p>%s</p><p>%s</p></div><div class="tpl">Same on all pages</div>' + "</div>" * 30
+    rows = [(i, f"http://deep.example/{i}", page % (f"first {i}", f"second {i * 7}")) for i in range(10)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert max(len(r.ancestors) for r in style_tree.nodes_of(df).collect()) == 33
+    assert {r.page_id: r.text for r in style_tree.main_texts(df).collect()} == {i: f"first {i}\n\nsecond {i * 7}" for i in range(10)}
+
+
 # ------------------------------------------------------------------ 2, 9
 
 def test_toxicity_grammar_kinds():
