@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelwright.llm import bottomk, bpe, langid, line_dedup, matroska, packing, sharding, simhash, style_tree, toxicity
+from panelwright.llm import bottomk, bpe, langid, line_dedup, matroska, packing, sharding, simhash, style_tree, token_store, toxicity, vafile, whitening
 from panelwright.llm.common import table
 from panelwright.llm.registry import query
 
@@ -97,3 +97,48 @@ def op9(spark, folder):
 @query("op10_bottomk")
 def op10(spark, folder):
     return bottomk.edited_pairs(table(spark, folder, "documents"))
+
+
+@query("op11_token_store")
+def op11(spark, folder):
+    return token_store.documents(token_store.write(table(spark, folder, "documents"), tokenizer("word_bpe_49k.json")))
+
+
+@query("op12_whitening")
+def op12(spark, folder):
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
+def _clusters_sql(rounds: int = 10) -> str:
+    """Rounds written out: distances of all vectors to all centroids, ties to the smaller number."""
+    steps = """
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS row_id, vec_id, list_transform(embedding, lambda c: CAST(floor(1024 * CAST(c AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda c: c IS NOT NULL AND isfinite(c))) = 64
+), parts AS MATERIALIZED (SELECT row_id, unnest(x) AS v, unnest(range(64)) AS i FROM kept
+), c0 AS MATERIALIZED (
+  SELECT k, unnest(x) AS v, unnest(range(64)) AS i FROM (
+    SELECT row_number() OVER (ORDER BY sha256('3:' || coalesce(CAST(vec_id AS VARCHAR), '')), x) - 1 AS k, x FROM kept) WHERE k < 8
+)"""
+    for r in range(rounds + 1):
+        steps += f""", a{r} AS MATERIALIZED (
+  SELECT row_id, min(d * 8 + k) % 8 AS k, min(d * 8 + k) // 8 AS d FROM (
+    SELECT p.row_id, c.k, sum((p.v - c.v) * (p.v - c.v)) AS d FROM parts p JOIN c{r} c USING (i) GROUP BY 1, 2) GROUP BY 1
+)"""
+        if r < rounds:
+            steps += f""", c{r + 1} AS MATERIALIZED (
+  SELECT c.k, c.i, coalesce(m.v, c.v) AS v FROM c{r} c LEFT JOIN (
+    SELECT a.k, p.i, CAST((sum(p.v) - (sum(p.v) % count(*) + count(*)) % count(*)) // count(*) AS BIGINT) AS v
+    FROM a{r} a JOIN parts p USING (row_id) GROUP BY 1, 2) m ON m.k = c.k AND m.i = c.i
+)"""
+    return steps + f"""
+SELECT kept.vec_id, CAST(a.k AS INTEGER) AS cluster, CAST(a.d AS BIGINT) AS distance,
+       CAST(sum(a.d) OVER (PARTITION BY a.k) AS BIGINT) AS cluster_inertia, CAST(sum(a.d) OVER () AS BIGINT) AS inertia, s.centroid_sha256
+FROM a{rounds} a JOIN kept USING (row_id)
+JOIN (SELECT k, sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY k) s ON s.k = a.k
+"""
+
+
+@query("op13_vafile", _clusters_sql())
+def op13(spark, folder):
+    return vafile.cluster(table(spark, folder, "embeddings"))

@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 def test_names_and_sql(spark):
     import __spark_entry__
 
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(__spark_entry__.queries())
     for name, sql in ORACLE.items():
         assert compare(spark, connect(SF), name, QUERIES[name], sql, SF).startswith("OK")
