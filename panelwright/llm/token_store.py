@@ -35,8 +35,8 @@ from panelwright.sources.io import shared_folder
 
 #: Bytes and documents of a chunk, expected keys of a bucket, bits per key of a level.
 CHUNK_BYTES, CHUNK_ROWS, BUCKET_KEYS, LOAD = 256 << 10, 4096, 32_768, 2
-#: Words whose ids a worker remembers, and the longest word that is remembered.
-REMEMBERED, LONGEST = 200_000, 64
+#: Words whose ids a worker remembers, and the longest word that is remembered, in bytes.
+REMEMBERED, LONGEST = 400_000, 64
 
 
 # ---------------------------------------------------------------- ids
@@ -45,9 +45,14 @@ class Coder:
     """A tokenizer of the library with a memory of words.
 
     White space ends a token in tokenizers that drop it, so the ids of a text
-    are those of its words.  Others get whole texts.
+    are those of its words.  Where it also parts letters from punctuation and
+    folds case, words are looked up without closing punctuation and in lower
+    case.  Tokenizers that keep white space get whole texts.
     """
 
+    #: ASCII punctuation that is never part of a contraction or a special token.
+    CLOSING = b".,;:!?\")]}%&$#*"
+
     def __init__(self, spec: str):
         import os
 
@@ -57,34 +62,56 @@ class Coder:
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.by_word = self.drops_space()
-        self.memory: dict[str, bytes] = {}
-
-    def drops_space(self) -> bool:
-        """Whether words are encoded alike alone and beside others, for words of several kinds."""
-        words = ["a", "The", "don't", "x1y22", "é", "é", "́", "...", "'s", "ΑΣ", "<|endoftext|>", "日本", "🙂", "﻿", "ﬁ", "́a"]
+        self.words: dict[bytes, bytes] = {}
+        self.parts: dict[bytes, bytes] = {}
+        # the rules that words are taken apart by, tried on words of several kinds
+        words = ["a", "The", "don't", "x1y22", "é", "é", "́", "...", "'s", "ΑΣ", "<|endoftext|>", "日本", "🙂", "﻿", "ﬁ", "́a"]
         one = {w: self.whole(w) for w in words}
-        return all(self.whole(f"{a}{gap}{b}") == one[a] + one[b] for a in words for b in words for gap in (" ", "\n", "\t "))
+        self.by_word = all(self.whole(f"{a}{gap}{b}") == one[a] + one[b] for a in words for b in words for gap in (" ", "\n", "\t\r ", "\x0b", "\f"))
+        plain, marks = [w for w in words if w.isascii() and w[-1].isalnum()], [chr(c) for c in self.CLOSING]
+        self.by_part = self.by_word and all(self.whole(f"{w}{m}{n}") == one[w] + self.whole(m + n) for w in plain for m in marks for n in ["", *marks]) \
+            and all(self.whole(w) == self.whole(w.lower()) for w in ("The", "ABC", "mIxEd9", "Z"))
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def ids(self, text: str) -> bytes:
-        """The text's ids as little-endian 32-bit numbers."""
+    def learn(self, words: list[bytes]) -> None:
+        """Encode new words side by side, as one text, and remember the ids of each."""
+        texts = [w.decode("utf-8", "surrogatepass") for w in words]
+        e = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+        begins = np.cumsum([0, *map(len, texts[:-1])]) + np.arange(len(texts))
+        starts = np.fromiter((o[0] for o in e.offsets), np.int64, len(e.offsets))
+        ends = 4 * np.cumsum(np.bincount(np.searchsorted(begins, starts, "right") - 1, minlength=len(texts)))
+        buffer, at = np.array(e.ids, "<u4").tobytes(), 0
+        for w, end in zip(words, ends.tolist()):
+            self.parts[w], at = buffer[at:end], end
+
+    def split(self, word: bytes) -> tuple[bytes, bytes]:
+        """A word without its closing punctuation, in lower case where that is plain, and the punctuation."""
+        stem = word.rstrip(self.CLOSING) if self.by_part else word
+        if not stem[-1:].isalnum():
+            return word, b""
+        return stem.lower() if self.by_part and stem.isalnum() else stem, word[len(stem):]
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids as little-endian 32-bit numbers."""
         if not self.by_word:
-            return self.whole(text)
-        words = [w for w in text.replace("\n", " ").replace("\t", " ").split(" ") if w]
-        memory = self.memory
-        new = list({w for w in words if w not in memory and len(w) <= LONGEST})
-        if len(memory) + len(new) > REMEMBERED:
-            memory.clear()
-            new = list({w for w in words if len(w) <= LONGEST})
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            memory[w] = np.array(e.ids, "<u4").tobytes()
-        try:
-            return b"".join([memory[w] for w in words])
-        except KeyError:
-            return b"".join([memory[w] if w in memory else self.whole(w) for w in words])
+            return [self.whole(t) for t in texts]
+        if len(self.words) > REMEMBERED:
+            self.words.clear()
+        if len(self.parts) > REMEMBERED:
+            self.parts.clear()
+        split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
+        words, parts = self.words, self.parts
+        new = [w for w in set().union(*split) if w not in words]
+        once = {w: self.whole(w.decode("utf-8", "surrogatepass")) for w in new if len(w) > LONGEST}
+        own = {w: self.split(w) for w in new if len(w) <= LONGEST}
+        if fresh := {p for both in own.values() for p in both if p and p not in parts}:
+            self.learn(list(fresh))
+        for w, (stem, tail) in own.items():
+            words[w] = parts[stem] + parts[tail] if tail else parts[stem]
+        look = words.__getitem__ if not once else lambda w: once[w] if w in once else words[w]
+        return [b"".join(map(look, ws)) for ws in split]
 
 
 _CODERS: dict[int, Coder] = {}
@@ -279,8 +306,8 @@ def _encode(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         held, size, chunk, start, last, again = [], 0, 0, 0, (False, None), 0
         for b in slices(batches):
             out: list[tuple] = []
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = c.ids(text) + end
+            for i, own in zip(b.column(0).to_pylist(), c.ids(b.column(1).to_pylist())):
+                ids = own + end
                 if held and (size + len(ids) > CHUNK_BYTES or len(held) == CHUNK_ROWS):
                     out.append((shard, chunk, b"".join(held), *[None] * 5))
                     held, size, chunk = [], 0, chunk + 1

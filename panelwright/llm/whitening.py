@@ -75,7 +75,7 @@ def sums(fit: DataFrame, dims: int) -> tuple[int, list[int], int]:
 def _products(y: np.ndarray, widest: int) -> np.ndarray:
     """Exact cross-products of whole numbers, in blocks that double precision holds."""
     rows = (1 << 53) // max(1, widest * widest)
-    if rows < 1:
+    if rows < 1 or widest * widest * len(y) >= _LONG:
         return y.T.astype(object) @ y.astype(object)
     total = np.zeros((y.shape[1],) * 2, np.int64)
     for i in range(0, len(y), min(rows, ROWS)):
@@ -121,9 +121,16 @@ def refine(a: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
     lam = np.diag(s) / (1 - np.diag(r))
     off = np.linalg.norm((s - np.diag(lam)).astype(float), 2) + np.linalg.norm(a.astype(float), 2) * np.linalg.norm(r.astype(float), 2)
     gap = lam[None, :] - lam[:, None]
-    apart = np.abs(gap) > 2 * off
-    e = np.where(apart, (s + lam[None, :] * r) / np.where(apart, gap, 1), r / 2)
-    return x + x @ e, lam, apart
+    e = (s + lam[None, :] * r) / np.where(gap == 0, 1, gap)
+    # values that are told apart by more than the error, and whose correction is one of first order
+    apart = (np.abs(gap) > 2 * off) & (np.abs(e) < 1e-3)
+    apart &= apart.T
+    return x + x @ np.where(apart, e, r / 2), lam, apart
+
+
+def orthonormal(x: np.ndarray) -> np.ndarray:
+    """A step of Newton and Schulz: nearly orthonormal columns become so, with their error squared."""
+    return x @ (3 * np.eye(x.shape[1], dtype=x.dtype) - x.T @ x) / 2
 
 
 def clusters(lam: np.ndarray, apart: np.ndarray) -> list[np.ndarray]:
@@ -145,20 +152,25 @@ def eigenvectors(a: np.ndarray, turns: int = 16) -> tuple[np.ndarray, np.ndarray
         return np.zeros(len(a)), np.eye(len(a))
     a = a / scale
     x = np.linalg.eigh(a.astype(np.float32))[1].astype(np.longdouble)
-    goal = np.finfo(np.longdouble).eps * len(a) * 4
-    for _ in range(turns):
+    tiny, best = np.finfo(np.longdouble).eps * len(a), None
+    for turn in range(turns):
         x, lam, apart = refine(a, x)
         for group in clusters(lam, apart):
             # a cluster's vectors span the right space; the shifted projection has its small gaps at full precision
             own = x[:, group]
             shifted = own.T @ (a @ own - own * lam[group].mean())
-            width = np.abs(shifted).max()
-            if width > 0:
-                x[:, group] = own @ np.linalg.eigh(((shifted + shifted.T) / 2 / width).astype(float))[1].astype(np.longdouble)
+            if np.abs(shifted - np.diag(np.diag(shifted))).max() > tiny:
+                turned = np.linalg.eigh(((shifted + shifted.T) / 2 / np.abs(shifted).max()).astype(float))[1]
+                x[:, group] = own @ orthonormal(turned.astype(np.longdouble))
         s = x.T @ a @ x
         wrong = np.abs(s - np.diag(np.diag(s))).max() + np.abs(x.T @ x - np.eye(len(a))).max()
-        if wrong <= goal:
+        if best is None or wrong < best[0]:
+            best = wrong, x
+        elif turn > 4:
+            break
+        if wrong <= tiny:
             break
+    x = orthonormal(best[1])
     x = x / np.sqrt((x * x).sum(axis=0))
     lam = np.einsum("ij,ij->j", x, a @ x)
     order = np.argsort(-lam, kind="stable")

@@ -75,9 +75,10 @@ def test_store_splits_one_id_over_shards(spark):
 
 def test_words_remembered_equal_whole_texts():
     c = token_store.Coder(open(tokenizer(WORDS), encoding="utf-8").read())
-    assert c.by_word
-    for text in ("Don't  STOP\n\tnow", "a b c\x0bd", "é é ́x", "x" * 300 + " y", "<|endoftext|> <|startoftext|>a", " ", "﻿ ẞİ", "a\x00b\x1cc"):
-        assert c.ids(text) == c.whole(text)
+    assert c.by_word and c.by_part
+    texts = ["Don't  STOP\n\tnow", "a b c\x0bd", "é é \u0301x", "x" * 300 + " y", "<|endoftext|> <|startoftext|>a", " ", "", "\ufeff \u1e9e\u0130",
+             "a\x00b\x1cc \x00 \x01", "\u0149 \ufb01n \u01f0 \u03a9\u0308 x", "End. END.) it's, don't!? <|ENDOFTEXT|> <|endoftext|>, \u00e9., x.y.z. 12,5% ''. a\x85b\xa0c\u2003d"]
+    assert c.ids(texts) == [c.whole(t) for t in texts] == c.ids(texts)
     assert not token_store.Coder(open(tokenizer("byte_bpe_50k.json"), encoding="utf-8").read()).by_word
 
 
