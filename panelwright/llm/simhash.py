@@ -145,20 +145,5 @@ def groups(docs: DataFrame, words: int = 4, max_bits: int = MAX_BITS) -> DataFra
     return known.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, words: int = 4, max_bits: int = MAX_BITS) -> DataFrame:
-    """``docs`` with one document of each component: the one that names it.
-
-    Rows that repeat the id of a document that stays are thinned to one;
-    rows without an id are left as they are.
-    """
-    stay = groups(docs, words, max_bits).where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    stay = settle(stay.select(F.col("doc_id").alias("_id"), "n"), "stay")
-    own = docs["doc_id"].cast("long")
-    once, often = stay.where("n = 1"), stay.where("n > 1")
-    plain = docs.join(once, own == once["_id"], "left_semi")
-    again = docs.join(often, own == often["_id"], "left_semi").dropDuplicates(["doc_id"])
-    return plain.unionByName(again).unionByName(docs.where(own.isNull()))
-
-
 def hex_digits(fp: str = "fp") -> Column:
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))

@@ -8,20 +8,24 @@ from panelwright.llm import near_texts, simhash
 from tests.llm.test_operators import ODD, frame, plain_words
 
 
+def plain_shingles(text):
+    return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if (w := plain_words(text)) else set()
+
+
 def plain_similarity(a, b):
-    a, b = ({tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if (w := plain_words(t)) else set() for t in (a, b))
+    a, b = (plain_shingles(t) if isinstance(t, str) or t is None else t for t in (a, b))
     return len(a & b) / len(a | b) if a | b else 1.0
 
 
 def plain_kept(rows):
-    label = list(range(len(rows)))
+    label, sets = list(range(len(rows))), [plain_shingles(t) for _, t in rows]
     for i in range(len(rows)):
         for j in range(i):
-            if label[i] != label[j] and plain_similarity(rows[i][1], rows[j][1]) >= 0.8:
+            if label[i] != label[j] and plain_similarity(sets[i], sets[j]) >= 0.8:
                 label = [label[j] if v == label[i] else v for v in label]
     first: dict = {}
     for v, (i, t) in zip(label, rows):
-        first[v] = min(first.get(v, (True, 0)), (i is None, i or 0))
+        first[v] = min(first.get(v, (True, 1 << 62)), (i is None, i or 0))
     return sorted(first.values())
 
 
@@ -69,4 +73,31 @@ def test_keys_meet_at_the_least_similarity():
         words = [f"w{rng.integers(10 ** 6)}" for _ in range(49)]
         other = edited(rng, words, (20,))
         assert plain_similarity(" ".join(words), other) >= 0.8
-        assert set(near_texts.band_keys(" ".join(words))) & set(near_texts.band_keys(other))
+        for bank in near_texts.BANKS:
+            assert set(bank.keys(" ".join(words))) & set(bank.keys(other))
+
+
+def test_keys_shared_by_many_components_are_finished(spark, monkeypatch):
+    # short keys, so that texts of half their words in common meet in one key, and drifting groups within
+    monkeypatch.setattr(near_texts, "BANKS", (near_texts.Bank(12, 1, 7), near_texts.Bank(64, 8, 8)))
+    rng = np.random.default_rng(9)
+    common, rows = [f"k{i}" for i in range(60)], []
+    for g in range(25):
+        words = common + [f"g{g}x{i}" for i in range(60)]
+        for k in range(4):
+            rows.append((len(rows), edited(rng, words, rng.choice(120, k, False))))
+    got = near_texts.one_of_each(frame(spark, rows)).collect()
+    assert sorted((False, r.doc_id) for r in got) == plain_kept(rows)
+
+
+def test_columns_without_an_order_and_equal_rows(spark):
+    rows = [(1, "one two three four five six", {"a": "1"}), (1, "one two three four five six", {"a": "2"}), (None, "x y", None), (None, "x y", None), (3, None, {}), (4, "", {})]
+    got = near_texts.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, more map<string,string>")).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == [(0, "x y"), (1, "one two three four five six"), (3, None)]
+    assert near_texts.one_of_each(spark.createDataFrame([], "doc_id long, text string, more map<string,string>")).count() == 0
+
+
+def test_recall_on_a_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    assert sorted((False, r.doc_id) for r in near_texts.one_of_each(docs).collect()) == plain_kept(rows)

@@ -187,15 +187,6 @@ def test_components_of_long_paths(spark):
     assert got == {int(n): int(first if k < 300 else second) for k, n in enumerate(names[:399])}
 
 
-def test_one_of_each_keeps_all_columns(spark):
-    docs = frame(spark, ODD)
-    got = simhash.one_of_each(docs)
-    ids = sorted(str(r.doc_id) for r in got.collect())
-    label = plain_components([plain_fingerprint(t) for _, t in ODD])
-    want = {str(min(i for (i, _), x in zip(ODD, label) if x == v and i is not None)) for v in set(label) if any(i is not None for (i, _), x in zip(ODD, label) if x == v)}
-    assert got.columns == docs.columns and ids == sorted(want | {"None"})
-
-
 # ------------------------------------------------------------------ 4
 
 def plain_lines(rows):
