@@ -36,12 +36,12 @@ def text_column(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def slices(batches, column: str = "text"):
+def slices(batches, column: str = "text", most: int = BATCH_ROWS):
     """Cut incoming record batches so that one slice holds a bounded number of rows and bytes."""
     for batch in batches:
         i = batch.schema.get_field_index(column)
         n, start = batch.num_rows, 0
-        step = max(1, min(BATCH_ROWS, n if not n else int(BATCH_BYTES * n / max(1, batch.column(i).nbytes))))
+        step = max(1, min(most, n if not n else int(BATCH_BYTES * n / max(1, batch.column(i).nbytes))))
         while start < n:
             yield batch.slice(start, step)
             start += step

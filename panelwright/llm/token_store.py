@@ -35,7 +35,7 @@ from panelwright.sources.io import shared_folder
 
 #: Bytes and documents of a chunk, expected keys of a bucket, bits per key of a level.
 CHUNK_BYTES, CHUNK_ROWS, BUCKET_KEYS, LOAD = 256 << 10, 4096, 32_768, 2
-#: Words whose ids a worker remembers, and the longest word that is remembered, in bytes.
+#: Words whose ids a worker remembers, twice as many at most, and the longest word that is remembered.
 REMEMBERED, LONGEST = 400_000, 64
 
 
@@ -51,7 +51,7 @@ class Coder:
     """
 
     #: ASCII punctuation that is never part of a contraction or a special token.
-    CLOSING = b".,;:!?\")]}%&$#*"
+    CLOSING = ".,;:!?\")]}%&$#*"
 
     def __init__(self, spec: str):
         import os
@@ -62,56 +62,97 @@ class Coder:
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[bytes, bytes] = {}
+        self.memory: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
         # the rules that words are taken apart by, tried on words of several kinds
         words = ["a", "The", "don't", "x1y22", "é", "é", "́", "...", "'s", "ΑΣ", "<|endoftext|>", "日本", "🙂", "﻿", "ﬁ", "́a"]
         one = {w: self.whole(w) for w in words}
         self.by_word = all(self.whole(f"{a}{gap}{b}") == one[a] + one[b] for a in words for b in words for gap in (" ", "\n", "\t\r ", "\x0b", "\f"))
-        plain, marks = [w for w in words if w.isascii() and w[-1].isalnum()], [chr(c) for c in self.CLOSING]
-        self.by_part = self.by_word and all(self.whole(f"{w}{m}{n}") == one[w] + self.whole(m + n) for w in plain for m in marks for n in ["", *marks]) \
-            and all(self.whole(w) == self.whole(w.lower()) for w in ("The", "ABC", "mIxEd9", "Z"))
+        plain = [w for w in words if w.isascii() and w[-1].isalnum()]
+        self.by_part = self.by_word and all(self.whole(f"{w}{m}{n}") == one[w] + self.whole(m + n) for w in plain for m in self.CLOSING for n in ["", *self.CLOSING]) \
+            and all(self.whole(w) == self.whole(w.lower()) == self.plain([w.lower()])[0] for w in ("The", "ABC", "mIxEdupWord", "Z"))
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, words: list[bytes]) -> None:
+    def plain(self, words: list[str]) -> list[bytes]:
+        """Ids of words of small ASCII letters, which normalising and splitting leave as they are: the model alone."""
+        model = self.tokenizer.model
+        found = [[t.id for t in model.tokenize(w)] for w in words]
+        buffer, at, out = np.array([i for ids in found for i in ids], "<u4").tobytes(), 0, []
+        for ids in found:
+            out.append(buffer[at:at + 4 * len(ids)])
+            at += 4 * len(ids)
+        return out
+
+    def learn(self, texts: list[str]) -> None:
         """Encode new words side by side, as one text, and remember the ids of each."""
-        texts = [w.decode("utf-8", "surrogatepass") for w in words]
+        if self.by_part:
+            plain = [w for w in texts if w.isascii() and w.isalpha() and w.islower()]
+            self.memory.update(zip(plain, self.plain(plain)))
+            texts = [w for w in texts if w not in self.memory]
+            if not texts:
+                return
         e = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
         begins = np.cumsum([0, *map(len, texts[:-1])]) + np.arange(len(texts))
         starts = np.fromiter((o[0] for o in e.offsets), np.int64, len(e.offsets))
         ends = 4 * np.cumsum(np.bincount(np.searchsorted(begins, starts, "right") - 1, minlength=len(texts)))
         buffer, at = np.array(e.ids, "<u4").tobytes(), 0
-        for w, end in zip(words, ends.tolist()):
-            self.parts[w], at = buffer[at:end], end
+        for w, end in zip(texts, ends.tolist()):
+            self.memory[w], at = buffer[at:end], end
 
-    def split(self, word: bytes) -> tuple[bytes, bytes]:
+    def split(self, word: str) -> tuple[str, str]:
         """A word without its closing punctuation, in lower case where that is plain, and the punctuation."""
         stem = word.rstrip(self.CLOSING) if self.by_part else word
-        if not stem[-1:].isalnum():
-            return word, b""
-        return stem.lower() if self.by_part and stem.isalnum() else stem, word[len(stem):]
+        if not (stem[-1:].isalnum() and stem[-1:].isascii()):
+            return word, ""
+        return stem.lower() if self.by_part and stem.isascii() and stem.isalnum() else stem, word[len(stem):]
+
+    def recall(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words; what was asked for lately stays in memory."""
+        if len(self.memory) > REMEMBERED:
+            self.memory, self.older = {"": b""}, self.memory
+        memory, older = self.memory, self.older
+        found = list(map(memory.get, words))
+        new, stems, tails = [], [], []
+        for i in [i for i, f in enumerate(found) if f is None]:
+            w = words[i]
+            if (f := older.get(w)) is not None:
+                memory[w] = found[i] = f
+            elif len(w) > LONGEST:
+                found[i] = self.whole(w)
+            else:
+                stem, tail = self.split(w)
+                new.append(i), stems.append(stem), tails.append(tail)
+        fresh = []
+        for p in {*stems, *tails} - memory.keys():
+            if (f := older.get(p)) is not None:
+                memory[p] = f
+            else:
+                fresh.append(p)
+        if fresh:
+            self.learn(fresh)
+        for i, stem, tail in zip(new, stems, tails):
+            found[i] = memory[words[i]] = memory[stem] + memory[tail] if tail else memory[stem]
+        return found
+
+    def ids(self, texts: pa.Array) -> list[bytes]:
+        """Each text's ids as little-endian 32-bit numbers: distinct words are looked up, all others are array look-ups."""
+        import pyarrow.compute as pc
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian 32-bit numbers."""
         if not self.by_word:
-            return [self.whole(t) for t in texts]
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
-        if len(self.parts) > REMEMBERED:
-            self.parts.clear()
-        split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-        words, parts = self.words, self.parts
-        new = [w for w in set().union(*split) if w not in words]
-        once = {w: self.whole(w.decode("utf-8", "surrogatepass")) for w in new if len(w) > LONGEST}
-        own = {w: self.split(w) for w in new if len(w) <= LONGEST}
-        if fresh := {p for both in own.values() for p in both if p and p not in parts}:
-            self.learn(list(fresh))
-        for w, (stem, tail) in own.items():
-            words[w] = parts[stem] + parts[tail] if tail else parts[stem]
-        look = words.__getitem__ if not once else lambda w: once[w] if w in once else words[w]
-        return [b"".join(map(look, ws)) for ws in split]
+            return [self.whole(t) for t in texts.to_pylist()]
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        found = self.recall(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        values = np.frombuffer(b"".join(found), "<u4")
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        begins, at = np.cumsum(lengths) - lengths, coded.indices.to_numpy()
+        ends = np.cumsum(lengths[at])
+        where = np.repeat(begins[at] - (ends - lengths[at]), lengths[at]) + np.arange(ends[-1] if len(ends) else 0)
+        buffer = values[where].tobytes()
+        stops = 4 * np.r_[0, ends][split.offsets.to_numpy() - split.offsets[0].as_py()]
+        return [buffer[i:j] for i, j in zip(stops.tolist(), stops[1:].tolist())]
 
 
 _CODERS: dict[int, Coder] = {}
@@ -304,9 +345,9 @@ def _encode(docs: DataFrame, path: str, end_id: int) -> DataFrame:
 
         c, shard = coder(spec.value), TaskContext.get().partitionId()
         held, size, chunk, start, last, again = [], 0, 0, 0, (False, None), 0
-        for b in slices(batches):
+        for b in slices(batches, most=8192):
             out: list[tuple] = []
-            for i, own in zip(b.column(0).to_pylist(), c.ids(b.column(1).to_pylist())):
+            for i, own in zip(b.column(0).to_pylist(), c.ids(b.column(1))):
                 ids = own + end
                 if held and (size + len(ids) > CHUNK_BYTES or len(held) == CHUNK_ROWS):
                     out.append((shard, chunk, b"".join(held), *[None] * 5))
