@@ -83,6 +83,46 @@ def future_mutation(inputs: DataFrame, build: Callable[[DataFrame], DataFrame],
     return out
 
 
+def mutated_copy(spark, tables: dict[str, tuple[DataFrame, str | None, tuple]], cut, folder: str, kind: str = "affine") -> str:
+    """Write every table to ``folder`` with all values after ``cut`` altered; keys and dates stay.
+
+    ``tables`` maps a name to its rows, its date column (None: copied as it is)
+    and the columns that must keep their values.  Whatever is then built from
+    the copy has had no honest look at anything later.
+    """
+    for name, (df, date, keep) in tables.items():
+        d = df if date is None else mutate(df, F.col(date) >= cut, kind, skip=(date, *keep))
+        d.write.option("compression", "zstd").parquet(f"{folder}/{name}.parquet")
+    return folder
+
+
+def rebuilt_difference(before: DataFrame, after: DataFrame, cut: str, keys=("date", "code"), planted: str | None = None, tolerance: float = 1e-6) -> DataFrame:
+    """``rows, changed`` of an output up to ``cut`` against the same output of altered inputs.
+
+    Numbers may differ by ``tolerance`` (outputs are rounded), everything else
+    must be equal.  ``planted`` names a column that looks ahead on purpose; it
+    is counted apart, as ``caught``, to show that the audit would see a leak.
+    """
+    keys = list(keys)
+    values = [f for f in before.schema.fields if f.name not in keys]
+    early = lambda d: d.where(F.col("date").cast("date") <= F.lit(cut).cast("date"))
+    right = early(after).select(*keys, *[F.col(f.name).alias(f"_n_{f.name}") for f in values], F.lit(1).alias("_b"))
+    j = early(before).withColumn("_a", F.lit(1)).join(right, keys, "full")
+
+    def same(f):
+        equal = F.col(f.name).eqNullSafe(F.col(f"_n_{f.name}"))
+        if isinstance(f.dataType, NumericType):
+            equal = equal | F.coalesce(F.abs(F.col(f.name) - F.col(f"_n_{f.name}")) <= tolerance, F.lit(False))
+        return equal
+
+    both = F.col("_a").isNotNull() & F.col("_b").isNotNull()
+    ok = reduce(lambda x, f: x & same(f), [f for f in values if f.name != planted], both)
+    counts = [F.count(F.lit(1)).alias("rows"), F.count(F.when(~ok, 1)).alias("changed")]
+    if planted:
+        counts.append(F.count(F.when(~(both & reduce(lambda x, f: x & same(f), [f for f in values if f.name == planted], F.lit(True))), 1)).alias("caught"))
+    return j.agg(*counts)
+
+
 def truncation(inputs: DataFrame, build, cutoff: str, columns) -> DataFrame:
     """Rebuild without any input after the cutoff."""
     cut = F.lit(cutoff).cast("date")

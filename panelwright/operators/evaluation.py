@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import math
-from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelwright.functions.scalar import col
+from panelwright.functions.scalar import col, normal_cdf, normal_quantile
 from panelwright.operators import aggregates as agg
 from panelwright.operators.asof import at_offset
 from panelwright.operators.xsection import CrossSection
@@ -115,21 +114,23 @@ def bootstrap_paired(daily: DataFrame, base: str, other: str, reps: int = 1000,
                    F.avg((F.col("d_sharpe") > 0).cast("double")).alias("positive_fraction"), F.count("*").alias("reps"))
 
 
-def deflated_sharpe(daily: DataFrame, x: str, variance: float, trials: int) -> DataFrame:
-    """Probability that the Sharpe ratio beats the best of ``trials`` null trials.
+def deflated_sharpe(daily: DataFrame, x: str, variance, trials, by=()) -> DataFrame:
+    """Probability that the Sharpe ratio of a series beats the best of ``trials`` null trials.
 
-    Spark reduces the series to its moments; the normal quantiles depend on the
-    trial count only and the normal CDF is applied to that single row.
+    ``variance`` (of Sharpe ratios over the trials) and ``trials`` are numbers
+    or columns; one aggregate of moments per series, the normal distribution as
+    columns.
     """
-    nd, gamma = NormalDist(), 0.5772156649015329
-    best = math.sqrt(max(variance, 0.0)) * ((1 - gamma) * nd.inv_cdf(1 - 1 / trials)
-                                            + gamma * nd.inv_cdf(1 - 1 / (trials * math.e)))
-    row = daily.agg((F.avg(x) / F.stddev_samp(x)).alias("sr"), *agg.moments(x)).first()
-    spread = math.sqrt(max(1 - row["skew"] * row.sr + (row.kurtosis - 1) * row.sr ** 2 / 4, 1e-30))
-    value = nd.cdf((row.sr - best) * math.sqrt(row.n - 1) / spread)
-    return daily.sparkSession.createDataFrame(
-        [(value, row.sr, best, row.n, row["skew"], row.kurtosis)],
-        "dsr double, daily_sr double, threshold double, n long, skew double, kurtosis double")
+    number = lambda v: F.lit(float(v)) if isinstance(v, (int, float)) else col(v)
+    one, many = number(variance), number(trials)
+    gamma = 0.5772156649015329  # Euler's constant
+    highest = (1 - gamma) * normal_quantile(1 - 1 / many) + gamma * normal_quantile(1 - 1 / (many * math.e))
+    d = daily.groupBy(*by).agg((F.avg(x) / F.stddev_samp(x)).alias("daily_sr"), *agg.moments(x),
+                               F.max(F.sqrt(F.greatest(one, F.lit(0.0))) * highest).alias("threshold"))
+    sr = F.col("daily_sr")
+    spread = F.sqrt(F.greatest(1 - F.col("skew") * sr + (F.col("kurtosis") - 1) * sr * sr / 4, F.lit(1e-30)))
+    dsr = normal_cdf((sr - F.col("threshold")) * F.sqrt(F.col("n") - 1) / spread)
+    return d.select(*by, dsr.alias("dsr"), "daily_sr", "threshold", "n", "skew", "kurtosis")
 
 
 def fold_deltas(metrics: DataFrame, reference: str, key="strategy", fold="year", value="net_sharpe") -> DataFrame:

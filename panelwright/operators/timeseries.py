@@ -174,32 +174,54 @@ def spells(df: DataFrame, state: str, keys=("code",)) -> DataFrame:
     )
 
 
+def affine_scan(df: DataFrame, a: str, b: str, out: str, keys=("code", "seg"), span: float = 200.0) -> DataFrame:
+    """Recurrence ``y = a * y_before + b`` over a history, for ``0 <= a <= 1``.
+
+    Affine maps compose to affine maps, so the history is cut into blocks whose
+    composed map is a running product and a rescaled running sum; a block ends
+    before its product falls below ``exp(-span)``, so neither leaves the range
+    of doubles.  Blocks are then composed over their last rows alone.  What
+    lies five blocks back has decayed by more than ``exp(-4 * span)``, which is
+    no double any more, so five compositions give the state of every block and
+    nothing is cut off that the row-by-row recurrence keeps.  Rows with
+    ``a = 0`` start anew; ``a = 1, b = 0`` leaves the state as it is.
+    """
+    w = history(keys)
+    past = w.rowsBetween(UNBOUNDED, 0)
+    d = df.withColumn("_z", F.sum(F.when(F.col(a) > 0, 0).otherwise(1)).over(past))
+    d = d.withColumn("_g", F.floor(F.sum(F.when(F.col(a) > 0, -F.log(a)).otherwise(0.0)).over(past) / span))
+    block = Window.partitionBy(*keys, "_z", "_g").orderBy("date")
+    inside = block.rowsBetween(UNBOUNDED, 0)
+    # the first map of a block stays apart, so that a long decay into it does not scale its own rows
+    d = d.withColumn("_n", F.row_number().over(block))
+    d = d.withColumn("_q", F.product(F.when(F.col("_n") == 1, F.lit(1.0)).otherwise(F.col(a))).over(inside))
+    d = d.withColumns({"_b": F.col("_q") * F.sum(F.col(b) / F.col("_q")).over(inside), "_a": F.col("_q") * F.first(a).over(inside)})
+    after = F.lead(F.struct("_z", "_g")).over(w)
+    d = d.withColumn("_end", F.coalesce(after != F.struct("_z", "_g"), F.lit(True)))
+    before = w.rowsBetween(UNBOUNDED, -1)
+    carry = lambda c: F.coalesce(F.last(F.when(F.col("_end"), F.col(c)), ignorenulls=True).over(before), F.lit(0.0))
+    d = d.withColumn("_s", F.col("_b"))
+    for _ in range(4):
+        d = d.withColumn("_s", F.col("_b") + F.col("_a") * carry("_s"))
+    y = F.col("_b") + F.col("_a") * carry("_s")
+    return d.withColumn(out, y).drop("_z", "_g", "_n", "_q", "_a", "_b", "_s", "_end")
+
+
 def ewma_with_gaps(df: DataFrame, x: str, available: str, alpha: float, out: str,
                    keys=("code", "seg")) -> DataFrame:
     """Smoothing that skips unavailable rows and is zero on them.
 
     After ``g`` skipped rows the old state has decayed ``g + 1`` times against a
-    new weight of ``alpha``; both are renormalised.  The coefficients depend on
-    the gaps, so the available rows of a segment (at most one per calendar
-    date) are folded once, each step adding its state to the list of states,
-    and every row picks its own.
+    new weight of ``alpha``; both are renormalised.  Every available row is one
+    affine map of the state, every other row leaves it.
     """
-    decay = 1.0 - alpha
-    d = df.withColumn("_i", F.row_number().over(history(keys))).withColumn("_ok", F.coalesce(F.col(available), F.lit(False)))
-    d = d.withColumn("_k", F.sum(F.col("_ok").cast("int")).over(history(keys).rowsBetween(UNBOUNDED, 0)))
-    row = F.struct(F.col("_i").alias("i"), F.col(x).cast("double").alias("x"))
-    seen = F.collect_list(F.when(F.col("_ok"), row)).over(history(keys).rowsBetween(0, Window.unboundedFollowing))
-
-    def step(states, now):
-        before = F.get(states, F.size(states) - 1)
-        old = F.pow(F.lit(decay), now["i"] - before["i"])
-        y = F.when(F.size(states) == 0, now["x"]).otherwise((old * before["y"] + alpha * now["x"]) / (old + alpha))
-        return F.concat(states, F.array(F.struct(now["i"].alias("i"), y.alias("y"))))
-
-    empty = F.array().cast("array<struct<i:int,y:double>>")
-    # the fold is done on each segment's first row and handed on, not repeated per row
-    first = F.when(F.col("_i") == 1, F.aggregate("_seen", empty, step))
-    d = d.withColumn("_seen", seen).withColumn("_s", first).drop("_seen")
-    d = d.withColumn("_s", F.first("_s").over(history(keys).rowsBetween(UNBOUNDED, 0)))
-    y = F.when(F.col("_ok"), F.get("_s", F.col("_k").cast("int") - 1)["y"]).otherwise(0.0)
-    return d.withColumn(out, y).drop("_i", "_ok", "_k", "_s")
+    w = history(keys)
+    d = df.withColumn("_ok", F.coalesce(F.col(available), F.lit(False)) & F.col(x).isNotNull())
+    d = d.withColumn("_i", F.row_number().over(w))
+    last = F.last(F.when(F.col("_ok"), F.col("_i")), ignorenulls=True).over(w.rowsBetween(UNBOUNDED, -1))
+    d = d.withColumn("_old", F.pow(F.lit(1.0 - alpha), F.col("_i") - last))
+    first = F.col("_old").isNull()
+    d = d.withColumn("_ca", F.when(~F.col("_ok"), 1.0).when(first, 0.0).otherwise(F.col("_old") / (F.col("_old") + alpha)))
+    d = d.withColumn("_cb", F.when(~F.col("_ok"), 0.0).when(first, F.col(x)).otherwise(alpha * F.col(x) / (F.col("_old") + alpha)))
+    d = affine_scan(d, "_ca", "_cb", "_y", keys)
+    return d.withColumn(out, F.when(F.col("_ok"), F.col("_y")).otherwise(0.0)).drop("_ok", "_i", "_old", "_ca", "_cb", "_y")

@@ -179,11 +179,11 @@ class CrossSection:
         return d.withColumn(out, F.col(x) - F.col("__m")).drop("__m")
 
     # -- portfolio groups ---------------------------------------------------
-    def quintile(self, df, score: str, q: str = "q", weight: str = "w", tie=("code",)):
+    def quintile(self, df, score: str, q: str = "q", weight: str = "w", tie=("code",), by=DATE):
         """Official five groups and weights; dates with fewer than five rows have none."""
         d = df.withColumn("__s", F.coalesce(F.col(score), F.lit(0.0)))
-        d = self.first_rank(d, "__s", "__r", tie=tie)
-        d = self.attach(d, __n=F.count(F.lit(1)))
+        d = self.first_rank(d, "__s", "__r", by=by, tie=tie)
+        d = self.attach(d, by, __n=F.count(F.lit(1)))
         return groups_from_rank(d, "__r", "__n", q, weight).drop("__s", "__r", "__n")
 
 

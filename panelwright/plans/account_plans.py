@@ -1,5 +1,8 @@
 """Portfolio accounts and evaluation statistics of the scored panel."""
 
+import math
+from statistics import NormalDist
+
 from pyspark.sql import functions as F
 
 from panelwright.functions.scalar import day_text, rounded
@@ -217,9 +220,35 @@ def _(spark, sf):
                     rounded("positive_fraction").alias("positive_fraction"), "reps")
 
 
-@query("e_07_deflated_sharpe")
+def _horner(x, values):
+    out = str(values[0])
+    for v in values[1:]:
+        out = f"({out} * {x} + {v})"
+    return out
+
+
+# Numerator and denominator of the published rational form of the normal distribution function.
+_UP = (0.0352624965998911, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376)
+_DOWN = (0.0883883476483184, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752)
+_TRIALS = (5, 20, 100)
+
+
+def _threshold(trials, variance=0.0005):
+    nd, g = NormalDist(), 0.5772156649015329
+    return math.sqrt(variance) * ((1 - g) * nd.inv_cdf(1 - 1 / trials) + g * nd.inv_cdf(1 - 1 / (trials * math.e)))
+
+
+@query("e_07_deflated_sharpe", on_account(f"""
+SELECT trials, CAST(n AS BIGINT) AS n, {r('CASE WHEN z > 0 THEN 1 - tail ELSE tail END')} AS dsr, {r('sr')} AS daily_sr, {r('best')} AS threshold, {r('sk', 6)} AS skew, {r('ku', 6)} AS kurtosis
+FROM (SELECT *, exp(-z * z / 2) * {_horner('abs(z)', _UP)} / {_horner('abs(z)', _DOWN)} AS tail FROM (
+  SELECT *, (sr - best) * sqrt(n - 1) / sqrt(greatest(1 - sk * sr + (ku - 1) * sr * sr / 4, 1e-30)) AS z FROM (
+    SELECT count(net) AS n, avg(net) / stddev_samp(net) AS sr, skewness(net) AS sk, kurtosis(net) + 3 AS ku FROM daily)
+  CROSS JOIN (VALUES {', '.join(f'({t}, {_threshold(t)!r}::DOUBLE)' for t in _TRIALS)}) v(trials, best)))"""))
 def _(spark, sf):
-    return E.deflated_sharpe(_daily(spark, sf), "net", 0.0005, 20)
+    """For three numbers of trials; all are columns, so one aggregate serves them."""
+    d = _daily(spark, sf).select("net", F.explode(F.array(*map(F.lit, _TRIALS))).alias("trials"))
+    e = E.deflated_sharpe(d, "net", 0.0005, "trials", by=["trials"])
+    return e.select("trials", "n", *_cols(e, ["dsr", "daily_sr", "threshold"], 8), *_cols(e, ["skew", "kurtosis"], 6))
 
 
 # Three strategies accounted in one pass: the score, its negative and the raw momentum.

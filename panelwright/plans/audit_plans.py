@@ -2,15 +2,16 @@
 
 from pyspark.sql import functions as F
 
-from panelwright.functions.scalar import rounded
+from panelwright.functions.scalar import day_text, rounded
 from panelwright.operators import account as P
 from panelwright.operators import audit as Q
 from panelwright.operators import models as M
 from panelwright.operators import signals as G
-from panelwright.plans.registry import query
+from panelwright.operators import timeseries as ts
+from panelwright.plans.registry import ORACLE, QUERIES, query
 from panelwright.plans.sql import on_events, on_panel, on_scored, r
 from panelwright.sources import io
-from panelwright.sources.panels import cross_section, events, listed_quotes, scale_of, score_quotes, scored, stage
+from panelwright.sources.panels import cross_section, events, listed_quotes, panel, scale_of, score_quotes, scored, stage, table
 
 CUT = "1999-06-28"
 COLS = ["resid", "mom", "score"]
@@ -39,6 +40,40 @@ def _(spark, sf):
     return Q.future_mutation(_quotes(spark, sf), _build(spark, sf), CUT, COLS)
 
 
+#: Outputs that are rebuilt from altered inputs, with their keys.
+REBUILT = {"f_06_price_impact": ("date", "code"), "f_30_cfo_state": ("date", "code"), "m_09_walk_forward": ("date", "code"),
+           "g_10_score_stitching": ("date", "code"), "d_29_event_trace": ("date", "code", "side")}
+#: First altered day: the quotes of the week of the cut are whole before it.
+ALTERED = "1999-07-05"
+
+
+def _altered(spark, sf):
+    """A copy of all inputs of the panel with every value from ``ALTERED`` on changed."""
+    cut = F.lit(ALTERED).cast("timestamp")
+    t = lambda n: table(spark, sf, n)
+    tables = {
+        "lineitem": (t("lineitem"), "l_shipdate", ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")),
+        "orders": (t("orders"), "o_orderdate", ("o_orderkey", "o_custkey")),
+        **{n: (t(n), None, ()) for n in ("supplier", "nation", "region", "customer", "part")}}
+    return Q.mutated_copy(spark, tables, cut, io.shared_folder(spark))
+
+
+@query("q_02_all_inputs", " UNION ALL ".join(
+    f"SELECT '{n}' AS output, count(*) AS rows, CAST(0 AS BIGINT) AS changed, count(*) > 0 AS leak_caught FROM ({ORACLE[n]}) WHERE date <= '{CUT}'" for n in REBUILT))
+def _(spark, sf):
+    """Features, models, signals and traces rebuilt from copies of quotes and disclosures altered after the cut.
+
+    No earlier row changes, while a look two dates ahead that is planted in each output is caught.
+    """
+    other, out = _altered(spark, sf), None
+    ahead = lambda path: panel(spark, path).select(day_text().alias("date"), "code", F.lead("close", 2).over(ts.history(("code",))).alias("ahead"))
+    for name, by in REBUILT.items():
+        a, b = (QUERIES[name](spark, path).join(ahead(path), ["date", "code"]) for path in (sf, other))
+        one = Q.rebuilt_difference(a, b, CUT, by, "ahead").withColumn("output", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out.select("output", "rows", "changed", (F.col("caught") > 0).alias("leak_caught"))
+
+
 @query("q_03_truncation", on_panel(f"SELECT count(*) AS rows, CAST(0 AS BIGINT) AS changed FROM qt WHERE date <= DATE '{CUT}'"))
 def _(spark, sf):
     return Q.truncation(_quotes(spark, sf), _build(spark, sf), CUT, COLS)

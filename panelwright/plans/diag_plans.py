@@ -19,7 +19,7 @@ from panelwright.plans import feature_plans as FP
 from panelwright.plans.common import KS, keyed, keyed_sql
 from panelwright.plans.registry import query
 from panelwright.plans.signal_plans import AGE
-from panelwright.plans.sql import (FINS_CTES, avg_rank, day, on_events, on_panel, on_scored, pct_rank, quintile, r, scorr)
+from panelwright.plans.sql import (FINS_CTES, avg_rank, centered, day, on_events, on_panel, on_scored, pct_rank, quintile, r, ridge_ctes, ridge_score, scorr)
 from panelwright.plans.window_plans import W
 from panelwright.sources.panels import cross_section, events, panel, scale_of, scored
 
@@ -467,7 +467,19 @@ def _(spark, sf):
     return d.select(day_text().alias("date"), rounded("rho").alias("rho"))
 
 
-@query("d_29_event_trace")
+TRACE = ["o_duration", "o_width", "o_position", "o_strength", "o_distance"]
+_TRACE = f"""fc AS MATERIALIZED (SELECT date AS fd, (SELECT min(y) FROM (SELECT year(date) AS y, min(ord) AS k FROM cal GROUP BY 1) s WHERE cal.ord < s.k - 2) AS fold FROM cal),
+trc0 AS (SELECT evx.*, year(date) AS yr, fc.fold, {centered('target')} AS yc FROM evx JOIN fc ON fd = date),
+trc1 AS MATERIALIZED (SELECT date, code, yr, fold, 'high' AS side, 1 AS sign, dur AS o_duration, width AS o_width, pos AS o_position, strength AS o_strength, dh AS o_distance, yc AS ys FROM trc0 WHERE he > 0
+ UNION ALL SELECT date, code, yr, fold, 'low', -1, dur, width, 1 - pos, -strength, dl, -yc FROM trc0 WHERE le > 0),
+{ridge_ctes('rg', 'trc1', 'fold', TRACE, 'ys', min_rows=60, extra='side')},
+trc2 AS (SELECT trc1.*, {ridge_score('rg', TRACE)} AS pr, rg.grp FROM trc1 LEFT JOIN rg ON rg.grp = yr AND rg.side = trc1.side),
+trc3 AS (SELECT *, CASE WHEN grp IS NOT NULL THEN pr END AS prediction FROM trc2)"""
+
+
+@query("d_29_event_trace", on_panel(f"""
+SELECT {KS}, side, {', '.join(f'{r(c, 6)} AS {c}' for c in [*TRACE, 'prediction'])}, {r(f"sign * coalesce(0.5 + 0.5 * {pct_rank('prediction', 'date, side')}, 0)", 6)} AS signed FROM trc3""",
+    FP._TR, FP._box(), FP._BPOS, FP._STR, _TRACE))
 def _(spark, sf):
     """Inputs, prediction, percentile and signed score of every event on both sides.
 
@@ -478,7 +490,7 @@ def _(spark, sf):
 
 
 def _event_trace(panel_, xs, scale):
-    names = ["o_duration", "o_width", "o_position", "o_strength", "o_distance"]
+    names = TRACE
     base = M.with_fold(xs.centered_rank(panel_, "target", "y", missing=None), scale)
     out = None
     for side, sign in (("high", 1), ("low", -1)):

@@ -131,8 +131,16 @@ CATALOG = {
     f"{day(f'min({d})') if d else 'CAST(NULL AS VARCHAR)'} AS first_date, {day(f'max({d})') if d else 'CAST(NULL AS VARCHAR)'} AS last_date FROM {t}"
     for t, (k, d, n) in CATALOG.items()))
 def _(spark, sf):
-    d = io.catalog({t: (table(spark, sf, t), k, d) for t, (k, d, _n) in CATALOG.items()})
-    return d.withColumn("columns", F.col("columns").cast("long"))
+    return io.catalog(spark, {t: (f"{sf}/{t}.parquet", k, d) for t, (k, d, _n) in CATALOG.items()}, distinct=True)
+
+
+@query("io_10_footers", " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, CAST({n} AS BIGINT) AS columns, count(*) AS rows, "
+    f"{day(f'min({d})') if d else 'CAST(NULL AS VARCHAR)'} AS first_date, {day(f'max({d})') if d else 'CAST(NULL AS VARCHAR)'} AS last_date FROM {t}"
+    for t, (k, d, n) in CATALOG.items()))
+def _(spark, sf):
+    """The catalog without distinct counts: file footers alone."""
+    return io.catalog(spark, {t: (f"{sf}/{t}.parquet", k, d) for t, (k, d, _n) in CATALOG.items()})
 
 
 @query("io_11_content_manifest", """
@@ -152,6 +160,39 @@ def _(spark, sf):
     return io.check_manifest(io.content_digest(o, cols, ["part"]), recorded, "part").select("part", "rows", "digest", "matches")
 
 
+_ROW = ["o_orderkey", "o_custkey", "day", "o_orderpriority", "cents"]
+
+
+def _order_rows(spark, sf):
+    return table(spark, sf, "orders").select(
+        F.col("o_orderstatus").alias("part"), "o_orderkey", F.col("o_custkey").cast("string").alias("o_custkey"), day_text("o_orderdate").alias("day"),
+        "o_orderpriority", F.round(F.col("o_totalprice") * 100).cast("long").cast("string").alias("cents"))
+
+
+def _leaf_sql(source):
+    return f"""SELECT path, count(*) AS rows, sum(CAST('0x' || substr(md5(concat_ws('|', CAST(o_orderkey AS VARCHAR), cust, day, prio, cents)), 1, 8) AS BIGINT)) AS digest FROM (
+  SELECT './' || o_orderstatus || '/' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 1) || '/' || substr(md5(CAST(o_orderkey AS VARCHAR)), 2, 1) AS path, * FROM {source}) GROUP BY path"""
+
+
+@query("io_11_changed_parts", f"""
+WITH v0 AS (SELECT *, CAST(o_custkey AS VARCHAR) AS cust, strftime(o_orderdate, '%Y-%m-%d') AS day, o_orderpriority AS prio, CAST(CAST(round(o_totalprice * 100) AS BIGINT) AS VARCHAR) AS cents FROM orders),
+v1 AS (SELECT * REPLACE (CASE WHEN o_orderkey % 499 = 7 THEN cents || '1' ELSE cents END AS cents) FROM v0 WHERE o_orderkey % 1009 <> 11),
+a AS ({_leaf_sql('v0')}), b AS ({_leaf_sql('v1')})
+SELECT 'edited' AS version, coalesce(a.path, b.path) AS path, coalesce(a.rows, 0) AS rows_before, coalesce(b.rows, 0) AS rows_after
+FROM a FULL JOIN b ON a.path = b.path WHERE a.digest IS DISTINCT FROM b.digest OR a.rows IS DISTINCT FROM b.rows""")
+def _(spark, sf):
+    """A stored digest tree against the same table and against a version with edited and deleted rows: the parts that changed, by descending."""
+    rows = _order_rows(spark, sf)
+    folder = io.shared_folder(spark)
+    recorded = spark.read.parquet(io.store_tree(io.digest_tree(rows, _ROW, "o_orderkey", "part"), folder))
+    edited = rows.where("o_orderkey % 1009 <> 11").withColumn("cents", F.when(F.col("o_orderkey") % 499 == 7, F.concat("cents", F.lit("1"))).otherwise(F.col("cents")))
+    out = None
+    for name, version in (("same", rows.repartition(7)), ("edited", edited)):
+        one = io.changed_parts(recorded, io.digest_tree(version, _ROW, "o_orderkey", "part")).withColumn("version", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("io_12_guarded_read")
 def _(spark, sf):
     """Rows read from every file that a guarded result depends on."""

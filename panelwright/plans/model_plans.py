@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from panelwright.functions.scalar import clip, day_text, rounded
 from panelwright.operators import aggregates as agg
+from panelwright.operators import boosting as B
 from panelwright.operators import evaluation as E
 from panelwright.operators import features as X
 from panelwright.operators import models as M
@@ -11,13 +12,57 @@ from panelwright.operators import select as sel
 from panelwright.operators import signals as G
 from panelwright.operators import timeseries as ts
 from panelwright.plans import feature_plans as FP
-from panelwright.plans.common import KS, keyed
+from panelwright.plans.common import KS, keyed, keyed_sql
 from panelwright.plans.registry import query
-from panelwright.plans.sql import centered, day, on_scored, r
+from panelwright.plans.sql import (
+    ATTR_CTES,
+    FINS_CTES,
+    avg_rank,
+    centered,
+    day,
+    ewma,
+    on_panel,
+    on_scored,
+    pct_rank,
+    r,
+    ridge_ctes,
+    ridge_rows,
+    ridge_score,
+    scorr,
+)
 from panelwright.sources.panels import cross_section, events, panel, scale_of, scored, with_attributes
 
 LAGS = 8
 STATE = ["mom", "liq", "vol", "size", "range_ratio"]
+VECTOR = [f"time_{i}" for i in range(LAGS)] + [f"sorted_{i}" for i in range(1, LAGS + 1)]
+
+# The same model inputs in SQL: yearly folds, states, vectors.
+_FOLDS = """fc AS MATERIALIZED (SELECT date AS fd, (SELECT min(y) FROM (SELECT year(date) AS y, min(ord) AS k FROM cal GROUP BY 1) s WHERE cal.ord < s.k - {gap}) AS fold FROM cal)"""
+_FC = _FOLDS.format(gap=2)
+_W = "PARTITION BY code, seg ORDER BY date"
+
+
+def _full(fn, x, rows, skip=0):
+    frame = f"({_W} ROWS BETWEEN {rows - 1 + skip} PRECEDING AND {f'{skip} PRECEDING' if skip else 'CURRENT ROW'})"
+    return f"CASE WHEN count({x}) OVER {frame} >= {rows} THEN {fn.format(x=x)} OVER {frame} END"
+
+
+_MID = "quantile_cont({x}, 0.5)"
+
+
+def _liquidity(source, out="lqs"):
+    return f"""{out}a AS (SELECT *, {_full(_MID, 'turnover', 20)} AS tm20, {_full(_MID, 'turnover', 5)} AS tm5, {_full(_MID, 'volume', 20)} AS qm20 FROM {source}),
+{out} AS (SELECT *, ln(tm20) AS liq_level, ln(tm5 / tm20) AS liq_shock, ln(volume / qm20) AS vol_shock FROM {out}a)"""
+
+
+_STATES = f"""{_FC},
+{_liquidity('sc')},
+stp AS MATERIALIZED (SELECT l.* EXCLUDE (mom), year(date) AS yr, fc.fold, mom, coalesce({centered('liq_shock')}, 0) AS liq, coalesce({centered('vol_shock')}, 0) AS vol,
+  (high - low) / open AS range_ratio, {centered('target')} AS y FROM lqs l JOIN fc ON fd = date)"""
+_VECTORS = f"""{_FC},
+ve0 AS (SELECT *, list(resid) OVER f AS l, count(resid) OVER f AS c, {centered('target')} AS y FROM sc WINDOW f AS ({_W} ROWS BETWEEN {LAGS - 1} PRECEDING AND CURRENT ROW)),
+vec AS MATERIALIZED (SELECT v.* EXCLUDE (l, c), year(date) AS yr, fc.fold, {', '.join(f'l[{LAGS - i}] AS time_{i}' for i in range(LAGS))},
+  {', '.join(f'list_sort(l)[{i}] AS sorted_{i}' for i in range(1, LAGS + 1))} FROM ve0 v JOIN fc ON fd = date WHERE c = {LAGS})"""
 
 
 def _state_panel(spark, sf):
@@ -52,7 +97,17 @@ def _impact(spark, sf):
     return d.withColumn("expected", F.coalesce(F.exp(clip("_p", -14, 0)), F.col("historical"))).drop("_p")
 
 
-@query("f_06_price_impact")
+_IMPACT = f"""{_FOLDS.format(gap=0)},
+{_liquidity('pa')},
+im1 AS (SELECT *, abs(resid) AS observed, {_full('avg(abs({x}))', 'resid', 20, 1)} AS historical, lag(ln(turnover)) OVER ({_W}) AS x_value,
+  lag(liq_level) OVER ({_W}) AS x_liquidity, lag(vol_shock) OVER ({_W}) AS x_volume, {_full('stddev_samp({x})', 'resid', 20)} AS volat, lag(size) OVER ({_W}) AS x_size FROM lqs),
+im2 AS (SELECT im1.*, lag(ln(CASE WHEN volat > 0 THEN volat END)) OVER ({_W}) AS x_volatility, fc.fold, ln(greatest(observed, 1e-6)) AS ly FROM im1 JOIN fc ON fd = date),
+im3 AS (SELECT * FROM im2 WHERE {' AND '.join(f'{c} IS NOT NULL' for c in X.IMPACT_INPUTS)}),
+{ridge_ctes('imod', 'im3', 'fold', X.IMPACT_INPUTS, 'ly', min_days=126)},
+imp AS MATERIALIZED (SELECT im2.*, coalesce(CASE WHEN imod.grp IS NOT NULL THEN exp(least(greatest({ridge_score('imod', X.IMPACT_INPUTS)}, -14), 0)) END, historical) AS expected FROM im2 LEFT JOIN imod ON imod.grp = year(date))"""
+
+
+@query("f_06_price_impact", on_panel(keyed_sql("imp", 6, observed="observed", expected="expected", impact="observed - expected"), ATTR_CTES, _IMPACT))
 def _(spark, sf):
     d = _impact(spark, sf)
     return keyed(d, 6, observed="observed", expected="expected", impact=F.col("observed") - F.col("expected"))
@@ -71,7 +126,15 @@ def _vacuum(spark, sf):
     })
 
 
-@query("f_34_vacuum_participation")
+_VACUUM = f"""{_IMPACT},
+va1 AS (SELECT *, observed - expected AS impact, lag(liq_shock) OVER ({_W}) AS lag_liq, lag(vol_shock) OVER ({_W}) AS lag_vol FROM imp),
+va2 AS (SELECT *, CASE WHEN impact > 0 THEN impact END AS up, CASE WHEN lag_liq < 0 THEN -lag_liq END AS dry FROM va1),
+va3 AS (SELECT *, coalesce({pct_rank('up')}, 0) AS ri, coalesce({pct_rank('dry')}, 0) AS rl FROM va2),
+vac AS MATERIALIZED (SELECT *, CASE WHEN resid < 0 AND impact IS NOT NULL AND lag_liq IS NOT NULL AND lag_vol IS NOT NULL THEN ri * rl ELSE 0 END AS vacuum,
+  CASE WHEN resid < 0 AND impact <= 0 AND lag_liq >= 0 AND lag_vol > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS participation FROM va3)"""
+
+
+@query("f_34_vacuum_participation", on_panel(keyed_sql("vac", 6, vacuum="vacuum", participation="participation"), ATTR_CTES, _VACUUM))
 def _(spark, sf):
     return keyed(_vacuum(spark, sf), 6, vacuum="vacuum", participation="participation")
 
@@ -100,21 +163,46 @@ def _skew_forecast(spark, sf):
     return f.withColumn("expected_skew", F.when(known, F.col("expected_skew"))), models
 
 
-@query("f_43_expected_skewness")
+_SKEW = f"""mo0 AS (SELECT *, CAST(date_trunc('month', date) AS DATE) AS month FROM pan),
+mo1 AS (SELECT *, avg(resid) OVER (PARTITION BY code, seg, month) AS m FROM mo0),
+mo2 AS (SELECT code, seg, month, count(resid) AS cnt, sqrt(sum(pow(resid - m, 2)) / nullif(count(resid) - 1, 0)) AS sd, avg(pow(resid - m, 3)) AS m3, sum(resid) AS total FROM mo1 GROUP BY 1, 2, 3),
+mo3 AS (SELECT code, seg, month, CASE WHEN cnt >= 3 AND sd > 0 THEN m3 / pow(sd, 3) END AS month_skew, CASE WHEN cnt >= 3 THEN sd END AS month_std,
+  CASE WHEN cnt >= 3 THEN total END AS month_sum FROM mo2),
+mo4 AS (SELECT *, CASE WHEN count(month_sum) OVER f >= 11 THEN sum(month_sum) OVER f END AS mom FROM mo3 WINDOW f AS (PARTITION BY code, seg ORDER BY month ROWS BETWEEN 12 PRECEDING AND 2 PRECEDING)),
+mo AS MATERIALIZED (SELECT *, {', '.join(f'lag({c}) OVER (PARTITION BY code, seg ORDER BY month) AS lag_{c}' for c in PRED)}, CAST(month + INTERVAL 1 MONTH AS DATE) AS forecast_month, month AS date FROM mo4),
+moc AS (SELECT * FROM mo WHERE month_skew IS NOT NULL AND {' AND '.join(f'lag_{c} IS NOT NULL' for c in PRED)}),
+{ridge_ctes('skm', 'moc', 'month', [f'lag_{c}' for c in PRED], 'month_skew', '0', cumulative=False, min_rows=6, rank=True)},
+skf AS MATERIALIZED (SELECT mo.*, CASE WHEN {' AND '.join(f'{c} IS NOT NULL' for c in PRED)} THEN {ridge_score('skm', PRED)} END AS expected_skew FROM mo LEFT JOIN skm ON skm.grp = month)"""
+
+
+@query("f_43_expected_skewness", on_panel(f"""
+SELECT {day('p.date')} AS date, p.code, {r('expected_skew', 6)} AS expected_skew FROM pan p
+LEFT JOIN skf ON skf.code = p.code AND skf.seg = p.seg AND skf.forecast_month = CAST(date_trunc('month', p.date) AS DATE)""", _SKEW))
 def _(spark, sf):
     f, _models = _skew_forecast(spark, sf)
     d = panel(spark, sf).select("date", "code", "seg", F.trunc("date", "month").alias("forecast_month"))
     return keyed(d.join(f.select("code", "seg", "forecast_month", "expected_skew"), ["code", "seg", "forecast_month"], "left"), 6, expected_skew="expected_skew")
 
 
-@query("m_02_monthly_ols")
+_COEFS = ("intercept", "mean", "scale", "coef")
+
+
+def _rounded_sql(names, digits=6):
+    return ", ".join(f"{r(c, digits)} AS {c}" for c in names)
+
+
+@query("m_02_monthly_ols", on_panel(ridge_rows("skm", PRED, _rounded_sql(_COEFS), f"{day('grp')} AS month"), _SKEW))
 def _(spark, sf):
     _f, models = _skew_forecast(spark, sf)
     c = M.coefficient_rows(models, PRED)
     return c.select(F.col("grp").alias("month"), "feature", "rows", *[rounded(x, 6).alias(x) for x in ("intercept", "mean", "scale", "coef")])
 
 
-@query("e_15_skewness_validation")
+@query("e_15_skewness_validation", on_panel(f"""
+SELECT {day('month')} AS month, count(*) AS rows, {r(scorr('rx', 'ry'), 6)} AS rankic, {r(scorr('expected_skew', 'actual'), 6)} AS pearson
+FROM (SELECT *, {avg_rank('expected_skew', 'month')} AS rx, {avg_rank('actual', 'month')} AS ry FROM (
+  SELECT a.month, f.expected_skew, a.month_skew AS actual FROM skf f JOIN mo3 a ON a.code = f.code AND a.seg = f.seg AND a.month = f.forecast_month
+  WHERE f.expected_skew IS NOT NULL AND a.month_skew IS NOT NULL)) GROUP BY month""", _SKEW))
 def _(spark, sf):
     f, _models = _skew_forecast(spark, sf)
     actual = _skew_months(spark, sf).select("code", "seg", F.col("month").alias("date"), "month_skew")
@@ -126,14 +214,14 @@ def _(spark, sf):
 
 
 # -- ridge --------------------------------------------------------------------
-@query("m_01_ridge")
+@query("m_01_ridge", on_scored(ridge_rows("rg", STATE, _rounded_sql(("mean", "scale", "coef", "intercept")), "CAST(grp AS VARCHAR) AS fold"), _STATES, ridge_ctes("rg", "stp", "fold", STATE, "y")))
 def _(spark, sf):
     models = M.fit_ridge(_state_panel(spark, sf), STATE, "y", "fold", len(STATE))
     c = M.coefficient_rows(models, STATE)
     return c.select(F.col("grp").alias("fold"), "feature", "rows", *[rounded(x, 6).alias(x) for x in ("mean", "scale", "coef", "intercept")])
 
 
-_M7 = f"""fc AS (SELECT date AS fd, (SELECT min(y) FROM (SELECT year(date) AS y, min(ord) AS k FROM cal GROUP BY 1) s WHERE cal.ord < s.k - 2) AS fold FROM cal),
+_M7 = f"""{_FC},
 y0 AS (SELECT sc.*, {centered('target')} AS y, fc.fold FROM sc JOIN fc ON fd = date)"""
 
 
@@ -154,33 +242,60 @@ def _(spark, sf):
     return keyed(d, 7, calibration=F.col("intercept") + F.col("coef") * (F.col("mom") - F.col("mean")) / F.col("scale"))
 
 
-@query("m_03_library_ridge")
+_VRG = ridge_ctes("rg", "vec", "fold", VECTOR, "y", "0.01 * n")
+
+
+@query("m_03_library_ridge", on_scored(ridge_rows("rg", VECTOR, _rounded_sql(("coef",)), "CAST(grp AS VARCHAR) AS fold"), _VECTORS, _VRG))
 def _(spark, sf):
     d = _vectors(spark, sf)
     models = M.fit_ridge(d, "v", "y", "fold", 2 * LAGS, penalty=0.01, per_row=True)
-    names = [f"time_{i}" for i in range(LAGS)] + [f"sorted_{i}" for i in range(1, LAGS + 1)]
-    c = M.coefficient_rows(models, names)
+    c = M.coefficient_rows(models, VECTOR)
     return c.select(F.col("grp").alias("fold"), "feature", "rows", rounded("coef", 6).alias("coef"))
 
 
 @query("m_04_elastic_net")
 def _(spark, sf):
-    d = M.available_until(_vectors(spark, sf), "1999-12-31").where("y is not null")
-    m = M.elastic_net(d, "v", "y", 0.3)
-    names = [f"time_{i}" for i in range(LAGS)] + [f"sorted_{i}" for i in range(1, LAGS + 1)]
-    c = M.coefficient_rows(M.model_table(spark, [m]), names)
-    return c.select("feature", "rows", rounded("coef", 6).alias("coef")).withColumn("alpha_max", F.lit(round(m["alpha_max"], 8)))
+    """Yearly paths over three strengths below the all-zero boundary, with the penalty, boundary and number of features kept."""
+    m = M.elastic_net_path(_vectors(spark, sf).where("y is not null"), "v", "y", "fold", 2 * LAGS, (0.1, 0.3, 0.7))
+    return _net_rows(m)
+
+
+@query("m_04_fixed_penalty")
+def _(spark, sf):
+    """The same with two penalties that do not depend on the data."""
+    m = M.elastic_net_path(_vectors(spark, sf).where("y is not null"), "v", "y", "fold", 2 * LAGS, (0.001, 0.01), relative=False)
+    return _net_rows(m)
+
+
+def _net_rows(m):
+    names = F.array(*map(F.lit, VECTOR))
+    c = m.select("grp", "rows", "strength", "alpha", "alpha_max", "nonzero", F.inline(F.arrays_zip(names.alias("feature"), "coef")))
+    return c.select(F.col("grp").alias("fold"), "strength", "feature", "rows", "nonzero", *[rounded(x, 6).alias(x) for x in ("alpha", "alpha_max", "coef")])
+
+
+def _boosted(spark, sf):
+    d = _state_panel(spark, sf)
+    forests, cuts = B.fit(d, STATE, "y")
+    return d, forests, cuts
 
 
 @query("m_05_boosted_trees")
 def _(spark, sf):
-    """One model a year on all labels mature by then, in years with 2,000 of them; missing states are a value below all others."""
-    d = _state_panel(spark, sf).where("y is not null").fillna(M.MISSING, STATE)
-    p = M.yearly_boosted_trees(d, STATE, "y")
+    """Daily rank correlation of one forest a year, fitted on all labels mature by then, in years with 2,000 of them."""
+    d, forests, cuts = _boosted(spark, sf)
+    p = B.score(d.where("y is not null"), forests, cuts, STATE, F.col("year"))
     ic = E.rank_ic(p, "prediction", "y", cross_section(spark, sf))
     return ic.select(day_text().alias("date"), rounded("rankic", 6).alias("rankic"))
 
 
+@query("m_13_gain_importance")
+def _(spark, sf):
+    """Gain, splits and share of gain of every feature in each year's forest."""
+    _d, forests, _cuts = _boosted(spark, sf)
+    g = B.gain_importance(B.tree_table(spark, forests, STATE))
+    return g.select(F.col("grp").alias("fold"), "feature", "splits", rounded("gain", 4).alias("gain"), rounded("share", 6).alias("share"))
+
+
 @query("m_06_label_families", on_scored(f"""
 SELECT {KS}, {r('target')} AS raw, {r('y')} AS rank, {r('y - 0.5 * mom')} AS residual, CASE WHEN round(abs(mom), 12) > 0.1 AND y IS NOT NULL THEN CASE WHEN mom * y > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END END AS agreement
 FROM (SELECT *, {centered('target')} AS y FROM sc)"""))
@@ -202,7 +317,10 @@ def _(spark, sf):
     return out
 
 
-@query("m_09_walk_forward")
+_RG500 = ridge_ctes("rg", "stp", "fold", STATE, "y", min_rows=500)
+
+
+@query("m_09_walk_forward", on_scored(f"SELECT {KS}, {r(ridge_score('rg', STATE), 6)} AS prediction FROM stp JOIN rg ON rg.grp = yr", _STATES, _RG500))
 def _(spark, sf):
     d = _state_panel(spark, sf)
     models = M.fit_ridge(d, STATE, "y", "fold", len(STATE), min_rows=500)
@@ -210,18 +328,31 @@ def _(spark, sf):
     return keyed(p, 6, prediction="prediction")
 
 
-@query("m_09_floors_and_sides")
+FLOORS = (500, 2_000, 10_000)
+_SIDES = f"""{_STATES},
+evs AS (SELECT s.date, s.fold, s.y, {', '.join(f's.{c}' for c in STATE)}, hx IS NOT NULL AS he, lx IS NOT NULL AS le FROM stp s JOIN (
+  SELECT date AS de, code AS ce, CASE WHEN scl / ph - 1 > 0 THEN 1 END AS hx, CASE WHEN pl / scl - 1 > 0 THEN 1 END AS lx FROM (
+    SELECT *, CASE WHEN count(sh) OVER f >= 8 THEN max(sh) OVER f END AS ph, CASE WHEN count(sl) OVER f >= 8 THEN min(sl) OVER f END AS pl FROM (
+      SELECT *, high / cf AS sh, low / cf AS sl, close / cf AS scl FROM (SELECT *, product(factor) OVER ({_W} ROWS UNBOUNDED PRECEDING) AS cf FROM pan))
+    WINDOW f AS ({_W} ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING))) ON de = s.date AND ce = s.code WHERE {' AND '.join(f's.{c} IS NOT NULL' for c in STATE)}),
+evl AS (SELECT * FROM (SELECT *, 'high' AS side, y AS ys FROM evs WHERE he UNION ALL SELECT *, 'low' AS side, -y AS ys FROM evs WHERE le))"""
+
+
+@query("m_09_floors_and_sides", on_scored(
+    "SELECT * FROM (" + ridge_rows("rg", STATE, _rounded_sql(("coef",)), "side, floor, CAST(grp AS VARCHAR) AS fold").replace("FROM rg)", "FROM rgf)") + ")",
+    _SIDES, ridge_ctes("rg", "evl", "fold", STATE, "ys", extra="side"),
+    f"rgf AS (SELECT rg.*, CAST(floor AS INTEGER) AS floor FROM rg JOIN (SELECT unnest([{', '.join(map(str, FLOORS))}]) AS floor) ON rows >= floor)"))
 def _(spark, sf):
     """Yearly expanding fits per event side on complete rows, for three floors of training rows."""
-    d, out = _event_states(spark, sf), None
-    for side, sign in (("high", 1), ("low", -1)):
-        one = d.where(F.col(f"{side}_event")).withColumn("y", sign * F.col("y"))
-        stats = M.gather(M.cross_products(one, STATE, "y", "fold"), len(STATE))
-        for floor in (500, 2_000, 10_000):
-            models = M.model_table(spark, M.solve_groups(stats, len(STATE), min_rows=floor))
-            c = M.coefficient_rows(models, STATE).withColumns({"side": F.lit(side), "floor": F.lit(floor)})
-            out = c if out is None else out.unionByName(c)
-    return out.select("side", "floor", F.col("grp").alias("fold"), "feature", "rows", rounded("coef", 6).alias("coef"))
+    d = _event_states(spark, sf)
+    sides = F.explode(F.array(F.struct(F.lit("high").alias("side"), F.col("high_event").alias("on"), F.lit(1).alias("sign")),
+                              F.struct(F.lit("low").alias("side"), F.col("low_event").alias("on"), F.lit(-1).alias("sign"))))
+    d = d.select("*", sides.alias("s")).where("s.on").withColumns({"side": F.col("s.side"), "ys": F.col("s.sign") * F.col("y")})
+    stats = M.expanding(M.statistics(d, STATE, "ys", ["side", "fold"], len(STATE)), "fold", ["side"])
+    models = M.solve(stats, len(STATE)).withColumn("floor", F.explode(F.array(*map(F.lit, FLOORS)))).where("rows >= floor")
+    names = F.array(*[F.lit(f) for f in STATE])
+    c = models.select("side", "floor", F.col("fold").cast("string").alias("fold"), "rows", F.inline(F.arrays_zip(names.alias("feature"), "coef")))
+    return c.select("side", "floor", "fold", "feature", "rows", rounded("coef", 6).alias("coef"))
 
 
 def _event_states(spark, sf):
@@ -231,7 +362,8 @@ def _event_states(spark, sf):
     return d.where(" and ".join(f"{c} is not null" for c in STATE))
 
 
-@query("m_10_single_cutoff")
+@query("m_10_single_cutoff", on_scored(f"SELECT {KS}, {r(ridge_score('rg', STATE), 6)} AS prediction FROM stp CROSS JOIN rg WHERE date > DATE '1999-12-31'", _STATES,
+    "cut AS (SELECT *, 1 AS one FROM stp WHERE ord <= (SELECT max(ord) FROM cal WHERE date <= DATE '1999-12-31') - 2)", ridge_ctes("rg", "cut", "one", STATE, "y")))
 def _(spark, sf):
     d = _state_panel(spark, sf).withColumn("_g", F.lit("all"))
     models = M.fit_ridge(M.available_until(d, "1999-12-31"), STATE, "y", "_g", len(STATE))
@@ -239,17 +371,58 @@ def _(spark, sf):
     return keyed(M.score_linear(later, models, STATE, F.col("_g"), "prediction"), 6, prediction="prediction")
 
 
-@query("m_11_penalty_grid")
+GRID = (0.1, 1.0, 10.0, 1000.0)
+
+
+def _grid_models(spark, sf):
+    """Expanding ridge models of every penalty from one set of sums, and the panel."""
+    d = _state_panel(spark, sf)
+    stats = M.expanding(M.statistics(d, STATE, "y", "fold", len(STATE)), "fold")
+    grid = F.posexplode(F.array(*map(F.lit, GRID))).alias("option", "penalty")
+    models = M.solve(stats.select("*", grid), len(STATE), F.col("penalty"), min_rows=500)
+    return d, models.withColumn("grp", F.col("fold").cast("string"))
+
+
+_GRID = ",\n".join(ridge_ctes(f"rg{i}", "stp", "fold", STATE, "y", str(p), min_rows=500) for i, p in enumerate(GRID))
+_GRID += ",\ngp AS MATERIALIZED (" + " UNION ALL ".join(
+    f"SELECT date, code, seg, y, {p}::DOUBLE AS penalty, {r(ridge_score(f'rg{i}', STATE), 10)} AS p FROM stp JOIN rg{i} ON rg{i}.grp = yr" for i, p in enumerate(GRID)) + ")"
+
+
+@query("m_11_penalty_grid", on_scored(f"SELECT penalty, {r('avg(pow(p - y, 2))')} AS mse, count(*) AS rows FROM gp WHERE y IS NOT NULL GROUP BY penalty", _STATES, _GRID))
 def _(spark, sf):
     """Chronological validation of several penalties from one set of cross-products."""
-    d = _state_panel(spark, sf)
-    stats = M.gather(M.cross_products(d, STATE, "y", "fold"), len(STATE))
-    grid = {lam: M.solve_groups(stats, len(STATE), lam, min_rows=500) for lam in (0.1, 1.0, 10.0, 1000.0)}
-    p = M.score_grid(d.where("y is not null"), grid, STATE, F.col("year"), "p").where("p is not null")
-    p = p.select("y", F.inline(F.arrays_zip(F.array(*map(F.lit, grid)).alias("penalty"), "p"))).where("p is not null")
+    d, models = _grid_models(spark, sf)
+    p = M.score_grid(d.where("y is not null"), models, len(GRID), STATE, F.col("year"), "p")
+    p = p.select("y", F.inline(F.arrays_zip(F.array(*map(F.lit, GRID)).alias("penalty"), "p"))).where("p is not null")
     return p.groupBy("penalty").agg(rounded(F.avg((F.col("p") - F.col("y")) ** 2), 8).alias("mse"), F.count(F.lit(1)).alias("rows"))
 
 
+@query("m_11_selection", on_scored(f"""
+SELECT penalty, rows, days, {r('mean_rankic', 6)} AS mean_rankic, {r('turnover', 6)} AS turnover,
+  row_number() OVER (ORDER BY {r('mean_rankic', 10)} DESC, {r('turnover', 10)}, penalty DESC) = 1 AS selected
+FROM (SELECT penalty, sum(rows) AS rows, count(rankic) AS days, avg(rankic) AS mean_rankic FROM (
+    SELECT penalty, date, count(*) AS rows, {scorr('rx', 'ry')} AS rankic FROM (
+      SELECT *, {avg_rank('p', 'date, penalty')} AS rx, {avg_rank('y', 'date, penalty')} AS ry FROM gp WHERE y IS NOT NULL) GROUP BY 1, 2) GROUP BY 1)
+JOIN (SELECT penalty, avg(t) AS turnover FROM (SELECT penalty, date, sum(dw) AS t FROM (
+    SELECT penalty, date, coalesce(abs(w - lag(w) OVER (PARTITION BY penalty, code ORDER BY date)), 0) AS dw FROM (
+      SELECT *, (CAST(least(4, greatest(0, ceil(5.0::DOUBLE * (row_number() OVER (PARTITION BY penalty, date ORDER BY p, code) - 1) / (n - 1)) - 1)) AS INTEGER) - 2) / n / 1.2::DOUBLE AS w
+      FROM (SELECT *, count(*) OVER (PARTITION BY penalty, date) AS n FROM gp) WHERE n >= 5)) GROUP BY 1, 2) GROUP BY 1) USING (penalty)""", _STATES, _GRID))
+def _(spark, sf):
+    """Of a grid the penalty of the highest mean daily rank correlation; ties go to the lower turnover of its book, then the stronger penalty."""
+    d, models = _grid_models(spark, sf)
+    p = M.score_grid(d, models, len(GRID), STATE, F.col("year"), "p")
+    return _select(p, GRID, "p", "y", cross_section(spark, sf))
+
+
+def _select(p, options, scores, label, xs):
+    from pyspark.sql import Window
+
+    c = M.grid_choice(p, scores, label, len(options), xs)
+    c = c.withColumn("penalty", F.element_at(F.array(*map(F.lit, options)), F.col("option") + 1))
+    order = Window.orderBy(rounded("mean_rankic", 10).desc(), rounded("turnover", 10), F.col("penalty").desc())  # a row per option
+    return c.select("penalty", "rows", "days", rounded("mean_rankic", 6).alias("mean_rankic"), rounded("turnover", 6).alias("turnover"), (F.row_number().over(order) == 1).alias("selected"))
+
+
 _M12 = """mm AS (SELECT year(date) AS y, avg(mom_sum) AS m1, stddev_pop(mom_sum) AS s1, avg(volume) AS m2, stddev_pop(volume) AS s2 FROM sc GROUP BY 1)"""
 
 
@@ -290,7 +463,21 @@ def _(spark, sf):
     return c.select(F.col("fold_a").cast("long").alias("fold_a"), F.col("fold_b").cast("long").alias("fold_b"), rounded("corr", 6).alias("corr"), "features")
 
 
-@query("m_14_model_bundle")
+BLOCKS = {"price": ["mom", "range_ratio"], "trading": ["liq", "vol"], "size": ["size"]}
+
+
+@query("m_13_block_contributions", on_scored(f"""
+SELECT {KS}, {r('intercept', 6)} AS intercept, {', '.join(f"{r(' + '.join(f'rg.c{STATE.index(f)} * (coalesce({f}, rg.m{STATE.index(f)}) - rg.m{STATE.index(f)}) / rg.s{STATE.index(f)}' for f in own), 6)} AS {b}" for b, own in BLOCKS.items())}
+FROM stp JOIN rg ON rg.grp = yr""", _STATES, _RG500))
+def _(spark, sf):
+    """The yearly ridge score as a sum of parts: its intercept and the terms of each block of features."""
+    d = _state_panel(spark, sf)
+    models = M.fit_ridge(d, STATE, "y", "fold", len(STATE), min_rows=500)
+    p = M.block_contributions(d, models, STATE, BLOCKS, F.col("year")).where("intercept is not null")
+    return keyed(p, 6, intercept="intercept", **{b: f"part_{b}" for b in BLOCKS})
+
+
+@query("m_14_model_bundle", on_scored(f"SELECT {KS}, {r(ridge_score('rg', VECTOR), 6)} AS score FROM vec JOIN rg ON rg.grp = yr WHERE yr >= (SELECT min(grp) FROM rg)", _VECTORS, _VRG))
 def _(spark, sf):
     """Yearly vector models; a row of a later year without a model is an error."""
     d = _vectors(spark, sf)
@@ -301,7 +488,13 @@ def _(spark, sf):
 
 
 # -- signals on model outputs -------------------------------------------------
-@query("g_07_rule_gate")
+_GAP = "greatest(observed - expected, 0)"
+
+
+@query("g_07_rule_gate", on_panel(f"SELECT {KS}, {r('y', 6)} AS score FROM {ewma('raw', 0.25, 'gg3')}", ATTR_CTES, _VACUUM,
+    f"gg1 AS (SELECT *, {_full('sum({x})', 'resid', 4, 1)} AS s4, CASE WHEN observed - expected IS NOT NULL THEN {_GAP} END AS up1 FROM vac)",
+    f"gg2 AS (SELECT *, coalesce({centered('s4')}, 0) AS mom, coalesce({centered('up1')}, 0) AS pwv FROM gg1)",
+    "gg3 AS (SELECT *, CASE WHEN coalesce(liq_shock < 0 AND pwv > 0.333, false) THEN 0.5::DOUBLE * mom ELSE mom END AS raw FROM gg2)"))
 def _(spark, sf):
     xs, d = cross_section(spark, sf), _vacuum(spark, sf)
     d = X.relative_strength(d, xs, 4, out="mom")
@@ -310,7 +503,14 @@ def _(spark, sf):
     return keyed(ts.ewma(d.withColumn("raw", gated), "raw", 0.25, "score"), 6, score="score")
 
 
-@query("g_08_model_gate")
+_GATES = {"gate": "mom * p", "sign_gate": "mom * (2 * p - 1)", "correction": "mom + 0.5 * k", "replacement": "k"}
+
+
+@query("g_08_model_gate", on_scored(f"SELECT {KS}, {', '.join(f'{r(f'y_{g}', 6)} AS {g}' for g in _GATES)} FROM gm3 " + " ".join(
+    f"JOIN (SELECT date AS d_{g}, code AS c_{g}, y AS y_{g} FROM {ewma(f't_{g}', 0.25, 'gm3')}) ON d_{g} = date AND c_{g} = code" for g in _GATES), _STATES, _RG500,
+    f"gm1 AS (SELECT stp.*, coalesce(least(greatest({ridge_score('rg', STATE)}, 0), 1), 0) AS p FROM stp LEFT JOIN rg ON rg.grp = yr)",
+    f"gm2 AS (SELECT *, coalesce({centered('p')}, 0) AS k FROM gm1)",
+    "gm3 AS MATERIALIZED (SELECT *, " + ", ".join(f"{x} AS t_{g}" for g, x in _GATES.items()) + " FROM gm2)"))
 def _(spark, sf):
     xs, d = cross_section(spark, sf), _state_panel(spark, sf)
     models = M.fit_ridge(d, STATE, "y", "fold", len(STATE), min_rows=500)
@@ -320,7 +520,16 @@ def _(spark, sf):
     return keyed(G.smooth_all(d, [f"t_{k}" for k in t]), 6, **{k: f"t_{k}" for k in t})
 
 
-@query("g_09_asymmetric_short")
+_SHORT = {"a": "fdh * weak", "b": "fdh * weak * (1 - 0.5 * vacuum)", "c": "fdh * weak * (1 - 0.5 * vacuum) * (1 + 0.5 * participation)", "event": "ev * weak"}
+
+
+@query("g_09_asymmetric_short", on_panel(f"SELECT {KS}, {', '.join(f'{r(f'y_long - {x}', 6)} AS {g}' for g, x in _SHORT.items())} FROM gs3", ATTR_CTES, _VACUUM, FINS_CTES,
+    FP._SEEN, FP._state("cf", FP._CFO), FP._state("n", FP._NC), FP._DWF, FP._EVT,
+    f"gs1 AS (SELECT *, {_full('sum({x})', 'resid', 4, 1)} AS s4 FROM vac)",
+    f"gs2 AS MATERIALIZED (SELECT *, coalesce({centered('s4')}, 0) AS mom, coalesce({pct_rank('CASE WHEN s4 IS NOT NULL THEN neg END')}, 0) AS weak FROM (SELECT *, -coalesce({centered('s4')}, 0) AS neg FROM gs1))",
+    f"""gs3 AS (SELECT g.*, y_long, 0.5 * D + 0.3 * W + 0.2 * F AS fdh, CASE WHEN event_date IS NULL THEN 0 WHEN age BETWEEN 0 AND 20 THEN 1 WHEN age > 20 AND age <= 40 THEN 0.5
+      WHEN age > 40 AND age <= 60 THEN 0.25 ELSE 0 END AS ev FROM gs2 g JOIN (SELECT date AS dl, code AS cl, y AS y_long FROM {ewma('mom', 0.25, 'gs2')}) ON dl = g.date AND cl = g.code
+      JOIN dwf ON dwf.date = g.date AND dwf.code = g.code JOIN ei ON ei.date = g.date AND ei.code = g.code)"""))
 def _(spark, sf):
     xs = cross_section(spark, sf)
     fd = FP.deterioration(spark, sf).select("date", "code", "fd_heavy")

@@ -191,3 +191,53 @@ en AS (SELECT *, {r('hs + ls', 10)} AS dsc, {r('CASE WHEN ls < 0 THEN ls WHEN ls
 
 def on_events(body: str, *more: str) -> str:
     return on_panel(body, EVENT_CTES, *more)
+
+
+def ridge_ctes(name: str, source: str, group: str, features, label: str, penalty: str = "1", cumulative: bool = True,
+               min_rows: int = 1, min_days: int = 0, rank: bool = False, extra: str = "") -> str:
+    """Named subqueries ending in ``name``: one row per group with rows, intercept, means, scales and coefficients.
+
+    Written from the definition: impute the group's mean, standardise by the
+    population deviation, then eliminate the normal equations column by column.
+    ``penalty`` may use n; ``extra`` is one more grouping column of the source.
+    """
+    k = len(features)
+    ex = f"{extra}, " if extra else ""
+    xs = ", ".join(f"CAST({f} AS DOUBLE) AS x{i}" for i, f in enumerate(features))
+    same = f" AND b.{extra} = g.{extra}" if extra else ""
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    rows = f"JOIN {name}_b b ON b.grp {'<=' if cumulative else '='} g.grp{same}"
+    parts = [
+        f"{name}_b AS MATERIALIZED (SELECT {ex}{group} AS grp, date, CAST({label} AS DOUBLE) AS y, {xs} FROM {source} WHERE {label} IS NOT NULL AND {group} IS NOT NULL)",
+        f"{name}_g AS MATERIALIZED (SELECT {', '.join([f'g.{extra}'] * bool(extra) + ['g.grp'])}, count(*) AS n, count(DISTINCT date) AS days, avg(y) AS my, "
+        + ", ".join(f"coalesce(avg(x{i}), 0) AS m{i}" for i in range(k))
+        + f" FROM (SELECT DISTINCT {ex}grp FROM {name}_b) g {rows} GROUP BY ALL HAVING count(*) >= {min_rows} AND count(DISTINCT date) >= {min_days})",
+        f"{name}_p AS MATERIALIZED (SELECT {', '.join([f'g.{extra}'] * bool(extra) + ['g.grp'])}, g.n, g.my, {', '.join(f'g.m{i}' for i in range(k))}, "
+        + ", ".join(f"sum(coalesce(x{i} - m{i}, 0) * coalesce(x{j} - m{j}, 0)) AS p{i}_{j}" for i, j in pairs) + ", "
+        + ", ".join(f"sum(coalesce(x{i} - m{i}, 0) * y) AS q{i}" for i in range(k))
+        + f" FROM {name}_g g {rows} GROUP BY ALL)",
+        f"{name}_z AS (SELECT *, " + ", ".join(f"CASE WHEN sqrt(p{i}_{i} / n) < 1e-8 THEN 1 ELSE sqrt(p{i}_{i} / n) END AS s{i}" for i in range(k)) + f" FROM {name}_p)",
+    ]
+    cell = lambda i, j: f"p{min(i, j)}_{max(i, j)} / (s{i} * s{j})" + (f" + {penalty}" if i == j else "")
+    keep = ", ".join([*([extra] if extra else []), "grp", "n", "my", *[f"m{i}" for i in range(k)], *[f"s{i}" for i in range(k)]])
+    parts.append(f"{name}_0 AS MATERIALIZED (SELECT {keep}, CAST(1e300 AS DOUBLE) AS least_pivot, " + ", ".join(
+        f"CAST({cell(i, j)} AS DOUBLE) AS a{i}_{j}" for i in range(k) for j in range(k)) + ", " + ", ".join(f"q{i} / s{i} AS a{i}_{k}" for i in range(k)) + f" FROM {name}_z)")
+    for p in range(k):
+        cells = ", ".join((f"a{p}_{j} / nullif(a{p}_{p}, 0)" if i == p else f"a{i}_{j} - a{i}_{p} * a{p}_{j} / nullif(a{p}_{p}, 0)") + f" AS a{i}_{j}"
+                          for i in range(k) for j in range(p + 1, k + 1))
+        parts.append(f"{name}_{p + 1} AS MATERIALIZED (SELECT {keep}, least(least_pivot, a{p}_{p} / n) AS least_pivot, {cells} FROM {name}_{p})")
+    head = ", ".join([*([extra] if extra else []), "grp", "n AS rows", "my AS intercept", *[f"m{i}, s{i}, a{i}_{k} AS c{i}" for i in range(k)]])
+    parts.append(f"{name} AS MATERIALIZED (SELECT {head} FROM {name}_{k}" + (" WHERE least_pivot > 1e-10" if rank else "") + ")")
+    return ",\n".join(parts)
+
+
+def ridge_score(model: str, features, row: str = "") -> str:
+    """Prediction of a model row standing beside a data row."""
+    return f"({model}.intercept" + "".join(
+        f" + {model}.c{i} * (coalesce({row}{f}, {model}.m{i}) - {model}.m{i}) / {model}.s{i}" for i, f in enumerate(features)) + ")"
+
+
+def ridge_rows(model: str, features, columns: str, head: str) -> str:
+    """Long form of a model table; ``columns`` are written in terms of mean, scale, coef and intercept."""
+    return " UNION ALL ".join(
+        f"SELECT {head}, '{f}' AS feature, CAST(rows AS BIGINT) AS rows, {columns} FROM (SELECT *, m{i} AS mean, s{i} AS scale, c{i} AS coef FROM {model})" for i, f in enumerate(features))

@@ -186,7 +186,7 @@ def test_expanding_ridge_equals_dense_solution(spark):
     y = rng.normal(size=300)
     rows = [(int(a), float(b), *[None if math.isnan(v) else float(v) for v in r]) for a, b, r in zip(g, y, x)]
     d = spark.createDataFrame(rows, "fold int, y double, a double, b double, c double").repartition(5)
-    got = {m["grp"]: m for m in models.solve_groups(models.gather(models.cross_products(d, ["a", "b", "c"], "y", "fold"), 3), 3, 1.0)}
+    got = {m.grp: m for m in models.fit_ridge(d, ["a", "b", "c"], "y", "fold", 3).collect()}
     for fold in (2001, 2002, 2003):
         xx, yy = x[g <= fold], y[g <= fold]
         mean = np.nanmean(xx, 0)
@@ -195,21 +195,49 @@ def test_expanding_ridge_equals_dense_solution(spark):
         pen = np.diag([0.0, 1, 1, 1])
         want = np.linalg.solve(z.T @ z + pen, z.T @ yy)
         m = got[str(fold)]
-        assert np.allclose([m["intercept"], *m["coef"]], want, atol=1e-10)
+        assert np.allclose([m.intercept, *m.coef], want, atol=1e-10)
+    parts = models.block_contributions(d.withColumn("year", F.col("fold")), models.fit_ridge(d, ["a", "b", "c"], "y", "fold", 3), ["a", "b", "c"], {"p": ["a", "c"], "q": ["b"]}, F.col("year"))
+    whole = models.score_linear(d.withColumn("year", F.col("fold")), models.fit_ridge(d, ["a", "b", "c"], "y", "fold", 3), ["a", "b", "c"], F.col("year"), "score")
+    added = sorted(r.intercept + r.part_p + r.part_q for r in parts.collect())
+    assert np.allclose(added, sorted(r.score for r in whole.collect()), atol=1e-9)
 
 
-def test_elastic_net_meets_its_optimality_conditions(spark):
+def test_least_squares_without_full_rank_has_no_model(spark):
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(60, 2))
+    rows = [("good", float(a), float(b), float(a - b)) for a, b in x] + [("bad", float(a), float(2 * a), float(a)) for a, _ in x] + [("few", 1.0, 2.0, 3.0)]
+    d = spark.createDataFrame(rows, "month string, a double, b double, y double")
+    got = models.fit_ridge(d, ["a", "b"], "y", "month", 2, penalty=0.0, cumulative=False, min_rows=6, full_rank=True).collect()
+    assert [m.grp for m in got] == ["good"]
+    assert np.allclose(np.array(got[0].coef) / np.array(got[0].scale), [1, -1], atol=1e-10)
+
+
+@pytest.mark.parametrize("relative", [True, False])
+def test_elastic_net_paths_meet_their_optimality_conditions(spark, relative):
     rng = np.random.default_rng(17)
-    x = rng.normal(size=(400, 4))
+    x, g = rng.normal(size=(400, 4)), rng.integers(2000, 2003, 400)
     y = x @ np.array([1.0, 0.0, -0.5, 0.0]) + rng.normal(size=400)
-    d = spark.createDataFrame([([float(v) for v in r], float(t)) for r, t in zip(x, y)], "v array<double>, y double")
-    m = models.elastic_net(d, "v", "y", 0.2, 0.5)
-    z, b = (x - x.mean(0)) / x.std(0), np.array(m["coef"])
-    alpha = 0.2 * m["alpha_max"]
-    grad = z.T @ (y - y.mean() - z @ b) / len(y) - alpha * 0.5 * b
-    active = np.abs(b) > 1e-9
-    assert np.allclose(grad[active], alpha * 0.5 * np.sign(b[active]), atol=1e-5)
-    assert (np.abs(grad[~active]) <= alpha * 0.5 + 1e-6).all()
+    d = spark.createDataFrame([([float(v) for v in r], float(t), int(f)) for r, t, f in zip(x, y, g)], "v array<double>, y double, fold int")
+    strengths = (0.2, 0.5, 0.9)
+    got = models.elastic_net_path(d, "v", "y", "fold", 4, strengths, 0.5, relative).collect()
+    assert sorted((m.grp, m.strength) for m in got) == sorted((str(f), s) for f in (2000, 2001, 2002) for s in strengths)
+    for m in got:
+        own = g <= int(m.grp)
+        z, t, b = (x[own] - x[own].mean(0)) / x[own].std(0), y[own], np.array(m.coef)
+        assert np.isclose(m.alpha_max, np.abs(z.T @ (t - t.mean())).max() / len(t) / 0.5) and np.isclose(m.alpha, m.strength * m.alpha_max if relative else m.strength)
+        grad = z.T @ (t - t.mean() - z @ b) / len(t) - m.alpha * 0.5 * b
+        active = np.abs(b) > 0
+        assert m.nonzero == active.sum() and np.allclose(grad[active], m.alpha * 0.5 * np.sign(b[active]), atol=1e-9)
+        assert (np.abs(grad[~active]) <= m.alpha * 0.5 + 1e-9).all()
+
+
+def test_elastic_net_without_rows_or_covariance(spark):
+    d = spark.createDataFrame([([float(k % 2)], 1.0, 2000) for k in range(20)], "v array<double>, y double, fold int")
+    assert models.elastic_net_path(d.where("false"), "v", "y", "fold", 1, (0.5,)).count() == 0
+    null = models.elastic_net_path(d, "v", "y", "fold", 1, (0.5,)).first()
+    assert (null.alpha_max, null.coef, null.intercept, null.nonzero) == (0.0, [0.0], 1.0, 0)
+    with pytest.raises(ValueError):
+        models.elastic_net_path(d, "v", "y", "fold", 1, (1.0,))
 
 
 def test_deflated_sharpe_formula(spark):
@@ -281,11 +309,158 @@ def test_guarded_read_and_manifest(spark, tmp_path):
         io.union_history(d, d.limit(1), ["id"])
 
 
-def test_yearly_trees_fit_every_year_with_enough_rows(spark):
+def plain_forest(x, y, cuts, rounds, rate, l2, min_leaf):
+    """Boosted trees of depth two by trying every edge and both sides for missing values on the rows."""
+    bins = np.column_stack([np.where(np.isnan(c), 0, np.searchsorted(e, np.nan_to_num(c), side="right") + 1) for c, e in zip(x.T, cuts)])
+    pred, base, trees = np.full(len(y), y.mean()), y.mean(), []
+
+    def split(rows, rest):
+        n, g, best = len(rows), rest[rows].sum(), None
+        for f in range(x.shape[1]):
+            for missing in (False, True):
+                if missing and not (bins[rows, f] == 0).any():
+                    continue
+                for e in range(len(cuts[f]) + 1):
+                    left = (bins[rows, f] > 0) & (bins[rows, f] <= e + 1) | missing & (bins[rows, f] == 0)
+                    k = left.sum()
+                    if min(k, n - k) < min_leaf:
+                        continue
+                    a = rest[rows][left].sum()
+                    gain = a * a / (k + l2) + (g - a) ** 2 / (n - k + l2) - g * g / (n + l2)
+                    if gain > 1e-12 and (best is None or gain > best[0] * (1 + 1e-9)):
+                        best = gain, f, e, missing, left
+        return best
+
+    for _ in range(rounds):
+        rest, rows = y - pred, np.arange(len(y))
+        root = split(rows, rest)
+        if root is None:
+            break
+        gains = [(root[1], root[0])]
+        for part in (rows[root[4]], rows[~root[4]]):
+            child = split(part, rest)
+            for leaf in [part] if child is None else [part[child[4]], part[~child[4]]]:
+                pred[leaf] += rate * rest[leaf].sum() / (len(leaf) + l2)
+            if child is not None:
+                gains.append((child[1], child[0]))
+        trees += gains
+    return pred, base, trees
+
+
+def test_forests_of_all_folds_equal_brute_force(spark):
+    from panelwright.operators import boosting as B
+
     rng = np.random.default_rng(3)
-    days = [d.date() for d in pd.date_range("1995-01-02", "1997-12-31", freq="W")]
-    rows = [(d, d.year, k, float(x), float(x + 0.1 * e)) for k, d in enumerate(days) for x, e in rng.normal(size=(45, 2))]
-    df = spark.createDataFrame(rows, "date date, year int, ord long, x double, y double")
-    got = {r.year: r.n for r in models.yearly_boosted_trees(df, ["x"], "y").where("prediction is not null").groupBy("year").agg(F.count("*").alias("n")).collect()}
-    assert got == {y: sum(r[1] == y for r in rows) for y in (1996, 1997)}
-    assert models.yearly_boosted_trees(df.where("ord < 40"), ["x"], "y").count() == 0
+    n = 900
+    x = np.round(rng.normal(size=(n, 3)), 2)
+    x[rng.random(x.shape) < 0.15] = np.nan
+    z = np.nan_to_num(x, nan=0.7)
+    y = z[:, 0] * (z[:, 1] > 0) - 0.5 * (np.isnan(x[:, 2])) + 0.2 * rng.normal(size=n)
+    year, fold = np.repeat([2000, 2001, 2002], 300), np.repeat([2001, 2002, 2003], 300)
+    rows = [(int(a), int(b), *[None if math.isnan(v) else float(v) for v in r], float(t), i) for i, (a, b, r, t) in enumerate(zip(year, fold, x, y))]
+    df = spark.createDataFrame(rows, "year int, fold int, a double, b double, c double, y double, i int").repartition(4)
+    s = B.Settings(rounds=12, rate=0.3, l2=10.0, min_leaf=20, bins=8)
+    forests, cuts = B.fit(df, ["a", "b", "c"], "y", min_rows=200, settings=s)
+    assert [f.grp for f in forests] == ["2001", "2002"]
+    got = {r.i: r.prediction for r in B.score(df.withColumn("g", F.lit(2002)), forests, cuts, ["a", "b", "c"], F.col("g")).collect()}
+    assert all(r.prediction is None for r in B.score(df.where("year = 2000"), forests, cuts, ["a", "b", "c"], F.col("year")).collect())
+    own = fold <= 2002
+    pred, base, gains = plain_forest(x[own], y[own], cuts, 12, 0.3, 10.0, 20)
+    assert np.isclose(base, forests[1].base) and np.allclose([got[i] for i in np.flatnonzero(own)], pred, atol=1e-9)
+    table = {(r.grp, r.feature): r for r in B.gain_importance(B.tree_table(spark, forests, ["a", "b", "c"])).collect()}
+    for k, f in enumerate("abc"):
+        want = [g for j, g in gains if j == k]
+        assert ("2002", f) in table if want else ("2002", f) not in table
+        if want:
+            assert table["2002", f].splits == len(want) and np.isclose(table["2002", f].gain, sum(want))
+    assert abs(sum(r.share for (g, _), r in table.items() if g == "2001") - 1) < 1e-12
+
+
+def test_forests_need_enough_rows_and_survive_constant_features(spark):
+    from panelwright.operators import boosting as B
+
+    df = spark.createDataFrame([(2001, 2001, 1.0, None, float(k % 3)) for k in range(50)], "year int, fold int, a double, b double, y double")
+    assert B.fit(df, ["a", "b"], "y", min_rows=51) == ([], [])
+    forests, cuts = B.fit(df, ["a", "b"], "y", min_rows=50, settings=B.Settings(rounds=3, min_leaf=5))
+    got = B.score(df, forests, cuts, ["a", "b"], F.col("year")).collect()
+    assert len(forests) == 1 and {round(r.prediction, 12) for r in got} == {round(sum(k % 3 for k in range(50)) / 50, 12)}
+    assert B.fit(df.where("false"), ["a", "b"], "y") == ([], [])
+
+
+def test_scan_of_affine_maps_equals_the_recurrence(spark):
+    rng = np.random.default_rng(23)
+    n = 3000
+    a = np.where(rng.random(n) < 0.01, 1e-200, np.where(rng.random(n) < 0.3, 1.0, rng.uniform(0.2, 0.99, n)))
+    a[[0, 1500]] = 0.0
+    b = np.where(np.arange(n) % 900 > 300, 0.0, rng.normal(size=n))
+    pdf = pd.DataFrame({"date": pd.date_range("1990-01-01", periods=n).date, "code": "a", "ord": range(n), "seg": 0, "x": a, "y": b})
+    got = back(ts.affine_scan(to_spark(spark, pdf), "x", "y", "s"))["s"].to_numpy()
+    want, y = [], 0.0
+    for p, q in zip(a, b):
+        y = p * y + q
+        want.append(y)
+    assert np.allclose(got, want, rtol=1e-9, atol=0)
+
+
+def test_smoothing_with_gaps_is_linear_in_a_long_history(spark):
+    import time
+
+    n = 16_000
+    rng = np.random.default_rng(29)
+    x = rng.normal(size=n)
+    ok = (rng.random(n) > 0.2) & ~((np.arange(n) > 5000) & (np.arange(n) < 9000))
+    pdf = pd.DataFrame({"date": pd.date_range("1970-01-01", periods=n).date, "code": "a", "ord": range(n), "seg": 0, "x": np.where(ok, x, np.nan), "y": 0.0})
+    d = to_spark(spark, pdf).withColumn("ok", F.col("x").isNotNull()).repartition("code").persist()
+    d.count()
+    ts.ewma(d, "y", 0.25, "s").agg(F.sum("s")).collect()
+    t0 = time.time()
+    ts.ewma(d, "y", 0.25, "s").agg(F.sum("s")).collect()
+    t1 = time.time()
+    got = back(ts.ewma_with_gaps(d, "x", "ok", 0.25, "s"))
+    t2 = time.time()
+    want = pd.Series(pdf.x).ewm(alpha=0.25, adjust=False).mean().where(ok, 0.0)
+    assert np.abs(got.s.to_numpy() - want.to_numpy()).max() < 1e-12
+    assert t2 - t1 < 10 + 5 * (t1 - t0)  # no list of the history beside every row
+
+
+def test_normal_distribution_as_columns(spark):
+    from statistics import NormalDist
+
+    from panelwright.functions.scalar import normal_cdf, normal_quantile
+
+    nd = NormalDist()
+    xs = [-12.0, -8.0, -3.3, -1.0, -1e-9, 0.0, 0.4, 2.0, 5.0, 9.0]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", normal_cdf("x").alias("p")).collect()
+    assert all(abs(r.p - nd.cdf(r.x)) < 1e-14 for r in got)
+    ps = [1e-6, 0.01, 0.3, 0.5, 0.77, 0.999999]
+    got = spark.createDataFrame([(p,) for p in [*ps, 0.0, 1.0, None]], "p double").select("p", normal_quantile("p").alias("x")).collect()
+    assert all(r.x is None if r.p in (0.0, 1.0, None) else abs(r.x - nd.inv_cdf(r.p)) < 1e-9 for r in got)
+
+
+def test_catalog_reads_footers_and_trees_find_changes(spark, tmp_path):
+    from panelwright.sources import io
+
+    rows = [(dt.datetime(2020, 1, 1) + dt.timedelta(days=k), k, "ab"[k % 2]) for k in range(400)]
+    df = spark.createDataFrame(rows, "day timestamp, id long, part string")
+    df.select("part", "id", F.col("day").cast("timestamp_ntz").alias("day")).write.parquet(str(tmp_path / "t"))
+    facts = io.footer_facts(spark, str(tmp_path / "t"), "day")
+    plan = facts._jdf.queryExecution().executedPlan().toString()
+    assert "PushedAggregation: [COUNT(*), MIN(day), MAX(day)]" in plan
+    assert tuple(facts.first()) == (400, "2020-01-01", "2021-02-03")
+    assert spark.conf.get("spark.sql.parquet.aggregatePushdown") == "false"
+    one = io.catalog(spark, {"t": (str(tmp_path / "t"), "part", "day")}, distinct=True).first()
+    assert (one["rows"], one["keys"], one["columns"]) == (400, 2, 3)
+
+    d = df.select(F.col("id").cast("string").alias("id"), "part")
+    tree = io.digest_tree(d, ["id", "part"], "id", "part")
+    place = io.store_tree(tree, str(tmp_path / "trees"))
+    assert io.store_tree(io.digest_tree(d.repartition(9), ["id", "part"], "id", "part"), str(tmp_path / "trees")) == place  # same content, same place
+    stored = spark.read.parquet(place)
+    assert io.changed_parts(stored, tree).count() == 0
+    other = d.where("id <> '17'").unionByName(spark.createDataFrame([("900", "c")], "id string, part string"))
+    got = {r.path: (r.rows_before, r.rows_after) for r in io.changed_parts(stored, io.digest_tree(other, ["id", "part"], "id", "part")).collect()}
+    import hashlib
+
+    leaf = lambda part, i: "./" + "/".join([part, *hashlib.md5(i.encode()).hexdigest()[:2]])
+    assert set(got) == {leaf("b", "17"), leaf("c", "900")} and got[leaf("c", "900")] == (0, 1)
+    assert got[leaf("b", "17")][0] == got[leaf("b", "17")][1] + 1
