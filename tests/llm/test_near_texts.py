@@ -73,13 +73,13 @@ def test_keys_meet_at_the_least_similarity():
         words = [f"w{rng.integers(10 ** 6)}" for _ in range(49)]
         other = edited(rng, words, (20,))
         assert plain_similarity(" ".join(words), other) >= 0.8
-        for bank in near_texts.BANKS:
-            assert set(bank.keys(" ".join(words))) & set(bank.keys(other))
+        assert set(near_texts.BANK.keys(" ".join(words))) & set(near_texts.BANK.keys(other))
 
 
 def test_keys_shared_by_many_components_are_finished(spark, monkeypatch):
     # short keys, so that texts of half their words in common meet in one key, and drifting groups within
-    monkeypatch.setattr(near_texts, "BANKS", (near_texts.Bank(12, 1, 7), near_texts.Bank(64, 8, 8)))
+    monkeypatch.setattr(near_texts, "BANK", near_texts.Bank(12, 1, 7))
+    monkeypatch.setattr(near_texts, "BLOCK_POINTS", 7)
     rng = np.random.default_rng(9)
     common, rows = [f"k{i}" for i in range(60)], []
     for g in range(25):
