@@ -64,26 +64,29 @@ def source_daily(df: DataFrame, w: str = "w") -> DataFrame:
 
     A change inside one side is split evenly between the old and the new
     shares; an exit belongs to the old ones, an entry to the new ones, a flip
-    to both sides.  Sums are taken per date and side with all sources beside
-    each other, and only the sums are unpivoted.
+    to both sides.  A row is unpivoted to the sources that it has or had, few
+    of all, and every date has a row for each side and source.
     """
     seg = Window.partitionBy("code", "seg").orderBy("date")
     d = df.select("date", F.col(w).alias("_w"), "target", "shares",
                   F.coalesce(F.lag(w).over(seg), F.lit(0.0)).alias("_b"), F.lag("shares").over(seg).alias("_old"))
-    d = d.withColumn("side", F.explode(F.array(F.lit("long"), F.lit("short"))))
-    sign = F.when(F.col("side") == "long", 1).otherwise(-1)
-    was, now = F.col("_b") * sign > 0, F.col("_w") * sign > 0
-    sums = []
-    for i in range(len(SOURCES)):
-        new, old = F.col("shares")[i], F.coalesce(F.col("_old")[i], F.lit(0.0))
-        turn = (F.when(was & now, F.abs(F.col("_w") - F.col("_b")) * (old + new) / 2)
-                .when(was, F.abs("_b") * old).when(now, F.abs("_w") * new).otherwise(0.0))
-        each = {"gross": F.when(now, F.col("_w") * F.col("target") * new), "cost": F.when(F.col("target").isNotNull(), 0.001 * turn),
-                "turnover": turn, "held": F.when(now, new), "weight": F.when(now, F.abs("_w") * new)}
-        sums += [F.coalesce(F.sum(each[m]), F.lit(0.0)).alias(f"{m}_{i}") for m in MEASURES]
-    wide = d.groupBy("date", "side").agg(*sums)
-    return wide.select("date", "side", F.inline(F.array(*[
-        F.struct(F.lit(s).alias("source"), *[F.col(f"{m}_{i}").alias(m) for m in MEASURES]) for i, s in enumerate(SOURCES)])))
+    names = F.array(*map(F.lit, SOURCES))
+    none = F.array_repeat(F.lit(0.0), len(SOURCES))
+    parts = F.arrays_zip(names.alias("source"), F.col("shares").alias("new"), F.coalesce("_old", none).alias("old"))
+    parts = F.filter(parts, lambda p: (p["new"] > 0) | (p["old"] > 0))
+    # the sides a row stands on, now or before
+    sides = F.filter(F.array(F.struct(F.lit("long").alias("side"), F.lit(1).alias("sign")), F.struct(F.lit("short").alias("side"), F.lit(-1).alias("sign"))),
+                     lambda s: (F.col("_b") * s["sign"] > 0) | (F.col("_w") * s["sign"] > 0))
+    d = d.withColumn("_s", F.explode(sides)).select("date", "_w", "_b", "target", "_s.side", "_s.sign", F.inline(parts))
+    was, now = F.col("_b") * F.col("sign") > 0, F.col("_w") * F.col("sign") > 0
+    old, new = F.col("old"), F.col("new")
+    turn = (F.when(was & now, F.abs(F.col("_w") - F.col("_b")) * (old + new) / 2)
+            .when(was, F.abs("_b") * old).when(now, F.abs("_w") * new).otherwise(0.0))
+    each = {"gross": F.when(now, F.col("_w") * F.col("target") * new), "cost": F.when(F.col("target").isNotNull(), 0.001 * turn),
+            "turnover": turn, "held": F.when(now, new), "weight": F.when(now, F.abs("_w") * new)}
+    sums = d.groupBy("date", "side", "source").agg(*[F.sum(each[m]).alias(m) for m in MEASURES])
+    grid = df.select("date").distinct().select("date", F.explode(F.array(F.lit("long"), F.lit("short"))).alias("side")).select("*", F.explode(names).alias("source"))
+    return grid.join(sums, ["date", "side", "source"], "left").select("date", "side", "source", *[F.coalesce(m, F.lit(0.0)).alias(m) for m in MEASURES])
 
 
 def source_summary(daily: DataFrame, by=(), periods: int = 252) -> DataFrame:

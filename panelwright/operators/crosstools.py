@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.functions.scalar import day_text
+from panelwright.functions.scalar import day_text, rounded
 from panelwright.operators.xsection import CrossSection, _key_match
 
 
@@ -89,3 +89,15 @@ def audit_sample(df: DataFrame, cls: str, rows: int, seed: int) -> DataFrame:
     first = df.groupBy(cls).agg(F.min(F.struct("date", "code")).alias("_k")).select("_k.*", cls)
     picked = df.orderBy(keyed_order(day_text(), "code", seed=seed), "date", "code").limit(rows)
     return first.select("date", "code", cls).union(picked.select("date", "code", cls)).distinct()
+
+
+def condition_tables(df: DataFrame, dimensions: dict[str, Column], w: str = "w", dw: str = "dw", target: str = "target", one_way: float = 0.001) -> DataFrame:
+    """Counts, returns, cost and legs of a book by each level of several dimensions, in one pass over unpivoted levels."""
+    level = F.array(*[F.struct(F.lit(k).alias("dimension"), v.cast("string").alias("level")) for k, v in dimensions.items()])
+    d = df.select("date", w, dw, target, F.inline(level))
+    pl = F.col(w) * F.col(target)
+    rounded_sum = lambda c, k: rounded(F.sum(c), k)
+    return d.groupBy("dimension", "level").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct("date").alias("days"), rounded(F.avg(target), 6).alias("target"), rounded_sum(pl, 5).alias("gross"),
+        rounded_sum(F.when(F.col(target).isNotNull(), one_way * F.col(dw)), 6).alias("cost"), rounded_sum(F.when(F.col(w) > 0, pl), 5).alias("long"),
+        rounded_sum(F.when(F.col(w) < 0, pl), 5).alias("short"), rounded(F.avg(F.abs(w))).alias("held"))

@@ -74,9 +74,9 @@ def churn(df: DataFrame, score: str, q: str, xs: CrossSection) -> DataFrame:
     return n.join(ic, "date", "left")
 
 
-def decay_profile(df: DataFrame, state: str, origin: str, age: str, alpha: float, longest: int) -> DataFrame:
-    """Observed state over its event-day value by age, beside the theoretical decay."""
-    d = df.where(F.col(age).between(0, longest)).withColumn("_r", F.try_divide(F.col(state), F.col(origin)))
+def decay_profile(df: DataFrame, state: str, origin: str, age: str, alpha: float, longest: int | None = None) -> DataFrame:
+    """Observed state over its event-day value by age (up to ``longest``), beside the theoretical decay."""
+    d = df.where(F.col(age) >= 0 if longest is None else F.col(age).between(0, longest)).withColumn("_r", F.try_divide(F.col(state), F.col(origin)))
     return d.groupBy(F.col(age).cast("long").alias("age")).agg(F.avg("_r").alias("observed"), F.count("*").alias("rows")).withColumn(
         "theory", F.pow(F.lit(1 - alpha), F.col("age")))
 

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from panelwright.functions.scalar import accounting_basis, col
 from panelwright.operators import asof as A
-from panelwright.scale import durable
 
 # Accepted length in days of each reporting period.
 PERIOD_DAYS = {"1Q": (80, 100), "2Q": (170, 195), "3Q": (260, 285), "FY": (350, 380)}
@@ -70,36 +69,49 @@ def assign_segments(events: DataFrame, panel: DataFrame, day: str = "disclosed")
     return events.join(spans, "code").where(seen).drop("seg_first", "seg_last")
 
 
-def metric_versions(reports: DataFrame, value: Column, keys=("code", "seg"), extra=()) -> DataFrame:
-    """One row per key, report and day: the last usable version of that day.
+def daily_reports(reports: DataFrame, panel: DataFrame, value: Column, keys=("code",), extra=()) -> DataFrame:
+    """One row per segment, report and day: the last usable version of that day, NULL without one.
 
-    ``first_seen`` orders reports that tie in every dominating field.
+    Reports are reduced to days before they meet the segments, so a code with
+    very many reports leaves as many rows as it has reporting days.
     """
     keys = list(keys)
-    d = reports.withColumn("value", value).where(F.col("value").isNotNull())
-    v = d.groupBy(*keys, *REPORT, "disclosed").agg(
-        F.max_by(F.struct("value", "days", *extra), "number").alias("_v"), F.min("number").alias("_n"),
-    ).select(*keys, *REPORT, "disclosed", "_v.*", "_n")
-    order = F.struct("disclosed", "_n")
-    first = v.groupBy(*keys, *REPORT).agg(F.min(order).alias("first_seen"))
-    return v.join(first, [*keys, *REPORT]).drop("_n")
+    usable = F.col("_value").isNotNull()
+    v = reports.withColumn("_value", value).groupBy(*keys, *REPORT, "disclosed").agg(
+        F.max_by(F.when(usable, F.struct(F.col("_value").alias("value"), "days", *extra)), F.when(usable, F.col("number"))).alias("_v"),
+        F.min(F.when(usable, F.col("number"))).alias("_n"))
+    return assign_segments(v.withColumn("version", F.col("_v")).drop("_v"), panel)
 
 
-def current_states(versions: DataFrame, days: DataFrame, keys=("code", "seg"), extra=()) -> DataFrame:
-    """State after every day in ``days`` (distinct keys and ``disclosed``): the current report.
+def metric_versions(daily: DataFrame, keys=("code", "seg"), extra=()) -> DataFrame:
+    """Usable versions of :func:`daily_reports` with the order ``first_seen`` in which their reports appeared.
+
+    It decides between reports that tie in every dominating field.
+    """
+    keys = list(keys)
+    order = F.min(F.struct("disclosed", "_n")).over(Window.partitionBy(*keys, *REPORT))
+    d = daily.where(F.col("version").isNotNull()).withColumn("first_seen", order)
+    return d.select(*keys, *REPORT, "disclosed", "first_seen", *[F.col(f"version.{c}").alias(c) for c in ("value", "days", *extra)])
+
+
+def current_states(daily: DataFrame, keys=("code", "seg"), extra=()) -> DataFrame:
+    """State after every reporting day: the current report, by a running maximum.
 
     Fully tied reports: the one first seen wins, hence the negated arrival.
     """
     keys = list(keys)
-    v = versions.withColumn("_best", F.struct(
+    order = F.min(F.when(F.col("version").isNotNull(), F.struct("disclosed", "_n"))).over(Window.partitionBy(*keys, *REPORT))
+    d = daily.withColumn("first_seen", order)
+    best = F.when(F.col("version").isNotNull(), F.struct(
         "end", "disclosed", "period",
         (-F.datediff("first_seen.disclosed", F.lit("1900-01-01"))).alias("a"),
-        (-F.col("first_seen._n")).alias("b"), "start", "basis", "days", "value", *extra))
-    best = v.groupBy(*keys, "disclosed").agg(F.max("_best").alias("_best"), F.lit(True).alias("updated"))
-    d = days.select(*keys, "disclosed").join(best, [*keys, "disclosed"], "left")
+        (-F.col("first_seen._n")).alias("b"), "start", "basis", F.col("version.days").alias("days"), F.col("version.value").alias("value"),
+        *[F.col(f"version.{c}").alias(c) for c in extra]))
+    d = d.groupBy(*keys, "disclosed").agg(F.max(best).alias("_best"))
+    d = d.withColumn("updated", F.col("_best").isNotNull())
     past = Window.partitionBy(*keys).orderBy("disclosed").rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("_best", F.max("_best").over(past))
-    return d.select(*keys, F.col("disclosed").alias("day"), F.coalesce("updated", F.lit(False)).alias("updated"),
+    return d.select(*keys, F.col("disclosed").alias("day"), "updated",
                     F.col("_best.end").alias("end"), F.col("_best.disclosed").alias("state_date"),
                     *[F.col(f"_best.{c}").alias(c) for c in ("period", "start", "basis", "days", "value", *extra)])
 
@@ -127,14 +139,10 @@ def onto_panel(panel: DataFrame, states: DataFrame, cols: list[str]) -> DataFram
 def report_state(panel: DataFrame, reports: DataFrame, value: Column, name: str, expiry: int = 450,
                  previous: bool = True, extra=()) -> DataFrame:
     """Current value, change on the comparable report and state date on every panel row."""
-    # The version table is read several times below, so it is written once.
-    seen = assign_segments(reports, panel)
-    versions = durable(metric_versions(seen, value, extra=extra))
-    days = seen.select("code", "seg", "disclosed").distinct()
-    states = current_states(versions, days, extra=extra)
+    daily = daily_reports(reports, panel, value, extra=extra)
+    states = current_states(daily, extra=extra)
     if previous:
-        states = durable(states)
-        states = with_previous(states, versions)
+        states = with_previous(states, metric_versions(daily, extra=extra))
     cols = ["value", "state_date", "period", "basis", *extra] + (["yoy"] if previous else [])
     d = onto_panel(panel, states.select("code", "seg", "day", *cols), cols)
     live = lambda c: A.unexpired(c, "date", "state_date", expiry)
@@ -149,12 +157,10 @@ def report_state(panel: DataFrame, reports: DataFrame, value: Column, name: str,
 def metric_states(panel: DataFrame, reports: DataFrame, metrics: dict[str, Column], expiry: int = 450) -> DataFrame:
     """States of several metrics in one pass keyed by metric; one row per panel key and metric."""
     keys = ["code", "seg", "metric"]
-    seen = assign_segments(reports, panel)
     packed = F.array(*[F.struct(F.lit(k).alias("metric"), v.alias("metric_value")) for k, v in metrics.items()])
-    rows = seen.withColumn("_m", F.explode(packed)).select("*", "_m.metric", "_m.metric_value").drop("_m")
-    versions = durable(metric_versions(rows, F.col("metric_value"), keys))
-    current = durable(current_states(versions, rows.select(*keys, "disclosed").distinct(), keys))
-    states = with_previous(current, versions, keys)
+    rows = reports.withColumn("_m", F.explode(packed)).select("*", "_m.metric", "_m.metric_value").drop("_m")
+    daily = daily_reports(rows, panel, F.col("metric_value"), ["code", "metric"])
+    states = with_previous(current_states(daily, keys), metric_versions(daily, keys), keys)
     names = F.explode(F.array(*[F.lit(k) for k in metrics]))
     left = panel.select("date", "code", "seg").withColumn("metric", names)
     d = A.asof(left, states, keys, "date", "day", ["value", "yoy", "state_date", "period"], strict=True)
@@ -170,10 +176,8 @@ def turn_negative_events(panel: DataFrame, reports: DataFrame, value: Column) ->
     panel row can see it.  A usable, comparable update sets the event (dated by
     the first bad day of that report) or clears it; any other leaves it as is.
     """
-    seen = assign_segments(reports, panel)
-    versions = durable(metric_versions(seen, value))
-    days = seen.select("code", "seg", "disclosed").distinct()
-    s = with_previous(durable(current_states(versions, days)), versions)
+    daily = daily_reports(reports, panel, value)
+    s = with_previous(current_states(daily), metric_versions(daily))
     bad = (F.col("value") < 0) & (F.col("previous") >= 0)
     judged = F.col("updated") & F.col("previous").isNotNull()
     by_report = Window.partitionBy("code", "seg", *REPORT).orderBy("day").rowsBetween(Window.unboundedPreceding, 0)

@@ -177,11 +177,14 @@ def event_quintiles(df: DataFrame, score: str, target: str, xs: CrossSection, le
 
 
 def lag_persistence(df: DataFrame, x: str, lags, xs: CrossSection) -> DataFrame:
-    """Daily rank correlation of a factor with its own value ``k`` positions earlier."""
-    out = None
-    slim = df.select("date", "code", "ord", x)
+    """Daily rank correlation of a factor with its own value ``k`` positions earlier.
+
+    All lags are frames over the same layout and are ranked side by side.
+    """
+    d = df.select("date", "code", "ord", x)
     for k in lags:
-        d = at_offset(slim, {x: "_past"}, -k)
-        ic = rank_ic(d, x, "_past", xs).withColumn("lag", F.lit(k))
-        out = ic if out is None else out.unionByName(ic)
+        d = at_offset(d, {x: f"_past_{k}"}, -k)
+    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"_past_{k}").alias("past")) for k in lags])).alias("_p")
+    d = d.where(F.col(x).isNotNull()).select("date", x, pairs).where("_p.past is not null").select("date", x, "_p.lag", "_p.past")
+    out = rank_ic(d, x, "past", xs, by=("lag", "date"))
     return out.groupBy("lag").agg(F.avg("rankic").alias("mean_ic"), F.count("rankic").alias("days"))

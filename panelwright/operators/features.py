@@ -280,3 +280,61 @@ def directional(df: DataFrame, side: str) -> DataFrame:
 
 def eligible_box(df: DataFrame, limit: float = 3.0) -> DataFrame:
     return df.withColumn("eligible", (F.col("box_duration") > 0) & F.coalesce(F.col("box_width") < limit, F.lit(False)))
+
+
+#: Ratios of a factor block: each is standardised per date, the sum is filled and standardised again.
+BLOCKS = {
+    "quality": ("cfo_assets", "profit_equity", "equity_ratio"),
+    "value": ("book_price", "forecast_price"),
+}
+
+
+def factor_blocks(df: DataFrame, xs: CrossSection, window: int = 60, need: int = 40) -> DataFrame:
+    """Size and liquidity, quality and value blocks and their sum ``factor_score``.
+
+    Needs the as-of fields cfo, assets, profit, equity, shares and forecast_eps
+    beside close, ret, turnover and size.  A ratio that is missing makes its
+    block's sum missing; sums are filled with the date's median, then 0.
+    """
+    cap = F.col("close") * positive("shares")
+    f = history_by_code().rowsBetween(-(window - 1), 0)
+    day = ratio(F.abs("ret"), positive("turnover"))
+    d = df.withColumns({
+        "_cap": F.when(cap > 0, -F.log(cap)), "_band": -F.col("size"),
+        "_illiquid": F.when(F.count(day).over(f) >= need, F.avg(day).over(f)),
+        "cfo_assets": ratio("cfo", "assets"), "profit_equity": ratio("profit", "equity"), "equity_ratio": ratio("equity", "assets"),
+        "book_price": ratio(ratio("equity", positive("shares")), "close"), "forecast_price": ratio("forecast_eps", "close"),
+    })
+    for c in ("_cap", "_band", "_illiquid", *BLOCKS["quality"], *BLOCKS["value"]):
+        d = xs.zscore(d, c, f"{c}_z")
+    d = d.withColumn("_size", F.coalesce("_cap_z", "_band_z"))
+    for name, ratios in BLOCKS.items():
+        d = d.withColumn(f"_{name}", sum((F.col(f"{r}_z") for r in ratios[1:]), F.col(f"{ratios[0]}_z")))
+    for c in ("_size", "_illiquid_z", "_quality", "_value"):
+        d = xs.fill_median(d, c, f"{c}_f")
+    d = d.withColumn("_sl", F.col("_size_f") + F.col("_illiquid_z_f"))
+    for src, out in (("_sl", "block_size_liquidity"), ("_quality_f", "block_quality"), ("_value_f", "block_value")):
+        d = xs.zscore(d, src, out)
+    z = lambda c: F.coalesce(c, F.lit(0.0))
+    d = d.withColumn("factor_score", z("block_size_liquidity") + z("block_quality") + z("block_value"))
+    return d.drop(*[c for c in d.columns if c not in df.columns and (c.startswith("_") or c.endswith("_z"))])
+
+
+def history_by_code():
+    return ts.history(("code",))
+
+
+def risk_composites(states: DataFrame, deterioration: DataFrame, xs: CrossSection, profits=("op", "ordinary", "profit"), balances=("equity", "cash")) -> DataFrame:
+    """Profit, balance and overall risk from metric states (date, code, metric, value, yoy, period).
+
+    Falling profits are ranked among reports of the same period, low balances
+    among all; a missing one is neutral.  Metrics stay rows of one table, so all
+    are ranked in two passes.
+    """
+    d = states.withColumns({"_fall": -F.col("yoy"), "_low": -F.col("value")})
+    d = xs.pct_rank(d.where(F.col("metric").isin(*profits)), "_fall", "_p", ("date", "metric", "period"), 0.5).unionByName(
+        xs.pct_rank(d.where(F.col("metric").isin(*balances)), "_low", "_p", ("date", "metric"), 0.5))
+    part = lambda names: F.sum(F.when(F.col("metric").isin(*names), F.col("_p"))) / len(names)
+    wide = d.groupBy("date", "code").agg(part(profits).alias("profit_risk"), part(balances).alias("balance_risk"))
+    d = wide.join(deterioration.select("date", "code", "fd_equal"), ["date", "code"])
+    return d.withColumn("multi_risk", (F.col("fd_equal") + F.col("profit_risk") + F.col("balance_risk")) / 3)

@@ -202,6 +202,76 @@ def _(spark, sf):
                                          F.col("low_age").cast("long").alias("low_age"), "q", "sector17", "size_band"], score="side_score")
 
 
+_SPELLS = f"""{_SQ},
+sl0 AS (SELECT *, CASE WHEN q <= 1 THEN -1 WHEN q >= 3 THEN 1 ELSE 0 END AS pside, {pct_rank('sn')} AS pct, CASE WHEN ls < 0 THEN 'low_state' WHEN ls = 0 AND hs > 0 THEN 'high_state' ELSE 'fallback' END AS source,
+  CAST(sum(CASE WHEN hr > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY code, seg ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS BIGINT) AS high20,
+  CAST(sum(CASE WHEN lr < 0 THEN 1 ELSE 0 END) OVER (PARTITION BY code, seg ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS BIGINT) AS low20 FROM sq),
+sl1 AS (SELECT *, CASE WHEN lag(pside) OVER (PARTITION BY code ORDER BY date) = pside AND ord - lag(ord) OVER (PARTITION BY code ORDER BY date) = 1 THEN 0 ELSE 1 END AS nw FROM sl0),
+sl2 AS (SELECT *, sum(nw) OVER (PARTITION BY code ORDER BY date) AS spell FROM sl1),
+sl AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY code, spell ORDER BY date) AS spell_age, count(*) OVER (PARTITION BY code, spell) AS spell_length,
+  CASE WHEN pside > 0 THEN high20 WHEN pside < 0 THEN low20 ELSE 0 END AS reinforcing, CASE WHEN pside > 0 THEN hage WHEN pside < 0 THEN lage END AS side_age,
+  abs(ls) / nullif(abs(hs) + abs(ls), 0) AS low_share, CASE WHEN date < DATE '1999-01-01' THEN 'train' ELSE 'later' END AS split FROM sl2)"""
+
+
+def _state_spells(spark, sf):
+    """Held rows with their side's spell, its renewing events and the shares of both states."""
+    xs = cross_section(spark, sf)
+    d = _held(spark, sf).withColumn("pside", F.when(F.col("q") <= 1, -1).when(F.col("q") >= 3, 1).otherwise(0))
+    d = xs.pct_rank(d, "side_score", "pct")
+    d = d.withColumns({
+        "source": F.when(F.col("low_state") < 0, "low_state").when((F.col("low_state") == 0) & (F.col("high_state") > 0), "high_state").otherwise("fallback"),
+        "high20": F.sum(F.when(F.col("high_raw") > 0, 1).otherwise(0)).over(ts.trailing(20)), "low20": F.sum(F.when(F.col("low_raw") < 0, 1).otherwise(0)).over(ts.trailing(20)),
+        "split": F.when(F.col("date") < F.lit("1999-01-01").cast("date"), "train").otherwise("later")})
+    d = ts.spells(d, "pside")
+    up, down = F.col("pside") > 0, F.col("pside") < 0
+    return d.withColumns({
+        "reinforcing": F.when(up, F.col("high20")).when(down, F.col("low20")).otherwise(0), "side_age": F.when(up, F.col("high_age")).when(down, F.col("low_age")),
+        "low_share": F.try_divide(F.abs("low_state"), F.abs("high_state") + F.abs("low_state"))})
+
+
+@query("d_11_spells", on_events(f"""
+SELECT {KS}, pside AS side, source, spell_age, spell_length, reinforcing, side_age, {r('pct')} AS percentile, {r('low_share')} AS low_share FROM sl""", _SPELLS))
+def _(spark, sf):
+    d = _state_spells(spark, sf)
+    return keyed(d, keep=[F.col("pside").alias("side"), "source", *[F.col(c).cast("long").alias(c) for c in ("spell_age", "spell_length", "reinforcing", "side_age")]],
+                 percentile="pct", low_share="low_share")
+
+
+@query("d_11_state_summary", on_events(f"""
+SELECT split, source, pside AS side, count(*) AS rows, count(DISTINCT code) AS codes, count(*) FILTER (WHERE spell_age = 1) AS spells, {r('avg(spell_age)', 6)} AS spell_age,
+  {r('avg(side_age)', 6)} AS side_age, {r('avg(reinforcing)', 6)} AS reinforcing, {r('avg(abs(sn))', 6)} AS score_size, {r('avg(low_share)', 6)} AS low_share,
+  count(*) FILTER (WHERE ls < 0 AND hs > 0) AS both_states, count(*) FILTER (WHERE abs(sn) < 1e-12) AS near_zero FROM sl GROUP BY ALL""", _SPELLS))
+def _(spark, sf):
+    """Rows, codes, new spells and mean ages, renewals and shares of every split, source and side."""
+    n = lambda c: F.count(F.when(c, 1))
+    g = _state_spells(spark, sf).groupBy("split", "source", F.col("pside").alias("side")).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct("code").alias("codes"), n(F.col("spell_age") == 1).alias("spells"),
+        *[rounded(F.avg(c), 6).alias(c) for c in ("spell_age", "side_age", "reinforcing")], rounded(F.avg(F.abs("side_score")), 6).alias("score_size"),
+        rounded(F.avg("low_share"), 6).alias("low_share"), n((F.col("low_state") < 0) & (F.col("high_state") > 0)).alias("both_states"),
+        n(F.abs("side_score") < 1e-12).alias("near_zero"))
+    return g
+
+
+_COND = f"""ct0 AS (SELECT s.date, s.code, s.target, s.w, s.dw, s.score, s.sector17, s.size_band, c.period, c.basis, s.date - c.sd AS age FROM sc s JOIN cfj c ON c.date = s.date AND c.code = s.code),
+ct1 AS (SELECT *, {avg_rank('score')} AS rs FROM ct0), ct AS (""" + " UNION ALL ".join(f"SELECT '{k}' AS dimension, {v} AS level, * FROM ct1" for k, v in {
+    "year": "CAST(year(date) AS VARCHAR)", "period": "coalesce(period, 'missing')", "basis": "coalesce(basis, 'missing')", "sector": "sector17", "size": "size_band",
+    "age": "CASE WHEN age IS NULL THEN 'none' WHEN age <= 90 THEN '0-90' WHEN age <= 180 THEN '91-180' WHEN age <= 450 THEN '181-450' ELSE 'expired' END"}.items()) + ")"
+
+
+@query("e_13_condition_tables", on_scored(f"""
+SELECT dimension, level, count(*) AS rows, count(DISTINCT date) AS days, {r('avg(target)', 6)} AS target, {r('sum(w * target)', 5)} AS gross, {r('sum(CASE WHEN target IS NOT NULL THEN 0.001::DOUBLE * dw END)', 6)} AS cost,
+  {r('sum(CASE WHEN w > 0 THEN w * target END)', 5)} AS long, {r('sum(CASE WHEN w < 0 THEN w * target END)', 5)} AS short, {r('avg(abs(w))')} AS held FROM ct GROUP BY 1, 2""",
+    FINS_CTES, FP._SEEN, FP._state("cf", FP._CFO), _COND))
+def _(spark, sf):
+    """Returns, cost and both sides of the book by year, report period, accounting basis, sector, size and age of the report."""
+    state = FP.DS.report_state(FP._base(spark, sf), FP._reports(spark, sf), FP._sp_cfo(), "cfo").select("date", "code", "cfo_date", "cfo_period", "cfo_basis")
+    d = scored(spark, sf).join(state, ["date", "code"])
+    age = F.datediff("date", "cfo_date")
+    band = F.when(age.isNull(), "none").when(age <= 90, "0-90").when(age <= 180, "91-180").when(age <= 450, "181-450").otherwise("expired")
+    return ct.condition_tables(d, {"year": F.year("date").cast("string"), "period": F.col("cfo_period"), "basis": F.col("cfo_basis"), "sector": F.col("sector17"),
+                                   "size": F.col("size_band"), "age": band})
+
+
 _ORI = f"""oe AS (SELECT *, max(CASE WHEN lr < 0 THEN date END) OVER ({W}) AS ldate, max(CASE WHEN hr > 0 THEN date END) OVER ({W}) AS hdate, row_number() OVER ({W}) AS rn FROM en),
 od AS (SELECT a.*, b.ls AS l0, b.lr AS lentry, a.rn - b.rn AS lrows, c.hr AS hentry, c.hs AS h0, a.rn - c.rn AS hrows FROM oe a LEFT JOIN oe b ON b.code = a.code AND b.date = a.ldate LEFT JOIN oe c ON c.code = a.code AND c.date = a.hdate)"""
 
@@ -222,6 +292,13 @@ def _(spark, sf):
     return d.select("age", "rows", *_cols(["observed", "theory"]))
 
 
+@query("d_12_all_ages", on_events(f"""
+SELECT lrows AS age, {r('avg(ls / l0)')} AS observed, count(*) AS rows, {r('pow(0.5, lrows)')} AS theory FROM od WHERE lrows >= 0 GROUP BY lrows""", _ORI))
+def _(spark, sf):
+    d = DG.decay_profile(_origins(spark, sf), "low_state", "low_start", "low_rows", 0.5)
+    return d.select("age", "rows", *_cols(["observed", "theory"]))
+
+
 @query("d_13_recurrence", on_events(f"""
 SELECT count(*) AS pairs, {r('avg(ls / p)')} AS mean_ratio, count(*) FILTER (WHERE abs(ls / p - 0.5) > 1e-9) AS broken
 FROM (SELECT *, lag(ls) OVER ({W}) AS p, lag(ord) OVER ({W}) AS po FROM en) WHERE po = ord - 1 AND lr = 0 AND abs(p) > 1e-6"""))

@@ -300,6 +300,42 @@ def _(spark, sf):
     return keyed(d, x=F.coalesce("y1", F.lit(0.0)) + F.coalesce("y3", F.lit(0.0)))
 
 
+_FIELDS = ("cfo", "assets", "profit", "equity", "shares", "forecast_eps")
+_ASOF = ",\n".join(f"fb_{c} AS (SELECT code, disclosed, arg_max({c}, number) FILTER (WHERE {c} IS NOT NULL) AS {c} FROM fins GROUP BY ALL HAVING count({c}) > 0)" for c in _FIELDS)
+_MEDIAN = "coalesce({x}, quantile_cont({x}, 0.5) OVER (PARTITION BY date), 0)"
+_RATIOS = {"z_cap": "cap", "z_band": "band", "z_ill": "ill", "z_ca": "cfo / assets", "z_pe": "profit / equity", "z_er": "equity / assets", "z_bp": "bp", "z_fp": "forecast_eps / close"}
+_FACTORS = f"""{_ASOF},
+fb0 AS (SELECT p.*, {', '.join(f'j_{c}.{c}' for c in _FIELDS)}, CASE WHEN count(i) OVER f >= 40 THEN avg(i) OVER f END AS ill
+  FROM (SELECT *, abs(ret) / turnover AS i FROM pa) p {' '.join(f'ASOF LEFT JOIN fb_{c} j_{c} ON p.code = j_{c}.code AND p.date >= j_{c}.disclosed' for c in _FIELDS)}
+  WINDOW f AS (PARTITION BY p.code ORDER BY p.date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)),
+fb1 AS (SELECT *, -ln(close * shares) AS cap, -size AS band, equity / shares / close AS bp FROM fb0),
+fb2 AS (SELECT *, {', '.join(f'{_z(x)} AS {k}' for k, x in _RATIOS.items())} FROM fb1),
+fb3 AS (SELECT date, code, {', '.join(f'{_clip3(k)} AS {k}' for k in _RATIOS)} FROM fb2),
+fb4 AS (SELECT *, coalesce(z_cap, z_band) AS sz, z_ca + z_pe + z_er AS qu, z_bp + z_fp AS va FROM fb3),
+fb5 AS (SELECT *, {_MEDIAN.format(x='sz')} + {_MEDIAN.format(x='z_ill')} AS sl, {_MEDIAN.format(x='qu')} AS qf, {_MEDIAN.format(x='va')} AS vf FROM fb4),
+fb6 AS (SELECT *, {_z('sl')} AS y1, {_z('qf')} AS y2, {_z('vf')} AS y3 FROM fb5),
+fb AS (SELECT *, {_clip3('y1')} AS b1, {_clip3('y2')} AS b2, {_clip3('y3')} AS b3 FROM fb6)"""
+
+
+def _factors(spark, sf):
+    right = A.last_field_per_day(disclosures(spark, sf), ["code"], "disclosed", "number", list(_FIELDS))
+    d = A.asof(_pa(spark, sf).select("date", "code", "close", "ret", "turnover", "size"), right, ["code"], "date", "disclosed", list(_FIELDS), per_column=True)
+    return X.factor_blocks(d, cross_section(spark, sf))
+
+
+@query("f_26_all_ratios", on_panel(keyed_sql("fb1", 6, cfo_assets="cfo / assets", profit_equity="profit / equity", equity_ratio="equity / assets", book_price="bp", forecast_price="forecast_eps / close"),
+    ATTR_CTES, FINS_CTES, _FACTORS))
+def _(spark, sf):
+    names = [*X.BLOCKS["quality"], *X.BLOCKS["value"]]
+    return keyed(_factors(spark, sf), 6, **{c: c for c in names})
+
+
+@query("f_27_factor_blocks", on_panel(keyed_sql("fb", 7, size_liquidity="b1", quality="b2", value="b3", score="coalesce(b1, 0) + coalesce(b2, 0) + coalesce(b3, 0)"), ATTR_CTES, FINS_CTES, _FACTORS))
+def _(spark, sf):
+    """Size and liquidity, quality with the equity ratio, value with the forecast yield, and their sum."""
+    return keyed(_factors(spark, sf), 7, size_liquidity="block_size_liquidity", quality="block_quality", value="block_value", score="factor_score")
+
+
 _REG = """rg0 AS (SELECT c.date, m.macro FROM cal c ASOF LEFT JOIN macro m ON CAST(c.date AS TIMESTAMP) >= m.available),
 rg1 AS (SELECT date, CASE WHEN count(macro) OVER f >= 26 THEN (macro - avg(macro) OVER f) / nullif(stddev_samp(macro) OVER f, 0) END AS z FROM rg0
  WINDOW f AS (ORDER BY date ROWS BETWEEN 103 PRECEDING AND CURRENT ROW)),
@@ -460,6 +496,28 @@ def _(spark, sf):
     return keyed(d, keep=["metric", "period"], value="value", yoy="yoy")
 
 
+_PROFITS, _BALANCES = ("op", "ordinary", "profit"), ("equity", "cash")
+_RISKS = ",\n".join(f"rk_{k} AS (SELECT date, code, -({_live('yoy')}) AS v, coalesce(period, 'missing') AS per FROM {k}_j)" for k in _PROFITS) + ",\n" + ",\n".join(
+    f"rk_{k} AS (SELECT date, code, -({_live('val')}) AS v FROM {k}_j)" for k in _BALANCES) + ",\n" + ",\n".join(
+    f"rp_{k} AS (SELECT date, code, coalesce({pct_rank('v', 'date, per' if k in _PROFITS else 'date')}, 0.5) AS p FROM rk_{k})" for k in _METRICS)
+_RISK_SQL = "SELECT d.date, d.code, (op.p + ordinary.p + profit.p) / 3 AS pr, (equity.p + cash.p) / 2 AS br, (D + W + F) / 3 AS fde FROM dwf d " + " ".join(
+    f"JOIN rp_{k} {k} ON {k}.date = d.date AND {k}.code = d.code" for k in _METRICS)
+
+
+def risk_composites(spark, sf):
+    over = {k: F.when(F.col("assets") > 0, F.col(c) / F.col("assets")) for k, c in _METRICS.items()}
+    states = DS.metric_states(_base(spark, sf), _reports(spark, sf), over)
+    return X.risk_composites(states, deterioration(spark, sf), cross_section(spark, sf), _PROFITS, _BALANCES)
+
+
+@query("f_36_risk_composites", on_panel(keyed_sql(f"({_RISK_SQL})", profit_risk="pr", balance_risk="br", multi_risk="(fde + pr + br) / 3"),
+    FINS_CTES, _SEEN, *[_state(f"{k}_", f"CASE WHEN assets > 0 THEN {c} / assets END") for k, c in _METRICS.items()], _state("cf", _CFO), _state("n", _NC), _DWF, _RISKS))
+def _(spark, sf):
+    """Falling profits within a period, low balances, and their mean with the deterioration score."""
+    d = risk_composites(spark, sf)
+    return keyed(d, profit_risk="profit_risk", balance_risk="balance_risk", multi_risk="multi_risk")
+
+
 @query("f_37_yield_accrual", on_panel(f"""
 SELECT {day('y.date')} AS date, y.code, {r(_live('y.val / (y.close * y.shares)', 'y.sd').replace('date -', 'y.date -'), 10)} AS cfo_yield, {r(_live('a.val', 'a.sd').replace('date -', 'a.date -'), 10)} AS accrual
 FROM yj y JOIN acj a ON y.date = a.date AND y.code = a.code""", FINS_CTES, _SEEN,

@@ -21,6 +21,7 @@ from panelwright.plans.sql import (
     centered,
     day,
     ewma,
+    on_events,
     on_panel,
     on_scored,
     pct_rank,
@@ -540,3 +541,25 @@ def _(spark, sf):
     t = G.short_risk("fd_heavy", "weak", "vacuum", "participation", 0.5, 0.5, "event")
     d = ts.ewma(d, "mom", 0.25, "long")
     return keyed(d, 6, **{k.lower(): F.col("long") - v for k, v in t.items()})
+
+
+_BLEND = f"""{_SIDES},
+{ridge_ctes('rg', 'evl', 'fold', STATE, 'ys', min_rows=500, extra='side')},
+gb1 AS (SELECT n.date, n.code, n.hp - n.lp AS base, n.he, n.le, CASE WHEN n.he AND h.grp IS NOT NULL THEN {ridge_score('h', STATE, 's.')} END AS ph, CASE WHEN n.le AND l.grp IS NOT NULL THEN {ridge_score('l', STATE, 's.')} END AS pl
+  FROM en n JOIN stp s ON s.date = n.date AND s.code = n.code LEFT JOIN rg h ON h.grp = s.yr AND h.side = 'high' LEFT JOIN rg l ON l.grp = s.yr AND l.side = 'low'),
+gb2 AS (SELECT *, coalesce(0.5 + 0.5 * {pct_rank('ph')}, 0) - coalesce(0.5 + 0.5 * {pct_rank('pl')}, 0) AS er FROM gb1)"""
+
+
+@query("g_12_model_blend", on_events(keyed_sql("gb2", 6, **{f"share_{s}": f"CASE WHEN he OR le THEN {1 - s / 100} * base + {s / 100} * er ELSE base END" for s in (0, 50, 100)}), _BLEND))
+def _(spark, sf):
+    """Events of both sides blended with the signed percentile of a model of their side, fitted on labels known before the year."""
+    xs, d = cross_section(spark, sf), _state_panel(spark, sf)
+    flags = events(spark, sf).select("date", "code", "high_event", "low_event", "breakout", *[c for s in ("high", "low") for c in (f"{s}_available", f"new_{s}_excess")])
+    d = d.join(flags, ["date", "code"])
+    complete = " and ".join(f"{c} is not null" for c in STATE)
+    for side, sign in (("high", 1), ("low", -1)):
+        train = d.where(F.col(f"{side}_event")).where(complete).withColumn("y", sign * F.col("y"))
+        d = M.score_linear(d, M.fit_ridge(train, STATE, "y", "fold", len(STATE), min_rows=500), STATE, F.col("year"), f"p_{side}")
+    d = G.signed_event_score(d, xs, {"high": "p_high", "low": "p_low"}, "er")
+    active = G.is_event("high") | G.is_event("low")
+    return keyed(d, 6, **{f"share_{s}": G.event_blend("breakout", "er", active, s / 100) for s in (0, 50, 100)})

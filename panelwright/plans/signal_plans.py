@@ -116,6 +116,25 @@ def _(spark, sf):
     return keyed(d, t1="t1", t2="t2", t3="t3")
 
 
+_RISK_NAMES = ("profit_risk", "balance_risk", "multi_risk")
+_RISK_STITCH = f"""rs0 AS (SELECT s.date, s.code, {', '.join(f'{r(c, 10)} AS {n}' for n, c in zip(_RISK_NAMES, ('x.pr', 'x.br', '(x.fde + x.pr + x.br) / 3')))},
+  row_number() OVER (PARTITION BY s.date ORDER BY s.score, s.code) AS rl, count(*) OVER (PARTITION BY s.date) AS n FROM sc s JOIN ({FP._RISK_SQL}) x ON x.date = s.date AND x.code = s.code),
+rs1 AS (SELECT *, rl <= floor(0.6::DOUBLE * (n - 1) + 1) AS rest FROM rs0),
+rs AS (SELECT *, {', '.join(f'row_number() OVER (PARTITION BY date, rest ORDER BY {n} DESC, rl, code) AS p_{n}' for n in _RISK_NAMES)} FROM rs1)"""
+
+
+@query("g_10_risk_stitching", on_scored(f"SELECT {KS}, {', '.join(f'{r(f'((CASE WHEN rest THEN p_{n} ELSE rl END) - 1) / (n - 1)')} AS {n}' for n in _RISK_NAMES)} FROM rs WHERE n > 1",
+    FINS_CTES, FP._SEEN, *[FP._state(f"{k}_", f"CASE WHEN assets > 0 THEN {c} / assets END") for k, c in FP._METRICS.items()],
+    FP._state("cf", FP._CFO), FP._state("n", FP._NC), FP._DWF, FP._RISKS, _RISK_STITCH))
+def _(spark, sf):
+    """The long ranking kept on top, the rest ordered by each of the three composite risks."""
+    xs, risks = cross_section(spark, sf), FP.risk_composites(spark, sf)
+    d = scored(spark, sf).join(risks.select("date", "code", *[stable(F.col(n)).alias(n) for n in _RISK_NAMES]), ["date", "code"])
+    for n in _RISK_NAMES:
+        d = G.stitch(d, xs, "score", n, f"t_{n}")
+    return keyed(d, **{n: f"t_{n}" for n in _RISK_NAMES})
+
+
 @query("g_11_signed_event_score", on_events(keyed_sql("(SELECT *, CASE WHEN he THEN mom END AS hm, CASE WHEN le THEN -mom END AS lm FROM en)",
     x=f"coalesce(0.5 + 0.5 * {pct_rank('hm')}, 0) - coalesce(0.5 + 0.5 * {pct_rank('lm')}, 0)")))
 def _(spark, sf):

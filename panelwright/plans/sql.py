@@ -67,7 +67,8 @@ fins AS (
                             WHEN '4-NOT SPECIFIED' THEN 0.30 WHEN '5-LOW' THEN 0.20 END AS DOUBLE) AS equity,
          o_totalprice - 150000 AS profit, o_totalprice * 0.5::DOUBLE - 100000 AS op,
          o_totalprice * 0.6::DOUBLE - 120000 AS ordinary,
-         CASE WHEN o_orderkey % 7 <> 0 THEN CAST(floor(o_totalprice) + 1000 AS DOUBLE) END AS shares
+         CASE WHEN o_orderkey % 7 <> 0 THEN CAST(floor(o_totalprice) + 1000 AS DOUBLE) END AS shares,
+         CASE WHEN o_orderkey % 17 = 0 THEN (1.1::DOUBLE * o_totalprice - 150000) / 1000 END AS forecast_eps
   FROM f0)
 """
 

@@ -204,6 +204,8 @@ def disclosures(spark: SparkSession, folder: str) -> DataFrame:
         (price - 150000).alias("profit"), (price * 0.5 - 100000).alias("op"),
         (price * 0.6 - 120000).alias("ordinary"),
         F.when(F.col("o_orderkey") % 7 != 0, F.floor(price) + 1000).cast("double").alias("shares"),
+        # a forecast document tells next year's earnings per share
+        F.when(F.col("o_orderkey") % 17 == 0, (1.1 * price - 150000) / 1000).alias("forecast_eps"),
     )
 
 
