@@ -1,17 +1,20 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Tokens become classes: insult (weighted, learned words and stems), threat,
-modal, target, negation, report.  Small transducers read the classes of a
-clause: an insult alone; a target near an insult; a modal or threat with a
-target; a negation right before an insult; a report or quotation around it.
-Their composition gives every match a kind, and a clause its heaviest path.  A
-document's score is a logistic function of the weights summed by kind, of its
-heaviest clause and of their density, so
-negated and reported matches count as the labels say they do.
+Tokens become labels: insult (weighted, learned words and stems), threat,
+modal, target, negation, report, quotation mark.  Transducers (``wfst``) read
+the labels of a clause one after the other: a modal makes a threat word a
+threat; a target before or after an insult or threat makes it targeted; a
+negation just before makes it negated; a verb of report before it or a
+quotation around it makes it reported.  They are composed into one machine
+whose last part weighs every match by its kind, and a clause counts by the
+heaviest path through it.  A document's score is a logistic function of the
+weights summed by kind along those paths, of its heaviest clause and of their
+density, so negated and reported matches count as the labels say they do.
 
 Insult terms come from labelled texts: words, and word beginnings that many
 different words share, which stand in toxic texts far more often than in
-others.  At most ``SAMPLE`` labelled rows are used; counting runs in Spark and
+others.  At most ``SAMPLE`` labelled rows are used and ``TERMS`` terms kept, the
+best supported first; counting runs in Spark and
 the driver sees terms with enough support and one row of sums per labelled text.
 
 Defined results: null or empty texts get the score of a text without matches;
@@ -24,12 +27,14 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelwright.llm import wfst
 from panelwright.llm.common import record, settle, slices
 
 #: Labelled texts that a model is fitted on at most: those with the least hashes.
@@ -48,10 +53,50 @@ NEGATIONS = set("not never no isn aren wasn don nicht kein keine nie pas jamais
 REPORTS = set("said says say told wrote writes called calls quoted quotes claimed claims according sagte sagt schrieb dit disait écrit dijo dice escribió".split())
 
 _WORD = re.compile(r"[^\W\d_]+")
-_CLAUSE = re.compile(r"[.!?;:,\n]+")
-_QUOTES = re.compile(r"[\"“”„«»]")
-#: Tokens over which each transducer keeps its state.
-_REACH = {"negation": 2, "target": 5, "modal": 3, "report": 8}
+_CLAUSE = re.compile(r"[.!?;\n]+")
+_TOKEN = re.compile(r"[^\W\d_]+|[\"“”„«»]")
+_QUOTES = frozenset("\"“”„«»")
+#: Tokens over which each transducer reaches.
+REACH = {"modal": 3, "target": 5, "target after": 2, "negation": 2, "report": 8}
+#: Share of a match's weight by its kind, and weight of a threat word.
+FACTORS = {"plain": 1.0, "targeted": 1.2, "threat": 1.2, "negated": 0.3, "reported": 0.3}
+THREAT_WEIGHT = 0.5
+
+# Labels: i insult, h threat word, m modal, t target, n negation, r report, q quotation mark, o any other.
+# Marks are added to i and h: M by a modal, T by a target, N by a negation, R by a report or quotation.
+_MATCHES = ["i", "hM"]
+
+
+def kind_of(label: str) -> str | None:
+    """Kind of a written label: what denies or reports it comes before what sharpens it."""
+    if label[0] not in "ih" or label[0] == "h" and "M" not in label:
+        return None
+    return "negated" if "N" in label else "reported" if "R" in label else "threat" if label[0] == "h" else "targeted" if "T" in label else "plain"
+
+
+def machines(quoted: bool = False) -> list[wfst.Machine]:
+    """The grammar's transducers in the order of composition."""
+    aimed = [x + t for x in _MATCHES for t in ("", "T")]
+    denied = [x + n for x in aimed for n in ("", "N")]
+    return [
+        wfst.behind("m", ["h"], "M", REACH["modal"]),
+        wfst.behind("t", _MATCHES, "T", REACH["target"]),
+        wfst.ahead("t", _MATCHES, "T", REACH["target after"]),
+        wfst.behind("n", aimed, "N", REACH["negation"]),
+        wfst.behind("r", denied, "R", REACH["report"]),
+        wfst.between("q", denied, "R", quoted),
+        wfst.weigh(lambda label: FACTORS[k] if (k := kind_of(label)) else 0.0),
+    ]
+
+
+_DECODERS: dict[bool, wfst.Decoder] = {}
+
+
+def decoder(quoted: bool) -> wfst.Decoder:
+    """The composed grammar, for clauses that begin outside or inside a quotation."""
+    if quoted not in _DECODERS:
+        _DECODERS[quoted] = wfst.Decoder(reduce(wfst.compose, machines(quoted)))
+    return _DECODERS[quoted]
 
 
 @dataclass(frozen=True)
@@ -70,32 +115,22 @@ class Grammar:
                 return self.stems[token[:n]]
         return 0.0
 
+    def label(self, token: str) -> tuple[str, float]:
+        """Label of a token and the weight of a match on it."""
+        if w := self.insult(token):
+            return "i", w
+        for label, words in (("h", THREATS), ("n", NEGATIONS), ("t", TARGETS), ("m", MODALS), ("r", REPORTS), ("q", _QUOTES)):
+            if token in words:
+                return label, THREAT_WEIGHT
+        return "o", 0.0
+
     def clause(self, tokens: list[str], quoted: bool) -> list[tuple[str, float]]:
-        """Matches of the composed transducers in one clause, from left to right."""
-        last = {k: -99 for k in _REACH}  # states: where each context was read last
-        near = lambda k, at: at - last[k] <= _REACH[k]
-        out: list[tuple[str, float]] = []
-        pending: tuple[int, int] | None = None  # an insult or threat that a target may still follow
-        for at, t in enumerate(tokens):
-            w = self.insult(t)
-            if w:
-                kind = "negated" if near("negation", at) else "reported" if quoted or near("report", at) else "targeted" if near("target", at) else "plain"
-                out.append((kind, w))
-                pending = (at, len(out) - 1) if kind == "plain" else None
-            elif t in THREATS and near("modal", at):
-                out.append(("negated" if near("negation", at) else "reported" if quoted or near("report", at) else "threat", 0.5))
-            elif t in NEGATIONS:
-                last["negation"] = at
-            elif t in TARGETS:
-                last["target"] = at
-                if pending and at - pending[0] <= 2:
-                    out[pending[1]] = ("targeted", out[pending[1]][1])
-                    pending = None
-            elif t in MODALS:
-                last["modal"] = at
-            elif t in REPORTS:
-                last["report"] = at
-        return out
+        """Kind and weight of the matches on the heaviest path through a clause, from left to right."""
+        labels, weights = zip(*map(self.label, tokens)) if tokens else ((), ())
+        if not {"i", "h"} & set(labels):
+            return []
+        found = decoder(quoted).best(labels, weights)
+        return [(kind_of(written), weights[at]) for at, written in found[1]] if found else []
 
     def sums(self, text: str | None) -> np.ndarray:
         """Weight per kind of match, that of the heaviest clause, and matched weight per hundred words."""
@@ -103,17 +138,19 @@ class Grammar:
         low = (text or "").lower()
         words = _WORD.findall(low)
         seen = set(words)
-        if not (seen & THREATS or any(self.insult(t) for t in seen)):
+        hits = {t for t in seen if t in THREATS or self.insult(t)}
+        if not hits:
             return out
         depth = 0
         for part in _CLAUSE.split(low):
-            marks = len(_QUOTES.findall(part))
-            found = self.clause(_WORD.findall(part), quoted=bool(depth % 2) or marks >= 2)
+            tokens = _TOKEN.findall(part)
+            marks = sum(t in _QUOTES for t in tokens)
+            found = self.clause(tokens, bool(depth)) if not hits.isdisjoint(tokens) else []
             depth = (depth + marks) % 2
             for kind, w in found:
                 out[KINDS.index(kind)] += w
             if found:
-                out[-2] = max(out[-2], max(w * (0.3 if k in ("negated", "reported") else 1.0) for k, w in found))
+                out[-2] = max(out[-2], max(w * FACTORS[k] for k, w in found))
         out[-1] = 100 * out[:3].sum() / len(words)
         return out
 
