@@ -10,7 +10,7 @@ N-gram counts are gathered by Spark per language; the driver sees one bounded
 table (languages x buckets) and one row of margins per training text, of which
 there are at most ``SAMPLE``.
 
-Defined results: null texts and texts without a letter are ``und`` with score
+Defined results: null texts and texts without a letter (category L) are ``und`` with score
 0; without training rows every text is ``und``; a single training language is
 predicted with score 1; equal losses go to the first language by name;
 repeated rows are predicted alike; other columns are not looked at; an empty
@@ -19,11 +19,11 @@ table gives an empty result.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,13 +33,14 @@ from panelwright.llm.common import record, settle, slices
 SAMPLE = 12_000
 #: Buckets of hashed n-grams, orders in bytes, and lead in probability below which a text is ambiguous.
 BUCKETS, ORDERS, LEAD = 1 << 15, (1, 2, 3, 4), 0.2
-_NO_LETTERS = re.compile(r"[\W\d_]+")
+#: What lies between words: neither letters nor the marks that belong to them; number-like characters are no letters.
+_GAPS, _LETTER = regex.compile(r"[^\p{L}\p{M}]+"), regex.compile(r"\p{L}")
 
 
 def buckets(text: str | None) -> np.ndarray:
     """Bucket of every byte n-gram of the text's words, empty without letters."""
-    words = _NO_LETTERS.sub(" ", (text or "").lower())
-    if not words or words == " ":
+    words = _GAPS.sub(" ", (text or "").lower())
+    if not _LETTER.search(words):
         return np.empty(0, np.int64)
     b = np.frombuffer(f" {words.strip()} ".encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint64)
     out = []
