@@ -10,8 +10,10 @@ of low importance without any branch of more below are cut from each page, besid
 name declares them page furniture; what an article element declares as text
 (paragraphs, headings, quotes) is never cut by statistics.
 
-Pages with equal text count once in the statistics, and hosts with fewer than
-``LEAST_PAGES`` different pages are left to the declared roles.
+Pages with equal text count once in the statistics.  A branch is judged with
+``PRIOR_PAGES`` more pages on which it says all it can, so that few pages
+weigh little and no number of pages switches the tree on.  A class name alone
+removes neither a declared article nor the last text of a page.
 
 Defined results: null or empty html gives an empty text; a null url is a host
 of its own without statistics; broken markup is read as browsers do (open
@@ -32,8 +34,9 @@ from pyspark.sql import functions as F
 
 from panelwright.llm.common import record, settle, slices
 
-#: Branches under this importance are cut; different pages needed to judge; weight of one level of depth.
-LEAST_IMPORTANCE, LEAST_PAGES, DEPTH_WEIGHT = 0.3, 8, 0.9
+#: Branches under this importance are cut; pages of full importance that each branch is taken to have besides its own;
+#: weight of one level of depth.
+LEAST_IMPORTANCE, PRIOR_PAGES, DEPTH_WEIGHT = 0.3, 1.0, 0.9
 #: Most low branches that are sent to every executor.
 BROADCAST_PATHS = 500_000
 SALTS = 32
@@ -54,6 +57,7 @@ FURNITURE_NAMES = set(
     "header masthead topbar footer sidebar rail widget widgets cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup "
     "login search share sharing social related recommended recommendations comment comments commentlist disqus replies reply respond pagination pager toolbar skiplink "
     "copyright disclaimer".split())
+COMMENT_NAMES = set("comment comments commentlist disqus replies reply respond".split())
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
         "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
@@ -65,19 +69,26 @@ _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 class Node:
     """One open element: its style key, whether it is dropped or inside declared content, its child sequence."""
 
-    __slots__ = ("tag", "key", "parent", "depth", "dropped", "inside", "children")
+    __slots__ = ("tag", "key", "parent", "depth", "dropped", "inside", "children", "named", "content")
 
-    def __init__(self, tag, key, parent, depth, dropped, inside):
+    def __init__(self, tag, key, parent, depth, dropped, inside, named=None, content=False):
         self.tag, self.key, self.parent, self.depth, self.dropped, self.inside = tag, key, parent, depth, dropped, inside
         self.children: list[str] = []
+        #: The outermost element that nothing but its name removes, if nothing else removes this one.
+        self.named: Node | None = named
+        self.content = content
 
 
 def _signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def _style(tag: str, attrs: str) -> tuple[str, bool, bool]:
-    """Style name of a start tag, whether it is furniture by name or role, whether it declares the article."""
+def _style(tag: str, attrs: str) -> tuple[str, bool, bool, bool]:
+    """Style name of a start tag, whether it is furniture by role or name, whether by name alone, whether it declares the article.
+
+    An element that declares the article is never furniture by a name, but for
+    those of reader comments.
+    """
     found: dict[str, str] = {}
     for name, value in _ATTR.findall(attrs):
         found.setdefault(name.lower(), value.strip("\"'"))
@@ -85,10 +96,10 @@ def _style(tag: str, attrs: str) -> tuple[str, bool, bool]:
     words = [w.lower() for w in _NAME.findall(names)]
     role = found.get("role", "").lower()
     furniture = role in FURNITURE_ROLES or "hidden" in found
-    if tag not in ("html", "body", "main") and not {"has", "with", "no", "without"} & set(words):
-        furniture = furniture or bool(FURNITURE_NAMES & set(words))
     content = tag in ("article", "main") or role in ("main", "article") or found.get("itemprop") == "articleBody"
-    return f"{tag}.{'.'.join(words)}", furniture, content
+    named = tag not in ("html", "body", "main") and not {"has", "with", "no", "without"} & set(words) and bool((COMMENT_NAMES if content else FURNITURE_NAMES) & set(words))
+    only = named and not furniture and not COMMENT_NAMES & set(words)
+    return f"{tag}.{'.'.join(words)}", furniture or named, only, content
 
 
 def read(html: str | None, low: frozenset | set = frozenset()) -> tuple[list[tuple[Node, str]], list[Node], bool]:
@@ -152,7 +163,7 @@ def read(html: str | None, low: frozenset | set = frozenset()) -> tuple[list[tup
         if tag in VOID:
             continue
         attrs = m["attrs"] or ""
-        style, furniture, content = _style(tag, attrs)
+        style, furniture, only_named, content = _style(tag, attrs)
         up = stack[-1]
         key = _signed(xxhash.xxh64_intdigest(f"{up.key}>{style}"))
         inside = up.inside or content
@@ -161,7 +172,10 @@ def read(html: str | None, low: frozenset | set = frozenset()) -> tuple[list[tup
             cut = False
         if not cut and key in low and not content and not (inside and tag in DECLARED_TEXT) and tag not in ("html", "body"):
             cut = True
-        node = Node(tag, key, up, up.depth + 1, up.dropped or cut, inside)
+        node = Node(tag, key, up, up.depth + 1, up.dropped or cut, inside, content=content)
+        hard = cut and not (only_named and tag not in FURNITURE and tag != "header" and key not in low)
+        if not hard and (up.named or cut and not up.dropped):
+            node.named = up.named or node
         declared = declared or content and not node.dropped
         up.children.append(style)
         nodes.append(node)
@@ -176,8 +190,20 @@ def read(html: str | None, low: frozenset | set = frozenset()) -> tuple[list[tup
 
 def extract(html: str | None, low: frozenset | set = frozenset()) -> str:
     """Main text: blocks of the article, or of the page where none is declared, joined by empty lines."""
-    blocks, _, declared = read(html, low)
-    return "\n\n".join(t for n, t in blocks if not n.dropped and (n.inside or not declared))
+    blocks, nodes, declared = read(html, low)
+    kept = [t for n, t in blocks if not n.dropped and (n.inside or not declared)]
+    if not kept:
+        # a class name alone does not empty a page: of the branches that only names remove the one
+        # with most declared text (paragraphs, headings, quotes) comes back
+        sizes: dict[int, int] = {}
+        inside = any(n.content and (n.named or not n.dropped) for n in nodes)
+        back = [(n, t) for n, t in blocks if n.named and (n.inside or not inside)]
+        for n, t in back:
+            if n.tag in DECLARED_TEXT:
+                sizes[id(n.named)] = sizes.get(id(n.named), 0) + len(t)
+        most = max(sizes, key=sizes.get, default=None)
+        kept = [t for n, t in back if id(n.named) == most]
+    return "\n\n".join(kept)
 
 
 # ---------------------------------------------------------------- the tree of a host
@@ -247,18 +273,20 @@ def importance(rows: DataFrame) -> DataFrame:
     node = node.select("host", "ancestors", "m", F.when(F.col("texts").isNotNull(), says).otherwise(looks).alias("own"), F.coalesce("texts", "m").alias("weight"))
     up = node.select("host", "m", "own", "weight", F.size("ancestors").alias("depth"), F.posexplode("ancestors").alias("place", "branch"))
     w = F.col("weight") * F.pow(F.lit(DEPTH_WEIGHT), F.col("depth") - 1 - F.col("place"))
-    return up.groupBy("host", "branch").agg(
-        F.max(F.when(F.col("place") == F.col("depth") - 1, F.col("m"))).alias("pages"), (F.sum(w * F.col("own")) / F.sum(w)).alias("importance"))
+    found = up.groupBy("host", "branch").agg(
+        F.max(F.when(F.col("place") == F.col("depth") - 1, F.col("m"))).alias("pages"), (F.sum(w * F.col("own")) / F.sum(w)).alias("raw"))
+    n = F.coalesce("pages", F.lit(0))
+    return found.select("host", "branch", "pages", ((F.col("raw") * n + PRIOR_PAGES) / (n + PRIOR_PAGES)).alias("importance"))
 
 
-def low_branches(pages: DataFrame, least: float = LEAST_IMPORTANCE, least_pages: int = LEAST_PAGES) -> DataFrame:
+def low_branches(pages: DataFrame, least: float = LEAST_IMPORTANCE) -> DataFrame:
     """``host, branch`` to cut: of low importance, as is every branch below."""
     rows = settle(nodes_of(pages), "nodes")
     found = settle(importance(rows), "importance")
     high = found.where(F.col("importance") >= least).select("host", F.col("branch").alias("path"))
     chains = rows.where("kind = 0").groupBy("host", "path").agg(F.first("ancestors").alias("ancestors"))
     above = chains.join(high, ["host", "path"]).select("host", F.explode("ancestors").alias("branch")).distinct()
-    low = found.where((F.col("importance") < least) & (F.col("pages") >= least_pages)).select("host", "branch")
+    low = found.where(F.col("importance") < least).select("host", "branch")
     return low.join(above, ["host", "branch"], "left_anti")
 
 

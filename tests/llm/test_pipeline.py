@@ -53,3 +53,11 @@ def test_run_packs_what_the_stages_keep(spark):
     keys = ["doc_id", "piece", "start", "length", "ids_crc32"]
     assert sorted(got[keys].to_numpy().tolist()) == sorted(want[keys].to_numpy().tolist())
     assert simhash.MAX_BITS == 4 and len(cp.STAGES) == 5
+
+
+def test_language_stage_without_labels_keeps_every_text_with_a_letter(spark):
+    import corpus_pipeline as cp
+
+    rows = [(1, "abc", None), (2, "½ ² 12", None), (3, None, None), (4, "", None), (5, "हि", None)]
+    got = cp.identify_language(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), "").collect()
+    assert sorted(r.doc_id for r in got) == [1, 5]
