@@ -201,6 +201,15 @@ def _(spark, sf):
     return d.select("file").unionByName(s.select("file")).groupBy("file").agg(F.count("*").alias("rows"))
 
 
+@query("io_12_inputs_by_table", "SELECT 'lineitem' AS input, count(*) AS rows FROM lineitem UNION ALL SELECT 'supplier', count(*) FROM supplier")
+def _(spark, sf):
+    """The same record by table: every row of a guarded result is traced to an allowed input."""
+    d = io.read_table(spark, sf, "lineitem", ["l_suppkey"]).withColumn("file", F.input_file_name())
+    s = io.read_table(spark, sf, "supplier", ["s_suppkey"]).withColumn("file", F.input_file_name())
+    name = F.regexp_extract("file", "([a-z]+)[.]parquet", 1)
+    return d.select("file").unionByName(s.select("file")).groupBy(name.alias("input")).agg(F.count("*").alias("rows"))
+
+
 @query("io_13_inventory", """
 SELECT x.concept, x.column_name, x.present, x.rows, round(x.present / x.rows::DOUBLE, 8) + 0.0::DOUBLE AS coverage FROM (
   SELECT unnest([
