@@ -124,9 +124,10 @@ def deflated_sharpe(daily: DataFrame, x: str, variance, trials, by=()) -> DataFr
     number = lambda v: F.lit(float(v)) if isinstance(v, (int, float)) else col(v)
     one, many = number(variance), number(trials)
     gamma = 0.5772156649015329  # Euler's constant
+    d = daily.groupBy(*by).agg((F.avg(x) / F.stddev_samp(x)).alias("daily_sr"), *agg.moments(x), F.max(one).alias("_variance"), F.max(many).alias("_trials"))
+    many = F.col("_trials")
     highest = (1 - gamma) * normal_quantile(1 - 1 / many) + gamma * normal_quantile(1 - 1 / (many * math.e))
-    d = daily.groupBy(*by).agg((F.avg(x) / F.stddev_samp(x)).alias("daily_sr"), *agg.moments(x),
-                               F.max(F.sqrt(F.greatest(one, F.lit(0.0))) * highest).alias("threshold"))
+    d = d.withColumn("threshold", F.sqrt(F.greatest(F.col("_variance"), F.lit(0.0))) * highest)
     sr = F.col("daily_sr")
     spread = F.sqrt(F.greatest(1 - F.col("skew") * sr + (F.col("kurtosis") - 1) * sr * sr / 4, F.lit(1e-30)))
     dsr = normal_cdf((sr - F.col("threshold")) * F.sqrt(F.col("n") - 1) / spread)

@@ -74,6 +74,30 @@ def roll_median(x, window, min_periods=None, skip=0, **kw):
     return F.when(n >= need, low + (high - low) / 2)
 
 
+def rolling_quantile(df: DataFrame, x: str, window: int, out: str, q: float = 0.5, min_periods: int | None = None, skip: int = 0,
+                     keys=("code", "seg")) -> DataFrame:
+    """Exact rolling quantile, linearly interpolated, for windows of hundreds of rows.
+
+    ``roll_median`` sorts every frame anew, which is the faster way while frames
+    are short.  Here a sorted structure of one segment's values follows the
+    window, so a row costs the logarithm of its length and a segment holds each
+    value once.  Spark has no frame aggregate that can drop rows, so segments
+    (at most one row per calendar date) go through Arrow with the value only.
+    """
+    keys, need = list(keys), window if min_periods is None else min_periods
+
+    def run(pdf):
+        pdf = pdf.sort_values("date")
+        pdf[out] = pdf["_x"].shift(skip).rolling(window, min_periods=max(1, need)).quantile(q)
+        return pdf[[*keys, "date", out]]
+
+    slim = df.select(*keys, "date", F.col(x).cast("double").alias("_x"))
+    kinds = {f.name: f.dataType.simpleString() for f in slim.schema.fields}
+    found = slim.groupBy(*keys).applyInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in [*keys, "date"]) + f", `{out}` double")
+    found = found.withColumn(out, F.when(~F.isnan(out), F.col(out)))
+    return df.join(found, [*keys, "date"])
+
+
 def cumulative(fn, x, keys=("code", "seg")) -> Column:
     return fn(col(x)).over(history(keys).rowsBetween(UNBOUNDED, 0))
 

@@ -48,6 +48,15 @@ _simple("w_04_rolling_std_pop", lambda: ts.roll_std("volume", 20, ddof=0), _roll
 _simple("w_05_rolling_max", lambda: ts.roll_max("high", 30), _roll("max({x})", "high", 30))
 _simple("w_05_rolling_min", lambda: ts.roll_min("low", 30), _roll("min({x})", "low", 30))
 _simple("w_06_rolling_median", lambda: ts.roll_median("volume", 21), _roll("quantile_cont({x}, 0.5)", "volume", 21))
+
+
+@query("w_06_long_quantiles", on_panel(keyed_sql("pan", median=_roll("quantile_cont({x}, 0.5)", "volume", 150, 100), upper=_roll("quantile_cont({x}, 0.9)", "volume", 150, 100, skip=1))))
+def _(spark, sf):
+    """Median and ninth decile over three years of weeks, two of them at least."""
+    d = ts.rolling_quantile(panel(spark, sf), "volume", 150, "median", 0.5, 100)
+    return keyed(ts.rolling_quantile(d, "volume", 150, "upper", 0.9, 100, skip=1), median="median", upper="upper")
+
+
 _simple("w_07_partial_history", lambda: ts.roll_mean("resid", 60, 40), _roll("avg({x})", "resid", 60, 40))
 _simple("w_08_prior_only", lambda: ts.roll_max("high", 26, skip=1), _roll("max({x})", "high", 26, skip=1))
 _simple("w_08_prior_two", lambda: ts.roll_mean("volume", 26, skip=2), _roll("avg({x})", "volume", 26, skip=2))

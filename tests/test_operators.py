@@ -423,6 +423,24 @@ def test_smoothing_with_gaps_is_linear_in_a_long_history(spark):
     assert t2 - t1 < 10 + 5 * (t1 - t0)  # no list of the history beside every row
 
 
+@pytest.mark.parametrize("window", [5, 60, 750])
+def test_rolling_quantiles_equal_brute_force(spark, window):
+    pdf = pd.concat([panel_frame(900, 2, seed=window, drop=0), panel_frame(7, 1, seed=1, drop=0).assign(code="short")])
+    pdf.loc[(pdf.ord > 300) & (pdf.ord < 340), "x"] = np.nan
+    d = to_spark(spark, pdf)
+    need = max(1, window // 2)
+    got = ts.rolling_quantile(ts.rolling_quantile(d, "x", window, "m", 0.5, need), "x", window, "u", 0.9, skip=1).toPandas().sort_values(["code", "date"]).reset_index(drop=True)
+    for code, part in pdf.sort_values(["code", "date"]).groupby("code"):
+        x = part.x.to_numpy()
+        own = got[got.code == code]
+        for i in range(0, len(x), 7):
+            for name, q, skip, least in (("m", 0.5, 0, need), ("u", 0.9, 1, window)):
+                frame = x[max(0, i - skip - window + 1):max(0, i - skip + 1)]
+                frame = frame[~np.isnan(frame)]
+                want = np.quantile(frame, q) if len(frame) >= least else np.nan
+                assert np.isclose(own[name].to_numpy()[i], want, equal_nan=True)
+
+
 def test_normal_distribution_as_columns(spark):
     from statistics import NormalDist
 
