@@ -273,16 +273,16 @@ def importance(rows: DataFrame) -> DataFrame:
     node = node.select("host", "ancestors", "m", F.when(F.col("texts").isNotNull(), says).otherwise(looks).alias("own"), F.coalesce("texts", "m").alias("weight"))
     up = node.select("host", "m", "own", "weight", F.size("ancestors").alias("depth"), F.posexplode("ancestors").alias("place", "branch"))
     w = F.col("weight") * F.pow(F.lit(DEPTH_WEIGHT), F.col("depth") - 1 - F.col("place"))
-    found = up.groupBy("host", "branch").agg(
-        F.max(F.when(F.col("place") == F.col("depth") - 1, F.col("m"))).alias("pages"), (F.sum(w * F.col("own")) / F.sum(w)).alias("raw"))
-    n = F.coalesce("pages", F.lit(0))
-    return found.select("host", "branch", "pages", ((F.col("raw") * n + PRIOR_PAGES) / (n + PRIOR_PAGES)).alias("importance"))
+    return up.groupBy("host", "branch").agg(
+        F.max(F.when(F.col("place") == F.col("depth") - 1, F.col("m"))).alias("pages"), (F.sum(w * F.col("own")) / F.sum(w)).alias("importance"))
 
 
 def low_branches(pages: DataFrame, least: float = LEAST_IMPORTANCE) -> DataFrame:
     """``host, branch`` to cut: of low importance, as is every branch below."""
     rows = settle(nodes_of(pages), "nodes")
-    found = settle(importance(rows), "importance")
+    n = F.coalesce("pages", F.lit(0))
+    smooth = (F.col("importance") * n + PRIOR_PAGES) / (n + PRIOR_PAGES)
+    found = settle(importance(rows).withColumn("importance", smooth), "importance")
     high = found.where(F.col("importance") >= least).select("host", F.col("branch").alias("path"))
     chains = rows.where("kind = 0").groupBy("host", "path").agg(F.first("ancestors").alias("ancestors"))
     above = chains.join(high, ["host", "path"]).select("host", F.explode("ancestors").alias("branch")).distinct()
