@@ -46,11 +46,11 @@ def _(spark, sf):
 
 _TOG = f"""t0 AS (SELECT *, ph IS NOT NULL AS ha, pl IS NOT NULL AS la, CASE WHEN ph IS NOT NULL THEN greatest(scl / ph - 1, 0) END AS hxx, CASE WHEN pl IS NOT NULL THEN greatest(pl / scl - 1, 0) END AS lxx FROM en),
 t1 AS (SELECT *, {CR('hxx')} AS hk, {CR('lxx')} AS lk FROM t0),
-t2 AS (SELECT *, CASE WHEN mom > 0 AND ha THEN greatest(0.5 * mom + 0.5 * hk, 0) ELSE mom END AS h10, CASE WHEN mom < 0 AND la THEN least(0.5 * mom - 0.5 * lk, 0) ELSE mom END AS l01,
-  CASE WHEN mom > 0 AND ha THEN greatest(0.5 * mom + 0.5 * hk, 0) WHEN mom < 0 AND la THEN least(0.5 * mom - 0.5 * lk, 0) ELSE mom END AS hl11 FROM t1)"""
+t2 AS (SELECT *, CASE WHEN mom > 0 AND ha THEN greatest(0.5 * mom + 0.5 * hk, 0) ELSE mom END AS high_side, CASE WHEN mom < 0 AND la THEN least(0.5 * mom - 0.5 * lk, 0) ELSE mom END AS low_side,
+  CASE WHEN mom > 0 AND ha THEN greatest(0.5 * mom + 0.5 * hk, 0) WHEN mom < 0 AND la THEN least(0.5 * mom - 0.5 * lk, 0) ELSE mom END AS both_sides FROM t1)"""
 
 
-@query("g_03_breakout_toggles", on_events(keyed_sql("t2", high_side="h10", low_side="l01", both_sides="hl11"), _TOG))
+@query("g_03_breakout_toggles", on_events(keyed_sql("t2", high_side="high_side", low_side="low_side", both_sides="both_sides"), _TOG))
 def _(spark, sf):
     xs, d = cross_section(spark, sf), events(spark, sf)
     d = xs.centered_rank(xs.centered_rank(d, "new_high_excess", "hk"), "new_low_excess", "lk")
