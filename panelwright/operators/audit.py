@@ -28,7 +28,11 @@ def contract(labels: DataFrame, scores: DataFrame, score: str = "score", keys=("
 
 
 def mutate(df: DataFrame, when, kind: str = "affine", skip=("date", "code", "ord", "seg")) -> DataFrame:
-    """Alter every input column on the selected rows, dispatching on its type."""
+    """Alter every input column on the selected rows, dispatching on its type.
+
+    ``affine`` maps values one to one (a shift for numbers and dates, a suffix
+    for text), ``constant`` makes all of them equal; flags are turned over.
+    """
     changed = {}
     for f in df.schema.fields:
         if f.name in skip:
@@ -40,9 +44,9 @@ def mutate(df: DataFrame, when, kind: str = "affine", skip=("date", "code", "ord
         elif isinstance(f.dataType, BooleanType):
             new = ~c
         elif isinstance(f.dataType, DateType):
-            new = F.date_add(c, 7)
+            new = F.date_add(c, 7) if kind == "affine" else F.lit("1970-01-01").cast("date")
         elif isinstance(f.dataType, StringType):
-            new = F.lit("changed")
+            new = F.concat(F.coalesce(c, F.lit("")), F.lit(" changed")) if kind == "affine" else F.lit("changed")
         else:
             continue
         changed[f.name] = F.when(when, new).otherwise(c)

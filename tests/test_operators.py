@@ -423,6 +423,18 @@ def test_smoothing_with_gaps_is_linear_in_a_long_history(spark):
     assert t2 - t1 < 10 + 5 * (t1 - t0)  # no list of the history beside every row
 
 
+def test_mutations_keep_or_erase_what_values_say(spark):
+    rows = [(dt.date(2020, 1, k + 1), f"c{k}", k + 0.5, f"t{k}", dt.date(2021, 1, k + 1), k % 2 == 0) for k in range(6)] + [(dt.date(2020, 1, 7), "c6", None, None, None, None)]
+    df = spark.createDataFrame(rows, "date date, code string, x double, text string, day date, flag boolean")
+    late = F.col("date") > F.lit("2020-01-03").cast("date")
+    for kind, distinct in (("affine", 3), ("constant", 1)):
+        got = audit.mutate(df, late, kind).orderBy("date").collect()
+        assert [tuple(r) for r in got[:3]] == rows[:3] and [r.code for r in got] == [r[1] for r in rows]
+        own = got[3:6]
+        assert all(len({getattr(r, c) for r in own}) == distinct for c in ("x", "text", "day"))
+        assert all(a != b for r, old in zip(own, rows[3:6]) for a, b in zip(r[2:], old[2:]))
+
+
 @pytest.mark.parametrize("window", [5, 60, 750])
 def test_rolling_quantiles_equal_brute_force(spark, window):
     pdf = pd.concat([panel_frame(900, 2, seed=window, drop=0), panel_frame(7, 1, seed=1, drop=0).assign(code="short")])
