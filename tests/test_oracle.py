@@ -15,9 +15,9 @@ SAMPLE = [
     "f_32_cfo_turn_event", "g_10_score_stitching", "g_13_side_separation", "m_07_univariate_calibration", "p_03_daily_account", "p_04_leg_account",
     "cs_02_average_rank_split", "cs_12_quintile_split", "g_02_blend_family", "g_03_breakout_toggles", "g_04_breakout_base", "w_11_ewma_gaps",
     "j_09_calendar_offset", "d_03_source_fractions", "d_14_quality_by_side", "e_10_event_quintiles", "e_14_horizon_table", "io_01_load_split", "io_11_content_manifest",
-    "m_01_ridge", "m_02_monthly_ols", "m_03_library_ridge", "m_09_walk_forward", "m_11_selection", "m_13_block_contributions", "f_06_price_impact", "f_27_factor_blocks",
-    "f_36_risk_composites", "g_10_risk_stitching", "g_12_model_blend", "d_11_state_summary", "d_12_all_ages", "d_29_event_trace", "e_07_deflated_sharpe",
-    "e_13_condition_tables", "e_17_lag_persistence", "io_10_footers", "io_11_changed_parts", "w_06_long_quantiles",
+    "m_01_ridge", "m_02_monthly_ols", "m_11_selection", "m_13_block_contributions", "f_27_factor_blocks",
+    "f_36_risk_composites", "d_11_state_summary", "d_12_all_ages", "d_29_event_trace", "e_07_deflated_sharpe",
+    "e_13_condition_tables", "io_10_footers", "io_11_changed_parts", "w_06_long_quantiles",
     "e_02_hac_t", "e_06_bootstrap", "d_05_source_attribution", "d_13_recurrence", "q_02_future_mutation", "q_06_reconciliation",
 ]
 
