@@ -132,7 +132,8 @@ def _(spark, sf):
 
 
 def _joined(c):
-    text = F.concat_ws(",", F.transform(c, lambda v: F.format_string("%.6f", v + F.lit(0.0))))
+    # format_string rounds the shortest decimal form of a double, format_number its exact value, as SQL does
+    text = F.concat_ws(",", F.transform(c, lambda v: F.call_function("format_number", v + F.lit(0.0), F.lit("0.000000"))))
     return F.when(F.col(c).isNotNull(), text)
 
 
