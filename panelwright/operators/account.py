@@ -102,9 +102,7 @@ def holding_split(df: DataFrame, xs: CrossSection, share: float) -> DataFrame:
     charged to the night by ``share``.  The parts add up to the label.
     """
     entry = at_offset(df, {"open": "_o1", "close": "_c1"}, 1)
-    exit_ = entry.join(
-        df.select("code", (F.col("ord") - 2).alias("ord"), F.col("open").alias("_o2"),
-                  F.col("beta").alias("_b2"), F.col("mkt").alias("_m2")), ["code", "ord"], "left")
+    exit_ = at_offset(entry, {"open": "_o2", "beta": "_b2", "mkt": "_m2"}, 2)
     day, night = F.col("_c1") / F.col("_o1") - 1, F.col("_o2") / F.col("_c1") - 1
     adjust = F.col("_b2") * F.col("_m2")
     return exit_.withColumns({

@@ -31,9 +31,9 @@ def _cols(names, digits=8):
     return [rounded(c, digits).alias(c) for c in names]
 
 
-def _held(spark, sf):
+def _held(spark, sf, d=None):
     """Event panel with the side score's own quintile, weight and weight change."""
-    d = cross_section(spark, sf).quintile(events(spark, sf).drop("q", "w", "dw"), "side_score", "q", "w")
+    d = cross_section(spark, sf).quintile((events(spark, sf) if d is None else d).drop("q", "w", "dw"), "side_score", "q", "w")
     return d.withColumn("dw", P.weight_change("w"))
 
 
@@ -48,8 +48,8 @@ fr AS (SELECT *, {', '.join(f"CASE WHEN sn <> 0 AND tot > 0 THEN a_{n} / tot ELS
 _SRC = AT.SOURCES
 
 
-def _fractions(spark, sf):
-    return AT.source_shares(AT.parts_by_age(_held(spark, sf)), "side_score", "q")
+def _fractions(spark, sf, d=None):
+    return AT.source_shares(AT.parts_by_age(_held(spark, sf, d)), "side_score", "q")
 
 
 def _alloc_sql(source="fr"):
@@ -115,7 +115,7 @@ SELECT source, {r('sum(g) / (SELECT count(*) FROM cal) * 252', 5)} AS annual_gro
  JOIN ({' UNION ALL '.join(f"SELECT date, code, '{s}' AS source, f_{s} AS fs FROM fr" for s in _SRC)}) s ON s.date = f.date AND s.code = f.code) GROUP BY source""", _SQ, _FR))
 def _(spark, sf):
     xs = cross_section(spark, sf)
-    d = P.holding_split(_fractions(spark, sf), xs, 0.5)
+    d = _fractions(spark, sf, P.holding_split(events(spark, sf), xs, 0.5))  # split where the events lie by code
     d = agg.unpivot(d.select("date", "code", "w", "night_part", *[AT.share(s).alias(s) for s in _SRC]), ["date", "code", "w", "night_part"], _SRC, "source", "fs")
     short = F.least(F.col("w"), F.lit(0.0))
     return d.groupBy("source").agg(
