@@ -8,6 +8,7 @@ one layout by code and one by date.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -324,17 +325,16 @@ def history_by_code():
     return ts.history(("code",))
 
 
-def risk_composites(states: DataFrame, deterioration: DataFrame, xs: CrossSection, profits=("op", "ordinary", "profit"), balances=("equity", "cash")) -> DataFrame:
-    """Profit, balance and overall risk from metric states (date, code, metric, value, yoy, period).
+def risk_composites(d: DataFrame, xs: CrossSection, profits=("op", "ordinary", "profit"), balances=("equity", "cash"), keep=()) -> DataFrame:
+    """Profit, balance and overall risk of metric columns (``<metric>_value, <metric>_yoy, <metric>_period``) and ``fd_equal``.
 
     Falling profits are ranked among reports of the same period, low balances
-    among all; a missing one is neutral.  Metrics stay rows of one table, so all
-    are ranked in two passes.
+    among all; a missing one is neutral.  All ranks share one layout by date.
     """
-    d = states.withColumns({"_fall": -F.col("yoy"), "_low": -F.col("value")})
-    d = xs.pct_rank(d.where(F.col("metric").isin(*profits)), "_fall", "_p", ("date", "metric", "period"), 0.5).unionByName(
-        xs.pct_rank(d.where(F.col("metric").isin(*balances)), "_low", "_p", ("date", "metric"), 0.5))
-    part = lambda names: F.sum(F.when(F.col("metric").isin(*names), F.col("_p"))) / len(names)
-    wide = d.groupBy("date", "code").agg(part(profits).alias("profit_risk"), part(balances).alias("balance_risk"))
-    d = wide.join(deterioration.select("date", "code", "fd_equal"), ["date", "code"])
-    return d.withColumn("multi_risk", (F.col("fd_equal") + F.col("profit_risk") + F.col("balance_risk")) / 3)
+    for k in profits:
+        d = xs.pct_rank(d.withColumn("_x", -F.col(f"{k}_yoy")), "_x", f"_p_{k}", ("date", f"{k}_period"), 0.5)
+    for k in balances:
+        d = xs.pct_rank(d.withColumn("_x", -F.col(f"{k}_value")), "_x", f"_p_{k}", missing=0.5)
+    mean = lambda names: reduce(lambda a, b: a + b, [F.col(f"_p_{k}") for k in names]) / len(names)
+    d = d.select("date", "code", *keep, "fd_equal", mean(profits).alias("profit_risk"), mean(balances).alias("balance_risk"))
+    return d.withColumn("multi_risk", (F.col("fd_equal") + F.col("profit_risk") + F.col("balance_risk")) / 3)
\ No newline at end of file
