@@ -96,8 +96,8 @@ w4 AS (SELECT *, row_number() OVER (PARTITION BY date, rest AND p3 > ks ORDER BY
 
 def _stitch_inputs(spark, sf):
     xs = cross_section(spark, sf)
-    fd = FP.deterioration(spark, sf).select("date", "code", stable(F.col("fd_equal")).alias("fd"))
-    d = scored(spark, sf).join(fd, ["date", "code"])
+    base = FP._base(spark, sf, scored(spark, sf), ("mom", "mom_sum", "score"))
+    d = FP.deterioration(spark, sf, base).select("date", "code", "mom", "mom_sum", "score", stable(F.col("fd_equal")).alias("fd"))
     d = d.withColumn("_nm", F.when(F.col("mom_sum").isNotNull(), -F.col("mom")))
     d = xs.pct_rank(d, "_nm", "weak", missing=0).withColumn("risk2", stable(F.col("fd") * F.col("weak")))
     d = xs.pct_rank(d, "mom_sum", "_mp")
@@ -128,8 +128,8 @@ rs AS (SELECT *, {', '.join(f'row_number() OVER (PARTITION BY date, rest ORDER B
     FP._state("cf", FP._CFO), FP._state("n", FP._NC), FP._DWF, FP._RISKS, _RISK_STITCH))
 def _(spark, sf):
     """The long ranking kept on top, the rest ordered by each of the three composite risks."""
-    xs, risks = cross_section(spark, sf), FP.risk_composites(spark, sf)
-    d = scored(spark, sf).join(risks.select("date", "code", *[stable(F.col(n)).alias(n) for n in _RISK_NAMES]), ["date", "code"])
+    xs, base = cross_section(spark, sf), FP._base(spark, sf, scored(spark, sf), ("score",))
+    d = FP.risk_composites(spark, sf, base, ["score"]).withColumns({n: stable(F.col(n)) for n in _RISK_NAMES})
     for n in _RISK_NAMES:
         d = G.stitch(d, xs, "score", n, f"t_{n}")
     return keyed(d, **{n: f"t_{n}" for n in _RISK_NAMES})
