@@ -70,6 +70,14 @@ def event_percentiles(df: DataFrame, xs: CrossSection) -> DataFrame:
     return d.drop("_high", "_low")
 
 
+def side_streams(df: DataFrame, stable) -> DataFrame:
+    """``raw``: high less low percentile of today's breakouts (zero without), its two parts and their events."""
+    pct = lambda side: F.coalesce(F.col(f"{side}_pct"), F.lit(0.0))
+    d = df.withColumn("raw", stable(pct("high") - pct("low")))
+    d = d.withColumns({"high_raw": clip("raw", lo=0), "low_raw": clip("raw", hi=0)})
+    return d.withColumns({"high_event": F.col("high_raw") > 0, "low_event": F.col("low_raw") < 0})
+
+
 def mixed_breakouts(df: DataFrame, m: str) -> DataFrame:
     """``breakout``: high less low percentile of today's breakouts (zero without); ``breakout_<side>``
     with momentum mixed into that side's events."""

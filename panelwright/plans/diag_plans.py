@@ -33,8 +33,8 @@ def _cols(names, digits=8):
 
 def _held(spark, sf, d=None):
     """Event panel with the side score's own quintile, weight and weight change."""
-    d = cross_section(spark, sf).quintile((events(spark, sf) if d is None else d).drop("q", "w", "dw"), "side_score", "q", "w")
-    return d.withColumn("dw", P.weight_change("w"))
+    d = (events(spark, sf) if d is None else d).drop("q", "w", "dw")
+    return d.withColumnsRenamed({f"side_{c}": c for c in ("q", "w", "dw")})
 
 
 _SQ = f"""sq0 AS (SELECT * EXCLUDE (q, w, dw), {quintile('sn')} AS q FROM en), sq1 AS (SELECT *, (q - 2) / n_day / 1.2::DOUBLE AS w FROM sq0),
