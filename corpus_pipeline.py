@@ -38,7 +38,10 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts alike in four fifths of their five-word shingles the document with the smallest id stays."""
+    """Of each group of texts alike in four fifths of their five-word shingles the document with the smallest id stays.
+
+    Fingerprints of these shingles find the links first, MinHash keys those that they miss.
+    """
     return near_texts.one_of_each(docs)
 
 

@@ -1,9 +1,13 @@
-"""Near-duplicates by exact similarity: banded MinHash finds candidates, texts decide.
+"""Near-duplicates: SimHash finds links first, banded MinHash what it misses, texts decide.
 
 Two texts are linked when the sets of their five-word shingles have a Jaccard
-similarity of ``LEAST`` or more.  Each distinct text is one point and has
-``BANK.bands`` keys of several minima; a pair at 0.8 shares none of them with a
-probability below one in ten thousand, closer pairs still less.
+similarity of ``LEAST`` or more.  Each distinct text is one point.  First it
+has the component of its fingerprint as a key: fingerprints of the same
+shingles that differ in at most ``MAX_BITS`` bits, found by the index of
+``simhash``.  Edits of a few words in a hundred change more bits than that, so
+then it has ``BANK.bands`` keys of several minima; a pair at 0.8 shares none of
+them with a probability below one in ten thousand, closer pairs still less.
+Only keys whose points the fingerprints have not joined are looked at.
 
 Points that share a key are not paired.  In a round one point of each key, its
 head, is held against the key's points of other components: the one that
@@ -35,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.llm.common import record, settle, slices, text_column
-from panelwright.llm.simhash import components
+from panelwright.llm.simhash import components, fingerprints, links
 
 #: Words of a shingle, similarity of linked texts.
 WORDS, LEAST = 5, 0.8
@@ -101,7 +105,19 @@ def members(texts: DataFrame) -> DataFrame:
             found, keys = b.column(0).to_pylist(), [bank.keys(t) for t in b.column(1).to_pylist()]
             yield record(_KEYS, [np.repeat(np.array(found, np.int64), bank.bands), np.array(keys, np.int64).ravel()])
 
-    keys = settle(texts.select("point", "text").mapInArrow(run, "point long, key long"), "keys")
+    return _shared(settle(texts.select("point", "text").mapInArrow(run, "point long, key long"), "keys"))
+
+
+def clusters(texts: DataFrame) -> DataFrame:
+    """``key, point, n`` of the points whose fingerprints are linked to others' or equal; the key is the component's smallest fingerprint."""
+    known = settle(fingerprints(texts.select(F.col("point").alias("doc_id"), "text"), WORDS).select(F.col("doc_id").alias("point"), "fp"), "fingerprints")
+    label = components(links(settle(known.select("fp").distinct(), "points")))
+    named = known.join(label, F.col("fp") == F.col("node"), "left").select("point", F.coalesce("label", "fp").alias("key"))
+    return _shared(settle(named, "clusters"))
+
+
+def _shared(keys: DataFrame) -> DataFrame:
+    """``key, point, n`` of the keys that n > 1 points share."""
     several = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return settle(keys.join(several, "key").select("key", "point", "n"), "members")
 
@@ -216,10 +232,17 @@ def _within_keys(named: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
 def labelled(texts: DataFrame, least: float = LEAST) -> DataFrame:
     """``point, label`` of the points that are linked to others: equal labels, one component."""
-    found = members(texts)
-    shared = found.groupBy("point").agg(F.sum("n").alias("shared"))
-    open_ = settle(found.join(shared, "point").select("key", "point", "shared"), "open")
     labels = None
+    for keys in (clusters, members):
+        labels = _met(keys(texts), labels, texts, least)
+    return labels if labels is not None else texts.select("point", F.col("point").alias("label")).where("false")
+
+
+def _met(found: DataFrame, labels: DataFrame | None, texts: DataFrame, least: float) -> DataFrame | None:
+    """Labels after all points of a key have been held against those of other components."""
+    shared = found.groupBy("point").agg(F.sum("n").alias("shared"))
+    open_ = found.join(shared, "point").select("key", "point", "shared")
+    open_ = settle(open_, "open") if labels is None else _open(open_, labels)
     for _ in range(ROUNDS):
         if open_.isEmpty():
             break
@@ -238,7 +261,7 @@ def labelled(texts: DataFrame, least: float = LEAST) -> DataFrame:
         near = _within_keys(_named(open_, labels), texts, least)
         if not near.isEmpty():
             labels = _joined(labels, near)
-    return labels if labels is not None else texts.select("point", F.col("point").alias("label")).where("false")
+    return labels
 
 
 def _open(rest: DataFrame, labels: DataFrame | None) -> DataFrame:

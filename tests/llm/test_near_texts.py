@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from panelwright.llm import near_texts, simhash
 from tests.llm.test_operators import ODD, frame, plain_words
@@ -101,3 +102,17 @@ def test_recall_on_a_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     assert sorted((False, r.doc_id) for r in near_texts.one_of_each(docs).collect()) == plain_kept(rows)
+
+
+def test_fingerprints_find_links_before_other_keys(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows, near = [], 0
+    for k in range(6):
+        words = [f"w{rng.integers(3000)}" for _ in range(400)]
+        rows += [(10 * k, " ".join(words)), (10 * k + 1, edited(rng, words, (200,)))]
+        near += (simhash.fingerprint(rows[-2][1], 5) ^ simhash.fingerprint(rows[-1][1], 5)).bit_count() <= simhash.MAX_BITS
+    assert near
+    seen = []
+    monkeypatch.setattr(near_texts, "members", lambda texts: seen.append(1) or texts.select(F.lit(0).cast("long").alias("key"), "point", F.lit(2).cast("long").alias("n")).where("false"))
+    got = near_texts.one_of_each(frame(spark, rows)).count()
+    assert seen and got == 12 - near  # without MinHash keys nothing was found before
