@@ -47,6 +47,15 @@ def slices(batches, column: str = "text", most: int = BATCH_ROWS):
             start += step
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """A side of a join that both sides reach by a shuffle, never sent whole to the driver and every executor.
+
+    For tables that grow with the corpus where the planner takes them for small: it
+    knows files by their compressed size, and rows that an explode makes of them not at all.
+    """
+    return df.hint("merge")
+
+
 def record(schema: pa.Schema, columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import record, settle, slices
+from panelwright.llm.common import apart, record, settle, slices
 
 #: Bits in which linked fingerprints may differ, and the segments (first bit, length).
 MAX_BITS = 4
@@ -101,7 +101,7 @@ def links(points: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         bit = F.when(own == 0, F.lit(first)).otherwise(F.bit_count(F.shiftrightunsigned(own, first) - 1) + first).cast("int")
         home = F.when(F.bit_count(own) <= 1, bit).otherwise(home)
     near = (F.col("a") < F.col("b")) & (F.bit_count(differ) <= max_bits) & (F.col("x.wildcard") == home)
-    return x.alias("x").join(y.alias("y"), (F.col("x.wildcard") == F.col("y.wildcard")) & (F.col("x.rest") == F.col("y.rest")) & near).select("a", "b")
+    return apart(x.alias("x")).join(y.alias("y"), (F.col("x.wildcard") == F.col("y.wildcard")) & (F.col("x.rest") == F.col("y.rest")) & near).select("a", "b")
 
 
 def components(edges: DataFrame, rounds: int = 64) -> DataFrame:

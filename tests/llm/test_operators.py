@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelwright.llm import bottomk, bpe, langid, line_dedup, matroska, packing, sharding, simhash, style_tree, toxicity
+from panelwright.llm.common import settle
 from panelwright.llm.queries import tokenizer
 
 SF = "/root/testdata/sf0.001"
@@ -232,6 +233,14 @@ def test_simhash_links_find_every_near_pair(spark):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_variants_of_a_small_file_are_not_broadcast(spark):
+    points = settle(spark.range(3000).select(F.xxhash64("id").alias("fp")), "points")
+    found = simhash.links(points)
+    # 64 rows a fingerprint: the planner takes them for as large as the file
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.where("bit_count(a ^ b) > 4 or a >= b").isEmpty()
+
+
 def test_components_of_long_paths(spark):
     rng = np.random.default_rng(1)
     names = rng.permutation(400)
