@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelwright.llm.common import record, settle, slices
+from panelwright.llm.common import apart, record, settle, slices
 
 MIN_CHARS, MIN_DOCS = 20, 3
 #: Keys a filter is sized for, and the most filter bytes sent to every executor.
@@ -270,7 +270,7 @@ def clean(ledger: Ledger, docs: DataFrame) -> DataFrame:
     over = ledger.counts.where(F.col("docs") >= ledger.min_docs).select(
         "line_key", "keeper", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
     drops = (
-        found.withColumn("salt", F.pmod(F.coalesce("doc", F.lit(0)), F.lit(SALTS)).cast("int")).join(over, ["line_key", "salt"])
+        found.withColumn("salt", F.pmod(F.coalesce("doc", F.lit(0)), F.lit(SALTS)).cast("int")).join(apart(over), ["line_key", "salt"])
         .where(~F.col("doc").eqNullSafe(F.col("keeper")))
         .groupBy("doc").agg(F.collect_set("line_key").alias("keys"))
     )

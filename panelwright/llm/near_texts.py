@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import record, settle, slices, text_column
+from panelwright.llm.common import apart, record, settle, slices, text_column
 from panelwright.llm.simhash import components, fingerprints, links
 
 #: Words of a shingle, similarity of linked texts.
@@ -188,7 +188,7 @@ def _within_keys(named: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     outer = rows.where("label <> most").withColumn("i", deal(1, "outers")).select("key", "i", every("inner").alias("j"), F.lit(True).alias("outer"), "point", "label", "most")
     inner = rows.withColumn("j", deal(2, "inner")).select("key", every("outers").alias("i"), "j", F.lit(False).alias("outer"), "point", "label", "most")
-    placed = outer.unionByName(inner).join(texts.select("point", "text"), "point")
+    placed = apart(outer.unionByName(inner)).join(texts.select("point", "text"), "point")
     placed = placed.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", F.col("outer").desc())
 
     def group(rows):

@@ -268,6 +268,13 @@ def cleaned(ledger, docs):
     return sorted(((r.doc_id, r.text) for r in line_dedup.clean(ledger, docs).select("row.doc_id", "kept.text").collect()), key=str)
 
 
+def test_salted_keys_of_a_small_file_are_not_broadcast(spark):
+    docs = frame(spark, ODD)
+    plan = line_dedup.clean(line_dedup.build(docs), docs)._jdf.queryExecution().executedPlan().toString()
+    # sixteen rows a key: the planner takes them for as large as the file
+    assert "SortMergeJoin [line_key" in plan
+
+
 def test_line_dedup_and_its_reversal(spark):
     docs = frame(spark, ODD)
     ledger = line_dedup.build(docs)
