@@ -21,7 +21,7 @@ from panelwright.plans.registry import query
 from panelwright.plans.signal_plans import AGE
 from panelwright.plans.sql import (FINS_CTES, avg_rank, centered, day, on_events, on_panel, on_scored, pct_rank, quintile, r, ridge_ctes, ridge_score, scorr)
 from panelwright.plans.window_plans import W
-from panelwright.sources.panels import cross_section, events, panel, scale_of, scored
+from panelwright.sources.panels import cross_section, events, panel, scale_of, scored, stage
 
 D = f"{day()} AS date"
 YEAR = "CAST(year(date) AS BIGINT)"
@@ -563,12 +563,20 @@ def _(spark, sf):
     A side's model of a year is fitted on labels known before the year, and is
     oriented like its inputs; years without one have no prediction.
     """
-    return _event_trace(FP.event_panel(spark, sf), cross_section(spark, sf), scale_of(spark, sf))
+    xs, scale = cross_section(spark, sf), scale_of(spark, sf)
+    return _event_trace(stage(spark, sf, "traces", lambda: _event_rows(FP.event_panel(spark, sf), xs, scale)), xs)
 
 
-def _event_trace(panel_, xs, scale):
+def _event_rows(panel_, xs, scale):
+    """Rows with an event on either side, the label ranked among all rows: few, and read for both fits and both scores."""
+    d = M.with_fold(xs.centered_rank(panel_, "target", "y", missing=None), scale)
+    d = d.where(G.is_event("high") | G.is_event("low"))
+    return d.select("date", "code", "seg", "year", "fold", "y", "box_duration", "box_width", "close_position", "strength",
+                    *[c for side in ("high", "low") for c in (f"{side}_available", f"new_{side}_excess", f"distance_to_{side}")])
+
+
+def _event_trace(base, xs):
     names = TRACE
-    base = M.with_fold(xs.centered_rank(panel_, "target", "y", missing=None), scale)
     out = None
     for side, sign in (("high", 1), ("low", -1)):
         d = X.directional(base, side).where("event").withColumn("y", sign * F.col("y"))
